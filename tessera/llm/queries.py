@@ -101,14 +101,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
-), at AS (
+), spots AS (
   SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13
 ), win AS (
-  SELECT doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') AS k FROM at
-), first AS (
+  SELECT doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') AS k FROM spots
+), earliest AS (
   SELECT k, min(doc_id) AS least FROM win GROUP BY k
 ), gone AS (
-  SELECT DISTINCT doc_id, i + o AS p FROM win JOIN first USING (k), range(13) t(o) WHERE least < doc_id
+  SELECT DISTINCT doc_id, i + o AS p FROM win JOIN earliest USING (k), range(13) t(o) WHERE least < doc_id
 ), word AS (
   SELECT doc_id, unnest(range(1, len(words) + 1)) AS p, unnest(words) AS word FROM w
 ), stays AS (
