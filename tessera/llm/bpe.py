@@ -17,7 +17,7 @@ Defined results
     repeated rows    equal rows out
     empty table      empty result
     extra columns    ignored
-Memory in a worker: the texts of one Arrow batch, at most `KNOWN` remembered cuts, and an index over
+Memory in a worker: the texts of one Arrow batch, twice about `KNOWN` remembered cuts, as many pieces, and an index over
 `INDEXED` pieces at a time.
 """
 
@@ -35,13 +35,24 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-KNOWN = 120_000
-INDEXED = 40_000
+KNOWN = 200_000
+INDEXED = 100_000
+FREQUENT = 1500  # ranks below it have long lists of positions, which are merged as arrays
 PLAIN = re.compile(rb"[\x21-\x7e]+")
-ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+ASCII_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Latin letters that are composed already, and whose lower case is one letter of the same range.
+LATIN = re.compile("[!-~À-ÖØ-öø-įı-ž]+")
+LATIN_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-zß-öø-ž0-9]+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def byte_characters() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
 class PairIndexBPE:
     """Merge ranks of a BPE vocabulary, and the encoding of many pieces at once."""
 
@@ -54,16 +65,27 @@ class PairIndexBPE:
             self.right.append(vocab[b])
             self.made.append(vocab[a + b])
             self.rank[vocab[a] * self.size + vocab[b]] = r
-
-    def symbols(self, piece: str) -> list[int]:
-        """Ids of the piece's characters, the last with the word end; unknown ones are left out."""
-        get = self.vocab.get
-        found = [get(c) for c in piece[:-1]] + [get(piece[-1] + self.word_end)]
-        return [x for x in found if x is not None]
-
-    def encode_one(self, piece: str) -> list[int]:
+        pairs = sorted(self.rank.items())
+        self.pair_codes, self.pair_ranks = np.array([p for p, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64)
+        char = byte_characters()
+        self.of_byte = np.array([vocab.get(c, -1) for c in char], np.int64)
+        self.of_last_byte = np.array([vocab.get(c + word_end, -1) for c in char], np.int64)
+
+    def symbols(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces' bytes, the last of each with the word end, and how many each has; unknown ones are left out."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        sym = self.of_byte[data]
+        ends = (np.cumsum(size) - 1)[size > 0]
+        sym[ends] = self.of_last_byte[data[ends]]
+        known = sym >= 0
+        if not known.all():
+            size = np.bincount(np.repeat(np.arange(len(pieces)), size)[known], minlength=len(pieces))
+        return sym[known], size
+
+    def encode_one(self, piece: bytes) -> list[int]:
         """The lowest rank first, leftmost first, until none is left."""
-        s = self.symbols(piece)
+        s = self.symbols([piece])[0].tolist()
         while len(s) > 1:
             r, k = min((self.rank.get(s[i] * self.size + s[i + 1], 1 << 60), i) for i in range(len(s) - 1))
             if r == 1 << 60:
@@ -71,28 +93,91 @@ class PairIndexBPE:
             s[k : k + 2] = [self.made[r]]
         return s
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []
         for i in range(0, len(pieces), INDEXED):
             out += self.encode_together(pieces[i : i + INDEXED])
         return out
 
-    def encode_together(self, pieces: list[str]) -> list[list[int]]:
-        parts = [self.symbols(p) for p in pieces]
-        first = np.cumsum([0, *map(len, parts)])
-        n = int(first[-1])
-        if not n:
-            return parts
-        sym = np.fromiter((x for p in parts for x in p), np.int64, n)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        full = first[:-1][np.diff(first) > 0]
-        after[np.append(full[1:], n) - 1] = -1
-        before[full] = -1
+    def ranks_of(self, pairs: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or a number above all ranks."""
+        at = np.minimum(np.searchsorted(self.pair_codes, pairs), len(self.pair_codes) - 1)
+        return np.where(self.pair_codes[at] == pairs, self.pair_ranks[at], len(self.made))
+
+    def links(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First position of each piece, and the position after and before each, -1 at a piece's ends."""
+        first = np.concatenate([[0], np.cumsum(size)])
+        after, before = np.arange(1, first[-1] + 1), np.arange(-1, first[-1] - 1)
+        full = first[:-1][size > 0]
+        if len(full):
+            after[np.append(full[1:], first[-1]) - 1] = -1
+            before[full] = -1
+        return first, after, before
+
+    def merge_low_ranks(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Symbols and sizes after all ranks below FREQUENT, whose long position lists are merged as arrays.
+
+        Also the pieces in which a merge made a pair of a lower rank.
+        """
+        first, after, before = self.links(size)
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def add(places: np.ndarray, ranks: np.ndarray) -> None:
+            few = ranks < min(FREQUENT, len(self.made))
+            places, ranks = places[few], ranks[few]
+            order = np.argsort(ranks, kind="stable")
+            different, starts = np.unique(ranks[order], return_index=True)
+            for r, part in zip(different.tolist(), np.split(places[order], starts[1:]) if len(starts) else (), strict=True):
+                if r in index:
+                    index[r].append(part)
+                else:
+                    index[r] = [part]
+                    heapq.heappush(heap, r)
+
+        inner = np.flatnonzero(after >= 0)
+        add(inner, self.ranks_of(sym[inner] * self.size + sym[inner + 1]))
+        again = []
+        while heap:
+            r = heapq.heappop(heap)
+            a, b, new = self.left[r], self.right[r], self.made[r]
+            p = np.unique(np.concatenate(index.pop(r)))
+            p = p[(sym[p] == a) & (after[p] >= 0)]
+            p = p[sym[after[p]] == b]
+            if a == b and len(p):  # of overlapping places the first, third, ... are merged
+                taken, free = [], -1
+                for x, y in zip(p.tolist(), after[p].tolist(), strict=True):
+                    if x != free:
+                        taken.append(x)
+                        free = y
+                p = np.array(taken, np.int64)
+            if not len(p):
+                continue
+            q = after[p]
+            n = after[q]
+            sym[p], sym[q], after[p] = new, -1, n
+            has = n >= 0
+            before[n[has]] = p[has]
+            n = after[p[has]]
+            left = before[p]
+            inside = left >= 0
+            places = np.concatenate([p[has], left[inside]])
+            ranks = self.ranks_of(np.concatenate([new * self.size + sym[n], sym[left[inside]] * self.size + new]))
+            if (ranks < r).any():
+                again += (np.searchsorted(first, places[ranks < r], side="right") - 1).tolist()
+            add(places, ranks)
+        alive = sym >= 0
+        return sym[alive], np.bincount(np.repeat(np.arange(len(size)), size)[alive], minlength=len(size)), again
+
+    def encode_together(self, pieces: list[bytes]) -> list[list[int]]:
+        sym, size, redo = self.merge_low_ranks(*self.symbols(pieces))
+        first, after, before = self.links(size)
+        if not len(sym):
+            return [[] for _ in pieces]
         # the index: a list of positions for each rank that occurs
         inner = np.flatnonzero(after >= 0)
-        pair, which = np.unique(sym[inner] * self.size + sym[inner + 1], return_inverse=True)
-        known = np.fromiter((self.rank.get(p, -1) for p in pair.tolist()), np.int64, len(pair))[which]
-        inner, known = inner[known >= 0], known[known >= 0]
+        known = self.ranks_of(sym[inner] * self.size + sym[inner + 1])
+        inner, known = inner[known < len(self.made)], known[known < len(self.made)]
         order = np.argsort(known, kind="stable")
         ranks, starts = np.unique(known[order], return_index=True)
         index: dict[int, list[int]] = {r: p.tolist() for r, p in zip(ranks.tolist(), np.split(inner[order], starts[1:]), strict=True)} if len(ranks) else {}
@@ -141,7 +226,7 @@ class PairIndexBPE:
         ids = final[alive].tolist()
         ends = np.concatenate([[0], np.cumsum(alive)])[first].tolist()
         out = [ids[s:e] for s, e in zip(ends, ends[1:], strict=False)]
-        for k in {int(np.searchsorted(first, p, side="right")) - 1 for p in again}:
+        for k in {*redo, *((np.searchsorted(first, again, side="right") - 1).tolist() if again else ())}:
             out[k] = self.encode_one(pieces[k])
         return out
 
@@ -162,51 +247,71 @@ class WordCodec:
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         parts = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = parts.normalizer, parts.pre_tokenizer
-        self.strings = dict.fromkeys(range(self.bpe.size), "") | {i: s for s, i in [*self.bpe.vocab.items(), *self.special.items()]}
+        self.seen: dict[bytes, list[int]] = {}  # pieces; cuts share them
+        self.to_byte = {ord(c): b for b, c in enumerate(byte_characters())}
+        self.strings = dict.fromkeys(range(self.bpe.size + len(self.special)), "") | {i: s for s, i in [*self.bpe.vocab.items(), *self.special.items()]}
 
-    def pieces(self, cut: bytes) -> list[str | int]:
-        """Pieces of one cut, and the ids of special tokens between them."""
+    def pieces(self, cut: bytes) -> list[bytes | int]:
+        """Pieces of one cut as bytes, and the ids of special tokens between them."""
         if PLAIN.fullmatch(cut) and b"<|" not in cut:
-            return ASCII_PIECE.findall(cut.decode("ascii").lower())
-        out: list[str | int] = []
-        for part in self.at_special.split(cut.decode("utf-8", "replace")):
+            return ASCII_PIECE.findall(cut.lower())
+        text = cut.decode("utf-8", "replace")
+        if LATIN.fullmatch(text) and "<|" not in text:
+            return [p.encode() for p in LATIN_PIECE.findall(text.lower())]
+        out: list[bytes | int] = []
+        for part in self.at_special.split(text):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                out += [p for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))]
+                out += [p.translate(self.to_byte).encode("latin-1") for p, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))]
         return out
 
     def encode_cuts(self, cuts: list[bytes]) -> list[list[int]]:
-        split = [self.pieces(c) for c in cuts]
-        distinct = list({p for s in split for p in s if isinstance(p, str)})
-        ids = dict(zip(distinct, self.bpe.encode(distinct), strict=True))
-        return [[x for p in s for x in (ids[p] if isinstance(p, str) else (p,))] for s in split]
+        split = [[c.lower()] if c.isalpha() else self.pieces(c) for c in cuts]
+        if len(self.seen) > KNOWN:
+            self.seen.clear()
+        ids = self.seen
+        new = [p for p in {p for s in split for p in s} - ids.keys() if p.__class__ is bytes]
+        ids.update(zip(new, self.bpe.encode(new), strict=True))
+        return [ids[s[0]] if len(s) == 1 and s[0].__class__ is bytes else [x for p in s for x in (ids[p] if p.__class__ is bytes else (p,))] for s in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As a tokenizer without a decoder does it: the tokens' strings, joined by a space."""
-        return " ".join(self.strings[i] for i in ids)
+        return " ".join([self.strings[i] for i in ids])
 
 
 class Remembered:
-    """What a worker keeps of the cuts it has seen: whatever `render` makes of their ids."""
+    """What a worker keeps of the cuts it has seen: whatever `render` makes of their ids.
+
+    Two generations of cuts: one that is full becomes the old one, and what is asked for again moves up.
+    """
 
     def __init__(self, codec: WordCodec, render: Callable[[list[int]], tuple]):
-        self.codec, self.render, self.known = codec, render, {}
+        self.codec, self.render = codec, render
+        self.young: dict[bytes, tuple] = {}
+        self.old: dict[bytes, tuple] = {}
 
     def of(self, texts: list[str | None]) -> Iterable[list[tuple]]:
         cut = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        new = [c for c in {c for words in cut for c in words} if c not in self.known]
-        for i in range(0, len(new), 4 * INDEXED):
-            some = new[i : i + 4 * INDEXED]
-            self.known.update(zip(some, map(self.render, self.codec.encode_cuts(some)), strict=True))
-        get = self.known.__getitem__
+        if len(self.young) > KNOWN:
+            self.young, self.old = {}, self.young
+        new = []
+        for c in set().union(*cut) - self.young.keys():
+            seen = self.old.get(c)
+            if seen is None:
+                new.append(c)
+            else:
+                self.young[c] = seen
+        for i in range(0, len(new), INDEXED):
+            some = new[i : i + INDEXED]
+            self.young.update(zip(some, map(self.render, self.codec.encode_cuts(some)), strict=True))
+        get = self.young.__getitem__
         for words in cut:
             yield list(map(get, words))
 
 
 _codecs: dict[str, WordCodec] = {}
+_memories: dict[tuple[str, str], Remembered] = {}
 
 
 def codec_at(path: str) -> WordCodec:
@@ -216,6 +321,20 @@ def codec_at(path: str) -> WordCodec:
     return _codecs[path]
 
 
+def memory_at(path: str, kind: str) -> Remembered:
+    """One memory a worker process, file and kind of result: ids and decoded text, or what digests are made of."""
+    if (path, kind) not in _memories:
+        codec = codec_at(path)
+        if kind == "ids":
+            made = Remembered(codec, lambda ids: (len(ids), np.array(ids, np.int32).tobytes(), codec.decode(ids)))
+        else:
+            decimal, string = ([f(i) for i in range(len(codec.strings))] for f in (lambda i: b"%d" % i, lambda i: codec.strings[i].encode()))
+            made = Remembered(codec, lambda ids: (len(ids), b" ".join([decimal[i] for i in ids]), b" ".join([string[i] for i in ids])))
+        _memories.clear()
+        _memories[path, kind] = made
+    return _memories[path, kind]
+
+
 def runs(texts: list, chars: int = 4_000_000) -> Iterable[tuple[int, int]]:
     """Slices of a batch whose texts together have about so many characters."""
     start, held = 0, 0
@@ -232,8 +351,7 @@ def encode(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) and decoded (string) of every row."""
 
     def run(batches):
-        codec = codec_at(path)
-        memory = Remembered(codec, lambda ids: (len(ids), np.array(ids, np.int32).tobytes(), codec.decode(ids)))
+        memory = memory_at(path, "ids")
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in runs(texts):
@@ -255,8 +373,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
-        codec = codec_at(path)
-        memory = Remembered(codec, lambda ids: (len(ids), " ".join(map(str, ids)).encode(), codec.decode(ids).encode()))
+        memory = memory_at(path, "digests")
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in runs(texts):

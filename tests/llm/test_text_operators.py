@@ -109,12 +109,12 @@ def test_bpe_equals_the_library(spark):
 def test_bpe_odd_cuts_and_low_ranks():
     path = public_tokenizers.path("word_bpe_49k.json")
     library, codec = Tokenizer.from_file(path), bpe.WordCodec(path)
-    odd = ["it's", "we'LL", "a\x1cb", " x y", "é", "ΑΣ", "<|startoftext|>", "<|x|>", "a<|endoftext|>b", "１２3", "ﬁ", "😀👍🏽", "İ", "ẞ", "\x00", "​"]
+    odd = ["Ö'Réñ×÷3ſ", "Žĳŉ", "e\u0301", "it's", "we'LL", "a\x1cb", " x y", "é", "ΑΣ", "<|startoftext|>", "<|x|>", "a<|endoftext|>b", "１２3", "ﬁ", "😀👍🏽", "İ", "ẞ", "\x00", "​"]
     for t, ids in zip(odd, codec.encode_cuts([t.encode() for t in odd]), strict=True):
         assert ids == library.encode(t, add_special_tokens=False).ids, t
     # a merge that makes a pair of a lower rank: (ab, c) ranks before the second way to ab
     tiny = bpe.PairIndexBPE({c: k for k, c in enumerate(["a", "b", "c", "ab", "abc", "bc", "x", "xab"])}, [("ab", "c"), ("a", "b"), ("b", "c"), ("x", "ab")])
-    for p in ("abcabc", "xabc", "aabbcc", "xabab", "cab"):
+    for p in (b"abcabc", b"xabc", b"aabbcc", b"xabab", b"cab", b"a?b", b""):
         assert tiny.encode([p]) == [tiny.encode_one(p)]
 
 
