@@ -51,6 +51,7 @@ MAGIC = b"TRNS"
 HEAD = struct.Struct("<4sBBHIIIQI")
 BLOCK = np.dtype([("first", "<u8"), ("tokens", "<u4"), ("offset", "<u8"), ("words", "<u4"), ("crc", "<u4")])
 U = np.uint64
+DENSE = 1 << 20  # ids below it are counted and looked up in arrays
 
 
 class Corrupt(ValueError):
@@ -62,7 +63,12 @@ class Corrupt(ValueError):
 
 def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols that occur and their frequencies, scaled to 2**PRECISION with none at zero."""
-    symbols, count = np.unique(ids, return_counts=True)
+    if len(ids) and ids.max() < DENSE:
+        count = np.bincount(ids)
+        symbols = np.flatnonzero(count)
+        count = count[symbols]
+    else:
+        symbols, count = np.unique(ids, return_counts=True)
     if not len(symbols):
         return symbols.astype(np.uint32), count.astype(np.uint32)
     total = 1 << PRECISION
@@ -71,6 +77,15 @@ def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return symbols.astype(np.uint32), scaled.astype(np.uint32)
 
 
+def places(symbols: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where in the table each id stands."""
+    if len(symbols) and symbols[-1] < DENSE:
+        at = np.zeros(int(symbols[-1]) + 1, np.int32)
+        at[symbols] = np.arange(len(symbols), dtype=np.int32)
+        return at[ids]
+    return np.searchsorted(symbols, ids)
+
+
 def encode_blocks(place: np.ndarray, freq: np.ndarray, lanes: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lane states and words of each block, from table places; all blocks and lanes step together.
 
@@ -128,7 +143,7 @@ def decode_blocks(state: np.ndarray, words: np.ndarray, offset: np.ndarray, toke
 def write_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, lanes: int = LANES, block: int = BLOCK_TOKENS) -> bytes:
     """One token file."""
     symbols, freq = table_of(ids)
-    state, words, n_words = encode_blocks(np.searchsorted(symbols, ids), freq, lanes, block)
+    state, words, n_words = encode_blocks(places(symbols, ids), freq, lanes, block)
     blocks = np.zeros(len(state), BLOCK)
     blocks["first"] = np.arange(len(state)) * block
     blocks["tokens"] = np.minimum(block, len(ids) - blocks["first"].astype(np.int64))
@@ -189,10 +204,27 @@ ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\xa0ɐ-\U0010ffff]")
 CUT = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 
 
+#: Texts without these hold white space only as single blanks and line ends between words.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+FIRST = "\x00"  # before a cut that has no blank before it; no plain text holds this character
+
+
+def cuts_of(text: str) -> list[str]:
+    """A plain text's cuts: a word stands for itself with a blank before it, FIRST and a line end for what follows them."""
+    if text and not text[0].isspace() and not text[-1].isspace() and not any([x in text for x in UNEVEN]):
+        cuts = text.replace("\n", " \n").split(" ")
+        cuts[0] = FIRST + cuts[0]
+        return cuts
+    return [c[1:] if c[0] == " " and c[1:2].strip() else FIRST + c for c in CUT.findall(text)]
+
+
 class ByteCodec:
-    """The library's byte-level encoder, with the ids of cuts that a worker has seen kept."""
+    """The library's byte-level encoder, with the ids of cuts that a worker has seen kept.
+
+    Two generations of cuts: one that is full becomes the old one, and what is asked for again moves up.
+    """
 
-    KNOWN = 120_000
+    KNOWN = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -201,22 +233,32 @@ class ByteCodec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, ids)]) * 4
+        flat = np.fromiter((i for x in ids for i in x), "<u4", int(ends[-1]) // 4).tobytes()
+        return [flat[s:e] for s, e in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit words."""
-        plain = [not ODD.search(t) and not any(s in t for s in self.special) for t in texts]
-        cut = [CUT.findall(t) if p else () for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > self.KNOWN:
-            self.known.clear()
-        new = list({c for cuts in cut for c in cuts} - self.known.keys())
+        plain = [not ODD.search(t) and not any([s in t for s in self.special]) for t in texts]
+        cut = [cuts_of(t) if p else () for t, p in zip(texts, plain, strict=True)]
+        if len(self.young) > self.KNOWN:
+            self.young, self.old = {}, self.young
+        new = []
+        for c in set().union(*cut) - self.young.keys():
+            seen = self.old.get(c)
+            if seen is None:
+                new.append(c)
+            else:
+                self.young[c] = seen
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            self.known.update(zip(some, self.library(some), strict=True))
-        get = self.known.__getitem__
+            self.young.update(zip(some, self.library([c[1:] if c[0] == FIRST else c if c[0] == "\n" else " " + c for c in some]), strict=True))
+        get = self.young.__getitem__
         whole = iter(self.library([t for t, p in zip(texts, plain, strict=True) if not p]))
         return [b"".join(map(get, cuts)) if p else next(whole) for cuts, p in zip(cut, plain, strict=True)]
 

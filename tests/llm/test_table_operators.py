@@ -168,7 +168,7 @@ def test_sharding_sql(spark):
 
 def test_rans_round_trip():
     rng = np.random.default_rng(1)
-    for n, top in ((1, 1), (5, 3), (4096, 2), (40_000, 50_000), (32_768, 300)):
+    for n, top in ((1, 1), (3000, 2**32 - 1), (5, 3), (4096, 2), (40_000, 50_000), (32_768, 300)):
         ids = np.minimum(rng.zipf(1.3, n), top).astype(np.uint32)
         data = tokenfile.write_file(np.array([-5, 9]), np.array([n - n // 2, n // 2]), ids, lanes=16, block=1024)
         f = tokenfile.TokenFile(data)
