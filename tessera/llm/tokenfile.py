@@ -27,6 +27,8 @@ Memory in a worker: the ids of one file (`FILE_TOKENS` at most, and the longest
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import struct
 import zlib
@@ -225,7 +227,7 @@ class ByteCodec:
     Two generations of cuts: one that is full becomes the old one, and what is asked for again moves up.
     """
 
-    KNOWN = 900_000
+    KNOWN = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -295,9 +297,14 @@ def tokens(df: DataFrame, path: str, splits: list[int], end: int = 0) -> DataFra
     """place (of the range), doc_id and ids (16 or 32-bit words) of every row, the end id appended."""
 
     def run(batches):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # nothing here makes cycles, and the collector would walk the remembered cuts again and again
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches):
         codec, tail = codec_at(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             ids = np.array([common.NO_ID if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
