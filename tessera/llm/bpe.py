@@ -31,11 +31,13 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common
 
 KNOWN = 200_000
+ENCODE_KNOWN = 40_000
 INDEXED = 100_000
 FREQUENT = 1500  # ranks below it have long lists of positions, which are merged as arrays
 PLAIN = re.compile(rb"[\x21-\x7e]+")
@@ -268,8 +270,6 @@ class WordCodec:
 
     def encode_cuts(self, cuts: list[bytes]) -> list[list[int]]:
         split = [[c.lower()] if c.isalpha() else self.pieces(c) for c in cuts]
-        if len(self.seen) > KNOWN:
-            self.seen.clear()
         ids = self.seen
         new = [p for p in {p for s in split for p in s} - ids.keys() if p.__class__ is bytes]
         ids.update(zip(new, self.bpe.encode(new), strict=True))
@@ -286,15 +286,17 @@ class Remembered:
     Two generations of cuts: one that is full becomes the old one, and what is asked for again moves up.
     """
 
-    def __init__(self, codec: WordCodec, render: Callable[[list[int]], tuple]):
-        self.codec, self.render = codec, render
+    def __init__(self, codec: WordCodec, render: Callable[[list[int]], tuple], limit: int = KNOWN):
+        self.codec, self.render, self.limit = codec, render, limit
         self.young: dict[bytes, tuple] = {}
         self.old: dict[bytes, tuple] = {}
 
     def of(self, texts: list[str | None]) -> Iterable[list[tuple]]:
         cut = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self.young) > KNOWN:
+        if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
+        if len(self.codec.seen) > self.limit:
+            self.codec.seen.clear()
         new = []
         for c in set().union(*cut) - self.young.keys():
             seen = self.old.get(c)
@@ -311,7 +313,7 @@ class Remembered:
 
 
 _codecs: dict[str, WordCodec] = {}
-_memories: dict[tuple[str, str], Remembered] = {}
+_memories: dict[str, Remembered] = {}
 
 
 def codec_at(path: str) -> WordCodec:
@@ -321,47 +323,44 @@ def codec_at(path: str) -> WordCodec:
     return _codecs[path]
 
 
-def memory_at(path: str, kind: str) -> Remembered:
-    """One memory a worker process, file and kind of result: ids and decoded text, or what digests are made of."""
-    if (path, kind) not in _memories:
+def memory_at(path: str) -> Remembered:
+    """One memory a worker process and file, of what digests are made of."""
+    if path not in _memories:
         codec = codec_at(path)
-        if kind == "ids":
-            made = Remembered(codec, lambda ids: (len(ids), np.array(ids, np.int32).tobytes(), codec.decode(ids)))
-        else:
-            decimal, string = ([f(i) for i in range(len(codec.strings))] for f in (lambda i: b"%d" % i, lambda i: codec.strings[i].encode()))
-            made = Remembered(codec, lambda ids: (len(ids), b" ".join([decimal[i] for i in ids]), b" ".join([string[i] for i in ids])))
-        _memories.clear()
-        _memories[path, kind] = made
-    return _memories[path, kind]
-
-
-def runs(texts: list, chars: int = 4_000_000) -> Iterable[tuple[int, int]]:
-    """Slices of a batch whose texts together have about so many characters."""
+        decimal, string = ([f(i) for i in range(len(codec.strings))] for f in (lambda i: b"%d" % i, lambda i: codec.strings[i].encode()))
+        _memories[path] = Remembered(codec, lambda ids: (len(ids), b" ".join([decimal[i] for i in ids]), b" ".join([string[i] for i in ids])))
+    return _memories[path]
+
+
+def runs(lengths: list[int | None], most: int) -> Iterable[tuple[int, int]]:
+    """Slices of a batch whose texts together have about so many bytes."""
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= chars:
+    for i, n in enumerate(lengths):
+        held += n or 0
+        if held >= most:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def encode(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) and decoded (string) of every row."""
 
     def run(batches):
-        memory = memory_at(path, "ids")
+        codec = codec_at(path)
+        memory = Remembered(codec, lambda ids: (len(ids), np.array(ids, np.int32).tobytes(), codec.decode(ids)), ENCODE_KNOWN)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in runs(texts):
+            lengths = pc.binary_length(batch.column("text")).to_pylist()
+            for a, b in runs(lengths, 1_500_000):
                 counts, flat, decoded = [], [], []
-                for words in memory.of(texts[a:b]):
+                for words in memory.of(batch.column("text").slice(a, b - a).to_pylist()):
                     counts.append(sum(w[0] for w in words))
                     flat += [w[1] for w in words]
                     decoded.append(" ".join([w[2] for w in words if w[0]]))
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(flat), np.int32)))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.array(counts, pa.int64()), ids, pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts, pa.int64()), ids, pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        codec.seen.clear()  # ids and strings are larger than digests, so a worker keeps them for one partition only
 
     return common.id_and_text(df).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
@@ -373,12 +372,12 @@ def digests(df: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
-        memory = memory_at(path, "digests")
+        memory = memory_at(path)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in runs(texts):
+            doc_ids, lengths = batch.column("doc_id"), pc.binary_length(batch.column("text")).to_pylist()
+            for a, b in runs(lengths, 4_000_000):
                 counts, of_ids, of_text = [], [], []
-                for words in memory.of(texts[a:b]):
+                for words in memory.of(batch.column("text").slice(a, b - a).to_pylist()):
                     words = [w for w in words if w[0]]
                     counts.append(sum([w[0] for w in words]))
                     of_ids.append(sha256(b" ".join([w[1] for w in words])).hexdigest())
