@@ -358,7 +358,7 @@ def encode(df: DataFrame, path: str) -> DataFrame:
                     counts.append(sum(w[0] for w in words))
                     flat += [w[1] for w in words]
                     decoded.append(" ".join([w[2] for w in words if w[0]]))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(flat), np.int32)))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(flat), np.int32) if any(counts) else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts, pa.int64()), ids, pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
         codec.seen.clear()  # ids and strings are larger than digests, so a worker keeps them for one partition only
 
