@@ -13,7 +13,9 @@ from tessera.operators import vintage as V
 from tessera.plans.grammar import occurrences
 from tessera.sources import panels
 
-DAY = F.lit("1998-06-30").cast("date")
+
+def day():
+    return F.lit("1998-06-30").cast("date")
 
 
 def tests(s, d):
@@ -45,12 +47,12 @@ def scan_24h(s, d):
 
 
 QUERIES = {
-    "vin_asof_snapshot": lambda s, d: V.as_of(panels.macro_vintage(s, d), DAY).select("series", "period", "value", "realtime_start"),
+    "vin_asof_snapshot": lambda s, d: V.as_of(panels.macro_vintage(s, d), day()).select("series", "period", "value", "realtime_start"),
     "vin_first_print": lambda s, d: V.first_prints(panels.macro_vintage(s, d)),
     "vin_surprise": lambda s, d: V.surprises(panels.macro_vintage(s, d)).select("series", "published", F.round("surprise", 6).alias("surprise")),
     "vin_release_dates": lambda s, d: V.release_days(panels.macro_vintage(s, d)),
     "vin_new_period_dates": lambda s, d: V.release_days(panels.macro_vintage(s, d), new_periods_only=True),
-    "vin_latest_with_prior": lambda s, d: V.latest_with_prior(panels.macro_vintage(s, d), DAY),
+    "vin_latest_with_prior": lambda s, d: V.latest_with_prior(panels.macro_vintage(s, d), day()),
     "agg_by_candidate_topk": topk,
     "agg_by_candidate": lambda s, d: tests(s, d).where("status = 'closed'").groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("forward_return") > 0).cast("double")), 6).alias("positive"), F.round(F.avg("forward_return"), 6).alias("mean")),
     "agg_monthly_digest": monthly,
@@ -66,7 +68,7 @@ QUERIES = {
     "stm_ledger_dedup": lambda s, d: panels.table(s, d, "events").select("user_id", F.to_date("ts").alias("d")).distinct(),
     "stm_ttl_queue": lambda s, d: panels.table(s, d, "events").where(F.col("ts") + F.expr("INTERVAL 48 HOURS") > F.lit("2024-01-28 00:00:00").cast("timestamp")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")),
     "stm_streak": lambda s, d: live.losing_streak(tests(s, d).where("status = 'closed'"), "candidate", ["entry_d", "coin"]),
-    "stm_parked_stagger": lambda s, d: live.rota_due(panels.table(s, d, "part").select("p_name", "p_partkey"), "p_name", DAY).select("p_partkey"),
+    "stm_parked_stagger": lambda s, d: live.rota_due(panels.table(s, d, "part").select("p_name", "p_partkey"), "p_name", day()).select("p_partkey"),
     "stm_milestone": lambda s, d: tests(s, d).groupBy("candidate", "coin").agg(F.count(F.lit(1)).alias("c")).select("candidate", "coin", live.milestone(F.col("c"), F.lit(20)).alias("reached")),
     "stm_short_id": lambda s, d: panels.table(s, d, "part").select("p_partkey", F.substring(F.sha2("p_name", 256), 1, 4).alias("short_id")),
     "stm_years_tracked": lambda s, d: panels.table(s, d, "orders").groupBy("o_custkey").agg(F.round(F.date_diff(F.to_date(F.max("o_orderdate")), F.to_date(F.min("o_orderdate"))) / 365.25, 6).alias("years")),

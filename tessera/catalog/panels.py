@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.catalog import sql as S
-from tessera.functions.series import BY_DAY, ahead, is_true, past, roll, rounded, symbol_pair, with_least
+from tessera.functions.series import by_day, ahead, is_true, past, roll, rounded, symbol_pair, with_least
 from tessera.operators import indicators as I  # noqa: E741
 from tessera.sources import panels, state
 
@@ -36,7 +36,7 @@ def tight(spark, d):
 
 
 def scaled_move(spark, d):
-    df = I.with_inputs(panels.bars_1d(spark, d)).withColumn("f", F.lead("close", 3).over(BY_DAY) / F.col("close") - 1)
+    df = I.with_inputs(panels.bars_1d(spark, d)).withColumn("f", F.lead("close", 3).over(by_day()) / F.col("close") - 1)
     f = F.col("f")
     df = df.withColumn("sd", with_least(F.stddev_samp(f).over(past(180)), f, past(180), 60)).withColumn("scaled", F.abs(F.try_divide(f, F.col("sd")))).withColumn("eff", I.forward_efficiency(3))
     return df.select("symbol", "d", *rounded("scaled", "eff"), (is_true(F.col("scaled") >= 1) & is_true(F.col("eff") >= 0.5)).alias("trend"))
@@ -77,16 +77,16 @@ QUERIES = {
     "ind_surprise": with_surprise_table,
     "ind_wilder_rsi_atr": lambda s, d: I.wilder(panels.bars_1d(s, d)).select("symbol", "d", F.round(F.nanvl("rsi", F.lit(None).cast("double")), 6).alias("rsi"), F.round(F.nanvl("atr_pct", F.lit(None).cast("double")), 6).alias("atr_pct")),
     "ind_macd_cross": lambda s, d: I.macd_cross(panels.bars_1d(s, d)),
-    "ind_stochastic_exit": lambda s, d: ind_table(s, d).select("symbol", "d", is_true((F.col("stochastic_k_14d") > 20) & (F.lag("stochastic_k_14d").over(BY_DAY) <= 20)).alias("exits_low")),
+    "ind_stochastic_exit": lambda s, d: ind_table(s, d).select("symbol", "d", is_true((F.col("stochastic_k_14d") > 20) & (F.lag("stochastic_k_14d").over(by_day()) <= 20)).alias("exits_low")),
     "ind_range_p95": lambda s, d: I.with_inputs(panels.bars_1d(s, d)).select("symbol", "d", is_true(I.range_above_p95()).alias("wide")),
     "ind_rank_pct": lambda s, d: I.with_inputs(panels.bars_1d(s, d)).select("symbol", "d", F.round(I.rank_pct("range_pct"), 6).alias("rank_pct")),
     "ind_bb_tight5": tight,
-    "ind_move5_transition": lambda s, d: ind_table(s, d).withColumn("low", is_true(F.col("close_return_5d") <= -0.1)).select("symbol", "d", (F.col("low") & ~F.coalesce(F.lag("low").over(BY_DAY), F.lit(False))).alias("falls")),
+    "ind_move5_transition": lambda s, d: ind_table(s, d).withColumn("low", is_true(F.col("close_return_5d") <= -0.1)).select("symbol", "d", (F.col("low") & ~F.coalesce(F.lag("low").over(by_day()), F.lit(False))).alias("falls")),
     "ind_fwd_efficiency": lambda s, d: I.with_inputs(panels.bars_1d(s, d)).select("symbol", "d", F.round(I.forward_efficiency(7), 6).alias("eff")),
     "ind_scaled_move_trend": scaled_move,
     "ind_snapshot_unpivot": lambda s, d: I.snapshot(ind_table(s, d), ["range_zscore_30d", "volume_zscore_30d", "efficiency_ratio_20d", "donchian_pct_20d"]).select("symbol", "indicator", F.round("value", 6).alias("value")),
     "ind_leadup_tail": leadup,
-    "ind_price_snapshot": lambda s, d: panels.bars_1d(s, d).withColumns({"c1": F.col("close") / F.lag("close", 1).over(BY_DAY) - 1, "c7": F.col("close") / F.lag("close", 7).over(BY_DAY) - 1}).groupBy("symbol").agg(F.max_by(F.struct("close", "c1", "c7"), "d").alias("x")).select("symbol", "x.close", F.round("x.c1", 6).alias("c1"), F.round("x.c7", 6).alias("c7")),
+    "ind_price_snapshot": lambda s, d: panels.bars_1d(s, d).withColumns({"c1": F.col("close") / F.lag("close", 1).over(by_day()) - 1, "c7": F.col("close") / F.lag("close", 7).over(by_day()) - 1}).groupBy("symbol").agg(F.max_by(F.struct("close", "c1", "c7"), "d").alias("x")).select("symbol", "x.close", F.round("x.c1", 6).alias("c1"), F.round("x.c7", 6).alias("c7")),
 }
 QUERIES |= {f"ind_{n}": one(n) for n in I.INDICATORS}
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.catalog import sql as S
-from tessera.functions.series import BY_DAY, HORIZONS, is_true, rounded
+from tessera.functions.series import by_day, HORIZONS, is_true, rounded
 from tessera.operators import events as E
 from tessera.operators import indicators as I  # noqa: E741
 from tessera.operators import stats, walkforward
@@ -35,7 +35,7 @@ def events(s, d, direction="long"):
 
 def static_triggers(s, d):
     df = I.with_macro_day(panel(s, d), panels.calendar(s, d))
-    w = BY_DAY.rowsBetween(-19, 0)
+    w = by_day().rowsBetween(-19, 0)
     wide = is_true((F.col("high") - F.col("low") > 1.5 * F.avg(F.col("high") - F.col("low")).over(w)) & (F.count("high").over(w) >= 10)) & (F.col("is_macro_day") == 1)
     strong = is_true((F.col("efficiency_ratio_20d") > 0.4) & (F.col("volume") > 1.8 * F.avg("volume").over(w)))
     return df.select("symbol", "d", (wide & (F.col("close") > F.col("open"))).alias("c2_up"), (wide & (F.col("close") < F.col("open"))).alias("c2_down"), (strong & is_true(F.col("close_return_5d") > 0)).alias("c6_up"), (strong & is_true(F.col("close_return_5d") < 0)).alias("c6_down"))
@@ -112,12 +112,18 @@ def battery(s, d):
 
 
 REPORT = "count(*) AS n, count(*) FILTER (outcome = 'win') / nullif(count(*) FILTER (outcome IN ('win', 'loss')), 0) AS win_rate, avg(net_return) / nullif(sqrt(avg(pow(least(net_return, 0), 2))), 0) * sqrt(252) AS sortino"
-SIMULATED = """{0} AS (SELECT e.*, o, b.high, b.low, b.n_rows, b.loc AS bar FROM {1} e, range(1, 23) t(o) JOIN base b ON TRUE WHERE b.symbol = e.symbol AND b.loc = e.entry_loc + o)"""
 MET = "met AS (SELECT e.symbol, e.trigger_d, e.entry_loc, e.entry_price, o, b.high, b.low, b.n_rows, b.loc FROM (SELECT *, unnest(range(1, 23)) AS o FROM ev) e JOIN base b ON b.symbol = e.symbol AND b.loc = e.entry_loc + o)"
 ANCHOR = "anchor AS (SELECT h, avg(mfe) AS f, avg(abs(mae)) AS a FROM long_ev GROUP BY 1)"
 HIT = "hit AS (SELECT symbol, trigger_d, o, CASE WHEN low <= entry_price * (1 - a) THEN 'loss' WHEN high >= entry_price * (1 + f) THEN 'win' END AS outcome, CASE WHEN low <= entry_price * (1 - a) THEN -a - 0.002 WHEN high >= entry_price * (1 + f) THEN f - 0.002 END AS net FROM met JOIN anchor ON h = (SELECT min(x) FROM (SELECT unnest([1, 3, 7, 14, 21]) AS x) WHERE x >= o) WHERE o <= 21), first_hit AS (SELECT symbol, trigger_d, arg_min(outcome, o) AS outcome, arg_min(net, o) AS net FROM hit WHERE outcome IS NOT NULL GROUP BY 1, 2), ends AS (SELECT symbol, trigger_d, arg_min((high + low) / 2 / entry_price - 1 - 0.002, o) AS net FROM met WHERE o = 22 OR loc = n_rows - 1 GROUP BY 1, 2), trade AS (SELECT symbol, trigger_d, coalesce(f.outcome, 'timeout') AS outcome, coalesce(f.net, e.net) AS net_return FROM ends e LEFT JOIN first_hit f USING (symbol, trigger_d))"
 SPAN = "span AS (SELECT fold, symbol, min(entry_loc) AS lo, max(entry_loc) AS hi FROM ev JOIN folds ON period {0} fold GROUP BY 1, 2), around AS (SELECT fold, f.* FROM forward_of f JOIN span USING (symbol) WHERE loc BETWEEN lo AND hi AND base IS NOT NULL)"
 SCORE = "score AS (SELECT t.fold, t.h, (m - b) / nullif(sd, 0) AS score FROM (SELECT fold, h, avg(fwd) AS m, stddev_samp(fwd) AS sd FROM long_ev JOIN folds ON period < fold GROUP BY 1, 2) t JOIN (SELECT fold, h, avg(base) AS b FROM around GROUP BY 1, 2) USING (fold, h)), best AS (SELECT fold, h, score FROM score QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score DESC NULLS LAST, h) = 1)"
+GRID = """m AS (SELECT unnest([0.6, 0.8, 1.0, 1.2, 1.5])::DOUBLE AS x), combo AS (SELECT a.x AS tp, b.x AS sl FROM m a, m b),
+train AS (SELECT fold, e.* FROM long_ev e JOIN folds ON period < fold), level AS (SELECT fold, h, avg(mfe) AS f, avg(abs(mae)) AS a FROM train GROUP BY 1, 2),
+seen AS (SELECT DISTINCT fold, symbol, trigger_d FROM train),
+hits_of AS (SELECT s.fold, tp, sl, symbol, trigger_d, o, CASE WHEN low <= entry_price * (1 - a * sl) THEN 'loss' WHEN high >= entry_price * (1 + f * tp) THEN 'win' END AS outcome, CASE WHEN low <= entry_price * (1 - a * sl) THEN -a * sl - 0.002 WHEN high >= entry_price * (1 + f * tp) THEN f * tp - 0.002 END AS net FROM seen s JOIN met USING (symbol, trigger_d) JOIN level l ON l.fold = s.fold AND l.h = CASE WHEN o <= 1 THEN 1 WHEN o <= 3 THEN 3 WHEN o <= 7 THEN 7 WHEN o <= 14 THEN 14 ELSE 21 END, combo WHERE o <= 21),
+first_of AS (SELECT fold, tp, sl, symbol, trigger_d, arg_min(outcome, o) AS outcome, arg_min(net, o) AS net FROM hits_of WHERE outcome IS NOT NULL GROUP BY ALL),
+ends AS (SELECT symbol, trigger_d, arg_min((high + low) / 2 / entry_price - 1 - 0.002, o) AS net FROM met WHERE o = 22 OR loc = n_rows - 1 GROUP BY 1, 2),
+traded AS (SELECT s.fold, c.tp, c.sl, coalesce(outcome, 'timeout') AS outcome, coalesce(h.net, e.net) AS net_return FROM seen s JOIN ends e USING (symbol, trigger_d) CROSS JOIN combo c LEFT JOIN first_of h ON h.fold = s.fold AND h.tp = c.tp AND h.sl = c.sl AND h.symbol = s.symbol AND h.trigger_d = s.trigger_d)"""
 EVENT_COLUMNS = [f"{k}_{h}" for h in HORIZONS for k in ("mfe", "mae", "fwd")]
 BASE = (S.BARS, S.IND, S.EV)
 VERDICT = f"verdict AS (SELECT *, {S.STATUS} AS status FROM battery)"
@@ -137,7 +143,7 @@ QUERIES = {
     "cnd_spec_roundtrip": lambda s, d: s.createDataFrame([(Spec.from_json(x.to_json()).label, Spec.from_json(x.to_json()).describe()) for x in SPECS], "label string, text string"),
     "jn_pit_latest_revision": lambda s, d: V.as_of(panels.macro_vintage(s, d), F.lit("1998-06-30").cast("date")).select("series", "period", "value"),
     "jn_semi_calendar": lambda s, d: panels.bars_1d(s, d).join(panels.calendar(s, d), "d", "left_semi").select("symbol", "d", "close"),
-    "jn_asof_next_bar": lambda s, d: panels.bars_1d(s, d).select("symbol", "d", F.lead("d").over(BY_DAY).alias("next_d"), F.lead("open").over(BY_DAY).alias("next_open")),
+    "jn_asof_next_bar": lambda s, d: panels.bars_1d(s, d).select("symbol", "d", F.lead("d").over(by_day()).alias("next_d"), F.lead("open").over(by_day()).alias("next_open")),
     "jn_ffill_daily_to_hourly": lambda s, d: panels.bars_1h(s, d).withColumn("d", F.to_date("ts")).join(panels.bars_1h(s, d).groupBy("symbol", F.to_date("ts").alias("d")).agg(F.max("close").alias("day_close")), ["symbol", "d"], "left").select("symbol", "ts", F.lag("day_close", 24).over(Window.partitionBy("symbol").orderBy("ts")).alias("known")),
     "evt_build_events": lambda s, d: events(s, d).select("symbol", "trigger_d", F.col("entry_loc").cast("long").alias("entry_loc"), "entry_price", "regime", *rounded(*EVENT_COLUMNS)),
     "evt_regime_split": lambda s, d: events(s, d).groupBy("symbol").agg(F.count_if(F.col("regime") == "normal").alias("n_normal"), F.count_if(F.col("regime") == "shock").alias("n_shock")),
@@ -208,6 +214,7 @@ ORACLE = {
     "evt_report": S.sql(f"SELECT symbol, n, round(win_rate, 6) AS win_rate, round(sortino, 6) AS sortino FROM (SELECT symbol, {REPORT} FROM trade GROUP BY 1)", *BASE, S.LONG, ANCHOR, MET, HIT),
     "evt_compression_exit": S.sql(f"SELECT symbol, d AS last_d, loc - start_loc + 1 AS duration, round(vol_compression_zscore, 6) AS z FROM (SELECT *, max(CASE WHEN on_ AND NOT coalesce(was, false) THEN loc END) OVER ({S.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS start_loc FROM (SELECT *, lag(on_) OVER ({S.W}) AS was, {S.ahead('bool_or(on_)', 1, 5)} AS again, lead(d, 5) OVER ({S.W}) AS fifth FROM (SELECT *, coalesce(vol_compression_zscore >= 1.0, false) AS on_ FROM ind))) WHERE on_ AND NOT again AND fifth IS NOT NULL", S.BARS, S.IND),
     "wf_folds": S.sql("SELECT CAST(fold AS INTEGER) AS fold, CAST(n_train AS BIGINT) AS n_train, n_test FROM folds", *BASE, S.FOLDS),
+    "wf_barrier_grid": S.sql(f"SELECT CAST(fold AS INTEGER) AS fold, tp, sl, n, round(sortino, 6) AS sortino, round(win_rate, 6) AS win_rate FROM (SELECT fold, tp, sl, {REPORT} FROM traded GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(sortino, 9) DESC NULLS LAST, tp, sl) = 1", *BASE, S.LONG, S.FOLDS, MET, GRID),
     "wf_horizon_select": S.sql("SELECT CAST(fold AS INTEGER) AS fold, CAST(h AS INTEGER) AS h, round(score, 6) AS score FROM best", *BASE, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
     "wf_oos_returns": S.sql("SELECT symbol, trigger_d, CAST(period AS INTEGER) AS period, CAST(h AS INTEGER) AS h, round(fwd, 6) AS fwd FROM long_ev JOIN best USING (h) WHERE fold = period", *BASE, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
     "wf_baseline_incremental": S.sql("SELECT CAST(period AS INTEGER) AS period, count(*) AS n, round(avg(fwd_3), 6) AS mean FROM ev WHERE NOT EXISTS (SELECT 1 FROM ind i WHERE i.symbol = ev.symbol AND i.loc + 1 = ev.entry_loc AND coalesce(i.range_zscore_30d >= 0.5, false)) GROUP BY 1", *BASE),

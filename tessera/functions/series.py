@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-BY_DAY = Window.partitionBy("symbol").orderBy("d")
 HORIZONS = (1, 3, 7, 14, 21)
 
 
+def by_day() -> WindowSpec:
+    """A symbol's rows in order of day; made when asked for, as it needs a session."""
+    return Window.partitionBy("symbol").orderBy("d")
+
+
 def roll(n: int):
     """The last n rows, this one included."""
-    return BY_DAY.rowsBetween(-(n - 1), 0)
+    return by_day().rowsBetween(-(n - 1), 0)
 
 
 def past(n: int):
     """The n rows before this one."""
-    return BY_DAY.rowsBetween(-n, -1)
+    return by_day().rowsBetween(-n, -1)
 
 
 def ahead(first: int, last: int):
-    return BY_DAY.rowsBetween(first, last)
+    return by_day().rowsBetween(first, last)
 
 
 def with_least(value: Column, x: Column, frame, least: int) -> Column:
@@ -35,17 +39,17 @@ def zscore(x: Column, n: int, least: int) -> Column:
 
 
 def change(x: str, n: int) -> Column:
-    return F.try_divide(F.col(x), F.lag(x, n).over(BY_DAY)) - 1
+    return F.try_divide(F.col(x), F.lag(x, n).over(by_day())) - 1
 
 
 def forward(x: str, first: int, last: int) -> Column:
     """Relative change of x between two rows ahead."""
-    return F.try_divide(F.lead(x, last).over(BY_DAY), F.lead(x, first).over(BY_DAY)) - 1
+    return F.try_divide(F.lead(x, last).over(by_day()), F.lead(x, first).over(by_day())) - 1
 
 
-def filled(x: str, window=BY_DAY) -> Column:
+def filled(x: str) -> Column:
     """The last non-null value up to this row."""
-    return F.last(x, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(x, ignorenulls=True).over(by_day().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def is_true(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.series import BY_DAY, HORIZONS, ahead, forward, is_true
+from tessera.functions.series import by_day, HORIZONS, ahead, forward, is_true
 
 FEE = 0.002
 MULTIPLES = (0.6, 0.8, 1.0, 1.2, 1.5)
@@ -23,7 +23,7 @@ def build_events(df: DataFrame, trigger: Column, direction: str = "long", horizo
     df: a panel with inputs and shock_zscore.  Windows run over all bars; the trigger filters last.  Bars
     whose longest horizon is not complete give no event.
     """
-    price = F.lead("open", 1).over(BY_DAY)
+    price = F.lead("open", 1).over(by_day())
     columns = {"entry_price": price, "regime": regime(), "fired": is_true(trigger)}
     for h in horizons:
         top, bottom = F.max("high").over(ahead(2, 1 + h)), F.min("low").over(ahead(2, 1 + h))
@@ -34,15 +34,15 @@ def build_events(df: DataFrame, trigger: Column, direction: str = "long", horizo
     return kept.select("symbol", F.col("d").alias("trigger_d"), (F.col("loc") + 1).alias("entry_loc"), "entry_price", "regime", F.year("d").alias("period"), *[f"{k}_{h}" for h in horizons for k in ("mfe", "mae", "fwd")])
 
 
-def long_form(events: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """A row for each event and horizon: h, mfe, mae, fwd."""
+def long_form(events: DataFrame, *keep: str, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """A row for each event and horizon: h, mfe, mae, fwd, and the columns to keep."""
     rows = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"mfe_{h}").alias("mfe"), F.col(f"mae_{h}").alias("mae"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])
-    return events.select("symbol", "trigger_d", "entry_loc", "entry_price", "period", F.explode(rows).alias("x")).select("symbol", "trigger_d", "entry_loc", "entry_price", "period", "x.*")
+    return events.select("symbol", "trigger_d", "entry_loc", "entry_price", "period", *keep, F.explode(rows).alias("x")).select("symbol", "trigger_d", "entry_loc", "entry_price", "period", *keep, "x.*")
 
 
 def anchors(events: DataFrame, *by: str) -> DataFrame:
     """Mean excursions of each horizon: h, mfe_anchor, mae_anchor."""
-    return long_form(events).groupBy(*by, "h").agg(F.avg("mfe").alias("mfe_anchor"), F.avg(F.abs("mae")).alias("mae_anchor"))
+    return long_form(events, *by).groupBy(*by, "h").agg(F.avg("mfe").alias("mfe_anchor"), F.avg(F.abs("mae")).alias("mae_anchor"))
 
 
 def bucket_for(elapsed: Column, horizons: tuple[int, ...] = HORIZONS) -> Column:
@@ -108,7 +108,7 @@ def greedy_episodes(days: DataFrame, apart: int) -> DataFrame:
 def compression_exits(df: DataFrame, threshold: float = 1.25, confirm: int = 5) -> DataFrame:
     """Confirmed ends of compressed runs: start, last compressed day, length and score on it."""
     state = df.withColumn("on", is_true(F.col("vol_compression_zscore") >= threshold))
-    state = state.withColumns({"was": F.coalesce(F.lag("on").over(BY_DAY), F.lit(False)), "again": F.max(F.col("on").cast("int")).over(ahead(1, confirm)), "complete": F.lead("d", confirm).over(BY_DAY).isNotNull()})
-    state = state.withColumn("start_loc", F.max(F.when(F.col("on") & ~F.col("was"), F.col("loc"))).over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0)))
+    state = state.withColumns({"was": F.coalesce(F.lag("on").over(by_day()), F.lit(False)), "again": F.max(F.col("on").cast("int")).over(ahead(1, confirm)), "complete": F.lead("d", confirm).over(by_day()).isNotNull()})
+    state = state.withColumn("start_loc", F.max(F.when(F.col("on") & ~F.col("was"), F.col("loc"))).over(by_day().rowsBetween(Window.unboundedPreceding, 0)))
     ends = state.where(F.col("on") & (F.col("again") == 0) & F.col("complete"))
     return ends.select("symbol", F.col("d").alias("last_d"), (F.col("loc") - F.col("start_loc") + 1).alias("duration"), F.col("vol_compression_zscore").alias("z"))

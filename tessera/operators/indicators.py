@@ -13,19 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.series import BY_DAY, ahead, change, filled, past, roll, with_least, zscore
+from tessera.functions.series import by_day, ahead, change, filled, past, roll, with_least, zscore
 
 
 def with_inputs(bars: DataFrame) -> DataFrame:
     """loc, n_rows, ret, range_pct, chg, then the deviations of ret that some indicators standardise."""
-    n_rows = F.count(F.lit(1)).over(BY_DAY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = bars.withColumns({"loc": F.row_number().over(BY_DAY) - 1, "n_rows": n_rows, "ret": change("close", 1), "range_pct": F.try_divide(F.col("high") - F.col("low"), F.col("close")), "chg": F.abs(F.col("close") - F.lag("close").over(BY_DAY))})
+    n_rows = F.count(F.lit(1)).over(by_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    df = bars.withColumns({"loc": F.row_number().over(by_day()) - 1, "n_rows": n_rows, "ret": change("close", 1), "range_pct": F.try_divide(F.col("high") - F.col("low"), F.col("close")), "chg": F.abs(F.col("close") - F.lag("close").over(by_day()))})
     ret = F.col("ret")
     return df.withColumns({"vol_20": with_least(F.stddev_samp(ret).over(roll(20)), ret, roll(20), 10), "vol_5": with_least(F.stddev_samp(ret).over(roll(5)), ret, roll(5), 5)})
 
 
 def efficiency(n: int = 20) -> Column:
-    moved = F.abs(F.col("close") - F.lag("close", n).over(BY_DAY))
+    moved = F.abs(F.col("close") - F.lag("close", n).over(by_day()))
     return with_least(F.least(F.try_divide(moved, F.sum("chg").over(roll(n))), F.lit(1.0)), F.col("chg"), roll(n), n)
 
 
@@ -129,8 +129,8 @@ def rank_pct(x: str, n: int = 180, least: int = 60) -> Column:
 
 
 def forward_efficiency(h: int) -> Column:
-    moved = F.abs(F.lead("close", h).over(BY_DAY) - F.col("close"))
-    return F.when(F.lead("close", h).over(BY_DAY).isNotNull(), F.try_divide(moved, F.sum("chg").over(ahead(1, h))))
+    moved = F.abs(F.lead("close", h).over(by_day()) - F.col("close"))
+    return F.when(F.lead("close", h).over(by_day()).isNotNull(), F.try_divide(moved, F.sum("chg").over(ahead(1, h))))
 
 
 def snapshot(df: DataFrame, names: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.series import BY_DAY
+from tessera.functions.series import by_day
 
 MIN_TRAIN, MIN_REPORT, MIN_PERIODS = 20, 20, 3
 SIGNIFICANCE, FDR, MAX_SHARE, BLOCK_HORIZONS = 0.10, 0.05, 0.6, 3
@@ -24,7 +24,8 @@ def folds(events: DataFrame) -> DataFrame:
 
 def forward_by_loc(df: DataFrame, horizons) -> DataFrame:
     """symbol, loc, h, base: the change from each bar's close to the close h bars ahead."""
-    rows = F.array(*[F.struct(F.lit(h).alias("h"), (F.try_divide(F.lead("close", h).over(BY_DAY), F.col("close")) - 1).alias("base")) for h in horizons])
+    df = df.select("symbol", "loc", *[(F.try_divide(F.lead("close", h).over(by_day()), F.col("close")) - 1).alias(f"f_{h}") for h in horizons])
+    rows = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"f_{h}").alias("base")) for h in horizons])
     return df.select("symbol", "loc", F.explode(rows).alias("x")).select("symbol", "loc", "x.h", "x.base").where("base IS NOT NULL")
 
 

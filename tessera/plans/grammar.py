@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.series import BY_DAY, HORIZONS, is_true
+from tessera.functions.series import by_day, HORIZONS, is_true
 from tessera.operators.indicators import EVENT_INDICATORS, INDICATORS
 
 MAX_WITHIN, MAX_CLAUSES, MAX_PROPOSALS, MAX_OVERLAP = 14, 2, 2, 0.6
@@ -44,7 +44,7 @@ class Clause:
         hit = is_true(OPERATORS[self.op](F.col(self.indicator), F.lit(self.threshold)))
         if not self.within_days:
             return hit
-        return F.max(hit).over(BY_DAY.rowsBetween(-self.within_days * scale, 0))
+        return F.max(hit).over(by_day().rowsBetween(-self.within_days * scale, 0))
 
     @staticmethod
     def from_dict(d: dict[str, Any]) -> Clause:
