@@ -209,6 +209,7 @@ CUT = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 
 #: Texts without these hold white space only as single blanks and line ends between words.
 UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # in no piece with letters before it
 FIRST = "\x00"  # before a cut that has no blank before it; no plain text holds this character
 
 
@@ -258,19 +259,44 @@ class ByteCodec:
         cut = [cuts_of(t) if p else () for t, p in zip(texts, plain, strict=True)]
         if len(self.young) > self.KNOWN:
             self.young, self.old = {}, self.young
+        get = self.young.get
+        found = [list(map(get, cuts)) for cuts in cut]
+        asked: set[str] = set()
+        for cuts, values in zip(cut, found, strict=True):
+            asked.update([c for c, v in zip(cuts, values, strict=True) if v is None])
+        self.learn(asked)
+        whole = iter(self.library([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [b"".join([get(c) if v is None else v for c, v in zip(cuts, values, strict=True)]) if p else next(whole) for cuts, values, p in zip(cut, found, plain, strict=True)]
+
+    def learn(self, cuts: set[str]) -> None:
+        """Remember the ids of cuts; one that ends in punctuation behind a letter is its two pieces' ids in a row."""
+        known, old = self.young, self.old
+        made, wanted = [], set()
+        for c in cuts:
+            seen = old.get(c)
+            if seen is not None:
+                known[c] = seen
+                continue
+            core = c.rstrip(PUNCTUATION)
+            if core != c and core[-1:].isalpha():
+                tail = FIRST + c[len(core) :]
+                made.append((c, core, tail))
+                wanted.add(core)
+                wanted.add(tail)
+            else:
+                wanted.add(c)
         new = []
-        for c in set().union(*cut) - self.young.keys():
-            seen = self.old.get(c)
+        for c in wanted - known.keys():
+            seen = old.get(c)
             if seen is None:
                 new.append(c)
             else:
-                self.young[c] = seen
+                known[c] = seen
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            self.young.update(zip(some, (self.library_at_once if self.special else self.library)([c[1:] if c[0] == FIRST else c if c[0] == "\n" else " " + c for c in some]), strict=True))
-        get = self.young.__getitem__
-        whole = iter(self.library([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(map(get, cuts)) if p else next(whole) for cuts, p in zip(cut, plain, strict=True)]
+            known.update(zip(some, (self.library_at_once if self.special else self.library)([c[1:] if c[0] == FIRST else c if c[0] == "\n" else " " + c for c in some]), strict=True))
+        for c, core, tail in made:
+            known[c] = known[core] + known[tail]
 
 
 _codecs: dict[str, ByteCodec] = {}

@@ -211,7 +211,7 @@ def test_token_files(spark, tmp_path, monkeypatch):
 def test_byte_codec_equals_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     codec, rng = tokenfile.ByteCodec(path), random.Random(2)
-    alphabet = ["a", "B", " ", "  ", "\n", "\t", "'", "s", "'ll", "1", "!", "é", "\x1c", " ", "日", "<|endoftext|>"]
+    alphabet = ["a", "B", "word.", "#", " ", "  ", "\n", "\t", "'", "s", "'ll", "1", "!", "é", "\x1c", " ", "日", "<|endoftext|>"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(2000)]
     got = [np.frombuffer(b, "<u4").tolist() for b in codec.encode(texts)]
     assert got == [e.ids for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
