@@ -102,3 +102,16 @@ ORACLE = {
     "stm_short_id": "SELECT p_partkey, substr(sha256(p_name), 1, 4) AS short_id FROM part",
     "stm_years_tracked": "SELECT o_custkey, round(date_diff('day', CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE)) / 365.25, 6) AS years FROM orders GROUP BY 1",
 }
+
+QUERIES |= {
+    "evt_backdated_entry": lambda s, d: live.first_fired(panels.bars_1h(s, d), F.col("volume") >= 4, F.lit("2024-01-14 00:00:00").cast("timestamp"), F.lit("2024-01-28 00:00:00").cast("timestamp")),
+    "jn_asof_ge": lambda s, d: live.first_bar_from(panels.bars_1d(s, d), panels.literal_days(s)).select("symbol", "day", "d", "open"),
+    "jn_release_coverage": lambda s, d: live.covered_by_release(panels.bars_1d(s, d), V.release_days(panels.macro_vintage(s, d)), 7).select("symbol", "d", "covered"),
+    "jn_status_diff": lambda s, d: panels.table(s, d, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("before")).join(panels.table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.max("o_totalprice") > 200000).alias("now")), "c_custkey", "full").where(~F.col("before").eqNullSafe(F.col("now"))).select("c_custkey", "before", "now"),
+}
+ORACLE |= {
+    "evt_backdated_entry": S.sql("SELECT symbol, min(ts) AS first_ts FROM hours WHERE volume >= 4 AND ts > TIMESTAMP '2024-01-14' AND ts <= TIMESTAMP '2024-01-28' GROUP BY 1", S.HOURS),
+    "jn_asof_ge": S.sql("SELECT symbol, day, min(b.d) AS d, arg_min(open, b.d) AS open FROM bars b JOIN (SELECT unnest([DATE '1996-01-31', DATE '1996-03-26', DATE '1997-05-20', DATE '1998-09-29', DATE '1999-11-16']) AS day) ON b.d >= day GROUP BY 1, 2", S.BARS),
+    "jn_release_coverage": S.sql("SELECT symbol, d, EXISTS (SELECT 1 FROM vintage v WHERE v.realtime_start <= bars.d AND v.realtime_start >= bars.d - 7) AS covered FROM bars", S.BARS, S.VINTAGE),
+    "jn_status_diff": "SELECT c_custkey, before, now FROM (SELECT c_custkey, c_acctbal > 0 AS before FROM customer) FULL JOIN (SELECT o_custkey AS c_custkey, max(o_totalprice) > 200000 AS now FROM orders GROUP BY 1) USING (c_custkey) WHERE before IS DISTINCT FROM now",
+}

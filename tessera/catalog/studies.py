@@ -232,3 +232,16 @@ ORACLE = {
     "stat_signed_rank": S.sql("SELECT symbol, count(*) AS n, round(coalesce(sum(rk) FILTER (x > 0), 0), 2) AS w_plus, round(coalesce(sum(rk) FILTER (x < 0), 0), 2) AS w_minus FROM (SELECT symbol, x, rank() OVER (PARTITION BY symbol ORDER BY abs(x)) + (count(*) OVER (PARTITION BY symbol, abs(x)) - 1) / 2.0 AS rk FROM (SELECT symbol, round(fwd_7 - fwd_3, 4) AS x FROM ev) WHERE x <> 0) GROUP BY 1", *BASE),
     "stat_fisher_exact": "SELECT id, round(sum(exp(lgamma(id + 6) - lgamma(k + 1) - lgamma(id + 6 - k) + lgamma(id + 8) - lgamma(id + 4 - k) - lgamma(4 + k + 1) + lgamma(id + 4) + lgamma(id + 9 + 1) - lgamma(id + id + 13))), 6) AS p FROM (SELECT id, unnest(range(id, least(id + 5, id + 3) + 1)) AS k FROM range(1, 9) t(id)) GROUP BY 1",
 }
+
+QUERIES |= {
+    "evt_path_outcome": lambda s, d: (lambda df: df.select("symbol", "d", *E.path_outcome(df, 7)).select("symbol", "d", *rounded("outcome", "mfe", "mae")))(panels.bars_1d(s, d)),
+    "evt_prospective_split": lambda s, d: E.prospective_split(panel(s, d), VOLUME.column(), F.lit("1998-06-30").cast("date"), 7, "symbol").select("symbol", "n_before", "n_after", *rounded("mean_after", "baseline")),
+    "wf_prune_reco": lambda s, d: battery(s, d).select("candidate", walkforward.keep_or_drop(F.col("n"), F.col("status"), F.col("p") < 0.1, F.col("ratio") / 20).alias("advice")),
+    "agg_status_groups": lambda s, d: battery(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.sort_array(F.collect_list("candidate")), 1, 8).cast("array<string>"), ",").alias("first_names")),
+}
+ORACLE |= {
+    "evt_path_outcome": S.sql(f"SELECT symbol, d, round(CASE WHEN last IS NOT NULL THEN last / price - 1 END, 6) AS outcome, round(CASE WHEN last IS NOT NULL THEN high_7 / price - 1 END, 6) AS mfe, round(CASE WHEN last IS NOT NULL THEN abs(low_7 / price - 1) END, 6) AS mae FROM (SELECT symbol, d, lead(open) OVER ({S.W}) AS price, lead(close, 8) OVER ({S.W}) AS last, {S.ahead('max(high)', 2, 8)} AS high_7, {S.ahead('min(low)', 2, 8)} AS low_7 FROM bars)", S.BARS),
+    "evt_prospective_split": S.sql("SELECT symbol, count(*) FILTER (v1 AND d < DATE '1998-06-30') AS n_before, count(*) FILTER (v1 AND d >= DATE '1998-06-30') AS n_after, round(avg(f) FILTER (v1 AND d >= DATE '1998-06-30'), 6) AS mean_after, round(avg(f) FILTER (d >= DATE '1998-06-30'), 6) AS baseline FROM (SELECT *, lead(close, 7) OVER (PARTITION BY symbol ORDER BY d) / close - 1 AS f FROM lit) GROUP BY 1", S.BARS, S.IND, HITS),
+    "wf_prune_reco": S.sql("SELECT candidate, CASE WHEN status IN ('accepted', 'insufficient_data') OR n <= 20 OR coalesce(p < 0.1, false) THEN 'keep' WHEN ratio > 0 AND n >= 6.0 * pow((1.645 + 0.84) * (ratio / 20) / 0.05, 2) THEN 'drop' ELSE 'keep' END AS advice FROM verdict", S.BATTERY, VERDICT),
+    "agg_status_groups": S.sql("SELECT status, count(*) AS n, array_to_string(list_slice(list_sort(list(candidate)), 1, 8), ',') AS first_names FROM verdict GROUP BY 1", S.BATTERY, VERDICT),
+}

@@ -112,3 +112,18 @@ def compression_exits(df: DataFrame, threshold: float = 1.25, confirm: int = 5)
     state = state.withColumn("start_loc", F.max(F.when(F.col("on") & ~F.col("was"), F.col("loc"))).over(by_day().rowsBetween(Window.unboundedPreceding, 0)))
     ends = state.where(F.col("on") & (F.col("again") == 0) & F.col("complete"))
     return ends.select("symbol", F.col("d").alias("last_d"), (F.col("loc") - F.col("start_loc") + 1).alias("duration"), F.col("vol_compression_zscore").alias("z"))
+
+
+def path_outcome(df: DataFrame, h: int) -> list[Column]:
+    """For an entry on the next bar: its open to the close h bars on, and the excursions between; null until complete."""
+    price, done = F.lead("open", 1).over(by_day()), F.lead("close", 1 + h).over(by_day()).isNotNull()
+    high, low = F.max("high").over(ahead(2, 1 + h)), F.min("low").over(ahead(2, 1 + h))
+    whole = lambda x: F.when(done, x)
+    return [whole(F.try_divide(F.lead("close", 1 + h).over(by_day()), price) - 1).alias("outcome"), whole(F.try_divide(high, price) - 1).alias("mfe"), whole(F.abs(F.try_divide(low, price) - 1)).alias("mae")]
+
+
+def prospective_split(df: DataFrame, fired: Column, proposed: Column, h: int, *by: str) -> DataFrame:
+    """Firings before and from the day a condition was proposed, their mean change h bars on, and that of all bars since."""
+    df = df.withColumns({"__f": F.try_divide(F.lead("close", h).over(by_day()), F.col("close")) - 1, "__hit": fired, "__after": F.col("d") >= proposed})
+    hit_after = F.col("__hit") & F.col("__after")
+    return df.groupBy(*by).agg(F.count_if(F.col("__hit") & ~F.col("__after")).alias("n_before"), F.count_if(hit_after).alias("n_after"), F.avg(F.when(hit_after, F.col("__f"))).alias("mean_after"), F.avg(F.when(F.col("__after"), F.col("__f"))).alias("baseline"))

@@ -49,3 +49,19 @@ def checkpoint(tests: DataFrame, *by: str) -> DataFrame:
     """Raw and baseline-adjusted win rates of closed tests, mean excess and excursions."""
     excess = F.col("forward_return") - F.col("baseline_return")
     return tests.where("status = 'closed'").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("forward_return") > 0).cast("double")).alias("win_rate"), F.avg((excess > 0).cast("double")).alias("adjusted_win_rate"), F.avg(excess).alias("mean_excess"), F.avg("mfe").alias("mean_mfe"), F.avg("mae").alias("mean_mae"))
+
+
+def first_fired(df: DataFrame, fired: Column, since: Column, until: Column) -> DataFrame:
+    """symbol, first_ts: the earliest firing in (since, until]; windows in `fired` see the whole history."""
+    return df.withColumn("__hit", fired).where(F.col("__hit") & (F.col("ts") > since) & (F.col("ts") <= until)).groupBy("symbol").agg(F.min("ts").alias("first_ts"))
+
+
+def first_bar_from(bars: DataFrame, days: DataFrame) -> DataFrame:
+    """symbol, day, d: each symbol's first bar on or after each of a few days."""
+    return bars.join(F.broadcast(days.select(F.col("d").alias("day"))), F.col("d") >= F.col("day")).groupBy("symbol", "day").agg(F.min("d").alias("d"), F.min_by("open", "d").alias("open"))
+
+
+def covered_by_release(bars: DataFrame, releases: DataFrame, days: int) -> DataFrame:
+    """bars with `covered`: a release lies at most so many days back; release days are spread out, so the join is one of equals."""
+    near = releases.select(F.explode(F.sequence(F.lit(0), F.lit(days))).alias("o"), F.col("d").alias("r")).select(F.date_add("r", F.col("o")).alias("d")).distinct().withColumn("covered", F.lit(True))
+    return bars.join(near, "d", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))

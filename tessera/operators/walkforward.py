@@ -165,3 +165,10 @@ def bootstrap_p(observed: DataFrame, pool: DataFrame, reps: int = 2000) -> DataF
         return pd.DataFrame([(key[0], len(o), mean, base, p, p < SIGNIFICANCE and mean > base)], columns=["candidate", "n", "mean", "baseline_mean", "p", "significant"])
 
     return observed.groupBy("candidate").cogroup(pool.groupBy("candidate")).applyInPandas(of_candidate, "candidate string, n long, mean double, baseline_mean double, p double, significant boolean")
+
+
+def keep_or_drop(n: Column, status: Column, significant: Column, sd: Column) -> Column:
+    """Drop only what had the power to show an effect and did not; whatever is open or still alive stays."""
+    need = required_n(sd)
+    settled = (status == "accepted") | (status == "insufficient_data") | (n <= MIN_REPORT) | F.coalesce(significant, F.lit(False))
+    return F.when(settled, "keep").when(F.coalesce(n >= need, F.lit(False)), "drop").otherwise("keep")
