@@ -36,6 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -212,19 +213,33 @@ UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 FIRST = "\x00"  # before a cut that has no blank before it; no plain text holds this character
 
 
-def cuts_of(text: str) -> list[str]:
+def is_even(text: str) -> bool:
+    return bool(text) and not text[0].isspace() and not text[-1].isspace() and not any([x in text for x in UNEVEN])
+
+
+def uneven_cuts(text: str) -> list[str]:
     """A plain text's cuts: a word stands for itself with a blank before it, FIRST and a line end for what follows them."""
-    if text and not text[0].isspace() and not text[-1].isspace() and not any([x in text for x in UNEVEN]):
-        cuts = text.replace("\n", " \n").split(" ")
-        cuts[0] = FIRST + cuts[0]
-        return cuts
     return [c[1:] if c[0] == " " and c[1:2].strip() else FIRST + c for c in CUT.findall(text)]
 
 
+def cut_lists(texts: list[str]) -> pa.LargeListArray:
+    """The cuts of each plain text.  Splitting an even text at its blanks gives the same cuts, in native code."""
+    even = [is_even(t) for t in texts]
+    split = pc.split_pattern(pa.array([FIRST + t.replace("\n", " \n") for t, e in zip(texts, even, strict=True) if e], pa.large_string()), " ").cast(pa.large_list(pa.large_string()))
+    if all(even):
+        return split
+    found = pa.array([uneven_cuts(t) for t, e in zip(texts, even, strict=True) if not e], pa.large_list(pa.large_string()))
+    place = np.empty(len(texts), np.int64)
+    even = np.array(even)
+    place[even], place[~even] = np.arange(len(split)), len(split) + np.arange(len(found))
+    return pa.concat_arrays([split, found]).take(pa.array(place))
+
+
 class ByteCodec:
     """The library's byte-level encoder, with the ids of cuts that a worker has seen kept.
 
-    Two generations of cuts: one that is full becomes the old one, and what is asked for again moves up.
+    Two generations of cuts: one that is full becomes the old one, and what is asked for again moves up.  Python meets each different
+    cut of a call once; the words of the texts are told apart, and their ids strung together, in Arrow arrays.
     """
 
     KNOWN = 600_000
@@ -236,41 +251,60 @@ class ByteCodec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
+        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def library_at_once(self, cuts: list[str]) -> list[bytes]:
         """The ids of many short cuts by one call: a special token between two cuts parts them like the ends of a text."""
         mark, mark_id = self.special[0]
-        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(cuts)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(cuts)], add_special_tokens=False)[0].ids, self.dtype)
         at = np.flatnonzero(ids == mark_id)
         if len(at) != len(cuts) - 1:
             return self.library(cuts)
-        data, at = ids.tobytes(), (at * 4).tolist()
-        return [data[s:e] for s, e in zip([0, *(x + 4 for x in at)], [*at, len(data)], strict=True)]
+        data, wide = ids.tobytes(), self.dtype.itemsize
+        at = (at * wide).tolist()
+        return [data[s:e] for s, e in zip([0, *(x + wide for x in at)], [*at, len(data)], strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit words."""
-        plain = [not ODD.search(t) and not any([s in t for s, _ in self.special]) for t in texts]
-        cut = [cuts_of(t) if p else () for t, p in zip(texts, plain, strict=True)]
+    def of_cuts(self, cuts: list[str]) -> list[bytes]:
+        """The ids of different cuts."""
         if len(self.young) > self.KNOWN:
             self.young, self.old = {}, self.young
-        new = []
-        for c in set().union(*cut) - self.young.keys():
-            seen = self.old.get(c)
-            if seen is None:
-                new.append(c)
-            else:
-                self.young[c] = seen
+        young, old, new = self.young, self.old, []
+        for c in cuts:
+            if c not in young:
+                seen = old.get(c)
+                if seen is None:
+                    new.append(c)
+                else:
+                    young[c] = seen
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            self.young.update(zip(some, (self.library_at_once if self.special else self.library)([c[1:] if c[0] == FIRST else c if c[0] == "\n" else " " + c for c in some]), strict=True))
-        get = self.young.__getitem__
+            young.update(zip(some, (self.library_at_once if self.special else self.library)([c[1:] if c[0] == FIRST else c if c[0] == "\n" else " " + c for c in some]), strict=True))
+        return [young[c] for c in cuts]
+
+    def of_plain(self, texts: list[str]) -> list[bytes]:
+        lists = cut_lists(texts)
+        flat = lists.flatten().dictionary_encode()
+        ids = pa.array(self.of_cuts(flat.dictionary.to_pylist()), pa.large_binary()).take(flat.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+        first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        data, at = memoryview(ids.buffers()[2] or b""), ends[first].tolist()
+        return [bytes(data[s:e]) for s, e in zip(at, at[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit words."""
+        return [np.frombuffer(x, self.dtype).astype("<u4").tobytes() for x in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian words of the width of `dtype`."""
+        plain = [not ODD.search(t) and not any([s in t for s, _ in self.special]) for t in texts]
+        cut = iter(self.of_plain([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
         whole = iter(self.library([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(map(get, cuts)) if p else next(whole) for cuts, p in zip(cut, plain, strict=True)]
+        return [next(cut if p else whole) for p in plain]
 
 
 _codecs: dict[str, ByteCodec] = {}
@@ -282,7 +316,7 @@ def codec_at(path: str) -> ByteCodec:
     return _codecs[path]
 
 
-def slices(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 12_000_000) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
@@ -305,25 +339,22 @@ def tokens(df: DataFrame, path: str, splits: list[int], end: int = 0) -> DataFra
             gc.enable()
 
     def encoded(batches):
-        codec, tail = codec_at(path), np.array([end], "<u4").tobytes()
+        codec = codec_at(path)
+        tail = np.array([end], codec.dtype).tobytes()
+        kind = b"\x00" if codec.dtype.itemsize == 2 else b"\x01"
         for batch in batches:
             ids = np.array([common.NO_ID if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
             place = np.searchsorted(np.array(splits, np.int64), ids, side="right")
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in slices(texts):
-                made = [narrow(x + tail) for x in codec.encode(texts[a:b])]
+                made = [b"".join((kind, x, tail)) for x in codec.packed(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([pa.array(place[a:b].astype(np.int32)), pa.array(ids[a:b]), pa.array(made, pa.binary())], names=["place", "doc_id", "ids"])
 
     return common.id_and_text(df).mapInArrow(run, "place int, doc_id long, ids binary")
 
 
-def narrow(ids: bytes) -> bytes:
-    """16-bit words behind a zero byte where all ids fit, else 32-bit words behind a one byte."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\x00" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x01" + ids
-
-
 def widen(data: bytes) -> np.ndarray:
+    """Ids from 16-bit words behind a zero byte, or 32-bit words behind a one byte."""
     return np.frombuffer(data, "<u4" if data[0] else "<u2", offset=1).astype(np.uint32)
 
 
