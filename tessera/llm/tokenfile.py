@@ -94,6 +94,11 @@ def encode_blocks(place: np.ndarray, freq: np.ndarray, lanes: int, block: int) -
 
     Returns states (blocks, lanes), words of all blocks and the count of each block's.
     """
+    full = len(place) // block * block
+    if 0 < full < len(place):  # only the last block has a rest, so the others need no masks
+        parts = [encode_blocks(p, freq, lanes, block) for p in (place[:full], place[full:])]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    full = full == len(place)
     blocks, steps = -(-len(place) // block), block // lanes
     padded = np.full(blocks * block, -1, np.int32)
     padded[: len(place)] = place
@@ -105,13 +110,14 @@ def encode_blocks(place: np.ndarray, freq: np.ndarray, lanes: int, block: int) -
     wrote = np.zeros((steps, blocks, lanes), bool)
     for t in range(steps - 1, -1, -1):
         at = grid[:, t, :]
-        real = at >= 0
-        f = np.where(real, freq[at], U(1))
-        out = real & (state >= f << U(63 - PRECISION))
+        f = freq[at] if full else np.where(at >= 0, freq[at], U(1))
+        out = state >= f << U(63 - PRECISION)
+        if not full:
+            out &= at >= 0
         word[t], wrote[t] = state & U(0xFFFFFFFF), out
         state = np.where(out, state >> U(32), state)
-        whole = state // f
-        state = np.where(real, (whole << U(PRECISION)) + (state - whole * f) + start[at], state)
+        after = state + start[at] + state // f * (U(1 << PRECISION) - f)
+        state = after if full else np.where(at >= 0, after, state)
     wrote = wrote.transpose(1, 0, 2)
     return state, word.transpose(1, 0, 2)[wrote], wrote.sum(axis=(1, 2))
 
@@ -119,6 +125,9 @@ def encode_blocks(place: np.ndarray, freq: np.ndarray, lanes: int, block: int) -
 def decode_blocks(state: np.ndarray, words: np.ndarray, offset: np.ndarray, tokens: np.ndarray, freq: np.ndarray, block: int) -> np.ndarray:
     """Table places of the blocks' tokens, in order."""
     blocks, lanes = state.shape
+    if blocks > 1 and tokens[-1] < block:  # only the last block has a rest, so the others need no masks
+        return np.concatenate([decode_blocks(state[k], words, offset[k], tokens[k], freq, block) for k in (slice(None, -1), slice(-1, None))])
+    full = bool((tokens == block).all())
     steps = block // lanes
     freq = freq.astype(np.int64)
     slot = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
@@ -130,12 +139,17 @@ def decode_blocks(state: np.ndarray, words: np.ndarray, offset: np.ndarray, toke
     lane = np.arange(lanes)
     mask = U((1 << PRECISION) - 1)
     for t in range(steps):
-        real = t * lanes + lane[None, :] < tokens[:, None]
         low = state & mask
         s = slot[low]
         out[:, t, :] = s
-        state = np.where(real, freq[s] * (state >> U(PRECISION)) + low - start[s], state)
-        need = real & (state < U(LOW))
+        after = freq[s] * (state >> U(PRECISION)) + low - start[s]
+        if full:
+            state = after
+            need = state < U(LOW)
+        else:
+            real = t * lanes + lane[None, :] < tokens[:, None]
+            state = np.where(real, after, state)
+            need = real & (state < U(LOW))
         rank = np.cumsum(need, axis=1)
         take = np.minimum(at[:, None] + rank - 1, len(words) - 1)
         state = np.where(need, (state << U(32)) | words[np.maximum(take, 0)], state)
@@ -273,23 +287,26 @@ class ByteCodec:
         """The ids of different cuts."""
         if len(self.young) > self.KNOWN:
             self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for c in cuts:
-            if c not in young:
-                seen = old.get(c)
-                if seen is None:
-                    new.append(c)
-                else:
-                    young[c] = seen
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            young.update(zip(some, (self.library_at_once if self.special else self.library)([c[1:] if c[0] == FIRST else c if c[0] == "\n" else " " + c for c in some]), strict=True))
-        return [young[c] for c in cuts]
+        young, old = self.young, self.old
+        found = list(map(young.get, cuts))
+        absent = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in absent:
+            found[i] = old.get(cuts[i])
+            if found[i] is None:
+                new.append(i)
+        for k in range(0, len(new), 20_000):
+            some = [cuts[i] for i in new[k : k + 20_000]]
+            made = (self.library_at_once if self.special else self.library)([c[1:] if c[0] == FIRST else c if c[0] == "\n" else " " + c for c in some])
+            for i, ids in zip(new[k : k + 20_000], made, strict=True):
+                found[i] = ids
+        young.update((cuts[i], found[i]) for i in absent)
+        return found
 
     def of_plain(self, texts: list[str]) -> list[bytes]:
         lists = cut_lists(texts)
         flat = lists.flatten().dictionary_encode()
-        ids = pa.array(self.of_cuts(flat.dictionary.to_pylist()), pa.large_binary()).take(flat.indices)
+        ids = pa.array(self.of_cuts(flat.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(flat.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
         first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         data, at = memoryview(ids.buffers()[2] or b""), ends[first].tolist()
@@ -316,7 +333,7 @@ def codec_at(path: str) -> ByteCodec:
     return _codecs[path]
 
 
-def slices(texts: list[str], chars: int = 12_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], chars: int = 16_000_000) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
