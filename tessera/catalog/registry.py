@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import sql as S
 from tessera.catalog.operations import CLOSED, day, tests
-from tessera.catalog.studies import BASE, battery
+from tessera.catalog.studies import BASE, SPECS, battery
 from tessera.operators import registry as R
 from tessera.operators import walkforward
+from tessera.plans import study
 from tessera.sources import panels
 
 NOW = "DATE '2001-08-01'"
@@ -84,6 +85,7 @@ def latest_tests(s, d):
 
 
 QUERIES = {
+    "wf_battery": lambda s, d: study.run(panels.bars_1d(s, d), SPECS).select("candidate", "n", "mean", "baseline_mean", "p", "sortino", "ratio", "status", "fdr_significant"),
     "stm_status_latest": lambda s, d: R.latest_status(history(s, d)).withColumnRenamed("at", "updated"),
     "stm_status_append": bounded_log,
     "stm_prune_due": lambda s, d: R.prune_due(history(s, d), now()).select("candidate", F.round("years", 6).alias("years")),

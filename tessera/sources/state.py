@@ -40,6 +40,14 @@ def unexpired(df: DataFrame, expires: str, now: Column) -> DataFrame:
     return df.where(F.col(expires) > now)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, so that plans built on it stay small and lost executors cost no more than a read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera")
+    return df.checkpoint()
+
+
 def write_json(path: str | Path, data: Any) -> None:
     """Replace a small document at once: a reader sees the old or the new one."""
     path = Path(path)
