@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, common, langid, mixing, pii, queries, simhash
+from tessera.llm import bpe, common, langid, mixing, nearcopies, pii, queries
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +16,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each SimHash component."""
-    return simhash.keep_first(docs)
+    """The document of the smallest doc_id of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.keep_first(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("private_data", private_data), ("mix_sources", mix_sources), ("tokenize", tokenize)]
 
-#: SQL has no centroid classifier, SimHash or BPE.
+#: SQL has no centroid classifier or BPE.
 ORACLE_SQL = None
 
 
