@@ -165,6 +165,7 @@ QUERIES = {
     "wf_concentration": lambda s, d: walkforward.concentration(events(s, d), ["period"], "symbol", "fwd_7").select("period", F.round("max_share", 6).alias("max_share"), "dominant", "concentrated"),
     "wf_classify": lambda s, d: battery(s, d).select("candidate", "status"),
     "wf_explain": lambda s, d: battery(s, d).where("status = 'insufficient_data'").select("candidate", "reason"),
+    "wf_explain_all": lambda s, d: battery(s, d).select("candidate", "reason"),
     "wf_bh": lambda s, d: walkforward.benjamini_hochberg(battery(s, d)).select("candidate", "survives"),
     "wf_bh_weighted": lambda s, d: walkforward.benjamini_hochberg(battery(s, d), weight="weight", by=["brand"]).select("candidate", "survives"),
     "wf_fdr_demotion": lambda s, d: walkforward.demote(battery(s, d)).groupBy("status", "fdr_demoted").agg(F.count(F.lit(1)).alias("n")),
@@ -186,6 +187,7 @@ def flagship(s, d):
 
 
 REASON = "'only ' || CAST(n AS VARCHAR) || ' of more than 20 events'"
+REASONS = f"CASE WHEN n <= 20 THEN {REASON} WHEN sortino IS NULL THEN 'no trade result' WHEN NOT ok THEN 'pattern test did not run' WHEN by_symbol IS NULL OR by_year IS NULL THEN 'no positive group' WHEN by_symbol THEN 'one symbol carries it' WHEN by_year THEN 'one year carries it' WHEN excess <= 0 THEN 'no excess return' WHEN NOT coalesce(p < 0.1, false) THEN 'not better than its baseline' WHEN ratio IS NULL OR ratio <= 1 THEN 'adverse moves outweigh favourable ones' END"
 LITERAL_SPECS = ", ".join(f"('{x.label}', '{x.describe()}')" for x in SPECS)
 
 ORACLE = {
@@ -223,6 +225,7 @@ ORACLE = {
     "wf_concentration": S.sql("SELECT CAST(y.period AS INTEGER) AS period, round(max_share, 6) AS max_share, dominant, max_share > 0.6 AS concentrated FROM (SELECT DISTINCT period FROM ev) y LEFT JOIN (SELECT period, max(s) / sum(s) AS max_share, arg_max(symbol, (s, symbol)) AS dominant FROM (SELECT period, symbol, sum(fwd_7) AS s FROM ev GROUP BY 1, 2) WHERE s > 0 GROUP BY 1) z ON z.period = y.period", *BASE),
     "wf_classify": S.sql("SELECT candidate, status FROM verdict", S.BATTERY, VERDICT),
     "wf_explain": S.sql(f"SELECT candidate, {REASON} AS reason FROM battery WHERE n <= 20", S.BATTERY),
+    "wf_explain_all": S.sql(f"SELECT candidate, {REASONS} AS reason FROM battery", S.BATTERY),
     "wf_bh": S.sql("SELECT candidate, coalesce(p <= (SELECT cut FROM cut), false) AS survives FROM battery", S.BATTERY, FAMILY.format("")),
     "wf_bh_weighted": S.sql("SELECT b.candidate, coalesce(q <= cut, false) AS survives FROM battery b LEFT JOIN w USING (candidate) LEFT JOIN cut ON cut.brand = b.brand", S.BATTERY, "w AS (SELECT candidate, brand AS fam, p / (weight / avg(weight) OVER (PARTITION BY brand)) AS q FROM battery WHERE p IS NOT NULL), fam AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY q) AS rk, count(*) OVER (PARTITION BY fam) AS m FROM w), cut AS (SELECT fam AS brand, max(q) AS cut FROM fam WHERE q <= 0.05 * rk / m GROUP BY 1)"),
     "wf_fdr_demotion": S.sql("SELECT CASE WHEN dem THEN 'rejected' ELSE status END AS status, dem AS fdr_demoted, count(*) AS n FROM (SELECT status, p IS NOT NULL AND n > 20 AND status = 'accepted' AND NOT coalesce(p <= (SELECT cut FROM cut), false) AS dem FROM verdict) GROUP BY 1, 2", S.BATTERY, VERDICT, FAMILY.format("AND n > 20")),

@@ -79,8 +79,9 @@ def explain(n: Column, sortino: Column, ok: Column, by_symbol: Column, by_year:
         .when(by_symbol.isNull() | by_year.isNull(), "no positive group")
         .when(by_symbol, "one symbol carries it")
         .when(by_year, "one year carries it")
+        .when(excess <= 0, "no excess return")
         .when(~F.coalesce(significant, F.lit(False)), "not better than its baseline")
-        .when(F.coalesce(excess <= 0, F.lit(True)), "no excess return")
+        .when(excess.isNull(), "no excess return")
         .when(F.coalesce(ratio <= 1, F.lit(True)), "adverse moves outweigh favourable ones")
     )
 

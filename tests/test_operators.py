@@ -143,3 +143,22 @@ def test_live_rules(spark):
     assert E.greedy_episodes(days, 7).first().n_episodes == 3
     m = spark.createDataFrame([(19, 0), (20, 0), (45, 20), (45, 40)], "c long, last long").select(live.milestone(F.col("c"), F.col("last")).alias("m")).collect()
     assert [r.m for r in m] == [None, 20, 40, None]
+
+
+def test_every_candidate_is_explained(spark):
+    import __spark_entry__ as entry
+
+    sf, queries = "/root/testdata/sf0.01", entry.queries()
+    reasons = {r.candidate: r.reason for r in queries["wf_explain_all"](spark, sf).collect()}
+    status = {r.candidate: r.status for r in queries["wf_classify"](spark, sf).collect()}
+    assert reasons.keys() == status.keys()
+    assert all((reasons[k] is None) == (status[k] == "accepted") for k in status)
+    assert {"only n of more than 20 events" if r.startswith("only ") else r for r in reasons.values() if r} == {
+        "only n of more than 20 events", "no trade result", "pattern test did not run", "no positive group", "one symbol carries it", "one year carries it",
+        "no excess return", "not better than its baseline", "adverse moves outweigh favourable ones",
+    }
+
+
+def test_a_wrong_direction_is_told_before_significance(spark):
+    row = spark.range(1).select(walkforward.explain(F.lit(30), F.lit(1.0), F.lit(True), F.lit(False), F.lit(False), F.lit(False), F.lit(-0.1), F.lit(2.0)).alias("r")).first()
+    assert row.r == "no excess return"
