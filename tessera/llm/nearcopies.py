@@ -243,10 +243,14 @@ def with_node(df: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame) -> DataFrame:
-    """One row of each group, that of its smallest doc_id, with all columns; rows without an id stay."""
+    """One row of each group, that of its smallest doc_id and then of its least set's digest, with all columns; rows without an id stay.
+
+    Rows are told apart by id and set, so an id that stands on unlike texts keeps each of them that is the first of its group.
+    """
     last = F.lit(simhash.LAST_ID)
     nodes = with_node(common.id_and_text(df)).groupBy(F.col("__node").alias("node")).agg(F.min(F.coalesce("doc_id", last)).alias("least"))
     rooted = nodes.join(groups(df), "node", "left").select("least", "node", F.coalesce("root", "node").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("x")).where(F.col("x.least") < last).select(F.col("x.least").alias("__kept_id"))
-    named = df.where(F.col("doc_id").isNotNull()).join(keep.distinct(), F.col("doc_id").cast("long") == F.col("__kept_id")).dropDuplicates(["__kept_id"]).drop("__kept_id")
+    keep = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("x")).where(F.col("x.least") < last).select(F.col("x.least").alias("__kept_id"), F.col("x.node").alias("__kept_node"))
+    same = (F.col("doc_id").cast("long") == F.col("__kept_id")) & (F.col("__node") == F.col("__kept_node"))
+    named = with_node(df.where(F.col("doc_id").isNotNull())).join(keep, same).dropDuplicates(["__kept_id", "__kept_node"]).drop("__kept_id", "__kept_node", "__node")
     return named.unionByName(df.where(F.col("doc_id").isNull()))

@@ -65,3 +65,11 @@ def test_sample_awkward_and_empty(spark):
     assert [r.text for r in got.where("doc_id IS NULL").orderBy("text").collect()] == [None, "no id here"]
     assert sorted(r.doc_id for r in got.where("doc_id IS NOT NULL").collect()) == plain_kept([(r.doc_id if r.doc_id is not None else 10**9, r.text) for r in awkward(spark).where("doc_id IS NOT NULL OR text IS NULL").collect()])
     assert corpus_pipeline.near_dedup(spark, empty(spark), "").collect() == []
+
+
+def test_repeated_ids_on_unlike_texts(spark):
+    """Each group keeps a row of its own, also where one id stands on rows of several groups."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, a), (2, b + " end"), (2, c), (3, c), (4, a.upper())]
+    got = corpus_pipeline.near_dedup(spark, documents(spark, [(i, t, "en", "s", 0) for i, t in rows]), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (1, b), (2, c)]
