@@ -7,8 +7,9 @@ of five words.  Two texts are near copies if 9 |A and B| >= 4 (|A| + |B|), which
    in a bounded table; the order decides the cost only, since any order that all rows share gives the same pairs.
 2. Prefixes.  A set shares at least 0.8 of its size with a near copy, so the two share a shingle among the first
    |A| // 5 + 1 of each.  Rows meet by these; pairs whose sizes or places rule the similarity out are left.
-3. Checks.  Every pair is checked on the whole sets: first all that meet with the least of them, then all pairs
-   that components have not joined by then.  No group is capped, and copies of a set count once.
+3. Checks.  First all that meet are paired with the least of them, then all pairs that components have not joined
+   by then.  Parity sketches drop pairs that cannot be similar; every other pair is checked on the whole sets.
+   No group is capped, and copies of a set count once.
 4. Groups.  Components are closed over the checked pairs only.
 
 Sets are named by 64-bit digests, so equal sets are one node without a check.
@@ -193,17 +194,61 @@ def candidates(met: DataFrame, parts: int, labelled: bool) -> DataFrame:
     return met.repartition(parts, "key").select(*names).mapInArrow(run, "u long, v long").distinct()
 
 
-def checked(df: DataFrame, pairs: DataFrame) -> DataFrame:
+def sketch(of: np.ndarray) -> bytes:
+    """The parity of the set's values in each of at least 2 |A| places, a power of two."""
+    bits = 1 << max(6, (2 * len(of) - 1).bit_length() if len(of) else 0)
+    return np.packbits((np.bincount((of & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def close(a: bytes, b: bytes, total: int) -> bool:
+    """False only if the sets are not similar: each value that one set has alone changes at most one parity."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= total
+
+
+def described(df: DataFrame) -> DataFrame:
+    """node, least (the smallest doc_id, LAST_ID if none has one), size and sketch of each distinct set."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([name_of(x) for x in sets], pa.int64()), batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "size", "sketch"])
+
+    rows = common.id_and_text(df).mapInArrow(run, "node long, doc_id long, size int, sketch binary")
+    return rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(simhash.LAST_ID))).alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+
+
+def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that their sketches do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, total = (batch.column(n).to_pylist() for n in ("a", "b", "total"))
+            near = [close(x, y, n) for x, y, n in zip(a, b, total, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    of = lambda u, a, n: nodes.select(F.col("node").alias(u), F.col("sketch").alias(a), F.col("size").alias(n))
+    both = pairs.join(of("u", "a", "m"), "u").join(of("v", "b", "n"), "v")
+    return both.select("u", "v", "a", "b", (F.col("m") + F.col("n")).alias("total")).mapInArrow(run, "u long, v long")
+
+
+def checked(df: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar."""
-    pairs = common.cut(pairs)
+    pairs = common.cut(sketched(pairs, nodes))
     bits = pairs.select(F.explode(F.array("u", "v")).alias("n")).select(F.pmod("n", F.lit(FILTER_BITS)).alias("b"))
     words = bits.groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("m")).toArrow()
     wanted = np.zeros(FILTER_BITS // 64, np.int64)
     wanted[words["w"].to_numpy()] = words["m"].to_numpy()
 
     def run(batches):
+        seen = set()
         for batch in batches:
-            nodes, sets, seen = [], [], set()
+            nodes, sets = [], []
             for text in batch.column("text").to_pylist():
                 of = shingles(text)
                 node = name_of(of)
@@ -214,19 +259,21 @@ def checked(df: DataFrame, pairs: DataFrame) -> DataFrame:
                     sets.append(of.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "of"])
 
-    sets = common.cut(common.id_and_text(df).select("text").mapInArrow(run, "node long, of array<long>").dropDuplicates(["node"]))
+    if not words.num_rows:
+        return pairs
+    sets = common.id_and_text(df).select("text").mapInArrow(run, "node long, of array<long>").dropDuplicates(["node"])
     a, b = sets.select(F.col("node").alias("u"), F.col("of").alias("a")), sets.select(F.col("node").alias("v"), F.col("of").alias("b"))
     both = 9 * F.size(F.array_intersect("a", "b")).cast("long") >= 4 * (F.size("a") + F.size("b")).cast("long")
     return pairs.join(a, "u").join(b, "v").where(both).select("u", "v")
 
 
-def groups(df: DataFrame) -> DataFrame:
+def groups(df: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root of every set that has a near copy."""
     parts = common.partitions_for(df, 16 << 20)
     met = common.scratch_table(meetings(prefixes(df, frequent(df)), parts), "meetings")
-    links = simhash.components(checked(df, candidates(met, parts, False)))
+    links = simhash.components(checked(df, nodes, candidates(met, parts, False)))
     labels = met.join(links.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = checked(df, candidates(labels, parts, True))
+    rest = checked(df, nodes, candidates(labels, parts, True))
     return simhash.components(links.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
 
 
@@ -248,8 +295,8 @@ def keep_first(df: DataFrame) -> DataFrame:
     Rows are told apart by id and set, so an id that stands on unlike texts keeps each of them that is the first of its group.
     """
     last = F.lit(simhash.LAST_ID)
-    nodes = with_node(common.id_and_text(df)).groupBy(F.col("__node").alias("node")).agg(F.min(F.coalesce("doc_id", last)).alias("least"))
-    rooted = nodes.join(groups(df), "node", "left").select("least", "node", F.coalesce("root", "node").alias("root"))
+    nodes = common.cut(described(df))
+    rooted = nodes.join(groups(df, nodes), "node", "left").select("least", "node", F.coalesce("root", "node").alias("root"))
     keep = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("x")).where(F.col("x.least") < last).select(F.col("x.least").alias("__kept_id"), F.col("x.node").alias("__kept_node"))
     same = (F.col("doc_id").cast("long") == F.col("__kept_id")) & (F.col("__node") == F.col("__kept_node"))
     named = with_node(df.where(F.col("doc_id").isNotNull())).join(keep, same).dropDuplicates(["__kept_id", "__kept_node"]).drop("__kept_id", "__kept_node", "__node")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
+from tessera.llm import nearcopies
 
 from .fixtures import awkward, documents, empty, sample
 
@@ -73,3 +76,13 @@ def test_repeated_ids_on_unlike_texts(spark):
     rows = [(1, a), (1, b), (1, a), (2, b + " end"), (2, c), (3, c), (4, a.upper())]
     got = corpus_pipeline.near_dedup(spark, documents(spark, [(i, t, "en", "s", 0) for i, t in rows]), "").collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (1, b), (2, c)]
+
+
+def test_sketches_drop_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[int(rng.integers(0, len(x) // 5 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, len(x) // 5 + 1)), dtype=np.uint64)]))
+        if 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y)):
+            assert nearcopies.close(nearcopies.sketch(x), nearcopies.sketch(y), len(x) + len(y))
