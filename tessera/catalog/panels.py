@@ -85,6 +85,7 @@ QUERIES = {
     "ind_fwd_efficiency": lambda s, d: I.with_inputs(panels.bars_1d(s, d)).select("symbol", "d", F.round(I.forward_efficiency(7), 6).alias("eff")),
     "ind_scaled_move_trend": scaled_move,
     "ind_snapshot_unpivot": lambda s, d: I.snapshot(ind_table(s, d), ["range_zscore_30d", "volume_zscore_30d", "efficiency_ratio_20d", "donchian_pct_20d"]).select("symbol", "indicator", F.round("value", 6).alias("value")),
+    "ind_snapshot_all": lambda s, d: I.snapshot(ind_table(s, d), list(I.INDICATORS)).select("symbol", "indicator", F.round("value", 6).alias("value")),
     "ind_leadup_tail": leadup,
     "ind_price_snapshot": lambda s, d: panels.bars_1d(s, d).withColumns({"c1": F.col("close") / F.lag("close", 1).over(by_day()) - 1, "c7": F.col("close") / F.lag("close", 7).over(by_day()) - 1}).groupBy("symbol").agg(F.max_by(F.struct("close", "c1", "c7"), "d").alias("x")).select("symbol", "x.close", F.round("x.c1", 6).alias("c1"), F.round("x.c7", 6).alias("c7")),
 }
@@ -118,6 +119,7 @@ ORACLE = {
     "ind_fwd_efficiency": S.sql(f"SELECT symbol, d, round(abs(lead(close, 7) OVER ({S.W}) - close) / nullif({S.ahead('sum(chg)', 1, 7)}, 0), 6) AS eff FROM base", S.BARS, S.IND),
     "ind_scaled_move_trend": S.sql("SELECT symbol, d, round(scaled, 6) AS scaled, round(eff, 6) AS eff, coalesce(scaled >= 1, false) AND coalesce(eff >= 0.5, false) AS trend FROM t", S.BARS, S.IND, f"f AS (SELECT symbol, d, close, lead(close, 3) OVER ({S.W}) / close - 1 AS f, abs(lead(close, 3) OVER ({S.W}) - close) / nullif({S.ahead('sum(chg)', 1, 3)}, 0) AS eff FROM base), t AS (SELECT symbol, d, eff, abs(f / nullif(CASE WHEN {S.past('count(f)', 180)} >= 60 THEN {S.past('stddev_samp(f)', 180)} END, 0)) AS scaled FROM f)"),
     "ind_snapshot_unpivot": S.sql("SELECT symbol, indicator, round(value, 6) AS value FROM (SELECT symbol, range_zscore_30d, volume_zscore_30d, efficiency_ratio_20d, donchian_pct_20d FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1) UNPIVOT INCLUDE NULLS (value FOR indicator IN (range_zscore_30d, volume_zscore_30d, efficiency_ratio_20d, donchian_pct_20d))", S.BARS, S.IND),
+    "ind_snapshot_all": S.sql(f"SELECT symbol, indicator, round(value, 6) AS value FROM (SELECT symbol, {', '.join(I.INDICATORS)} FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1) UNPIVOT INCLUDE NULLS (value FOR indicator IN ({', '.join(I.INDICATORS)}))", S.BARS, S.IND),
     "ind_leadup_tail": S.sql(f"SELECT symbol, d, {S.r('range_zscore_30d', 'volume_zscore_30d', 'shock_zscore')} FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) <= 7", S.BARS, S.IND),
     "ind_price_snapshot": S.sql(f"SELECT symbol, close, round(close / lag(close) OVER ({S.W}) - 1, 6) AS c1, round(close / lag(close, 7) OVER ({S.W}) - 1, 6) AS c7 FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1", S.BARS),
 }

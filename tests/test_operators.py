@@ -162,3 +162,11 @@ def test_every_candidate_is_explained(spark):
 def test_a_wrong_direction_is_told_before_significance(spark):
     row = spark.range(1).select(walkforward.explain(F.lit(30), F.lit(1.0), F.lit(True), F.lit(False), F.lit(False), F.lit(False), F.lit(-0.1), F.lit(2.0)).alias("r")).first()
     assert row.r == "no excess return"
+
+
+def test_snapshot_has_every_indicator(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["ind_snapshot_all"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.indicator for r in rows} == set(I.INDICATORS)
+    assert len(rows) == len(I.INDICATORS) * len({r.symbol for r in rows})
