@@ -61,21 +61,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.assign(common.documents(spark, sf_dir), sharding.Tree.even(SHARDS), sharding.Tree.even(SHARDS + 1))
+    placed = sharding.assign(common.documents(spark, sf_dir), tree := sharding.Tree.even(SHARDS), tree.grown())
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+#: Region by region, then rack by rack in the chosen region, then shard by shard in the chosen rack.
 OP6_SQL = """
-WITH place AS (
-  SELECT s AS shard, s // 8 AS region, s // 4 AS rack, s % 4 AS spot FROM range(25) t(s)
-), drawn AS (
-  SELECT d.doc_id, p.shard, ('0x' || substr(md5(concat_ws('/', CAST(d.doc_id AS VARCHAR), CAST(p.region AS VARCHAR), CAST(p.rack AS VARCHAR), '0')), CAST(8 * p.spot + 1 AS INTEGER), 8))::BIGINT AS h
-  FROM documents d, place p
+WITH leaf AS (
+  SELECT s AS shard, CAST(s // 8 AS VARCHAR) AS region, CAST(s // 8 AS VARCHAR) || '/' || CAST(s // 4 AS VARCHAR) AS rack,
+    CAST(s // 8 AS VARCHAR) || '/' || CAST(s // 4 AS VARCHAR) || '/' || CAST(s % 4 AS VARCHAR) AS path FROM range(25) t(s)
+), tree AS (
+  SELECT grown, shard, region, rack, path FROM leaf, (VALUES (false), (true)) g(grown) WHERE grown OR shard < 24
+), d AS (
+  SELECT doc_id, grown, shard, region, rack, path,
+    -ln((('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '/' || region), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / count(*) OVER (PARTITION BY doc_id, grown, region) AS of_region,
+    -ln((('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '/' || rack), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / count(*) OVER (PARTITION BY doc_id, grown, rack) AS of_rack,
+    -ln((('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '/' || path), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS of_shard
+  FROM documents, tree
+), in_region AS (
+  SELECT * FROM d QUALIFY region = arg_min(region, of_region) OVER (PARTITION BY doc_id, grown)
+), in_rack AS (
+  SELECT * FROM in_region QUALIFY rack = arg_min(rack, of_rack) OVER (PARTITION BY doc_id, grown)
 ), chosen AS (
-  SELECT doc_id, arg_max(shard, (h, -shard)) FILTER (shard < 24) AS shard, arg_max(shard, (h, -shard)) AS grown_shard FROM drawn GROUP BY doc_id
+  SELECT doc_id, grown, arg_min(shard, of_shard) AS shard FROM in_rack GROUP BY 1, 2
 )
-SELECT d.doc_id, CAST(strlen(coalesce(d.text, '')) + 8 AS BIGINT) AS size, CAST(c.shard AS INTEGER) AS shard, CAST(c.grown_shard AS INTEGER) AS grown_shard
-FROM documents d JOIN chosen c USING (doc_id)
+SELECT d.doc_id, CAST(strlen(coalesce(d.text, '')) + 8 AS BIGINT) AS size, CAST(a.shard AS INTEGER) AS shard, CAST(b.shard AS INTEGER) AS grown_shard
+FROM documents d JOIN chosen a ON a.doc_id = d.doc_id AND NOT a.grown JOIN chosen b ON b.doc_id = d.doc_id AND b.grown
 """
 
 

@@ -1,20 +1,26 @@
 """Shards by a hierarchical weighted hash tree.
 
-Regions hold racks, racks hold shards, and every shard has a weight.  A document draws once a shard: an
-exponential variate with the shard's weight as its rate, from a hash of the document's key and the
-shard's place in the tree.  The draw of a rack is the least of its shards' draws and that of a region the
-least of its racks', which are exponential variates too, with the subtree's total weight as rate; so a
-region is chosen in proportion to its weight, and so is a rack in it and a shard in that.  The document
-descends to the least draw on each level.  A changed weight changes the draws of its own subtree alone:
-documents move into it or out of it, and nowhere else; a new shard takes documents only into itself.
+Regions hold racks, racks hold shards, and every shard has a weight; a node weighs what lies below it.  A
+document descends from the root: on each level it makes a weighted draw for each child of the node that
+it stands at, and goes to the child with the least, so racks and shards are drawn for in the chosen
+region and rack alone.  A draw is an exponential variate with the child's weight as its rate, from a hash
+of the document's key and the child's path; so a child is chosen in proportion to its weight.
 
-All of it is DataFrame expressions; there is no Python on the executors.
+A changed weight changes one draw a level, those of its shard and of what holds it.  Documents whose choice
+on a level is not for or against that child stay where they are: movement is confined to subtrees whose
+weights change.  One shard more (`Tree.grown`) opens a region of its own, which changes no other node's
+weight, so it takes documents only into itself.
+
+All of it is DataFrame expressions; there is no Python on the executors.  The tree is a literal array, so the
+plan's size does not depend on the count of shards.
 
 Defined results
     null text       size 8, checksum of no bytes
+    empty text      the same
+    very long text  read once, for its size and checksum; it never leaves the task that reads it
     null doc_id     drawn for like an id of its own
     repeated rows   the same shard; slots stay distinct
-    equal draws     the place that comes first in the tree
+    equal draws     the child that comes first
     empty table     empty result
     extra columns   ignored
 """
@@ -22,7 +28,7 @@ Defined results
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,61 +38,59 @@ from . import common
 
 #: Rows of one shard that are numbered together.
 SLOT_ROWS = 100_000
-DRAWS = 4  # draws that one MD5 gives: 32 bits each
 
 
 @dataclass(frozen=True)
 class Tree:
-    """(region, rack, weights of its shards) in order; shards are numbered through in that order."""
+    """(region, rack, weights of its shards) in order; shards are numbered through in that order, regions stand together."""
 
     racks: tuple[tuple[int, int, tuple[float, ...]], ...]
 
     @staticmethod
     def even(shards: int, racks_per_region: int = 2, shards_per_rack: int = 4) -> Tree:
-        """Equal weights; shards fill rack after rack, so one more shard joins the last rack or opens the next."""
+        """Equal weights; shards fill rack after rack and region after region."""
         racks = [(k // racks_per_region, k, (1.0,) * min(shards_per_rack, shards - k * shards_per_rack)) for k in range(-(-shards // shards_per_rack))]
         return Tree(tuple(racks))
 
+    def grown(self, weight: float = 1.0) -> Tree:
+        """With one shard more, in a rack and region of its own; the others keep their paths and weights."""
+        region, rack = (max((r[k] for r in self.racks), default=-1) + 1 for k in (0, 1))
+        return Tree((*self.racks, (region, rack, (weight,))))
+
+    def shards(self) -> int:
+        return sum(len(w) for *_, w in self.racks)
+
 
-def draws(key: Column, tree: Tree) -> list[tuple[int, int, int, Column]]:
-    """(region, rack, shard, draw) for each shard."""
-    out, shard = [], 0
-    for region, rack, weights in tree.racks:
-        for place, weight in enumerate(weights):
-            page = F.md5(F.concat_ws("/", key, F.lit(region), F.lit(rack), F.lit(place // DRAWS)))
-            value = F.conv(F.substring(page, 8 * (place % DRAWS) + 1, 8), 16, 10).cast("long")
-            out.append((region, rack, shard, -F.log((value + 0.5) / float(2**32)) / weight))
-            shard += 1
-    return out
+def nodes(tree: Tree) -> Column:
+    """The tree as nested arrays of (path, weight, children); a shard has its number instead of children."""
+    shard, regions = 0, []
+    for region, racks in groupby(tree.racks, key=lambda r: r[0]):
+        below, total = [], 0.0
+        for _, rack, weights in racks:
+            leaves = [F.struct(F.lit(f"{region}/{rack}/{k}").alias("path"), F.lit(float(w)).alias("weight"), F.lit(shard + k).alias("shard")) for k, w in enumerate(weights)]
+            below.append(F.struct(F.lit(f"{region}/{rack}").alias("path"), F.lit(float(sum(weights))).alias("weight"), F.array(*leaves).alias("below")))
+            shard, total = shard + len(weights), total + sum(weights)
+        regions.append(F.struct(F.lit(str(region)).alias("path"), F.lit(float(total)).alias("weight"), F.array(*below).alias("below")))
+    return F.array(*regions)
 
 
-def least(columns: list[Column]) -> Column:
-    return columns[0] if len(columns) == 1 else F.least(*columns)
+def draw(key: Column, path: Column, weight: Column) -> Column:
+    """An exponential variate of that rate, from 52 bits of an MD5; infinite where the weight is not positive."""
+    value = F.conv(F.substring(F.md5(F.concat_ws("/", key, path)), 1, 13), 16, 10).cast("double")
+    return F.when(weight > 0, -F.log((value + 0.5) / float(2**52)) / weight).otherwise(float("inf"))
 
 
-def first_with(pairs: list[tuple[Column, Column]], value: Column) -> Column:
-    """The result of the first pair whose draw is the value."""
-    return reduce(lambda rest, p: F.when(p[0] == value, p[1]).otherwise(rest), reversed(pairs[:-1]), pairs[-1][1])
+def chosen(children: Column, key: Column) -> Column:
+    """The child with the least draw, the first of equals."""
+    drawn = F.transform(children, lambda c, i: F.struct(draw(key, c["path"], c["weight"]).alias("draw"), i.alias("i")))
+    return F.element_at(children, F.array_min(drawn)["i"] + 1)
 
 
 def descend(df: DataFrame, key: Column, tree: Tree, into: str) -> DataFrame:
-    """df with the column `into`: the shard that the key descends to."""
-    drawn = draws(key, tree)
-    df = df.withColumns({f"__d{s}": d for _, _, s, d in drawn})
-    col = {s: F.col(f"__d{s}") for *_, s, _ in drawn}
-    regions: dict[int, dict[int, list[int]]] = {}
-    for region, rack, s, _ in drawn:
-        regions.setdefault(region, {}).setdefault(rack, []).append(s)
-    rack_draw = {(r, k): least([col[s] for s in shards]) for r, racks in regions.items() for k, shards in racks.items()}
-    df = df.withColumns({f"__r{r}_{k}": d for (r, k), d in rack_draw.items()})
-    region_draw = {r: least([F.col(f"__r{r}_{k}") for k in racks]) for r, racks in regions.items()}
-    df = df.withColumns({f"__g{r}": d for r, d in region_draw.items()})
-    top = least([F.col(f"__g{r}") for r in regions])
-    in_rack = {(r, k): first_with([(col[s], F.lit(s)) for s in shards], F.col(f"__r{r}_{k}")) for r, racks in regions.items() for k, shards in racks.items()}
-    in_region = {r: first_with([(F.col(f"__r{r}_{k}"), in_rack[r, k]) for k in racks], F.col(f"__g{r}")) for r, racks in regions.items()}
-    chosen = first_with([(F.col(f"__g{r}"), in_region[r]) for r in regions], top)
-    drop = [c for c in df.columns if c.startswith("__d") or c.startswith("__r") or c.startswith("__g")]
-    return df.withColumn(into, chosen.cast("int")).drop(*drop)
+    """df with the column `into`: the shard that the key descends to, by region, rack and shard."""
+    steps = df.withColumn("__region", chosen(nodes(tree), key))
+    steps = steps.withColumn("__rack", chosen(F.col("__region.below"), key))
+    return steps.withColumn(into, chosen(F.col("__rack.below"), key)["shard"].cast("int")).drop("__region", "__rack")
 
 
 def key_of(doc_id: str = "doc_id") -> Column:
@@ -101,7 +105,7 @@ def assign(df: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
     alone, and the text never leaves the task that reads it.
     """
     docs = common.id_and_text(df)
-    parts = max(1, -(-df.count() // (SLOT_ROWS * sum(len(w) for *_, w in tree.racks))))
+    parts = max(1, -(-df.count() // (SLOT_ROWS * tree.shards())))
     placed = descend(docs.withColumn("part", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(parts)).cast("int")), key_of(), tree, "shard")
     in_order = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before"))

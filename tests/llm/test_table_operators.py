@@ -115,18 +115,23 @@ def test_near_duplicates_on_sample_and_awkward(spark):
 
 
 def plain_shard(key: str, tree: sharding.Tree) -> int:
-    best, shard = (math.inf, 0), 0
-    for region, rack, weights in tree.racks:
-        for place, weight in enumerate(weights):
-            v = int(md5(f"{key}/{region}/{rack}/{place // 4}".encode()).hexdigest()[8 * (place % 4) : 8 * (place % 4) + 8], 16)
-            best = min(best, (-math.log((v + 0.5) / 2**32) / weight, shard))
-            shard += 1
-    return best[1]
+    """Region, then rack of it, then shard of that, by the least weighted draw."""
+
+    def pick(paths: dict[str, float]) -> str:
+        value = lambda p: (int(md5(f"{key}/{p}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return min(paths, key=lambda p: -math.log(value(p)) / paths[p])
+
+    leaves = {f"{r}/{k}/{i}": w for r, k, weights in tree.racks for i, w in enumerate(weights)}
+    under = lambda p, depth: {q: sum(w for x, w in leaves.items() if x.split("/")[: depth + 1] == q.split("/")) for q in dict.fromkeys("/".join(x.split("/")[: depth + 1]) for x in leaves if x.startswith(p))}
+    region = pick(under("", 0))
+    rack = pick(under(f"{region}/", 1))
+    return list(leaves).index(pick(under(f"{rack}/", 2)))
 
 
 def test_sharding(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SLOT_ROWS", 3)
-    one, more = sharding.Tree.even(24), sharding.Tree.even(25)
+    one = sharding.Tree.even(24)
+    more = one.grown()
     df, pdf = sample(spark)
     rows = sharding.assign(df, one, more).collect()
     text = dict(zip(pdf.doc_id, pdf.text, strict=True))
@@ -152,7 +157,19 @@ def test_weights_move_only_their_subtree(spark):
     share = Counter(r.a for r in both)
     for s, w in enumerate((1, 2, 1, 3, 1)):
         assert abs(share[s] / 4000 - w / 8) < 0.04
-    assert {r.b for r in both if r.a != r.b} == {2}
+    # the rack of shard 2 and its region weigh more: no row enters another region, nor moves between others
+    moved = [(r.a, r.b) for r in both if r.a != r.b]
+    assert moved and {b for a, b in moved if a in (3, 4)} <= {0, 1, 2} and not any(a == 2 or b in (3, 4) for a, b in moved)
+    assert {b for a, b in moved if a in (0, 1)} == {2}
+
+
+def test_every_shard_more_takes_rows_only_into_itself(spark):
+    ids, tree = spark.range(3000).withColumnRenamed("id", "doc_id"), sharding.Tree.even(10)
+    for n in range(10, 13):
+        more = tree.grown(2.0 if n == 11 else 1.0)
+        both = sharding.descend(sharding.descend(ids, sharding.key_of(), tree, "a"), sharding.key_of(), more, "b").collect()
+        assert {r.b for r in both if r.a != r.b} == {n}
+        tree = more
 
 
 def test_sharding_sql(spark):
