@@ -61,6 +61,12 @@ def id_and_text(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def map_by_place(df: DataFrame, run) -> DataFrame:
+    """mapInArrow from df's columns to columns of the same schema, for tables in which names may repeat; batches name columns by place."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def id_order(column: str | Column = "doc_id") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(NO_ID))
 

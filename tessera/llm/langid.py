@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import common
+
 UNKNOWN = "und"
 BUCKETS = 1 << 18
 BLOCK_CHARS, BLOCK_DOCS = 600_000, 256
@@ -214,8 +216,10 @@ def predict(df: DataFrame, model: Centroids) -> DataFrame:
 def keep_identified(df: DataFrame, model: Centroids) -> DataFrame:
     """The rows that are not rejected, with all their columns, in one narrow pass."""
 
+    text = df.columns.index("text")
+
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(~scores(batch.column("text").to_pylist(), model)[2]))
+            yield batch.filter(pa.array(~scores(batch.column(text).to_pylist(), model)[2]))
 
-    return df.mapInArrow(run, df.schema)
+    return common.map_by_place(df, run)

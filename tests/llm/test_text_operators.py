@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import re
 import unicodedata
@@ -215,6 +217,113 @@ def test_skip_edges_carry_labels():
     assert pii.all_spans("room 12, room 12", w) == ([], [])
 
 
+def exact_marginals(g, w) -> np.ndarray:
+    """By the sum over all labellings."""
+    n, kinds = len(g.tokens), len(pii.LABELS)
+    unary = w.features[g.features].sum(axis=1)
+    out = np.zeros((n, kinds))
+    for y in itertools.product(range(kinds), repeat=n):
+        if any(o >= 0 and o != k for o, k in zip(g.observed, y, strict=True)):
+            continue
+        z = sum(unary[i, k] for i, k in enumerate(y) if g.observed[i] < 0)
+        z += sum(w.chain[y[a], y[b]] for a, b in g.chain) + sum(w.skip[y[a], y[b]] for a, b in g.skip)
+        for i, k in enumerate(y):
+            out[i, k] += math.exp(z)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def random_weights(rng, scale: float) -> pii.Weights:
+    skip = rng.normal(0, scale, (5, 5))
+    return pii.Weights(rng.normal(0, scale, (pii.N_FEATURES, 5)), rng.normal(0, scale, (5, 5)), skip + skip.T)
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(3)
+    tree = pii.graph("a1 x 22 x 333 333 y c@d.ef", [("email", 19, 25)])
+    assert len(tree.chain) == 4 and len(tree.skip) == 1
+    for _ in range(10):
+        w = random_weights(rng, 1.0)
+        no_loop = pii.Graph(tree.tokens, tree.features, tree.observed, tree.chain, tree.skip[:0])
+        assert np.allclose(pii.marginals(no_loop, w, 200), exact_marginals(no_loop, w), atol=2e-3)
+        loopy = pii.graph("7771234 7771234 q 7771234 k9", [("phone", 0, 7)])
+        assert len(loopy.chain) + len(loopy.skip) >= len(loopy.tokens)
+        mild = random_weights(rng, 0.3)
+        assert np.abs(pii.marginals(loopy, mild, 200) - exact_marginals(loopy, mild)).max() < 0.05
+
+
+PLANTED = "mail jo.doe@example.com or jo.doe, card 4111 1111 1111 1111, ip 10.20.30.40, call +1 (017) 555-7713"
+
+
+def test_training_slope_is_that_of_the_objective():
+    examples = [e for t in (PLANTED, "room 12 of 2019, 2019 again", "+1 (017) 555-7713 and 555-7713") if (e := pii.example(t, 50))]
+    data, w = pii.joined(examples), random_weights(np.random.default_rng(0), 0.2)
+    slope = pii.objective(w, data, 0.01)[1]
+    for name in ("features", "chain", "skip"):
+        a, d = getattr(w, name), getattr(slope, name)
+        for i, j in ((0, 0), (2, 1), (3, 4)):
+            moved = {}
+            for side in (1, -1):
+                b = a.copy()
+                b[i, j] += side * 1e-5
+                if name == "skip" and i != j:
+                    b[j, i] += side * 1e-5
+                moved[side] = pii.objective(pii.Weights(**{n: b if n == name else getattr(w, n) for n in ("features", "chain", "skip")}), data, 0.01)[0]
+            want = d[i, j] * (2 if name == "skip" and i != j else 1)
+            assert math.isclose((moved[1] - moved[-1]) / 2e-5, want, rel_tol=1e-3, abs_tol=1e-6)
+
+
+def planted(n: int, seed: int) -> list[tuple[str, list[tuple[str, str]], list[str]]]:
+    """Texts with entities that the patterns miss, these entities, and decoys that must stay."""
+    rng, out = random.Random(seed), []
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card(good: bool) -> str:
+        while True:
+            c = "4" + digits(15)
+            if pii.luhn(c) == good:
+                return c
+
+    words = lambda: " ".join(rng.choice(["the", "reet", "onash", "und", "von", "leur"]) for _ in range(rng.randrange(3, 40)))
+    for k in range(n):
+        phone = f"+1 ({digits(3)}) 555-{digits(4)}"
+        ip = ".".join(str(rng.randrange(10, 250)) for _ in range(4))
+        name = "".join(rng.choice("abcdefghij") for _ in range(6)) + f".{digits(2)}"
+        kinds = [
+            (f"{phone} {ip} {card(False)}", [("phone", phone)]),  # the phone's match runs on into the address
+            (f"{card(False)} {(good := card(True))}", [("card", good)]),
+            (f"{name}@mail.example.com {words()} {name}", [("email", name)]),
+            (f"{phone}, {words()} {phone[4:7]} {phone[9:]}", [("phone", phone[9:])]),
+            (f"{words()} {card(True)}, {phone}; {ip}", []),
+            (f"since {rng.randrange(1990, 2030)}, version {rng.randrange(9)}.0, order {card(False)}", []),
+        ]
+        text, missed = kinds[k % len(kinds)]
+        out.append((f"{words()} {text} {words()}", missed, [w for w in re.findall(r"\b(?:19|20)[0-9]{2}\b|\b[0-9]\.0\b", text)]))
+    return out
+
+
+def test_fitted_field_finds_what_the_patterns_miss(spark):
+    train = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(planted(600, 1))], "doc_id long, text string")
+    w, asked, right, found = pii.fit(train), Counter(), Counter(), Counter()
+    for text, missed, decoys in planted(500, 2):
+        base, spans = pii.all_spans(text, w)
+        more = [(k, text[s:e]) for k, s, e in spans if (k, s, e) not in base]
+        for kind, entity in missed:
+            if not any(k == kind and text[s:e] == entity for k, s, e in base):
+                asked[kind] += 1
+                right[kind] += any(k == kind and entity in e for k, e in more)
+        found.update(k for k, _ in more)
+        assert not set(decoys) & {e for _, e in more}
+    for kind in ("phone", "card", "email"):
+        assert asked[kind] and right[kind] / asked[kind] >= 0.9, (kind, right, asked)
+    assert sum(right.values()) / sum(found.values()) >= 0.9, (right, found)
+    assert [tuple(map(tuple, (a.features.ravel(), a.skip.ravel()))) for a in (w,)] == [tuple(map(tuple, (a.features.ravel(), a.skip.ravel()))) for a in (pii.fit(train),)]
+
+
+def test_redact_keeps_columns_of_one_name(spark):
+    df = spark.sql("SELECT 1L AS doc_id, 'to a@b.cd' AS text, 1 AS x, 2 AS x")
+    assert [tuple(r) for r in pii.redact(df, pii.start_weights()).collect()] == [(1, "to <email>", 1, 2)]
+
+
 # -- language identification -----------------------------------------------------------------------
 
 
