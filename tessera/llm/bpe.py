@@ -348,7 +348,7 @@ def encode(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) and decoded (string) of every row."""
 
     def run(batches):
-        codec = codec_at(path)
+        codec = WordCodec(path)  # ids and strings are larger than digests, so nothing outlives the partition
         memory = Remembered(codec, lambda ids: (len(ids), np.array(ids, np.int32).tobytes(), codec.decode(ids)), ENCODE_KNOWN)
         for batch in batches:
             lengths = pc.binary_length(batch.column("text")).to_pylist()
@@ -360,9 +360,8 @@ def encode(df: DataFrame, path: str) -> DataFrame:
                     decoded.append(" ".join([w[2] for w in words if w[0]]))
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(flat), np.int32) if any(counts) else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts, pa.int64()), ids, pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
-        codec.seen.clear()  # ids and strings are larger than digests, so a worker keeps them for one partition only
 
-    return common.id_and_text(df).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return common.id_and_text(df).mapInArrow(common.lean(run), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
@@ -384,4 +383,4 @@ def digests(df: DataFrame, path: str) -> DataFrame:
                     of_text.append(sha256(b" ".join([w[2] for w in words])).hexdigest())
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return common.id_and_text(df).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.id_and_text(df).mapInArrow(common.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ LOCAL_SCRATCH = "/tmp/checkpoints/tessera"
 #: Code points at which the contracts end a word, as a character class for the JVM and for RE2.
 WORD = r"[^\x20\x09-\x0D]+"
 
+SLICE_BYTES = 4 << 20
+
 #: Stands for a missing doc_id where an ordering is needed: such rows come first.
 NO_ID = -(2**63)
 
@@ -22,10 +27,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one set here."""
+    """The folder that driver and executors share: the context's checkpoint folder, else spark.checkpoint.dir.
+
+    Where neither is set, a local session gets one of its own; on a cluster that would be lost work, so it raises.
+    """
     sc = spark.sparkContext
+    have = sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if named is None and not have.isEmpty():
+        return have.get()
+    if named is None and sc.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if have.isEmpty():
         sc.setCheckpointDir(named or LOCAL_SCRATCH)
     return named or LOCAL_SCRATCH
 
@@ -36,6 +49,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE_BYTES, so that few rows at a time are Python objects."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows)) if rows < batch.num_rows else (batch,)
+
+
+def lean(run: Callable[[Iterable], Iterable]) -> Callable[[Iterable], Iterator]:
+    """For mapInArrow: run over small slices, and give memory back when the task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(small(batches))
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def scratch_table(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it again; for wide rows, as it stays compressed."""
     spark = df.sparkSession
@@ -64,7 +104,7 @@ def id_and_text(df: DataFrame) -> DataFrame:
 def map_by_place(df: DataFrame, run) -> DataFrame:
     """mapInArrow from df's columns to columns of the same schema, for tables in which names may repeat; batches name columns by place."""
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
-    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*df.columns)
 
 
 def id_order(column: str | Column = "doc_id") -> Column:

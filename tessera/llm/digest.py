@@ -63,7 +63,7 @@ def digests(df: DataFrame) -> DataFrame:
             found = [digest(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "fingerprint"])
 
-    return common.id_and_text(df).mapInArrow(run, "doc_id long, fingerprint string")
+    return common.id_and_text(df).mapInArrow(common.lean(run), "doc_id long, fingerprint string")
 
 
 def with_next(df: DataFrame) -> DataFrame:
@@ -120,11 +120,11 @@ def with_next(df: DataFrame) -> DataFrame:
                 before = row
             yield flush()
 
-    dealt = docs.mapInArrow(deal, "place int, ahead int, doc_id long, fingerprint string, packed binary")
+    dealt = docs.mapInArrow(common.lean(deal), "place int, ahead int, doc_id long, fingerprint string, packed binary")
     return (
         dealt.repartitionById(last + 1, F.col("place"))
         .sortWithinPartitions("place", "ahead", "doc_id", "fingerprint")
-        .mapInArrow(pair, "doc_id long, n_chars long, fingerprint string, edited_sha256 string, edited_fingerprint string, next_fingerprint string")
+        .mapInArrow(common.lean(pair), "doc_id long, n_chars long, fingerprint string, edited_sha256 string, edited_fingerprint string, next_fingerprint string")
     )
 
 
@@ -145,7 +145,7 @@ def same_documents(df: DataFrame, prints: DataFrame) -> DataFrame:
             made = [canonical(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_hexdigest(b) for b in made], pa.string()), pa.array(made, pa.binary())], names=["doc_id", "fingerprint", "bytes"])
 
-    rows = common.id_and_text(df).mapInArrow(canon, "doc_id long, fingerprint string, bytes binary")
+    rows = common.id_and_text(df).mapInArrow(common.lean(canon), "doc_id long, fingerprint string, bytes binary")
     again = rows.join(F.broadcast(shared) if few else shared, "fingerprint")
     texts = again.groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("first_id"))
     per = common.cut(texts.groupBy("fingerprint").agg(F.min("first_id").alias("first_id"), F.count(F.lit(1)).alias("texts")))

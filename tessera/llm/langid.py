@@ -127,7 +127,7 @@ def sample_vectors(df: DataFrame, max_sample: int) -> list:
                         out[name].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["lang"], pa.string()), pa.array(out["buckets"], pa.list_(pa.int32())), pa.array(out["counts"], pa.list_(pa.int32()))], names=list(out))
 
-    rows = chosen.select("doc_id", "lang", "text").mapInArrow(count, "doc_id long, lang string, buckets array<int>, counts array<int>").toArrow().to_pydict()
+    rows = chosen.select("doc_id", "lang", "text").mapInArrow(common.lean(count), "doc_id long, lang string, buckets array<int>, counts array<int>").toArrow().to_pydict()
     order = sorted(range(len(rows["doc_id"])), key=rows["doc_id"].__getitem__)
     return [(rows["lang"][i], np.array(rows["buckets"][i], np.int32), np.array(rows["counts"][i], np.int32)) for i in order]
 
@@ -210,7 +210,7 @@ def predict(df: DataFrame, model: Centroids) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(best, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     asked = df.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return asked.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return asked.mapInArrow(common.lean(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(df: DataFrame, model: Centroids) -> DataFrame:

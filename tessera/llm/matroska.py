@@ -358,7 +358,7 @@ def stored(df: DataFrame) -> DataFrame:
                 some = [t or b"" for t in texts[a : a + 256]]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, len(some)), pa.array([len(t) for t in some], pa.int64()), pa.array([mux(padded(t)) for t in some], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return common.id_and_text(df).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return common.id_and_text(df).mapInArrow(common.lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def described(df: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def described(df: DataFrame) -> DataFrame:
                 rows.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), sha256(data).hexdigest(), summary(media)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", *names])
 
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(common.lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def packets(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -397,4 +397,4 @@ def packets(df: DataFrame, key: str, column: str) -> DataFrame:
                 errors += [error] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *(pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)), pa.array(errors, pa.string())], names=[key, *out, "error"])
 
-    return df.select(key, column).mapInArrow(run, schema)
+    return df.select(key, column).mapInArrow(common.lean(run), schema)

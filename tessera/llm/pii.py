@@ -399,7 +399,7 @@ def fit(df: DataFrame, sample: int = 1500, most_nodes: int = 2000) -> Weights:
                         out[name].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), *(pa.array(out[n], pa.list_(pa.int32())) for n in ("x", "y", "chain", "skip", "ties"))], names=list(out))
 
-    rows = chosen.mapInArrow(run, "h long, x array<int>, y array<int>, chain array<int>, skip array<int>, ties array<int>").toArrow().to_pylist()
+    rows = chosen.mapInArrow(common.lean(run), "h long, x array<int>, y array<int>, chain array<int>, skip array<int>, ties array<int>").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["h"], r["x"]))
     of = lambda r, n, wide: np.array(r[n], np.int64).reshape(-1, wide)
     return train([(of(r, "x", WIDE), np.array(r["y"], np.int64), *(of(r, n, 2) for n in ("chain", "skip", "ties"))) for r in rows])
@@ -419,7 +419,7 @@ def find(df: DataFrame, weights: Weights) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "base", "spans"])
 
     one = "array<struct<kind:string,start:int,stop:int>>"
-    return common.id_and_text(df).mapInArrow(run, f"doc_id long, base {one}, spans {one}")
+    return common.id_and_text(df).mapInArrow(common.lean(run), f"doc_id long, base {one}, spans {one}")
 
 
 def redacted(text: str, spans: list[Span]) -> str:

@@ -321,7 +321,7 @@ def chunks(df: DataFrame, chunk_bytes: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return common.id_and_text(df).mapInArrow(run, CHUNK)
+    return common.id_and_text(df).mapInArrow(common.lean(run), CHUNK)
 
 
 def judged(sent: DataFrame, parts: int, judge) -> DataFrame:
@@ -335,7 +335,7 @@ def judged(sent: DataFrame, parts: int, judge) -> DataFrame:
         if rows:
             yield reply_batch([(chunk, place, answer(flags)) for (place, chunk, _), flags in zip(rows, judge([r[2] for r in rows]), strict=True)])
 
-    replies = sent.repartitionById(parts, F.col("place")).mapInArrow(run, REPLY)
+    replies = sent.repartitionById(parts, F.col("place")).mapInArrow(common.lean(run), REPLY)
     return common.cut(replies.groupBy("chunk").agg(F.collect_list(F.struct("place", "bits")).alias("bits")))
 
 
@@ -443,9 +443,9 @@ def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: boo
         total = bits.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
         return packed.join(F.broadcast(bits) if total <= BROADCAST_BYTES else bits, "chunk", "left")
 
-    anchor_bits = judged(packed.mapInArrow(send_anchors, SENT), parts, judge_anchors).withColumnRenamed("bits", "anchor_bits")
+    anchor_bits = judged(packed.mapInArrow(common.lean(send_anchors), SENT), parts, judge_anchors).withColumnRenamed("bits", "anchor_bits")
     asked = beside(anchor_bits, "anchor_bits")
-    window_bits = judged(asked.mapInArrow(send_windows, SENT), parts, judge_windows).withColumnRenamed("bits", "window_bits")
+    window_bits = judged(asked.mapInArrow(common.lean(send_windows), SENT), parts, judge_windows).withColumnRenamed("bits", "window_bits")
     both = anchor_bits.join(window_bits, "chunk", "left")
-    done = beside(both, "anchor_bits", "window_bits").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    done = beside(both, "anchor_bits", "window_bits").mapInArrow(common.lean(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if with_text else done.drop("kept")
