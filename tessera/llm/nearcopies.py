@@ -1,7 +1,11 @@
-"""Near copies by word shingles: an exact join on Jaccard similarity, and one row kept of each group.
+"""Near copies by word shingles: SimHash links first, an exact join on Jaccard similarity for what they miss, one row kept of each group.
 
-A text is lower-cased (A-Z only) and cut into words; its set holds the XXH64 values (seed 42) of its shingles
-of five words.  Two texts are near copies if 9 |A and B| >= 4 (|A| + |B|), which is a similarity of 0.8 or more.
+A text is lower-cased (A-Z only) and cut into words; its set holds 64-bit hashes of its shingles of five words.
+Two texts are near copies if 9 |A and B| >= 4 (|A| + |B|), which is a similarity of 0.8 or more.
+
+0. SimHash.  Fingerprints of the sets go through the Gray-order index of the SimHash operator, whose links are
+   candidates like those below.  At a similarity of 0.8 fingerprints differ in about ten bits, where no index of
+   64 bits can prune, so the steps below find the rest exactly.
 
 1. Order.  All sets are sorted by one order of shingles, the rare ones first.  Frequent ones are found by counters
    in a bounded table; the order decides the cost only, since any order that all rows share gives the same pairs.
@@ -35,25 +39,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from . import common, simhash
+from .bpe import runs
+from .substring import BASES, Words, mix
 
 SHINGLE = 5
+#: Odd multipliers, one for each word of a shingle.
+FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
 COUNTERS = 1 << 20
 FILTER_BITS = 1 << 24
 HELD = 1 << 20  # rows or pairs that are held before they are passed on
 BUCKET = "key long, node long, size int, place int"
 
 
+def sets_of(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The set of each text, ascending."""
+    for a, b in runs([len(t or "") for t in texts], 1 << 20):
+        words = Words([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts[a:b]])
+        of = words.hashes(BASES[0])[words.slot]
+        most = max(0, len(of) - SHINGLE + 1)
+        whole = mix(sum((of[k : most + k] * FACTORS[k] for k in range(SHINGLE)), np.zeros(most, np.uint64)))
+        for first, count in zip(words.first.tolist(), words.count.tolist(), strict=True):
+            if count >= SHINGLE:
+                yield np.unique(whole[first : first + count - SHINGLE + 1])
+            else:
+                yield mix((of[first : first + count] * FACTORS[:count]).sum(keepdims=True) + np.uint64(count)) if count else np.zeros(0, np.uint64)
+
+
 def shingles(text: str | None) -> np.ndarray:
-    """The set of a text, ascending."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    stops = (ends[min(SHINGLE, len(words)) - 1 :] - 1).tolist()
-    starts = [0, *ends[: len(stops) - 1].tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(line[s:e], 42) for s, e in zip(starts, stops, strict=True)), np.uint64, len(stops)))
+    return next(sets_of([text]))
 
 
 def name_of(of: np.ndarray) -> int:
@@ -72,8 +85,8 @@ def frequent(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             held, rows = [], 0
-            for text in batch.column("text").to_pylist():
-                held.append(counter(shingles(text)))
+            for of in sets_of(batch.column("text").to_pylist()):
+                held.append(counter(of))
                 rows += len(held[-1])
                 if rows > HELD:
                     counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
@@ -83,7 +96,7 @@ def frequent(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(counts > 8 + 4 * counts.mean())
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["c", "n"])
 
-    found = common.id_and_text(df).select("text").mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    found = common.id_and_text(df).select("text").mapInArrow(common.lean(run), "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
     return found["c"].to_numpy(), found["n"].to_numpy()
 
 
@@ -100,8 +113,7 @@ def prefixes(df: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "size", "place"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                of = shingles(text)
+            for of in sets_of(batch.column("text").to_pylist()):
                 n = len(of) // 5 + 1 if len(of) else 0
                 first = of[np.argsort(weight[counter(of)], kind="stable")[:n]].view(np.int64)
                 held.append((first, np.full(n, name_of(of), np.int64), np.full(n, len(of), np.int32), np.arange(n, dtype=np.int32)))
@@ -112,7 +124,7 @@ def prefixes(df: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         if held:
             yield out()
 
-    return common.id_and_text(df).select("text").mapInArrow(run, BUCKET)
+    return common.id_and_text(df).select("text").mapInArrow(common.lean(run), BUCKET)
 
 
 def whole(batches, names: tuple[str, ...]) -> list[np.ndarray] | None:
@@ -135,7 +147,7 @@ def meetings(rows: DataFrame, parts: int) -> DataFrame:
             order = order[np.append(same, False) | np.append(False, same)] if len(order) else order
             yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], names=["key", "node", "size", "place"])
 
-    return rows.repartition(parts, "key").mapInArrow(run, BUCKET)
+    return rows.repartition(parts, "key").mapInArrow(common.lean(run), BUCKET)
 
 
 def possible(size: np.ndarray, place: np.ndarray, i, j) -> np.ndarray:
@@ -191,7 +203,7 @@ def candidates(met: DataFrame, parts: int, labelled: bool) -> DataFrame:
         if held:
             yield out()
 
-    return met.repartition(parts, "key").select(*names).mapInArrow(run, "u long, v long").distinct()
+    return met.repartition(parts, "key").select(*names).mapInArrow(common.lean(run), "u long, v long").distinct()
 
 
 def sketch(of: np.ndarray) -> bytes:
@@ -210,17 +222,34 @@ def close(a: bytes, b: bytes, total: int) -> bool:
     return 9 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= total
 
 
+def fingerprint(of: np.ndarray) -> int:
+    """The SimHash of a set, as a signed number."""
+    set_in = np.zeros(64, np.int64)
+    for k in range(0, len(of), 8192):
+        set_in += np.unpackbits(of[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(set_in * 2 > len(of), bitorder="little").view(np.int64)[0])
+
+
 def described(df: DataFrame) -> DataFrame:
-    """node, least (the smallest doc_id, LAST_ID if none has one), size and sketch of each distinct set."""
+    """node, least (the smallest doc_id, LAST_ID if none has one), size, fp and sketch of each distinct set."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            columns = [pa.array([name_of(x) for x in sets], pa.int64()), batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "size", "sketch"])
+            sets = list(sets_of(batch.column("text").to_pylist()))
+            columns = [pa.array([name_of(x) for x in sets], pa.int64()), batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "size", "fp", "sketch"])
+
+    rows = common.id_and_text(df).mapInArrow(common.lean(run), "node long, doc_id long, size int, fp long, sketch binary")
+    return rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(simhash.LAST_ID))).alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", "sketch")))
+
 
-    rows = common.id_and_text(df).mapInArrow(run, "node long, doc_id long, size int, sketch binary")
-    return rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(simhash.LAST_ID))).alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+def linked(nodes: DataFrame, parts: int) -> DataFrame:
+    """u > v: nodes of one fingerprint with the least of them, and the least ones of linked fingerprints."""
+    heads = common.cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    alike = nodes.select("node", "fp").join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    of = lambda fp, name: heads.select(F.col("fp").alias(fp), F.col("head").alias(name))
+    near = simhash.near_links(heads.select("fp"), parts=parts).withColumnsRenamed({"u": "a", "v": "b"}).join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return alike.unionByName(near.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")))
 
 
 def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -234,7 +263,7 @@ def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     of = lambda u, a, n: nodes.select(F.col("node").alias(u), F.col("sketch").alias(a), F.col("size").alias(n))
     both = pairs.join(of("u", "a", "m"), "u").join(of("v", "b", "n"), "v")
-    return both.select("u", "v", "a", "b", (F.col("m") + F.col("n")).alias("total")).mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "a", "b", (F.col("m") + F.col("n")).alias("total")).mapInArrow(common.lean(run), "u long, v long")
 
 
 def checked(df: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -249,8 +278,7 @@ def checked(df: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         seen = set()
         for batch in batches:
             nodes, sets = [], []
-            for text in batch.column("text").to_pylist():
-                of = shingles(text)
+            for of in sets_of(batch.column("text").to_pylist()):
                 node = name_of(of)
                 b = node % FILTER_BITS
                 if int(wanted[b // 64]) >> b % 64 & 1 and node not in seen:
@@ -261,7 +289,7 @@ def checked(df: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     if not words.num_rows:
         return pairs
-    sets = common.id_and_text(df).select("text").mapInArrow(run, "node long, of array<long>").dropDuplicates(["node"])
+    sets = common.id_and_text(df).select("text").mapInArrow(common.lean(run), "node long, of array<long>").dropDuplicates(["node"])
     a, b = sets.select(F.col("node").alias("u"), F.col("of").alias("a")), sets.select(F.col("node").alias("v"), F.col("of").alias("b"))
     both = 9 * F.size(F.array_intersect("a", "b")).cast("long") >= 4 * (F.size("a") + F.size("b")).cast("long")
     return pairs.join(a, "u").join(b, "v").where(both).select("u", "v")
@@ -271,7 +299,7 @@ def groups(df: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root of every set that has a near copy."""
     parts = common.partitions_for(df, 16 << 20)
     met = common.scratch_table(meetings(prefixes(df, frequent(df)), parts), "meetings")
-    links = simhash.components(checked(df, nodes, candidates(met, parts, False)))
+    links = simhash.components(checked(df, nodes, linked(nodes, parts).unionByName(candidates(met, parts, False)).distinct()))
     labels = met.join(links.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = checked(df, nodes, candidates(labels, parts, True))
     return simhash.components(links.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
@@ -282,11 +310,11 @@ def with_node(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            nodes = [name_of(shingles(t)) for t in batch.column("__text").to_pylist()]
+            nodes = [name_of(of) for of in sets_of(batch.column("__text").to_pylist())]
             rest = [n for n in batch.schema.names if n != "__text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(nodes, pa.int64())], names=[*rest, "__node"])
 
-    return df.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, StructType(df.schema.fields[:]).add("__node", LongType()))
+    return df.withColumn("__text", F.col("text").cast("string")).mapInArrow(common.lean(run), StructType(df.schema.fields[:]).add("__node", LongType()))
 
 
 def keep_first(df: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
-    return common.id_and_text(df).mapInArrow(run, "doc_id long, fp long")
+    return common.id_and_text(df).mapInArrow(common.lean(run), "doc_id long, fp long")
 
 
 # -- the index of one task's buckets ---------------------------------------------------------------
@@ -212,7 +212,7 @@ def buckets(codes: DataFrame, hot: int) -> DataFrame:
     return done.unionByName(level)
 
 
-def near_links(codes: DataFrame, hot: int = 4096) -> DataFrame:
+def near_links(codes: DataFrame, hot: int = 4096, parts: int | None = None) -> DataFrame:
     """Edges u > v (signed codes) that connect all fingerprints within the radius of one another."""
 
     def run(batches):
@@ -221,8 +221,8 @@ def near_links(codes: DataFrame, hot: int = 4096) -> DataFrame:
             a, b = (x.view(np.int64) for x in links_of_task(*(np.concatenate(x) for x in zip(*held, strict=True))))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
 
-    parts = common.partitions_for(codes, 4 << 20)
-    return buckets(codes, hot).repartition(parts, "mask", "value").mapInArrow(run, "u long, v long").distinct()
+    parts = parts or common.partitions_for(codes, 4 << 20)
+    return buckets(codes, hot).repartition(parts, "mask", "value").mapInArrow(common.lean(run), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
