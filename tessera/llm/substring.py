@@ -3,30 +3,33 @@
 Every window of `WINDOW` = 13 words whose word sequence also starts in a document with a smaller doc_id is
 removed, judged on the input.
 
-Recompression names runs and pairs of symbols, level by level: a maximal run of one symbol becomes one
-symbol, then each left symbol followed by a right one (a bit of the symbol's name decides) becomes one.
-Names are hashes of what they stand for, so they are the same in all tasks without a shuffle, and equal
-substrings get equal symbols except near their ends: each symbol carries the extent of words that
-decides it (its context).
-
-1. Documents are packed into chunks of about `chunk_bytes`, checkpointed once.
-2. Each window takes, of the level-2 symbols whose context lies in it, the one of least name as its anchor;
-   that choice depends on the window's words alone.  A window without one is its own anchor.  Chunks
-   send the names of their anchors, each once, to ranges of the names; there those that occur in two
-   documents are found, and each chunk gets back one bit for each name it sent.
-3. Windows under shared anchors, the only ones that can repeat, are verified: their 128-bit digests are
-   grouped in the same way, with the least doc_id of each chunk; back comes a bit that says whether a
-   smaller doc_id exists elsewhere.
-4. Chunks mark the words of removed windows and hash the rest.
-
-What is sent is pre-aggregated by chunk, so a passage in a third of all documents is one entry a chunk; no
-list of its occurrences meets in one task.
+Recompression replaces a text by ever fewer symbols, level by level: a maximal run of one symbol becomes one
+symbol, then each left symbol followed by a right one (a bit of its name decides) becomes one.  Names
+are global: each level is a Spark round in which chunks of documents send the distinct words, runs and
+pairs that they have, ranges of these number the ones that two documents share, and the numbers come
+back.  So equal substrings get equal symbols except near their ends; each symbol carries the extent of
+words that decides it (its context).  What no two documents share gets no name.  It ends every symbol
+beside it, and no window that holds its context can repeat, so later levels work on what is left.
+
+1. Documents are packed into chunks of about `chunk_bytes`, written once: the texts, and the words as numbers
+   into the chunk's table of distinct words (128-bit digests).
+2. A round names the words, `LEVELS` more name runs and pairs.
+3. A window that holds no unnamed symbol is led by one of its interior symbols, of the highest level that has
+   any, the one that comes first in a random order of names; so equal windows have equal leaders.
+   Neighbouring windows under one leader go together as one row of word names to the range of the leader.
+4. There windows under equal leaders are compared name by name, and each gets back whether a smaller doc_id
+   has it.  Chunks mark the words of removed windows and hash the rest.
+
+What is sent is made distinct by chunk, so a passage in a third of all documents is one entry a chunk; no
+list of its occurrences meets in one task.  There are at most as many rows as entries.
 
 Defined results
     null or empty text     no words
     fewer than 13 words    nothing removed
+    very long text         a chunk of its own
     null doc_id            smaller than any id
     repeated rows          one document: equal ids do not remove each other's windows
+    unlike texts of one id one document as well
     empty table            empty result
     extra columns          ignored
 Memory in a worker: about 25 times max(chunk_bytes, the longest text), and one range of names.
@@ -48,10 +51,11 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
+LEVELS = 4  # of runs and pairs; a symbol of the last stands for three words or more on average
 CHUNK_BYTES = 3 << 20
 RANGE_BYTES = 16 << 20  # of input for one range of names
 LONG_WORD = 32  # bytes; longer words are hashed one by one
-BROADCAST_BYTES = 32 << 20  # of answers; more are joined by a shuffle
+BROADCAST_BYTES = 64 << 20  # of answers; more are joined by a shuffle
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -141,109 +145,206 @@ class Words:
         self.made[base] = out
         return out
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """First slot and document of each window."""
-        here = np.flatnonzero(np.arange(len(self.owner)) + WINDOW <= (self.first + self.count)[self.owner])
-        return self.slot[here], self.owner[here]
 
+def parted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Slot and document of each word, and the count of slots: two marks stand before and after each document."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return np.arange(len(owner)) + 2 * (owner + 1), owner, len(owner) + 2 * len(counts) + 2
 
-class Symbols:
-    """A level of the parse: names, and the slots that each symbol's form depends on."""
 
-    def __init__(self, name: np.ndarray, low: np.ndarray, high: np.ndarray):
-        self.name, self.low, self.high = name, low, high
+class Level:
+    """A level of the parse: names (0: none), first slots, and the slots from `low` to `high` that each symbol's form depends on."""
 
-    def runs(self) -> Symbols:
-        """Maximal runs of equal names become one symbol each."""
-        head = np.flatnonzero(np.concatenate([[True], self.name[1:] != self.name[:-1]]))
-        length = np.diff(np.append(head, len(self.name)))
-        name = self.name[head]
-        name = np.where(length > 1, mix(name + length.astype(U) * U(0x8EBC6AF09C88C6E3)), name)
-        last = head + length - 1
-        n = len(self.name)
-        return Symbols(name, self.low[np.maximum(head - 1, 0)], self.high[np.minimum(last + 1, n - 1)])
+    def __init__(self, name: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.name, self.at, self.low, self.high = name, at, low, high
 
-    def pairs(self, level: int) -> Symbols:
-        """Each left symbol before a right one becomes one symbol with it."""
+    def step(self, level: int) -> Step:
+        """Runs, then pairs, with a key for each that needs a name."""
         n = len(self.name)
-        left = (mix(self.name ^ U(0x589965CC75374CC3 + level)) & U(1)).astype(bool)
+        same = (self.name[1:] == self.name[:-1]) & (self.name[1:] != 0)
+        head = np.flatnonzero(np.concatenate([[True], ~same]))
+        length = np.diff(np.append(head, n))
+        name = self.name[head]
+        key = np.where(length > 1, mix(name + length.astype(U) * U(0x8EBC6AF09C88C6E3)), name)
+        low, high = self.low[np.maximum(head - 1, 0)], self.high[np.minimum(head + length, n - 1)]
+        n = len(head)
+        known = name != 0
+        left = (mix(key ^ U(0x589965CC75374CC3 + level)) & U(1)).astype(bool)
         opens = np.zeros(n, bool)
-        opens[:-1] = left[:-1] & ~left[1:]
+        opens[:-1] = known[:-1] & known[1:] & left[:-1] & ~left[1:]
         closes = np.zeros(n, bool)
         closes[1:] = opens[:-1]
         at = np.flatnonzero(~closes)
         after, before = np.minimum(at + 1, n - 1), np.maximum(at - 1, 0)
         paired = opens[at]
-        name = np.where(paired, mix(self.name[at] * U(3) + mix(self.name[after] + U(level))), self.name[at])
+        asked = known[at] & (paired | (length[at] > 1))
+        pair_key = mix(key[at] * U(3) + mix(key[after] + U(level)))
         # a single left symbol is known by its successor, a single right one by its predecessor
-        low = np.where(left[at], self.low[at], self.low[before])
-        high = np.where(left[at], self.high[after], self.high[at])
-        return Symbols(name, low, high)
-
-
-def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First slot, document and anchor name of each window of the chunk."""
-    begin, doc = words.windows()
-    if not len(begin):
-        return begin, doc, np.zeros(0, U)
-    base = words.hashes(BASES[0])
-    every = np.arange(words.slots)
-    level = Symbols(base, every, every)
-    for k in range(2):
-        level = level.runs().pairs(k)
-    ranges = RangeHash(base, BASES[0])
-    short = np.flatnonzero(level.high - level.low < WINDOW)
-    low, high = level.low[short], level.high[short] + 1
-    name = ranges.of(low, high)
-    order = mix(name ^ U(0x1D8E4E27C47D124F))
-    first = np.searchsorted(low, begin, side="left")
-    last = np.searchsorted(high, begin + WINDOW, side="right")
-    best = np.full(len(begin), -1)
-    rank = np.full(len(begin), np.iinfo(U).max, U)
-    for step in range(int((last - first).max(initial=0))):
-        at = first + step
-        inside = np.flatnonzero(at < last)
-        value = order[at[inside]]
-        better = value < rank[inside]
-        inside, value = inside[better], value[better]
-        rank[inside], best[inside] = value, at[inside]
-    own = best < 0
-    out = np.empty(len(begin), U)
-    out[~own] = name[best[~own]]
-    out[own] = mix(ranges.of(begin[own], begin[own] + WINDOW))
-    return begin, doc, out
+        return Step(name[at], self.at[head[at]], np.where(left[at], low[at], low[before]), np.where(left[at], high[after], high[at]), asked, np.where(paired, pair_key, key[at])[asked])
 
 
-# -- what chunks send and get back -----------------------------------------------------------------
+class Step(Level):
+    """The next level before its round: `asked` marks the symbols that wait for a name, `key` says what they are."""
+
+    def __init__(self, name, at, low, high, asked: np.ndarray, key: np.ndarray):
+        super().__init__(name, at, low, high)
+        self.asked, self.key = asked, key
+
+        self.keys, self.of_key = np.unique(key >> U(1), return_inverse=True)
+
+    def entries(self, doc: np.ndarray) -> np.ndarray:
+        """Ascending distinct keys; the lowest bit says whether two documents of the chunk have it.  doc: document id of each slot."""
+        return (self.keys << U(1)) | two_documents(self.of_key, doc[self.at[self.asked]], len(self.keys)).astype(U)
+
+    def named(self, names: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
+        """The level with the round's names, and low and high of the symbols that got none.  Of their stretches the ends stay."""
+        name = self.name.copy()
+        name[self.asked] = names[self.of_key]
+        lost = self.asked & (name == 0)
+        known = name != 0
+        keep = known.copy()
+        keep[1:] |= known[:-1]
+        keep[:-1] |= known[1:]
+        keep[0] = True  # a level is never empty
+        return Level(*(x[keep] for x in (name, self.at, self.low, self.high))), self.low[lost], self.high[lost]
+
+
+def two_documents(inverse: np.ndarray, ids: np.ndarray, count: int) -> np.ndarray:
+    """Whether rows of two ids have each value."""
+    low, high = np.full(count, np.iinfo(np.int64).max), np.full(count, np.iinfo(np.int64).min)
+    np.minimum.at(low, inverse, ids)
+    np.maximum.at(high, inverse, ids)
+    return low < high
+
 
+WORD_ENTRY = np.dtype([("a", "<u8"), ("b", "<u8")])
 
-def anchor_entries(begin: np.ndarray, doc: np.ndarray, name: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct names of a chunk, and whether two of its documents have each."""
-    names, inverse = np.unique(name, return_inverse=True)
-    if not len(names):
-        return names, np.zeros(0, bool)
-    low, high = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
-    np.minimum.at(low, inverse, ids[doc])
-    np.maximum.at(high, inverse, ids[doc])
-    return names, low != high
-
-
-def windows_of_shared(words: Words, begin: np.ndarray, doc: np.ndarray, name: np.ndarray, shared: np.ndarray, ids: np.ndarray):
-    """Windows under shared anchors: first slots, documents, digests' ranks, distinct digests and least ids."""
-    keep = shared[np.searchsorted(np.unique(name), name)] if len(name) else np.zeros(0, bool)
-    begin, doc = begin[keep], doc[keep]
-    digest = np.zeros(len(begin), [("a", U), ("b", U)])
-    if len(begin):
-        for field, base in zip("ab", BASES, strict=True):
-            digest[field] = RangeHash(words.hashes(base), base).of(begin, begin + WINDOW)
-    order = np.lexsort((digest["b"], digest["a"]))
-    ordered = digest[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
-    rank = np.empty(len(begin), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    least = np.full(int(new.sum()), np.iinfo(np.int64).max)
-    np.minimum.at(least, rank, ids[doc])
-    return begin, doc, rank, ordered[new], least
+
+class Chunk:
+    """The words of a chunk as numbers into its ascending table of distinct words."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, table: np.ndarray):
+        self.ids, self.codes, self.table = ids, codes, table
+        self.slot, self.owner, self.slots = parted(counts)
+        self.doc = np.zeros(self.slots, np.int64)
+        self.doc[self.slot] = ids[self.owner]
+
+    def word_entries(self) -> np.ndarray:
+        """The table; the lowest bit of b says whether two documents of the chunk have the word."""
+        out = self.table.copy()
+        out["b"] = (out["b"] & ~U(1)) | two_documents(self.codes, self.ids[self.owner], len(out)).astype(U)
+        return out
+
+
+class Parse:
+    """The levels that the rounds' names make of a chunk, and which windows symbols without a name rule out."""
+
+    def __init__(self, chunk: Chunk, names: np.ndarray):
+        """names: of the words of the table, 0 for those without."""
+        name, every = np.zeros(chunk.slots, U), np.arange(chunk.slots)
+        name[chunk.slot] = names[chunk.codes]
+        self.levels = [Level(name, every, every, every)]
+        self.change = np.zeros(chunk.slots + 1, np.int64)
+        self.rule_out(every[name == 0], every[name == 0])
+        self.waits = self.levels[0].step(0)
+
+    def rule_out(self, low: np.ndarray, high: np.ndarray) -> None:
+        inside = high - low < WINDOW
+        self.change += np.bincount(np.maximum(high[inside] - WINDOW + 1, 0), minlength=len(self.change))
+        self.change -= np.bincount(low[inside] + 1, minlength=len(self.change))
+
+    def add(self, names: np.ndarray) -> None:
+        """names: of the entries of `waits`, in order."""
+        level, low, high = self.waits.named(names)
+        self.rule_out(low, high)
+        self.levels.append(level)
+        self.waits = level.step(len(self.levels) - 1)
+
+    def windows(self) -> np.ndarray:
+        """First slots of the windows that may repeat."""
+        return np.flatnonzero(np.cumsum(self.change)[: max(0, len(self.change) - WINDOW)] == 0)
+
+
+class Groups:
+    """Neighbouring windows of a chunk under one leader, and the distinct ones among these groups."""
+
+    def __init__(self, chunk: Chunk, parse: Parse):
+        self.word = parse.levels[0].name
+        begin = parse.windows()
+        leader, at = leaders(parse.levels, begin)
+        head = np.flatnonzero(np.concatenate([[True], (begin[1:] != begin[:-1] + 1) | (at[1:] != at[:-1])]))[: len(begin)]
+        self.begin, self.leader = begin[head], leader[head]
+        self.size = np.diff(np.append(head, len(begin)))
+        self.doc = chunk.doc[self.begin]
+        ranges = RangeHash(mix(self.word), BASES[0])
+        content = ranges.of(self.begin, self.begin + self.size + WINDOW - 1)
+        order = np.lexsort((content, mix(self.leader)))
+        o = order
+        alike = (self.leader[o[1:]] == self.leader[o[:-1]]) & (content[o[1:]] == content[o[:-1]]) & (self.size[o[1:]] == self.size[o[:-1]])
+        alike[alike] = self.equal(o[1:][alike], o[:-1][alike])  # the digest only proposes
+        new = np.concatenate([[True], ~alike])[: len(o)]
+        self.entry = np.empty(len(o), np.int64)
+        self.entry[o] = np.cumsum(new) - 1
+        self.first = o[new]
+        self.least = np.full(len(self.first), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.entry, self.doc)
+
+    def spread(self, of: np.ndarray) -> np.ndarray:
+        """The slots of the words of the groups, one group after the other."""
+        size = self.size[of] + WINDOW - 1
+        return np.repeat(self.begin[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether groups of equal size have the same words."""
+        if not len(a):
+            return np.zeros(0, bool)
+        size = self.size[a] + WINDOW - 1
+        return np.logical_and.reduceat(self.word[self.spread(a)] == self.word[self.spread(b)], np.cumsum(size) - size)
+
+    def places(self, parts: int) -> np.ndarray:
+        return place_of(mix(self.leader[self.first]), parts)
+
+    def packed(self, start: int, stop: int) -> bytes:
+        of = self.first[start:stop]
+        size = self.size[of].astype(np.uint8)
+        return len(of).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(size.tobytes() + self.least[start:stop].tobytes() + self.word[self.spread(of)].tobytes())
+
+    def removed(self, flags: np.ndarray) -> np.ndarray:
+        """First slots of the removed windows.  flags: for each window of each entry, whether a smaller id than the entry's least has it."""
+        size = self.size[self.first]
+        at = np.cumsum(size) - size
+        offset = np.arange(self.size.sum()) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        entry = np.repeat(self.entry, self.size)
+        gone = flags[at[entry] + offset] | np.repeat(self.doc > self.least[self.entry], self.size)
+        return (np.repeat(self.begin, self.size) + offset)[gone]
+
+
+def leaders(levels: list[Level], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Name of the leader of each window, and which symbol of all levels it is."""
+    name, at = np.zeros(len(begin), U), np.full(len(begin), -1)
+    shift = 0
+    for level in reversed(levels):
+        left = np.flatnonzero(at < 0)
+        short = np.flatnonzero((level.name != 0) & (level.high - level.low < WINDOW))
+        low, high, names = level.low[short], level.high[short], level.name[short]
+        order = mix(names ^ U(0x1D8E4E27C47D124F))
+        first = np.searchsorted(low, begin[left], side="left")
+        last = np.searchsorted(high, begin[left] + WINDOW, side="left")
+        rank = np.full(len(left), np.iinfo(U).max, U)
+        best = np.full(len(left), -1)
+        for step in range(int((last - first).max(initial=0))):
+            inside = np.flatnonzero(first + step < last)
+            value = order[first[inside] + step]
+            better = value < rank[inside]
+            inside = inside[better]
+            rank[inside], best[inside] = value[better], first[inside] + step
+        found = best >= 0
+        name[left[found]], at[left[found]] = names[best[found]], short[best[found]] + shift
+        shift += len(level.name)
+    return name, at
+
+
+# -- what chunks send and get back -----------------------------------------------------------------
 
 
 def place_of(high: np.ndarray, parts: int) -> np.ndarray:
@@ -260,16 +361,37 @@ def sliced(place: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
         yield int(place[s]), s, e
 
 
-def unpack_chunk(ids: bytes, sizes: bytes, packed: bytes) -> tuple[np.ndarray, list[bytes]]:
-    data = zstandard.ZstdDecompressor().decompress(packed)
-    ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
-    return np.frombuffer(ids, np.int64), [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+def number(level: int, place: int, rank: np.ndarray) -> np.ndarray:
+    """Global names: of the level, the range that gave it, and the rank there."""
+    return U((level + 1) << 58 | place << 34) | (rank + U(1))
+
+
+def naming(shared: np.ndarray) -> bytes:
+    """Which entries have a name, from ascending ranks of which -1 is none."""
+    flags = shared >= 0
+    return answer(flags) + zstandard.ZstdCompressor(level=1).compress(np.diff(shared[flags], prepend=0).astype("<u8").tobytes())
 
 
 def gathered(bits: list[tuple[int, bytes]], count: int) -> np.ndarray:
-    """The answers of all ranges, in the order in which the chunk's entries were sent; a range's head is its entry count."""
+    """The flags of all ranges, in the order in which the chunk's entries were sent; a range's head is its entry count."""
     out = [np.unpackbits(np.frombuffer(b[4:], np.uint8), count=int.from_bytes(b[:4], "little")) for _, b in sorted(bits)]
-    flat = np.concatenate(out).astype(bool) if out else np.zeros(0, bool)
+    return whole(np.concatenate(out).astype(bool) if out else np.zeros(0, bool), count)
+
+
+def names_of(bits: list[tuple[int, bytes]], level: int, count: int) -> np.ndarray:
+    """The names of the chunk's entries in the order in which they were sent, 0 for those without."""
+    out = []
+    for place, b in sorted(bits):
+        n = int.from_bytes(b[:4], "little")
+        stop = 4 + -(-n // 8)
+        flags = np.unpackbits(np.frombuffer(b[4:stop], np.uint8), count=n).astype(bool)
+        names = np.zeros(n, U)
+        names[flags] = number(level, place, np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(b[stop:]), "<u8"), dtype=U))
+        out.append(names)
+    return whole(np.concatenate(out) if out else np.zeros(0, U), count)
+
+
+def whole(flat: np.ndarray, count: int) -> np.ndarray:
     if len(flat) != count:
         raise ValueError(f"{len(flat)} answers for {count} entries")
     return flat
@@ -279,7 +401,7 @@ def answer(flags: np.ndarray) -> bytes:
     return len(flags).to_bytes(4, "little") + np.packbits(flags).tobytes()
 
 
-CHUNK = "chunk long, ids binary, sizes binary, packed binary"
+CHUNK = "chunk long, ids binary, sizes binary, packed binary, counts binary, codes binary, words binary"
 SENT = "place int, chunk long, entries binary"
 REPLY = "chunk long, place int, bits binary"
 
@@ -304,8 +426,17 @@ def chunks(df: DataFrame, chunk_bytes: int) -> DataFrame:
 
         def flush():
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            row = [(task << 32) + made], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], [pack(b"".join(texts))]
-            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["chunk", "ids", "sizes", "packed"])
+            words = Words(texts)
+            both = np.empty(len(words.slot), WORD_ENTRY)
+            for name, base in zip("ab", BASES, strict=True):
+                both[name] = words.hashes(base)[words.slot]
+            order = np.lexsort((both["b"], both["a"]))
+            new = np.concatenate([[True], both[order][1:] != both[order][:-1]])[: len(order)]
+            codes = np.empty(len(order), np.uint32)
+            codes[order] = np.cumsum(new) - 1
+            row = np.array(ids, np.int64), sizes, b"".join(texts), words.count.astype(np.uint32), codes, both[order][new]
+            row = [x if isinstance(x, bytes) else x.tobytes() for x in row]
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in row)], names=["chunk", "ids", "sizes", "packed", "counts", "codes", "words"])
 
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -325,127 +456,175 @@ def chunks(df: DataFrame, chunk_bytes: int) -> DataFrame:
 
 
 def judged(sent: DataFrame, parts: int, judge) -> DataFrame:
-    """One row a chunk with the answers of all ranges: chunk, bits (array of place and bits).
+    """chunk, place, bits: what each range answers to each chunk; written to the checkpoint folder.
 
-    judge: from the entries of all chunks in one range to a flag for each entry of each.
+    judge: from the entries of all chunks in one range to an answer for each chunk.
     """
 
     def run(batches):
         rows = [r for batch in batches for r in zip(*(batch.column(n).to_pylist() for n in ("place", "chunk", "entries")), strict=True)]
-        if rows:
-            yield reply_batch([(chunk, place, answer(flags)) for (place, chunk, _), flags in zip(rows, judge([r[2] for r in rows]), strict=True)])
+        places: dict[int, list] = {}
+        for place, chunk, entries in rows:
+            places.setdefault(place, []).append((chunk, entries))
+        for place, own in places.items():
+            yield reply_batch([(chunk, place, made) for (chunk, _), made in zip(own, judge([e for _, e in own]), strict=True)])
 
-    replies = sent.repartitionById(parts, F.col("place")).mapInArrow(common.lean(run), REPLY)
-    return common.cut(replies.groupBy("chunk").agg(F.collect_list(F.struct("place", "bits")).alias("bits")))
+    return common.cut(sent.repartitionById(parts, F.col("place")).mapInArrow(common.lean(run), REPLY))
 
 
 def split_flags(flags: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     return np.split(flags, np.cumsum(sizes)[:-1])
 
 
-def judge_anchors(blobs: list[bytes]) -> list[np.ndarray]:
-    """Names whose low bit says that one chunk has them twice, or that two chunks sent."""
-    parts = [np.frombuffer(b, U) for b in blobs]
-    entries = np.concatenate(parts)
-    names, inverse, count = np.unique(entries >> U(1), return_inverse=True, return_counts=True)
-    shared = count > 1
-    shared[inverse[(entries & U(1)).astype(bool)]] = True
-    return split_flags(shared[inverse], [len(p) for p in parts])
-
-
-WINDOW_ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("least", "<i8")])
-
-
-def pack_windows(entries: np.ndarray) -> bytes:
-    """Column after column, the ids compressed."""
-    return len(entries).to_bytes(4, "little") + entries["a"].tobytes() + entries["b"].tobytes() + zstandard.ZstdCompressor(level=1).compress(entries["least"].tobytes())
+def ranked(parts: list[np.ndarray], same: np.ndarray, order: np.ndarray, twice: np.ndarray) -> list[bytes]:
+    """Numbers for the values that two documents share.  order sorts all entries, same says which equal the one before them in it."""
+    first = np.flatnonzero(~same)
+    count = np.diff(np.append(first, len(order)))
+    shared = (count > 1) | np.logical_or.reduceat(twice[order], first) if len(first) else np.zeros(0, bool)
+    rank = np.where(shared, np.cumsum(shared) - 1, -1)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(rank, count)
+    return [naming(x) for x in split_flags(out, [len(p) for p in parts])]
 
 
-def unpack_windows(blob: bytes) -> np.ndarray:
-    n = int.from_bytes(blob[:4], "little")
-    out = np.empty(n, WINDOW_ENTRY)
-    out["a"], out["b"] = np.frombuffer(blob, U, n, 4), np.frombuffer(blob, U, n, 4 + 8 * n)
-    out["least"] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + 16 * n :]), np.int64)
-    return out
-
-
-def judge_windows(blobs: list[bytes]) -> list[np.ndarray]:
-    """Whether a smaller doc_id than the chunk's least has the window."""
-    parts = [unpack_windows(b) for b in blobs]
+def judge_words(blobs: list[bytes]) -> list[bytes]:
+    """Names of words that one chunk has in two documents, or that two chunks sent."""
+    parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), WORD_ENTRY) for b in blobs]
     entries = np.concatenate(parts)
-    order = np.lexsort((entries["least"], entries["b"], entries["a"]))
-    o = entries[order]
-    new = np.concatenate([[True], (o["a"][1:] != o["a"][:-1]) | (o["b"][1:] != o["b"][:-1])])
-    least = o["least"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    flags = np.empty(len(entries), bool)
-    flags[order] = least < o["least"]
-    return split_flags(flags, [len(p) for p in parts])
+    a, b = entries["a"], entries["b"] >> U(1)
+    order = np.lexsort((b, a))
+    same = np.concatenate([[False], (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])])
+    return ranked(parts, same, order, (entries["b"] & U(1)).astype(bool))
 
 
-def chunk_rows(batches, *more: str) -> Iterator[tuple]:
+def judge_symbols(blobs: list[bytes]) -> list[bytes]:
+    """Names of runs and pairs that one chunk has in two documents, or that two chunks sent."""
+    parts = [np.frombuffer(b, U) for b in blobs]
+    entries = np.concatenate(parts)
+    keys = entries >> U(1)
+    order = np.argsort(keys, kind="stable")
+    same = np.concatenate([[False], keys[order][1:] == keys[order][:-1]])
+    return ranked(parts, same, order, (entries & U(1)).astype(bool))
+
+
+def unpack_groups(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, least ids and word names of a chunk's groups."""
+    n, data = int.from_bytes(blob[:4], "little"), zstandard.ZstdDecompressor().decompress(blob[4:])
+    return np.frombuffer(data, np.uint8, n).astype(np.int64), np.frombuffer(data, np.int64, n, n), np.frombuffer(data, U, offset=9 * n)
+
+
+def judge_windows(blobs: list[bytes]) -> list[bytes]:
+    """For each window of each group, whether a smaller doc_id than the group's least has the same words."""
+    parts = [unpack_groups(b) for b in blobs]
+    size, least, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+    total, long = int(size.sum()), size + WINDOW - 1
+    at = np.repeat(np.cumsum(long) - long - (np.cumsum(size) - size), size) + np.arange(total)  # of each window's first word
+    least = np.repeat(least, size)
+    seed, digest = mix(word), np.zeros(total, U)
+    for k in range(WINDOW):
+        digest = digest * U(BASES[0]) + seed[at + k]
+    order = np.lexsort((least, digest))
+    near = digest[order][1:] == digest[order][:-1]
+    for k in range(WINDOW):  # the digest only sorts: windows are equal if their words are
+        x = word[at + k][order]
+        if (near & (x[1:] != x[:-1])).any():
+            order = np.lexsort((least, *(word[at + j] for j in range(WINDOW))))
+            near = np.ones(max(0, total - 1), bool)
+            for j in range(WINDOW):
+                x = word[at + j][order]
+                near &= x[1:] == x[:-1]
+            break
+    new = np.concatenate([[True], ~near])[:total]
+    flags = np.empty(total, bool)
+    ordered = least[order]
+    flags[order] = ordered[np.flatnonzero(new)][np.cumsum(new) - 1] < ordered
+    return [answer(f) for f in split_flags(flags, [int(p[0].sum()) for p in parts])]
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def chunk_rows(batches, with_answers: bool = True) -> Iterator[tuple[int, Chunk, dict[int, list[tuple[int, bytes]]], dict]]:
+    """Number, words and answers by round of each chunk, and the row itself."""
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {n: batch.column(n)[k].as_py() for n in ("chunk", "ids", "sizes", "packed", *more)}
-            yield row["chunk"], *unpack_chunk(row["ids"], row["sizes"], row["packed"]), *([(b["place"], b["bits"]) for b in row[n] or []] for n in more)
+            row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+            chunk = Chunk(unpacked(row["ids"], np.int64), unpacked(row["counts"], np.uint32).astype(np.int64), unpacked(row["codes"], np.uint32), unpacked(row["words"], WORD_ENTRY))
+            answers: dict[int, list[tuple[int, bytes]]] = {}
+            for a in (row.get("answers") or []) if with_answers else []:
+                answers.setdefault(a["round"], []).append((a["place"], a["bits"]))
+            yield row["chunk"], chunk, answers, row
+
 
+def parsed(chunk: Chunk, answers: dict[int, list[tuple[int, bytes]]], rounds: int) -> Parse:
+    """The parse after so many rounds; each round's entries are made again from the names of those before it."""
+    parse = Parse(chunk, names_of(answers.get(0, []), 0, len(chunk.table)))
+    for k in range(1, rounds):
+        parse.add(names_of(answers.get(k, []), k, len(parse.waits.keys)))
+    return parse
 
-def removed_words(words: Words, begin: np.ndarray) -> np.ndarray:
+
+def removed_words(slot: np.ndarray, slots: int, begin: np.ndarray) -> np.ndarray:
     """A flag for each word: a removed window (given by its first slot) covers it."""
-    change = np.zeros(words.slots + WINDOW + 1, np.int32)
-    np.add.at(change, begin, 1)
-    np.add.at(change, begin + WINDOW, -1)
-    return (np.cumsum(change) > 0)[words.slot]
+    change = np.bincount(begin, minlength=slots + WINDOW + 1) - np.bincount(begin + WINDOW, minlength=slots + WINDOW + 1)
+    return (np.cumsum(change) > 0)[slot]
 
 
 def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (and kept, the words left) of every row."""
     parts = common.partitions_for(df, RANGE_BYTES)
-    packed = common.cut(chunks(df, chunk_bytes))
+    packed = common.scratch_table(chunks(df, chunk_bytes), "chunks")
+    words = packed.select("chunk", "ids", "counts", "codes", "words")
+
+    def send_words(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for which, chunk, _, _ in chunk_rows(batches, False):
+            entries = chunk.word_entries()
+            yield sent_batch([(p, which, pack(entries[s:e].tobytes())) for p, s, e in sliced(place_of(entries["a"], parts), parts)])
+
+    def send_symbols(rounds: int):
+        def send(batches):
+            for which, chunk, answers, _ in chunk_rows(batches):
+                entries = parsed(chunk, answers, rounds).waits.entries(chunk.doc)
+                yield sent_batch([(p, which, entries[s:e].tobytes()) for p, s, e in sliced(place_of(entries, parts), parts)])
 
-    def send_anchors(batches):
-        for chunk, ids, texts in chunk_rows(batches):
-            names, twice = anchor_entries(*anchors(Words(texts)), ids)
-            entries, place = (names & ~U(1)) | twice.astype(U), place_of(names, parts)
-            yield sent_batch([(p, chunk, entries[s:e].tobytes()) for p, s, e in sliced(place, parts)])
+        return send
 
     def send_windows(batches):
-        for chunk, ids, texts, bits in chunk_rows(batches, "anchor_bits"):
-            words = Words(texts)
-            begin, doc, name = anchors(words)
-            *_, distinct, least = windows_of_shared(words, begin, doc, name, gathered(bits, len(np.unique(name))), ids)
-            entries = np.empty(len(distinct), WINDOW_ENTRY)
-            entries["a"], entries["b"], entries["least"] = distinct["a"], distinct["b"], least
-            yield sent_batch([(p, chunk, pack_windows(entries[s:e])) for p, s, e in sliced(place_of(distinct["a"], parts), parts)])
+        for which, chunk, answers, _ in chunk_rows(batches):
+            groups = Groups(chunk, parsed(chunk, answers, LEVELS + 1))
+            yield sent_batch([(p, which, groups.packed(s, e)) for p, s, e in sliced(groups.places(parts), parts)])
 
     def finish(batches):
-        for _, ids, texts, anchor_bits, window_bits in chunk_rows(batches, "anchor_bits", "window_bits"):
-            words = Words(texts)
-            begin, doc, name = anchors(words)
-            begin, doc, rank, distinct, least = windows_of_shared(words, begin, doc, name, gathered(anchor_bits, len(np.unique(name))), ids)
-            elsewhere = gathered(window_bits, len(distinct))
-            gone = removed_words(words, begin[elsewhere[rank] | (ids[doc] > least[rank])] if len(begin) else begin)
+        for _, chunk, answers, row in chunk_rows(batches):
+            groups = Groups(chunk, parsed(chunk, answers, LEVELS + 1))
+            gone = removed_words(chunk.slot, chunk.slots, groups.removed(gathered(answers.get(LEVELS + 1, []), int(groups.size[groups.first].sum()))))
+            data, ends, ids = zstandard.ZstdDecompressor().decompress(row["packed"]), np.cumsum(unpacked(row["sizes"], np.int64)).tolist(), chunk.ids
+            counts = np.bincount(chunk.owner, minlength=len(ids))
+            lost = np.bincount(chunk.owner, weights=gone, minlength=len(ids)).astype(np.int64)
+            first = (np.cumsum(counts) - counts).tolist()
             out: dict[str, list] = {n: [] for n in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")}
-            lost = np.bincount(words.owner, weights=gone, minlength=len(texts)).astype(np.int64)
-            for k, text in enumerate(texts):
-                of_text = text.split()
+            for k, (start, stop) in enumerate(zip([0, *ends], ends, strict=False)):
+                of_text = data[start:stop].split()
                 if lost[k]:
-                    stay = ~gone[words.first[k] : words.first[k] + words.count[k]]
-                    of_text = [w for w, s in zip(of_text, stay.tolist(), strict=True) if s]
+                    of_text = [w for w, g in zip(of_text, gone[first[k] : first[k] + counts[k]].tolist(), strict=True) if not g]
                 kept = b" ".join(of_text)
-                for n, v in zip(out, (None if ids[k] == common.NO_ID else int(ids[k]), int(words.count[k]), int(lost[k]), sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None), strict=True):
+                for n, v in zip(out, (None if ids[k] == common.NO_ID else int(ids[k]), int(counts[k]), int(lost[k]), sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None), strict=True):
                     out[n].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    def beside(bits: DataFrame, *names: str) -> DataFrame:
-        """The chunks with their answers, which are broadcast as long as they are few bytes."""
-        sizes = [F.coalesce(F.aggregate(F.coalesce(n, F.array()), F.lit(0).cast("long"), lambda t, b: t + F.octet_length(b["bits"]) + 64), F.lit(0)) for n in names]
-        total = bits.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
-        return packed.join(F.broadcast(bits) if total <= BROADCAST_BYTES else bits, "chunk", "left")
-
-    anchor_bits = judged(packed.mapInArrow(common.lean(send_anchors), SENT), parts, judge_anchors).withColumnRenamed("bits", "anchor_bits")
-    asked = beside(anchor_bits, "anchor_bits")
-    window_bits = judged(asked.mapInArrow(common.lean(send_windows), SENT), parts, judge_windows).withColumnRenamed("bits", "window_bits")
-    both = anchor_bits.join(window_bits, "chunk", "left")
-    done = beside(both, "anchor_bits", "window_bits").mapInArrow(common.lean(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    def beside(table: DataFrame, answers: DataFrame) -> DataFrame:
+        """The chunks with their answers of all rounds so far, which are broadcast as long as they are few bytes."""
+        total = answers.agg(F.sum(F.octet_length("bits") + 64)).first()[0] or 0
+        own = answers.groupBy("chunk").agg(F.collect_list(F.struct("round", "place", "bits")).alias("answers"))
+        return table.join(F.broadcast(own) if total <= BROADCAST_BYTES else own, "chunk", "left")
+
+    answers = judged(words.mapInArrow(common.lean(send_words), SENT), parts, judge_words).withColumn("round", F.lit(0))
+    for k in range(1, LEVELS + 1):
+        made = judged(beside(words, answers).mapInArrow(common.lean(send_symbols(k)), SENT), parts, judge_symbols)
+        answers = answers.unionByName(made.withColumn("round", F.lit(k)))
+    made = judged(beside(words, answers).mapInArrow(common.lean(send_windows), SENT), parts, judge_windows)
+    done = beside(packed, answers.unionByName(made.withColumn("round", F.lit(LEVELS + 1)))).mapInArrow(common.lean(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if with_text else done.drop("kept")

@@ -76,17 +76,49 @@ def test_substring_on_sample_and_awkward(spark):
     assert substring.remove_repeats(empty(spark)).collect() == []
 
 
-def test_equal_windows_choose_equal_anchors():
+def chunk_of(texts: list[bytes]) -> substring.Chunk:
+    words = substring.Words(texts)
+    both = np.empty(len(words.slot), substring.WORD_ENTRY)
+    both["a"], both["b"] = (words.hashes(b)[words.slot] for b in substring.BASES)
+    table, codes = np.unique(both, return_inverse=True)
+    return substring.Chunk(np.arange(len(texts)), words.count, codes, table)
+
+
+def test_rounds_give_equal_windows_equal_symbols_and_leaders():
+    """Rounds in one place: what several documents share gets names, and windows of equal words get one leader."""
     rng = np.random.default_rng(0)
-    for _ in range(200):
+    for _ in range(60):
         alphabet = rng.integers(2, 8)
         window = [b"%d" % x for x in rng.integers(0, alphabet, 13)]
-        names = set()
-        for _ in range(3):
+        texts, starts = [], []
+        for _ in range(4):
             before, after = ([b"%d" % x for x in rng.integers(0, alphabet, rng.integers(0, 20))] for _ in range(2))
-            words = substring.Words([b" ".join([*before, *window, *after])])
-            names.add(int(substring.anchors(words)[2][len(before)]))
-        assert len(names) == 1
+            texts.append(b" ".join([*before, *window, *after]))
+            starts.append(len(before))
+        chunk = chunk_of(texts)
+        answer = substring.judge_words([substring.zstandard.ZstdCompressor().compress(chunk.word_entries().tobytes())])
+        parse = substring.Parse(chunk, substring.names_of([(0, answer[0])], 0, len(chunk.table)))
+        for k in range(1, substring.LEVELS + 1):
+            entries = parse.waits.entries(chunk.doc)
+            parse.add(substring.names_of([(0, substring.judge_symbols([entries.tobytes()])[0])] if len(entries) else [], k, len(parse.waits.keys)))
+        first = [int(chunk.slot[np.flatnonzero(chunk.owner == d)[0]]) + s for d, s in enumerate(starts)]
+        begin = parse.windows()
+        assert set(first) <= set(begin.tolist())
+        names, _ = substring.leaders(parse.levels, begin)
+        assert len({int(names[begin.tolist().index(f)]) for f in first}) == 1
+        for level in parse.levels:
+            inside = [level.name[(level.low >= f) & (level.high < f + 13)].tolist() for f in first]
+            assert all(x == inside[0] for x in inside) and 0 not in inside[0]
+
+
+def test_windows_are_compared_by_words(monkeypatch):
+    """With a digest that says nothing, words alone still tell windows apart."""
+    monkeypatch.setattr(substring, "mix", lambda x: np.zeros_like(x))
+    size, pack = np.array([2, 1], np.uint8), substring.zstandard.ZstdCompressor().compress
+    blob = lambda least, *words: len(least).to_bytes(4, "little") + pack(size[: len(least)].tobytes() + np.array(least, np.int64).tobytes() + np.concatenate(words).astype(np.uint64).tobytes())
+    a = np.arange(1, 15)
+    one, two = substring.judge_windows([blob([5], a), blob([7, 3], a, np.append(a[1:13], 99))])
+    assert [np.unpackbits(np.frombuffer(x[4:], np.uint8), count=n).tolist() for x, n in ((one, 2), (two, 3))] == [[0, 0], [1, 1, 0]]
 
 
 # -- BPE -------------------------------------------------------------------------------------------
