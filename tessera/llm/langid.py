@@ -2,14 +2,15 @@
 
 Texts become normalised TF-IDF vectors of hashed character bigrams and trigrams.  For each language the
 vectors of a bounded, hash-chosen sample are clustered (spherical k-means) into a few centroids; a text
-gets the language of the centroid with the highest cosine, and is rejected where even that is farther
-than `reject_ratio` of the least cosine seen on the sample allows.
+gets the language of the centroid with the highest cosine, and is rejected where that cosine is below
+`reject_ratio` times what all but 1 % of the language's sample rows reach, measured on rows left out of
+the clusters; the floor falls with the root of the length for texts of under 100 letters.
 
 Fitting reads at most `max_sample` labelled rows (documented bound; the vectors of these rows, not
 their texts, go to the driver).  Prediction is one narrow pass over all rows and whole texts.
 
 Defined results
-    null text or a text without a letter   language `und`, score 0, rejected
+    null text or a text without a letter   language `und`, score 0, rejected; marks alone are no letters
     letters but no known n-gram            the first language, score 0, rejected
     no labelled row to learn from          `und`, score 0, rejected
     null doc_id                            never learned from; held out
@@ -35,6 +36,8 @@ from . import common
 
 UNKNOWN = "und"
 BUCKETS = 1 << 18
+#: A text of fewer letters can meet few of a centroid's n-grams, so its floor falls with the root of its length.
+SHORT = 100
 BLOCK_CHARS, BLOCK_DOCS = 600_000, 256
 
 _letters: np.ndarray | None = None
@@ -49,28 +52,29 @@ class Centroids:
     idf: np.ndarray
     vectors: np.ndarray  # one unit row a centroid
     owner: np.ndarray  # the language of each centroid
-    floor: float  # lesser cosines are rejected
+    floor: np.ndarray  # of each language; lesser cosines are rejected
 
 
 def letters() -> np.ndarray:
-    """True for the code points of letters and of marks that belong to them; built once a worker."""
+    """1 for the code points of letters, 2 for those of marks, which belong to the letter before them; built once a worker."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+        _letters = np.fromiter(("LM".find(unicodedata.category(chr(c))[0]) + 1 for c in range(0x110000)), np.uint8, 0x110000)
     return _letters
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, hash bucket) of every n-gram, and whether each text has a letter.
+    """(text index, hash bucket) of every n-gram, and how many letters each text has.
 
-    Every letter gives the trigram around it, with a blank for what is not a letter, and the bigram with
-    the letter after it.
+    Every letter or mark gives the trigram around it, with a blank for what is neither, and the bigram with
+    the one after it.  A text of marks alone has no letter.
     """
     low = [t.lower() for t in texts]
     code = np.frombuffer("  ".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 2 for t in low])
     doc = np.concatenate([np.zeros(2, np.int32), doc])[: len(code)]
-    is_letter = letters()[code]
+    kind = letters()[code]
+    is_letter = kind > 0
     a = np.where(is_letter, code, 32).astype(np.uint64)
     at = np.flatnonzero(is_letter)
     tri = (a[at - 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[at] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (a[at + 1] * np.uint64(0x165667B19E3779F9))
@@ -79,8 +83,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashed = np.concatenate([tri, two])
     hashed ^= hashed >> np.uint64(29)
     hashed *= np.uint64(0xBF58476D1CE4E5B9)
-    has = np.zeros(len(low), bool)
-    has[doc[at]] = True
+    has = np.bincount(doc[kind == 1], minlength=len(low))
     return np.concatenate([doc[at], doc[both]]), (hashed >> np.uint64(46)).astype(np.int32), has
 
 
@@ -105,15 +108,20 @@ def held_out() -> Column:
 def sample_vectors(df: DataFrame, max_sample: int) -> list:
     """(lang, buckets, counts) of at most max_sample labelled rows, as many of each language as fit.
 
-    The rows with the least hash of their doc_id are taken: first by id and language alone, then the
-    texts of these few ids are counted where they lie.
+    Rows are taken by the hash of their id and text.  A first pass counts the languages; the rows whose hash lies under
+    twice the share that is wanted of their language are few, and only these are ranked.  Equal rows count as one.  Of
+    more languages than fit the most frequent are learned.  Then the texts of the chosen rows are counted where they lie.
     """
     learn = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(~held_out() & F.col("lang").isNotNull())
-    n_langs = learn.agg(F.countDistinct("lang")).first()[0]
-    each = min(1000, max(1, max_sample // max(1, n_langs)))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = learn.select("doc_id", "lang").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= each).orderBy("nth", "lang").limit(max_sample).select("doc_id")
-    chosen = learn.join(F.broadcast(ids.distinct()), "doc_id").dropDuplicates(["doc_id"])
+    learn = learn.withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.orderBy(F.col("n").desc(), "lang").limit(max_sample).toArrow().to_pydict()
+    each = max(1, max_sample // max(1, len(per["lang"])))
+    share = learn.sparkSession.createDataFrame([(lang, 2.0 * each / n) for lang, n in zip(per["lang"], per["n"], strict=True)], "lang string, share double")
+    few = learn.select("doc_id", "lang", "h").join(F.broadcast(share), "lang").where(F.col("share") * 2.0**63 >= F.abs("h")).select("doc_id", "lang", "h").distinct()
+    by_hash = Window.partitionBy("lang").orderBy("h", "doc_id")
+    keys = few.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= each).select("doc_id", "lang", "h")
+    chosen = learn.join(F.broadcast(keys), ["doc_id", "lang", "h"]).dropDuplicates(["doc_id", "lang", "h"])
 
     def count(batches):
         for batch in batches:
@@ -128,7 +136,7 @@ def sample_vectors(df: DataFrame, max_sample: int) -> list:
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["lang"], pa.string()), pa.array(out["buckets"], pa.list_(pa.int32())), pa.array(out["counts"], pa.list_(pa.int32()))], names=list(out))
 
     rows = chosen.select("doc_id", "lang", "text").mapInArrow(common.lean(count), "doc_id long, lang string, buckets array<int>, counts array<int>").toArrow().to_pydict()
-    order = sorted(range(len(rows["doc_id"])), key=rows["doc_id"].__getitem__)
+    order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["lang"][i], rows["buckets"][i], rows["counts"][i]))
     return [(rows["lang"][i], np.array(rows["buckets"][i], np.int32), np.array(rows["counts"][i], np.int32)) for i in order]
 
 
@@ -151,7 +159,7 @@ def fit(df: DataFrame, max_sample: int = 2000, per_language: int = 3, grams_per_
     languages = tuple(sorted({r[0] for r in rows}))
     nothing = np.zeros((0, 0), np.float32)
     if not rows:
-        return Centroids((), np.zeros(0, np.int32), np.zeros(0, np.float32), nothing, np.zeros(0, np.int32), 0.0)
+        return Centroids((), np.zeros(0, np.int32), np.zeros(0, np.float32), nothing, np.zeros(0, np.int32), np.zeros(0))
     df_all = np.zeros(BUCKETS, np.int32)
     chosen: set[int] = set()
     for lang in languages:
@@ -171,10 +179,18 @@ def fit(df: DataFrame, max_sample: int = 2000, per_language: int = 3, grams_per_
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     x /= np.maximum(norm, 1e-12)
     labels = np.array([languages.index(r[0]) for r in rows])
-    parts = [spherical_kmeans(x[labels == k], per_language) for k in range(len(languages))]
-    vectors = np.concatenate(parts)
-    floor = reject_ratio * float((x[norm[:, 0] > 0] @ vectors.T).max(axis=1).min(initial=1.0))
-    return Centroids(languages, vocabulary, idf, vectors, np.repeat(np.arange(len(languages)), [len(p) for p in parts]), floor)
+    # every fifth row of a language is left out of its clusters and tells how near its texts come to them
+    nth = np.zeros(len(rows), np.int64)
+    for k in range(len(languages)):
+        nth[labels == k] = np.arange((labels == k).sum())
+    apart = nth % 5 == 4
+    parts = [spherical_kmeans(x[(labels == k) & ~apart], per_language) for k in range(len(languages))]
+    floors = []
+    for k, centres in enumerate(parts):
+        asked = (labels == k) & (norm[:, 0] > 0)
+        near = (x[asked & apart if (asked & apart).any() else asked] @ centres.T).max(axis=1)
+        floors.append(reject_ratio * float(np.quantile(near, 0.01)) if len(near) else 0.0)
+    return Centroids(languages, vocabulary, idf, np.concatenate(parts), np.repeat(np.arange(len(languages)), [len(p) for p in parts]), np.array(floors))
 
 
 def scores(texts: list[str | None], model: Centroids) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -197,7 +213,7 @@ def scores(texts: list[str | None], model: Centroids) -> tuple[list[str], np.nda
             i = first + int(k)
             names[i] = model.languages[model.owner[top[k]]]
             best[i] = round(min(1.0, max(0.0, float(cosine[k, top[k]]))), 6)
-            rejected[i] = norm[k] == 0 or best[i] < model.floor
+            rejected[i] = norm[k] == 0 or best[i] < model.floor[model.owner[top[k]]] * min(1.0, (has[k] / SHORT) ** 0.5)
     return names, best, rejected
 
 
