@@ -12,7 +12,7 @@ words that decides it (its context).  What no two documents share gets no name.
 beside it, and no window that holds its context can repeat, so later levels work on what is left.
 
 1. Documents are packed into chunks of about `chunk_bytes`, written once: the texts, and the words as numbers
-   into the chunk's table of distinct words (128-bit digests).
+   into the chunk's table of distinct words (96-bit digests).
 2. A round names the words, `LEVELS` more name runs and pairs.
 3. A window that holds no unnamed symbol is led by one of its interior symbols, of the highest level that has
    any, the one that comes first in a random order of names; so equal windows have equal leaders.
@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-LEVELS = 4  # of runs and pairs; a symbol of the last stands for three words or more on average
+LEVELS = 3  # of runs and pairs; the contexts of a fourth are longer than a window, so none of its symbols would be interior
 CHUNK_BYTES = 3 << 20
 RANGE_BYTES = 16 << 20  # of input for one range of names
 LONG_WORD = 32  # bytes; longer words are hashed one by one
@@ -158,6 +158,18 @@ class Level:
     def __init__(self, name: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray):
         self.name, self.at, self.low, self.high = name, at, low, high
 
+    def within(self, windows: np.ndarray, slots: int) -> Level:
+        """Without the names of symbols that lie in none of the windows; of stretches without names the ends stay."""
+        upto = np.concatenate([[0], np.cumsum(np.bincount(windows, minlength=slots))])
+        held = (self.high - self.low < WINDOW) & (upto[self.low + 1] > upto[np.maximum(self.high - WINDOW + 1, 0)])
+        name = np.where(held, self.name, U(0))
+        known = name != 0
+        keep = known.copy()
+        keep[1:] |= known[:-1]
+        keep[:-1] |= known[1:]
+        keep[0] = True  # a level is never empty
+        return Level(*(x[keep] for x in (name, self.at, self.low, self.high)))
+
     def step(self, level: int) -> Step:
         """Runs, then pairs, with a key for each that needs a name."""
         n = len(self.name)
@@ -197,16 +209,11 @@ class Step(Level):
         return (self.keys << U(1)) | two_documents(self.of_key, doc[self.at[self.asked]], len(self.keys)).astype(U)
 
     def named(self, names: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
-        """The level with the round's names, and low and high of the symbols that got none.  Of their stretches the ends stay."""
+        """The level with the round's names, and low and high of the symbols that got none."""
         name = self.name.copy()
         name[self.asked] = names[self.of_key]
         lost = self.asked & (name == 0)
-        known = name != 0
-        keep = known.copy()
-        keep[1:] |= known[:-1]
-        keep[:-1] |= known[1:]
-        keep[0] = True  # a level is never empty
-        return Level(*(x[keep] for x in (name, self.at, self.low, self.high))), self.low[lost], self.high[lost]
+        return Level(name, self.at, self.low, self.high), self.low[lost], self.high[lost]
 
 
 def two_documents(inverse: np.ndarray, ids: np.ndarray, count: int) -> np.ndarray:
@@ -217,7 +224,7 @@ def two_documents(inverse: np.ndarray, ids: np.ndarray, count: int) -> np.ndarra
     return low < high
 
 
-WORD_ENTRY = np.dtype([("a", "<u8"), ("b", "<u8")])
+WORD_ENTRY = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 class Chunk:
@@ -232,7 +239,7 @@ class Chunk:
     def word_entries(self) -> np.ndarray:
         """The table; the lowest bit of b says whether two documents of the chunk have the word."""
         out = self.table.copy()
-        out["b"] = (out["b"] & ~U(1)) | two_documents(self.codes, self.ids[self.owner], len(out)).astype(U)
+        out["b"] = (out["b"] & ~np.uint32(1)) | two_documents(self.codes, self.ids[self.owner], len(out))
         return out
 
 
@@ -241,12 +248,18 @@ class Parse:
 
     def __init__(self, chunk: Chunk, names: np.ndarray):
         """names: of the words of the table, 0 for those without."""
-        name, every = np.zeros(chunk.slots, U), np.arange(chunk.slots)
-        name[chunk.slot] = names[chunk.codes]
-        self.levels = [Level(name, every, every, every)]
+        self.word, every = np.zeros(chunk.slots, U), np.arange(chunk.slots)
+        self.word[chunk.slot] = names[chunk.codes]
         self.change = np.zeros(chunk.slots + 1, np.int64)
-        self.rule_out(every[name == 0], every[name == 0])
-        self.waits = self.levels[0].step(0)
+        self.levels: list[Level] = []
+        dead = every[self.word == 0]
+        self.take(Level(self.word, every, every, every), dead, dead)
+
+    def take(self, level: Level, low: np.ndarray, high: np.ndarray) -> None:
+        """The next level, without what lies in no window that may repeat; low and high: of symbols that a round gave no name."""
+        self.rule_out(low, high)
+        self.levels.append(level.within(self.windows(), len(self.word)))
+        self.waits = self.levels[-1].step(len(self.levels) - 1)
 
     def rule_out(self, low: np.ndarray, high: np.ndarray) -> None:
         inside = high - low < WINDOW
@@ -255,10 +268,7 @@ class Parse:
 
     def add(self, names: np.ndarray) -> None:
         """names: of the entries of `waits`, in order."""
-        level, low, high = self.waits.named(names)
-        self.rule_out(low, high)
-        self.levels.append(level)
-        self.waits = level.step(len(self.levels) - 1)
+        self.take(*self.waits.named(names))
 
     def windows(self) -> np.ndarray:
         """First slots of the windows that may repeat."""
@@ -269,7 +279,7 @@ class Groups:
     """Neighbouring windows of a chunk under one leader, and the distinct ones among these groups."""
 
     def __init__(self, chunk: Chunk, parse: Parse):
-        self.word = parse.levels[0].name
+        self.word = parse.word
         begin = parse.windows()
         leader, at = leaders(parse.levels, begin)
         head = np.flatnonzero(np.concatenate([[True], (begin[1:] != begin[:-1] + 1) | (at[1:] != at[:-1])]))[: len(begin)]
@@ -429,7 +439,7 @@ def chunks(df: DataFrame, chunk_bytes: int) -> DataFrame:
             words = Words(texts)
             both = np.empty(len(words.slot), WORD_ENTRY)
             for name, base in zip("ab", BASES, strict=True):
-                both[name] = words.hashes(base)[words.slot]
+                both[name] = words.hashes(base)[words.slot].astype(both[name].dtype)
             order = np.lexsort((both["b"], both["a"]))
             new = np.concatenate([[True], both[order][1:] != both[order][:-1]])[: len(order)]
             codes = np.empty(len(order), np.uint32)
@@ -487,19 +497,47 @@ def ranked(parts: list[np.ndarray], same: np.ndarray, order: np.ndarray, twice:
     return [naming(x) for x in split_flags(out, [len(p) for p in parts])]
 
 
+def planes(ascending: np.ndarray) -> bytes:
+    """Ascending 64-bit words as differences, byte after byte of all: the high ones are small and compress."""
+    return np.diff(ascending, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes, count: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * count).reshape(8, count).T).view("<u8").ravel(), dtype=U)
+
+
+def pack_words(entries: np.ndarray) -> bytes:
+    return len(entries).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(planes(entries["a"]) + entries["b"].tobytes())
+
+
+def unpack_words(blob: bytes) -> np.ndarray:
+    n, data = int.from_bytes(blob[:4], "little"), zstandard.ZstdDecompressor().decompress(blob[4:])
+    out = np.empty(n, WORD_ENTRY)
+    out["a"], out["b"] = from_planes(data, n), np.frombuffer(data, np.uint32, n, 8 * n)
+    return out
+
+
+def pack_symbols(entries: np.ndarray) -> bytes:
+    return len(entries).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(planes(entries))
+
+
+def unpack_symbols(blob: bytes) -> np.ndarray:
+    return from_planes(zstandard.ZstdDecompressor().decompress(blob[4:]), int.from_bytes(blob[:4], "little"))
+
+
 def judge_words(blobs: list[bytes]) -> list[bytes]:
     """Names of words that one chunk has in two documents, or that two chunks sent."""
-    parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), WORD_ENTRY) for b in blobs]
+    parts = [unpack_words(b) for b in blobs]
     entries = np.concatenate(parts)
-    a, b = entries["a"], entries["b"] >> U(1)
+    a, b = entries["a"], entries["b"] >> np.uint32(1)
     order = np.lexsort((b, a))
     same = np.concatenate([[False], (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])])
-    return ranked(parts, same, order, (entries["b"] & U(1)).astype(bool))
+    return ranked(parts, same, order, (entries["b"] & np.uint32(1)).astype(bool))
 
 
 def judge_symbols(blobs: list[bytes]) -> list[bytes]:
     """Names of runs and pairs that one chunk has in two documents, or that two chunks sent."""
-    parts = [np.frombuffer(b, U) for b in blobs]
+    parts = [unpack_symbols(b) for b in blobs]
     entries = np.concatenate(parts)
     keys = entries >> U(1)
     order = np.argsort(keys, kind="stable")
@@ -578,16 +616,15 @@ def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: boo
     words = packed.select("chunk", "ids", "counts", "codes", "words")
 
     def send_words(batches):
-        pack = zstandard.ZstdCompressor(level=1).compress
         for which, chunk, _, _ in chunk_rows(batches, False):
             entries = chunk.word_entries()
-            yield sent_batch([(p, which, pack(entries[s:e].tobytes())) for p, s, e in sliced(place_of(entries["a"], parts), parts)])
+            yield sent_batch([(p, which, pack_words(entries[s:e])) for p, s, e in sliced(place_of(entries["a"], parts), parts)])
 
     def send_symbols(rounds: int):
         def send(batches):
             for which, chunk, answers, _ in chunk_rows(batches):
                 entries = parsed(chunk, answers, rounds).waits.entries(chunk.doc)
-                yield sent_batch([(p, which, entries[s:e].tobytes()) for p, s, e in sliced(place_of(entries, parts), parts)])
+                yield sent_batch([(p, which, pack_symbols(entries[s:e])) for p, s, e in sliced(place_of(entries, parts), parts)])
 
         return send
 

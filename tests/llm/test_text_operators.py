@@ -7,6 +7,7 @@ import math
 import random
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from hashlib import sha256
 
@@ -79,7 +80,8 @@ def test_substring_on_sample_and_awkward(spark):
 def chunk_of(texts: list[bytes]) -> substring.Chunk:
     words = substring.Words(texts)
     both = np.empty(len(words.slot), substring.WORD_ENTRY)
-    both["a"], both["b"] = (words.hashes(b)[words.slot] for b in substring.BASES)
+    for name, base in zip("ab", substring.BASES, strict=True):
+        both[name] = words.hashes(base)[words.slot].astype(both[name].dtype)
     table, codes = np.unique(both, return_inverse=True)
     return substring.Chunk(np.arange(len(texts)), words.count, codes, table)
 
@@ -96,19 +98,19 @@ def test_rounds_give_equal_windows_equal_symbols_and_leaders():
             texts.append(b" ".join([*before, *window, *after]))
             starts.append(len(before))
         chunk = chunk_of(texts)
-        answer = substring.judge_words([substring.zstandard.ZstdCompressor().compress(chunk.word_entries().tobytes())])
+        answer = substring.judge_words([substring.pack_words(chunk.word_entries())])
         parse = substring.Parse(chunk, substring.names_of([(0, answer[0])], 0, len(chunk.table)))
         for k in range(1, substring.LEVELS + 1):
             entries = parse.waits.entries(chunk.doc)
-            parse.add(substring.names_of([(0, substring.judge_symbols([entries.tobytes()])[0])] if len(entries) else [], k, len(parse.waits.keys)))
+            parse.add(substring.names_of([(0, substring.judge_symbols([substring.pack_symbols(entries)])[0])] if len(entries) else [], k, len(parse.waits.keys)))
         first = [int(chunk.slot[np.flatnonzero(chunk.owner == d)[0]]) + s for d, s in enumerate(starts)]
         begin = parse.windows()
         assert set(first) <= set(begin.tolist())
         names, _ = substring.leaders(parse.levels, begin)
         assert len({int(names[begin.tolist().index(f)]) for f in first}) == 1
         for level in parse.levels:
-            inside = [level.name[(level.low >= f) & (level.high < f + 13)].tolist() for f in first]
-            assert all(x == inside[0] for x in inside) and 0 not in inside[0]
+            inside = [level.name[(level.low >= f) & (level.high < f + 13) & (level.name > 0)].tolist() for f in first]
+            assert all(x == inside[0] for x in inside)
 
 
 def test_windows_are_compared_by_words(monkeypatch):
@@ -369,6 +371,55 @@ def test_langid_held_out_accuracy(spark):
     assert not any(r.rejected for r in rows)
 
 
+def plain_grams(text: str) -> Counter:
+    """Buckets of all bigrams and trigrams, one after the other."""
+    kind = lambda c: unicodedata.category(c)[0]
+    code = [ord(c) if kind(c) in "LM" else 32 for c in f"  {text.lower()}  "]
+    out, m = Counter(), 2**64 - 1
+    for k, c in enumerate(f"  {text.lower()}  "):
+        if kind(c) not in "LM":
+            continue
+        found = [(code[k - 1] * 0x9E3779B97F4A7C15 & m) ^ (code[k] * 0xC2B2AE3D27D4EB4F & m) ^ (code[k + 1] * 0x165667B19E3779F9 & m)]
+        if code[k + 1] != 32:
+            found.append((code[k] * 0xD6E8FEB86659FD93 & m) ^ (code[k + 1] * 0xA0761D6478BD642F & m))
+        out.update(((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & m) >> 46 for h in found)
+    return out
+
+
+def test_langid_equals_brute_force(spark):
+    df, pdf = sample(spark)
+    model = langid.fit(df)
+    place = {b: k for k, b in enumerate(model.vocabulary.tolist())}
+    again = langid.fit(df)
+    assert (model.vectors == again.vectors).all() and (model.floor == again.floor).all()
+    rows = [*langid.predict(df, model).collect(), *(r for r in langid.predict(awkward(spark), model).collect() if r.doc_id in (4, 8, 11, 13))]
+    texts = {("a", r.doc_id): r.text for r in awkward(spark).collect()} | {("s", i): t for i, t in zip(pdf.doc_id, pdf.text, strict=True)}
+    for n, r in enumerate(rows):
+        text = texts["s" if n < len(pdf) else "a", r.doc_id]
+        x = np.zeros(len(place))
+        for b, c in plain_grams(text).items():
+            if b in place:
+                x[place[b]] = math.log1p(c) * model.idf[place[b]]
+        cosine = model.vectors @ x / max(np.linalg.norm(x), 1e-12)
+        best = cosine.max()
+        assert math.isclose(r.score, min(1, max(0, best)), abs_tol=2e-5)
+        near = {model.languages[model.owner[k]] for k in np.flatnonzero(cosine > best - 1e-5)}
+        assert r.lang_pred in near
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_marks_alone_are_no_letters(spark):
+    df, _ = sample(spark)
+    rows = langid.predict(documents(spark, [(1, "\u0301\u0302", None, None, None), (2, "e\u0301t", None, None, None)]), langid.fit(df)).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in rows} == {1: True, 2: False}
+
+
+def test_langid_sample_is_even_and_counts_equal_rows_once(spark):
+    rows = [(k, f"text {k} of many", "en", "s", 1) for k in range(900)] + [(5000, "one row again and again", "en", "s", 1)] * 400 + [(10_000 + k, f"texte {k}", "fr", "s", 1) for k in range(30)]
+    got = Counter(r[0] for r in langid.sample_vectors(documents(spark, rows), 100))
+    assert got["en"] == 50 and got["fr"] >= 15
+
+
 def test_langid_awkward(spark):
     df, _ = sample(spark)
     model = langid.fit(df)
