@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 KNOWN = 200_000
-ENCODE_KNOWN = 40_000
+ENCODE_KNOWN = 15_000
 INDEXED = 100_000
 FREQUENT = 1500  # ranks below it have long lists of positions, which are merged as arrays
 PLAIN = re.compile(rb"[\x21-\x7e]+")
@@ -320,6 +320,7 @@ def codec_at(path: str) -> WordCodec:
     """One codec a worker process and file."""
     if path not in _codecs:
         _codecs[path] = WordCodec(path)
+        common.give_back()
     return _codecs[path]
 
 
@@ -349,6 +350,7 @@ def encode(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         codec = WordCodec(path)  # ids and strings are larger than digests, so nothing outlives the partition
+        common.give_back()  # what parsing the file took
         memory = Remembered(codec, lambda ids: (len(ids), np.array(ids, np.int32).tobytes(), codec.decode(ids)), ENCODE_KNOWN)
         for batch in batches:
             lengths = pc.binary_length(batch.column("text")).to_pylist()

@@ -17,6 +17,7 @@ LOCAL_SCRATCH = "/tmp/checkpoints/tessera"
 WORD = r"[^\x20\x09-\x0D]+"
 
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = 1000
 
 #: Stands for a missing doc_id where an ordering is needed: such rows come first.
 NO_ID = -(2**63)
@@ -96,13 +97,20 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return max(1, least, -(-(plan_bytes(df) or 0) // bytes_each))
 
 
-def id_and_text(df: DataFrame) -> DataFrame:
-    """doc_id (long) and text (string) under names that no input column can clash with."""
+def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Rows of a batch that Spark hands to Python: the JVM and the worker each hold it whole, and texts are large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def id_and_text(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """doc_id (long) and text (string) under names that no input column can clash with, for batches of so many rows."""
+    batch_rows(df.sparkSession, rows)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def map_by_place(df: DataFrame, run) -> DataFrame:
     """mapInArrow from df's columns to columns of the same schema, for tables in which names may repeat; batches name columns by place."""
+    batch_rows(df.sparkSession)
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
     return plain.mapInArrow(lean(run), plain.schema).toDF(*df.columns)
 

@@ -54,6 +54,7 @@ MAGIC = b"TRNS"
 HEAD = struct.Struct("<4sBBHIIIQI")
 BLOCK = np.dtype([("first", "<u8"), ("tokens", "<u4"), ("offset", "<u8"), ("words", "<u4"), ("crc", "<u4")])
 U = np.uint64
+LIBRARY_ROWS = 10_000  # of a batch: the more at once, the fewer cuts are looked up twice
 DENSE = 1 << 20  # ids below it are counted and looked up in arrays
 
 
@@ -367,7 +368,7 @@ def tokens(df: DataFrame, path: str, splits: list[int], end: int = 0) -> DataFra
                 made = [b"".join((kind, x, tail)) for x in codec.packed(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([pa.array(place[a:b].astype(np.int32)), pa.array(ids[a:b]), pa.array(made, pa.binary())], names=["place", "doc_id", "ids"])
 
-    return common.id_and_text(df).mapInArrow(run, "place int, doc_id long, ids binary")
+    return common.id_and_text(df, LIBRARY_ROWS).mapInArrow(run, "place int, doc_id long, ids binary")
 
 
 def widen(data: bytes) -> np.ndarray:
@@ -400,7 +401,7 @@ def files_of(rows: Iterable[tuple[int, int, bytes]], limit: int) -> Iterator[tup
 
 def encode_files(df: DataFrame, path: str, end: int = 0, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """The token files of df's documents, in ascending doc_id order by (place, seq)."""
-    docs = common.id_and_text(df)
+    docs = common.id_and_text(df, LIBRARY_ROWS)
     splits, _ = common.range_splits(docs, common.partitions_for(df, RANGE_BYTES))
 
     def run(batches):
