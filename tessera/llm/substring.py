@@ -11,14 +11,14 @@ back.  So equal substrings get equal symbols except near their ends; each symbol
 words that decides it (its context).  What no two documents share gets no name.  It ends every symbol
 beside it, and no window that holds its context can repeat, so later levels work on what is left.
 
-1. Documents are packed into chunks of about `chunk_bytes`, written once: the texts, and the words as numbers
-   into the chunk's table of distinct words (96-bit digests).
-2. A round names the words, `LEVELS` more name runs and pairs.
+1. Documents are packed into chunks of about `chunk_bytes`, written once.
+2. A round names the words, which chunks send as 96-bit digests.  What of a chunk lies in windows all of whose words
+   have names is written as its live part, a tenth of the words or so; `LEVELS` more rounds name its runs and pairs.
 3. A window that holds no unnamed symbol is led by one of its interior symbols, of the highest level that has
    any, the one that comes first in a random order of names; so equal windows have equal leaders.
    Neighbouring windows under one leader go together as one row of word names to the range of the leader.
 4. There windows under equal leaders are compared name by name, and each gets back whether a smaller doc_id
-   has it.  Chunks mark the words of removed windows and hash the rest.
+   has it.  The words of removed windows are marked, and chunks hash the rest.
 
 What is sent is made distinct by chunk, so a passage in a third of all documents is one entry a chunk; no
 list of its occurrences meets in one task.  There are at most as many rows as entries.
@@ -227,33 +227,39 @@ def two_documents(inverse: np.ndarray, ids: np.ndarray, count: int) -> np.ndarra
 WORD_ENTRY = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
-class Chunk:
-    """The words of a chunk as numbers into its ascending table of distinct words."""
+def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending table of a chunk's distinct words, and each word's place in it."""
+    both = np.empty(len(words.slot), WORD_ENTRY)
+    for name, base in zip("ab", BASES, strict=True):
+        both[name] = words.hashes(base)[words.slot].astype(both[name].dtype)
+    order = np.lexsort((both["b"], both["a"]))
+    new = np.concatenate([[True], both[order][1:] != both[order][:-1]])[: len(order)]
+    codes = np.empty(len(order), np.int64)
+    codes[order] = np.cumsum(new) - 1
+    return both[order][new], codes
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, table: np.ndarray):
-        self.ids, self.codes, self.table = ids, codes, table
-        self.slot, self.owner, self.slots = parted(counts)
-        self.doc = np.zeros(self.slots, np.int64)
-        self.doc[self.slot] = ids[self.owner]
 
-    def word_entries(self) -> np.ndarray:
-        """The table; the lowest bit of b says whether two documents of the chunk have the word."""
-        out = self.table.copy()
-        out["b"] = (out["b"] & ~np.uint32(1)) | two_documents(self.codes, self.ids[self.owner], len(out))
-        return out
+def word_entries(table: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The table; the lowest bit of b says whether two documents of the chunk have the word.  ids: of each word's document."""
+    out = table.copy()
+    out["b"] = (out["b"] & ~np.uint32(1)) | two_documents(codes, ids, len(out))
+    return out
 
 
 class Parse:
     """The levels that the rounds' names make of a chunk, and which windows symbols without a name rule out."""
 
-    def __init__(self, chunk: Chunk, names: np.ndarray):
-        """names: of the words of the table, 0 for those without."""
-        self.word, every = np.zeros(chunk.slots, U), np.arange(chunk.slots)
-        self.word[chunk.slot] = names[chunk.codes]
-        self.change = np.zeros(chunk.slots + 1, np.int64)
+    def __init__(self, word: np.ndarray, doc: np.ndarray):
+        """Name (0: none) and document id of each slot."""
+        self.word, self.doc, every = word, doc, np.arange(len(word))
+        self.change = np.zeros(len(word) + 1, np.int64)
         self.levels: list[Level] = []
-        dead = every[self.word == 0]
-        self.take(Level(self.word, every, every, every), dead, dead)
+        dead = every[word == 0]
+        self.take(Level(word, every, every, every), dead, dead)
+
+    def live(self) -> np.ndarray:
+        """Ascending slots that windows which may repeat cover."""
+        return np.flatnonzero(covered(self.windows(), len(self.word)))
 
     def take(self, level: Level, low: np.ndarray, high: np.ndarray) -> None:
         """The next level, without what lies in no window that may repeat; low and high: of symbols that a round gave no name."""
@@ -275,17 +281,23 @@ class Parse:
         return np.flatnonzero(np.cumsum(self.change)[: max(0, len(self.change) - WINDOW)] == 0)
 
 
+def covered(begin: np.ndarray, slots: int) -> np.ndarray:
+    """A flag for each slot: one of the windows (given by first slots) covers it."""
+    change = np.bincount(begin, minlength=slots + WINDOW) - np.bincount(begin + WINDOW, minlength=slots + WINDOW)
+    return np.cumsum(change)[:slots] > 0
+
+
 class Groups:
     """Neighbouring windows of a chunk under one leader, and the distinct ones among these groups."""
 
-    def __init__(self, chunk: Chunk, parse: Parse):
+    def __init__(self, parse: Parse):
         self.word = parse.word
         begin = parse.windows()
         leader, at = leaders(parse.levels, begin)
         head = np.flatnonzero(np.concatenate([[True], (begin[1:] != begin[:-1] + 1) | (at[1:] != at[:-1])]))[: len(begin)]
         self.begin, self.leader = begin[head], leader[head]
         self.size = np.diff(np.append(head, len(begin)))
-        self.doc = chunk.doc[self.begin]
+        self.doc = parse.doc[self.begin]
         ranges = RangeHash(mix(self.word), BASES[0])
         content = ranges.of(self.begin, self.begin + self.size + WINDOW - 1)
         order = np.lexsort((content, mix(self.leader)))
@@ -411,7 +423,8 @@ def answer(flags: np.ndarray) -> bytes:
     return len(flags).to_bytes(4, "little") + np.packbits(flags).tobytes()
 
 
-CHUNK = "chunk long, ids binary, sizes binary, packed binary, counts binary, codes binary, words binary"
+CHUNK = "chunk long, ids binary, sizes binary, packed binary"
+LIVE = "chunk long, slots long, ids binary, counts binary, live binary, names binary"
 SENT = "place int, chunk long, entries binary"
 REPLY = "chunk long, place int, bits binary"
 
@@ -435,18 +448,8 @@ def chunks(df: DataFrame, chunk_bytes: int) -> DataFrame:
         held = 0
 
         def flush():
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            words = Words(texts)
-            both = np.empty(len(words.slot), WORD_ENTRY)
-            for name, base in zip("ab", BASES, strict=True):
-                both[name] = words.hashes(base)[words.slot].astype(both[name].dtype)
-            order = np.lexsort((both["b"], both["a"]))
-            new = np.concatenate([[True], both[order][1:] != both[order][:-1]])[: len(order)]
-            codes = np.empty(len(order), np.uint32)
-            codes[order] = np.cumsum(new) - 1
-            row = np.array(ids, np.int64), sizes, b"".join(texts), words.count.astype(np.uint32), codes, both[order][new]
-            row = [x if isinstance(x, bytes) else x.tobytes() for x in row]
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in row)], names=["chunk", "ids", "sizes", "packed", "counts", "codes", "words"])
+            row = np.array(ids, np.int64).tobytes(), np.fromiter(map(len, texts), np.int64, len(texts)).tobytes(), b"".join(texts)
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in row)], names=["chunk", "ids", "sizes", "packed"])
 
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -583,85 +586,127 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def chunk_rows(batches, with_answers: bool = True) -> Iterator[tuple[int, Chunk, dict[int, list[tuple[int, bytes]]], dict]]:
-    """Number, words and answers by round of each chunk, and the row itself."""
+def rows_of(batches) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-            chunk = Chunk(unpacked(row["ids"], np.int64), unpacked(row["counts"], np.uint32).astype(np.int64), unpacked(row["codes"], np.uint32), unpacked(row["words"], WORD_ENTRY))
-            answers: dict[int, list[tuple[int, bytes]]] = {}
-            for a in (row.get("answers") or []) if with_answers else []:
-                answers.setdefault(a["round"], []).append((a["place"], a["bits"]))
-            yield row["chunk"], chunk, answers, row
-
-
-def parsed(chunk: Chunk, answers: dict[int, list[tuple[int, bytes]]], rounds: int) -> Parse:
-    """The parse after so many rounds; each round's entries are made again from the names of those before it."""
-    parse = Parse(chunk, names_of(answers.get(0, []), 0, len(chunk.table)))
-    for k in range(1, rounds):
-        parse.add(names_of(answers.get(k, []), k, len(parse.waits.keys)))
-    return parse
+            yield {n: batch.column(n)[k].as_py() for n in batch.schema.names}
 
 
-def removed_words(slot: np.ndarray, slots: int, begin: np.ndarray) -> np.ndarray:
-    """A flag for each word: a removed window (given by its first slot) covers it."""
-    change = np.bincount(begin, minlength=slots + WINDOW + 1) - np.bincount(begin + WINDOW, minlength=slots + WINDOW + 1)
-    return (np.cumsum(change) > 0)[slot]
+def texts_of(row: dict) -> tuple[np.ndarray, list[bytes]]:
+    data, ends = zstandard.ZstdDecompressor().decompress(row["packed"]), np.cumsum(unpacked(row["sizes"], np.int64)).tolist()
+    return unpacked(row["ids"], np.int64), [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+
+
+def answers_of(row: dict) -> dict[int, list[tuple[int, bytes]]]:
+    """Answers by round."""
+    out: dict[int, list[tuple[int, bytes]]] = {}
+    for a in row["answers"] or []:
+        out.setdefault(a["round"], []).append((a["place"], a["bits"]))
+    return out
+
+
+def documents_of_slots(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    slot, owner, slots = parted(counts)
+    doc = np.zeros(slots, np.int64)
+    doc[slot] = ids[owner]
+    return doc
+
+
+def live_row(row: dict) -> pa.RecordBatch:
+    """What a chunk keeps for the later rounds: the names of the words in windows that may repeat."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    ids, texts = texts_of(row)
+    words = Words(texts)
+    table, codes = distinct_words(words)
+    name = np.zeros(words.slots, U)
+    name[words.slot] = names_of(answers_of(row).get(0, []), 0, len(table))[codes]
+    parse = Parse(name, documents_of_slots(ids, words.count))
+    live = parse.live()
+    made = row["ids"], pack(words.count.astype(np.uint32).tobytes()), pack(np.diff(live, prepend=0).astype(np.uint32).tobytes()), pack(name[live].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([words.slots], pa.int64()), *(pa.array([x], pa.binary()) for x in made)], names=["chunk", "slots", "ids", "counts", "live", "names"])
+
+
+def parsed(row: dict, rounds: int) -> Parse:
+    """The parse of a live row after so many rounds of runs and pairs; each round's entries are made again from the names of those before it."""
+    word = np.zeros(row["slots"], U)
+    word[np.cumsum(unpacked(row["live"], np.uint32), dtype=np.int64)] = unpacked(row["names"], U)
+    parse = Parse(word, documents_of_slots(unpacked(row["ids"], np.int64), unpacked(row["counts"], np.uint32).astype(np.int64)))
+    answers = answers_of(row) if rounds else {}
+    for k in range(1, rounds + 1):
+        parse.add(names_of(answers.get(k, []), k, len(parse.waits.keys)))
+    return parse
 
 
 def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (and kept, the words left) of every row."""
     parts = common.partitions_for(df, RANGE_BYTES)
     packed = common.scratch_table(chunks(df, chunk_bytes), "chunks")
-    words = packed.select("chunk", "ids", "counts", "codes", "words")
 
     def send_words(batches):
-        for which, chunk, _, _ in chunk_rows(batches, False):
-            entries = chunk.word_entries()
-            yield sent_batch([(p, which, pack_words(entries[s:e])) for p, s, e in sliced(place_of(entries["a"], parts), parts)])
+        for row in rows_of(batches):
+            ids, texts = texts_of(row)
+            words = Words(texts)
+            table, codes = distinct_words(words)
+            entries = word_entries(table, codes, ids[words.owner])
+            yield sent_batch([(p, row["chunk"], pack_words(entries[s:e])) for p, s, e in sliced(place_of(entries["a"], parts), parts)])
+
+    def keep_live(batches):
+        yield from map(live_row, rows_of(batches))
 
     def send_symbols(rounds: int):
         def send(batches):
-            for which, chunk, answers, _ in chunk_rows(batches):
-                entries = parsed(chunk, answers, rounds).waits.entries(chunk.doc)
-                yield sent_batch([(p, which, pack_symbols(entries[s:e])) for p, s, e in sliced(place_of(entries, parts), parts)])
+            for row in rows_of(batches):
+                parse = parsed(row, rounds)
+                entries = parse.waits.entries(parse.doc)
+                yield sent_batch([(p, row["chunk"], pack_symbols(entries[s:e])) for p, s, e in sliced(place_of(entries, parts), parts)])
 
         return send
 
     def send_windows(batches):
-        for which, chunk, answers, _ in chunk_rows(batches):
-            groups = Groups(chunk, parsed(chunk, answers, LEVELS + 1))
-            yield sent_batch([(p, which, groups.packed(s, e)) for p, s, e in sliced(groups.places(parts), parts)])
+        for row in rows_of(batches):
+            groups = Groups(parsed(row, LEVELS))
+            yield sent_batch([(p, row["chunk"], groups.packed(s, e)) for p, s, e in sliced(groups.places(parts), parts)])
+
+    def mark(batches):
+        """chunk and gone: a bit for each word that goes."""
+        for row in rows_of(batches):
+            parse = parsed(row, LEVELS)
+            groups = Groups(parse)
+            begin = groups.removed(gathered(answers_of(row).get(LEVELS + 1, []), int(groups.size[groups.first].sum())))
+            slot, _, slots = parted(unpacked(row["counts"], np.uint32).astype(np.int64))
+            bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(covered(begin, slots)[slot]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([bits], pa.binary())], names=["chunk", "bits"])
 
     def finish(batches):
-        for _, chunk, answers, row in chunk_rows(batches):
-            groups = Groups(chunk, parsed(chunk, answers, LEVELS + 1))
-            gone = removed_words(chunk.slot, chunk.slots, groups.removed(gathered(answers.get(LEVELS + 1, []), int(groups.size[groups.first].sum()))))
-            data, ends, ids = zstandard.ZstdDecompressor().decompress(row["packed"]), np.cumsum(unpacked(row["sizes"], np.int64)).tolist(), chunk.ids
-            counts = np.bincount(chunk.owner, minlength=len(ids))
-            lost = np.bincount(chunk.owner, weights=gone, minlength=len(ids)).astype(np.int64)
-            first = (np.cumsum(counts) - counts).tolist()
+        for row in rows_of(batches):
+            ids, texts = texts_of(row)
+            split = [t.split() for t in texts]
+            ends = np.cumsum([0, *map(len, split)]).tolist()
+            gone = np.unpackbits(unpacked(row["bits"], np.uint8), count=ends[-1]).astype(bool)
             out: dict[str, list] = {n: [] for n in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")}
-            for k, (start, stop) in enumerate(zip([0, *ends], ends, strict=False)):
-                of_text = data[start:stop].split()
-                if lost[k]:
-                    of_text = [w for w, g in zip(of_text, gone[first[k] : first[k] + counts[k]].tolist(), strict=True) if not g]
-                kept = b" ".join(of_text)
-                for n, v in zip(out, (None if ids[k] == common.NO_ID else int(ids[k]), int(counts[k]), int(lost[k]), sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None), strict=True):
+            for k, of_text in enumerate(split):
+                own = gone[ends[k] : ends[k + 1]]
+                lost = int(own.sum())
+                kept = b" ".join([w for w, g in zip(of_text, own.tolist(), strict=True) if not g] if lost else of_text)
+                for n, v in zip(out, (None if ids[k] == common.NO_ID else int(ids[k]), len(of_text), lost, sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None), strict=True):
                     out[n].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    def beside(table: DataFrame, answers: DataFrame) -> DataFrame:
-        """The chunks with their answers of all rounds so far, which are broadcast as long as they are few bytes."""
-        total = answers.agg(F.sum(F.octet_length("bits") + 64)).first()[0] or 0
-        own = answers.groupBy("chunk").agg(F.collect_list(F.struct("round", "place", "bits")).alias("answers"))
+    def joined(table: DataFrame, few: DataFrame) -> DataFrame:
+        """The table with what few has of each chunk, which is broadcast as long as it is few bytes."""
+        size = sum((F.octet_length(c) for c, kind in few.dtypes if kind == "binary"), F.lit(64))
+        total = few.agg(F.sum(size)).first()[0] or 0
+        own = few.groupBy("chunk").agg(F.collect_list(F.struct("round", "place", "bits")).alias("answers")) if "round" in few.columns else few
         return table.join(F.broadcast(own) if total <= BROADCAST_BYTES else own, "chunk", "left")
 
-    answers = judged(words.mapInArrow(common.lean(send_words), SENT), parts, judge_words).withColumn("round", F.lit(0))
-    for k in range(1, LEVELS + 1):
-        made = judged(beside(words, answers).mapInArrow(common.lean(send_symbols(k)), SENT), parts, judge_symbols)
-        answers = answers.unionByName(made.withColumn("round", F.lit(k)))
-    made = judged(beside(words, answers).mapInArrow(common.lean(send_windows), SENT), parts, judge_windows)
-    done = beside(packed, answers.unionByName(made.withColumn("round", F.lit(LEVELS + 1)))).mapInArrow(common.lean(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    answers = judged(packed.mapInArrow(common.lean(send_words), SENT), parts, judge_words).withColumn("round", F.lit(0))
+    live = common.scratch_table(joined(packed, answers).mapInArrow(common.lean(keep_live), LIVE), "live")
+    answers = None
+    for k in range(LEVELS):
+        made = judged((live if answers is None else joined(live, answers)).mapInArrow(common.lean(send_symbols(k)), SENT), parts, judge_symbols).withColumn("round", F.lit(k + 1))
+        answers = made if answers is None else answers.unionByName(made)
+    made = judged(joined(live, answers).mapInArrow(common.lean(send_windows), SENT), parts, judge_windows).withColumn("round", F.lit(LEVELS + 1))
+    marks = common.cut(joined(live, answers.unionByName(made)).mapInArrow(common.lean(mark), "chunk long, bits binary"))
+    done = joined(packed, marks).mapInArrow(common.lean(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if with_text else done.drop("kept")

@@ -77,15 +77,6 @@ def test_substring_on_sample_and_awkward(spark):
     assert substring.remove_repeats(empty(spark)).collect() == []
 
 
-def chunk_of(texts: list[bytes]) -> substring.Chunk:
-    words = substring.Words(texts)
-    both = np.empty(len(words.slot), substring.WORD_ENTRY)
-    for name, base in zip("ab", substring.BASES, strict=True):
-        both[name] = words.hashes(base)[words.slot].astype(both[name].dtype)
-    table, codes = np.unique(both, return_inverse=True)
-    return substring.Chunk(np.arange(len(texts)), words.count, codes, table)
-
-
 def test_rounds_give_equal_windows_equal_symbols_and_leaders():
     """Rounds in one place: what several documents share gets names, and windows of equal words get one leader."""
     rng = np.random.default_rng(0)
@@ -97,13 +88,16 @@ def test_rounds_give_equal_windows_equal_symbols_and_leaders():
             before, after = ([b"%d" % x for x in rng.integers(0, alphabet, rng.integers(0, 20))] for _ in range(2))
             texts.append(b" ".join([*before, *window, *after]))
             starts.append(len(before))
-        chunk = chunk_of(texts)
-        answer = substring.judge_words([substring.pack_words(chunk.word_entries())])
-        parse = substring.Parse(chunk, substring.names_of([(0, answer[0])], 0, len(chunk.table)))
+        words, ids = substring.Words(texts), np.arange(len(texts))
+        table, codes = substring.distinct_words(words)
+        answer = substring.judge_words([substring.pack_words(substring.word_entries(table, codes, ids[words.owner]))])
+        name = np.zeros(words.slots, np.uint64)
+        name[words.slot] = substring.names_of([(0, answer[0])], 0, len(table))[codes]
+        parse = substring.Parse(name, substring.documents_of_slots(ids, words.count))
         for k in range(1, substring.LEVELS + 1):
-            entries = parse.waits.entries(chunk.doc)
+            entries = parse.waits.entries(parse.doc)
             parse.add(substring.names_of([(0, substring.judge_symbols([substring.pack_symbols(entries)])[0])] if len(entries) else [], k, len(parse.waits.keys)))
-        first = [int(chunk.slot[np.flatnonzero(chunk.owner == d)[0]]) + s for d, s in enumerate(starts)]
+        first = [int(words.slot[words.first[d]]) + s for d, s in enumerate(starts)]
         begin = parse.windows()
         assert set(first) <= set(begin.tolist())
         names, _ = substring.leaders(parse.levels, begin)
