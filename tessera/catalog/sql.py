@@ -55,6 +55,17 @@ LONG = "long_ev AS (" + " UNION ALL ".join(f"SELECT symbol, trigger_d, entry_loc
 FOLDS = "years AS (SELECT period, count(*) AS n_test FROM ev GROUP BY 1), folds AS (SELECT period AS fold, n_train, n_test FROM (SELECT *, row_number() OVER (ORDER BY period) AS k, coalesce(sum(n_test) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_train FROM years) WHERE k > 3 AND n_train >= 20)"
 FORWARD = "forward_of AS (" + " UNION ALL ".join(f"SELECT symbol, loc, {h} AS h, lead(close, {h}) OVER ({W}) / close - 1 AS base FROM ind" for h in HORIZONS) + ")"
 TESTS = "tests AS (SELECT row_number() OVER (ORDER BY trigger_d, symbol) AS id, 'c' || CAST(entry_loc % 5 AS VARCHAR) AS candidate, symbol AS coin, trigger_d AS entry_d, CASE WHEN entry_loc % 11 = 0 THEN 'open' ELSE 'closed' END AS status, fwd_7 AS forward_return, mfe_7 AS mfe, abs(mae_7) AS mae, (entry_loc % 7) * 0.01 - 0.02 AS baseline_return FROM ev)"
+WILDER = f"""seq AS (SELECT *, row_number() OVER ({W}) AS n, close - lag(close) OVER ({W}) AS delta, lag(close) OVER ({W}) AS pc FROM bars),
+tr AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr FROM seq),
+walk AS (SELECT symbol, d, n, close, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS l, tr AS t FROM tr WHERE n = 1
+ UNION ALL SELECT x.symbol, x.d, x.n, x.close, CASE WHEN w.g IS NULL THEN greatest(x.delta, 0) ELSE w.g * 13 / 14 + greatest(x.delta, 0) / 14 END, CASE WHEN w.l IS NULL THEN greatest(-x.delta, 0) ELSE w.l * 13 / 14 + greatest(-x.delta, 0) / 14 END, w.t * 13 / 14 + x.tr / 14 FROM walk w JOIN tr x ON x.symbol = w.symbol AND x.n = w.n + 1),
+wilder AS (SELECT symbol, d, CASE WHEN n > 14 THEN 100 * g / nullif(g + l, 0) END AS rsi_14d, CASE WHEN n >= 14 THEN t / close END AS atr_pct_14d FROM walk)"""
+FUNDING_Z = FUNDING + f""", rated AS (SELECT b.symbol, b.d, last_value(rate IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate FROM bars b LEFT JOIN funding f ON b.symbol = f.symbol AND b.d = f.d), fz AS (SELECT symbol, d, {z('rate', 30, 15)} AS funding_zscore_30d FROM rated)"""
+#: All indicators of the registry; comes after BARS, SURPRISE, IND, WILDER and FUNDING_Z.
+COMPLETE = """published AS (SELECT published AS d, max(surprise) FILTER (series = '1-URGENT') AS cpi_surprise, max(surprise) FILTER (series = '2-HIGH') AS rate_surprise, max(surprise) FILTER (series = '3-MEDIUM') AS jobless_claims_surprise FROM surprise GROUP BY 1),
+days_of AS (SELECT published AS d FROM first_print UNION SELECT unnest([DATE '1996-01-31', DATE '1996-03-26', DATE '1997-05-20', DATE '1998-09-29', DATE '1999-11-16'])),
+whole AS (SELECT ind.*, rsi_14d, atr_pct_14d, funding_zscore_30d, CAST(ind.d IN (SELECT d FROM days_of) AS INTEGER) AS is_macro_day, cpi_surprise, rate_surprise, jobless_claims_surprise FROM ind LEFT JOIN wilder USING (symbol, d) LEFT JOIN fz USING (symbol, d) LEFT JOIN published USING (d))"""
+ALL = (BARS, SURPRISE, IND, WILDER, FUNDING_Z, COMPLETE)
 BATTERY = "battery AS (SELECT p_partkey AS candidate, CAST(p_partkey * 31 % 60 AS BIGINT) AS n, CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE p_partkey * 7919 % 10007 / 10007.0 / CASE WHEN p_partkey % 10 = 0 THEN 2000.0 ELSE 1.0 END END AS p, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE (p_partkey % 40 - 5) / 10.0 END AS sortino, p_partkey % 17 <> 0 AS ok, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_partkey % 5 = 0 END AS by_symbol, CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE p_partkey % 7 = 0 END AS by_year, (p_partkey % 30 - 8) / 100.0 AS excess, CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE (p_partkey % 25) / 12.0 END AS ratio, p_size AS weight, p_brand AS brand, CAST(DATE '2015-01-01' + CAST(p_partkey * 37 % 3000 AS INTEGER) AS DATE) AS first_tracked FROM part)"
 STATUS = "CASE WHEN n <= 20 THEN 'insufficient_data' WHEN sortino IS NULL THEN 'rejected' WHEN NOT ok THEN 'watch' WHEN by_symbol IS NULL OR by_year IS NULL THEN 'watch' WHEN by_symbol OR by_year THEN 'watch' WHEN NOT coalesce(p < 0.1, false) OR excess <= 0 THEN 'rejected' WHEN ratio IS NULL OR ratio <= 1 THEN 'watch' ELSE 'accepted' END"
 
@@ -63,5 +74,14 @@ def sql(body: str, *parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body if parts else body
 
 
+def recursive(body: str, *parts: str) -> str:
+    return sql(body, *parts).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def uniform(seed: str, *key: str) -> str:
+    """The number in [0, 1) that `indicators.uniform` draws."""
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in key)})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
 def r(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)

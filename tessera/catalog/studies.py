@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.catalog import sql as S
-from tessera.functions.series import by_day, HORIZONS, is_true, rounded
+from tessera.functions import text
+from tessera.functions.series import HORIZONS, by_day, carried, rounded
 from tessera.operators import events as E
 from tessera.operators import indicators as I  # noqa: E741
 from tessera.operators import stats, walkforward
 from tessera.operators import vintage as V
+from tessera.plans import study
+from tessera.plans import grammar as G
 from tessera.plans.grammar import Clause, Spec, agreement, enumerate_specs, loosened, occurrences
 from tessera.sources import panels
 
@@ -33,12 +38,21 @@ def events(s, d, direction="long"):
     return E.build_events(panel(s, d), VOLUME.column(), direction)
 
 
+def complete(s, d):
+    """All indicators of the registry, over the three series as price index, rate and claims."""
+    sides = sides_of(s, d)
+    return I.complete(panels.bars_1d(s, d), sides.funding, sides.days, sides.surprises, sides.series)
+
+
+SERIES = {"cpi_surprise": "1-URGENT", "rate_surprise": "2-HIGH", "jobless_claims_surprise": "3-MEDIUM"}
+
+
+def sides_of(s, d):
+    return study.Sides(panels.funding(s, d), panels.calendar(s, d), V.surprises(panels.macro_vintage(s, d)), SERIES)
+
+
 def static_triggers(s, d):
-    df = I.with_macro_day(panel(s, d), panels.calendar(s, d))
-    w = by_day().rowsBetween(-19, 0)
-    wide = is_true((F.col("high") - F.col("low") > 1.5 * F.avg(F.col("high") - F.col("low")).over(w)) & (F.count("high").over(w) >= 10)) & (F.col("is_macro_day") == 1)
-    strong = is_true((F.col("efficiency_ratio_20d") > 0.4) & (F.col("volume") > 1.8 * F.avg("volume").over(w)))
-    return df.select("symbol", "d", (wide & (F.col("close") > F.col("open"))).alias("c2_up"), (wide & (F.col("close") < F.col("open"))).alias("c2_down"), (strong & is_true(F.col("close_return_5d") > 0)).alias("c6_up"), (strong & is_true(F.col("close_return_5d") < 0)).alias("c6_down"))
+    return complete(s, d).select("symbol", "d", *[c.alias(name) for name, c in study.static_triggers(complete(s, d)).items()])
 
 
 def relaxed(s, d):
@@ -46,21 +60,32 @@ def relaxed(s, d):
     return occurrences(panel(s, d), steps).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ev_simulated(s, d):
-    df, ev = panel(s, d), events(s, d)
-    levels = E.anchors(ev).withColumns({"tp": F.lit(1.0), "sl": F.lit(1.0)})
-    return E.simulate(ev, df, levels, [])
+def ev_simulated(s, d, direction="long"):
+    ev = events(s, d, direction)
+    return E.simulate(ev, E.anchors(ev), [], direction=direction)
 
 
-def grid(s, d):
-    df, ev = panel(s, d), events(s, d)
+def trained_levels(ev, of):
+    """Anchors of each fold's training years."""
+    train = ev.join(of, F.col("period") < F.col("fold"))
+    return train, E.anchors(train, "fold")
+
+
+def grid(s, d, whole=False):
+    ev = events(s, d)
     of = walkforward.folds(ev)
-    train = ev.join(F.broadcast(of), F.col("period") < F.col("fold"))
-    g = s.range(1).select(F.explode(F.array(*map(F.lit, E.MULTIPLES))).alias("tp")).select("tp", F.explode(F.array(*map(F.lit, E.MULTIPLES))).alias("sl"))
-    levels = E.anchors(train, "fold").join(F.broadcast(g), F.lit(True))
-    result = E.report(E.simulate(train, df, levels, ["fold"]), "fold", "tp", "sl")
-    best = Window.partitionBy("fold").orderBy(F.round("sortino", 9).desc_nulls_last(), "tp", "sl")
-    return result.withColumn("n_", F.row_number().over(best)).where("n_ = 1").select("fold", "tp", "sl", F.col("n"), *rounded("sortino", "win_rate"))
+    train, levels = trained_levels(ev, of)
+    traded = E.simulate(train, levels, ["fold"], E.settings())
+    if whole:
+        return E.report(traded, "fold", "tp", "sl")
+    return E.chosen_setting(traded, ["fold"]).join(E.report(traded, "fold", "tp", "sl").select("fold", "tp", "sl", "win_rate"), ["fold", "tp", "sl"]).select("fold", "tp", "sl", "n", *rounded("sortino", "win_rate"))
+
+
+def one_evidence(s, d, spec):
+    return study.evidence(complete(s, d), [spec])
+
+
+NEWS_VOLUME = Spec("news_volume", (Clause("cpi_surprise", ">=", -0.5, 14), VOLUME))
 
 
 def chosen(s, d):
@@ -72,7 +97,49 @@ def chosen(s, d):
 
 def oos(s, d):
     ev, of, h = chosen(s, d)
-    return E.long_form(ev).join(F.broadcast(h.select(F.col("fold").alias("period"), "h")), ["period", "h"])
+    return E.long_form(ev).join(h.select(F.col("fold").alias("period"), "h"), ["period", "h"])
+
+
+def relax_until(s, d):
+    specs = [Spec(f"t{x:g}", (Clause("volume_zscore_30d", ">=", x), Clause("range_zscore_30d", ">=", 0.2))) for x in (0.2, 0.8, 1.4, 2.0, 9.0)]
+    found = G.relax_until_testable(panel(s, d), specs)
+    return s.createDataFrame([(label, None if x is None else x[1], None if x is None else x[0].clauses[0].threshold) for label, x in found.items()], "label string, step double, threshold double")
+
+
+def redundancy(s, d):
+    specs = [Spec("a", (VOLUME,)), Spec("b", (Clause("volume_zscore_30d", ">=", 1.1),)), Spec("c", (Clause("volume_zscore_30d", ">=", 2.2),)), Spec("d", (Clause("volume_zscore_30d", "<", -1.0),)), Spec("e", (Clause("volume_zscore_30d", "<=", -1.05),))]
+    kept, dropped = G.distinct_proposals(panel(s, d), specs)
+    return s.createDataFrame([(x.label, None) for x in kept] + list(dropped.items()), "label string, repeats string")
+
+
+def days_of_hours(s, d):
+    return panels.bars_1h(s, d).withColumn("d", F.to_date("ts")).groupBy("symbol", "d").agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").cast("double").alias("volume"))
+
+
+HOURLY = [Spec("native", (Clause("daily_range_pct", ">=", 1.0, 1),)), Spec("hours", (Clause("close_return_1d", ">", 0.0, 1),)), Spec("mixed", (Clause("daily_range_pct", ">=", 1.0), Clause("close_return_1d", "<", 0.0)))]
+
+
+def hourly_native(s, d):
+    return G.occurrences_hourly(panels.bars_1h(s, d), I.with_indicators(days_of_hours(s, d), ["daily_range_pct"]), HOURLY)
+
+
+def described(s, d):
+    """The specifications in words, by Spark's expressions from their documents, over a table of them."""
+    kind = "label string, direction string, clauses array<struct<indicator:string,op:string,threshold:double,within_days:int>>"
+    rows = s.createDataFrame([(x.to_json(),) for x in [*SPECS, NEWS_VOLUME]], "doc string").select(F.from_json("doc", kind).alias("x")).select("x.*")
+    whole = F.transform("clauses", lambda c: F.struct(c["indicator"].alias("indicator"), c["op"].alias("op"), c["threshold"].alias("threshold"), F.coalesce(c["within_days"], F.lit(0)).alias("within_days")))
+    return rows.select("label", text.described(whole, F.col("direction")).alias("text"))
+
+
+#: Volume on any day: the second clause always holds, but its name keeps bars in a shock.
+ALL_REGIMES = Spec("volume_any", (VOLUME, Clause("shock_zscore", ">", -99.0)))
+
+
+def barrier_exit(s, d):
+    """Positions of the trigger's bar, looked at ten days on: stop and target at 3 %, seven days at most."""
+    later = panel(s, d).select("symbol", "d", "close", "high", "low", F.lag("d", 4).over(by_day()).alias("entry"), F.lag("close", 4).over(by_day()).alias("price"))
+    up, down = E.barrier_prices(F.col("price"), F.lit(1), F.lit(0.5), F.lit(0.4))
+    return later.where("entry IS NOT NULL").select("symbol", "d", E.expired(F.col("entry"), F.col("d"), 5, F.col("price"), F.col("high"), F.col("low"), down, up).alias("why"))
 
 
 def incremental(s, d):
@@ -89,18 +156,19 @@ def unconditional(s, d):
 
 
 def bootstrap_lcg(s, d):
-    """200 arithmetic draws of ten blocks of nine: the same numbers in any engine."""
-    pool = walkforward.forward_by_loc(panel(s, d), (3,)).where("symbol = 'A'").withColumn("k", F.row_number().over(Window.orderBy("loc")) - 1).select("k", "base")
-    n = pool.agg(F.count(F.lit(1)).alias("n"))
-    draws = s.range(200).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")).join(F.broadcast(n), F.lit(True))
-    draws = draws.withColumn("s", ((F.col("b") * 7919 + F.col("j") * 104729 + 12345) * 48271 % 2147483647) % (F.col("n") - 8)).select("b", F.explode(F.sequence(F.col("s"), F.col("s") + 8)).alias("k"))
-    return draws.join(pool, "k").groupBy("b").agg(F.avg("base").alias("m")).agg(F.count(F.lit(1)).alias("reps"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.min("m"), 6).alias("least"), F.round(F.max("m"), 6).alias("most"))
+    """200 arithmetic draws of ten blocks of nine for each symbol: the same numbers in any engine."""
+    own = Window.partitionBy("symbol")
+    pool = walkforward.forward_by_loc(panel(s, d), (3,)).withColumn("k", F.row_number().over(own.orderBy("loc")) - 1).select("symbol", "k", "base")
+    n = pool.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    draws = s.range(200).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j")).join(n, F.lit(True))
+    draws = draws.withColumn("s", ((F.col("b") * 7919 + F.col("j") * 104729 + 12345) * 48271 % 2147483647) % (F.col("n") - 8)).select("symbol", "b", F.explode(F.sequence(F.col("s"), F.col("s") + 8)).alias("k"))
+    return draws.join(pool, ["symbol", "k"]).groupBy("symbol", "b").agg(F.avg("base").alias("m")).groupBy("symbol").agg(F.count(F.lit(1)).alias("reps"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.min("m"), 6).alias("least"), F.round(F.max("m"), 6).alias("most"))
 
 
 def bootstrap_p(s, d):
     df, ev = panel(s, d), events(s, d)
-    forward = walkforward.forward_by_loc(df, (3,))
-    return walkforward.bootstrap_p(ev.select(F.col("symbol").alias("candidate"), F.col("fwd_3").alias("value"), F.lit(9).alias("block")), forward.select(F.col("symbol").alias("candidate"), F.lit(0).alias("chunk"), F.col("loc").alias("place"), "base"))
+    pool = walkforward.forward_by_loc(df, (3,)).groupBy(F.col("symbol").alias("candidate")).agg(F.array_sort(F.collect_list(F.struct("loc", "base"))).alias("rows"))
+    return walkforward.bootstrap_p(ev.select(F.col("symbol").alias("candidate"), F.col("fwd_3").alias("value"), F.lit(9).alias("block")), pool.select("candidate", F.lit(0).alias("chunk"), F.transform("rows", lambda r: r["base"]).alias("base")))
 
 
 def battery(s, d):
@@ -124,6 +192,22 @@ hits_of AS (SELECT s.fold, tp, sl, symbol, trigger_d, o, CASE WHEN low <= entry_
 first_of AS (SELECT fold, tp, sl, symbol, trigger_d, arg_min(outcome, o) AS outcome, arg_min(net, o) AS net FROM hits_of WHERE outcome IS NOT NULL GROUP BY ALL),
 ends AS (SELECT symbol, trigger_d, arg_min((high + low) / 2 / entry_price - 1 - 0.002, o) AS net FROM met WHERE o = 22 OR loc = n_rows - 1 GROUP BY 1, 2),
 traded AS (SELECT s.fold, c.tp, c.sl, coalesce(outcome, 'timeout') AS outcome, coalesce(h.net, e.net) AS net_return FROM seen s JOIN ends e USING (symbol, trigger_d) CROSS JOIN combo c LEFT JOIN first_of h ON h.fold = s.fold AND h.tp = c.tp AND h.sl = c.sl AND h.symbol = s.symbol AND h.trigger_d = s.trigger_d)"""
+TEST_YEAR = """pick AS (SELECT fold, tp, sl, n, sortino FROM (SELECT fold, tp, sl, {0} FROM traded GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(sortino, 9) DESC NULLS LAST, tp, sl) = 1),
+own AS (SELECT DISTINCT p.fold, p.tp, p.sl, e.symbol, e.trigger_d FROM ev e JOIN pick p ON e.period = p.fold),
+own_hits AS (SELECT w.symbol, w.trigger_d, m.o, CASE WHEN low <= entry_price * (1 - a * sl) THEN 'loss' WHEN high >= entry_price * (1 + f * tp) THEN 'win' END AS outcome, CASE WHEN low <= entry_price * (1 - a * sl) THEN -a * sl - 0.002 WHEN high >= entry_price * (1 + f * tp) THEN f * tp - 0.002 END AS net FROM own w JOIN met m USING (symbol, trigger_d) JOIN level l ON l.fold = w.fold AND l.h = CASE WHEN o <= 1 THEN 1 WHEN o <= 3 THEN 3 WHEN o <= 7 THEN 7 WHEN o <= 14 THEN 14 ELSE 21 END WHERE m.o <= 21),
+own_first AS (SELECT symbol, trigger_d, arg_min(outcome, o) AS outcome, arg_min(net, o) AS net FROM own_hits WHERE outcome IS NOT NULL GROUP BY 1, 2)""".format(REPORT)
+#: Events on any day whose shock score is known, and those near a release.
+EV_ANY = S.EV.replace("WHERE coalesce(volume_zscore_30d >= 1.0, false) AND", "WHERE coalesce(volume_zscore_30d >= 1.0, false) AND shock_zscore IS NOT NULL AND")
+EV_NEWS = S.EV.replace("ev AS (SELECT symbol,", "evx AS (SELECT recent, symbol,").replace(" FROM ind) WHERE", f", {S.roll('bool_or(coalesce(sp >= -0.5, false))', 15)} AS recent FROM (SELECT ind.*, s.surprise AS sp FROM ind LEFT JOIN (SELECT published, surprise FROM surprise WHERE series = '1-URGENT') s ON ind.d = s.published)) WHERE") + ", ev AS (SELECT * EXCLUDE (recent) FROM evx WHERE recent AND regime = 'normal')"
+BASKETS = "p AS (SELECT symbol, d, close, dense_rank() OVER (ORDER BY d) AS k FROM bars), baskets AS (SELECT hh.h, x.d, avg(y.close / x.close - 1) AS basket FROM p x JOIN p y ON y.symbol = x.symbol JOIN (SELECT unnest([1, 3, 7, 14, 21]) AS h) hh ON y.k = x.k + hh.h GROUP BY 1, 2)"
+RELATIVE = "long_rel AS (SELECT l.* REPLACE (l.fwd - coalesce(k.basket, 0) AS fwd) FROM long_ev l JOIN ind i ON i.symbol = l.symbol AND i.loc = l.entry_loc LEFT JOIN baskets k ON k.h = l.h AND k.d = i.d), forward_rel AS (SELECT f.* REPLACE (f.base - coalesce(k.basket, 0) AS base) FROM forward_of f JOIN ind i USING (symbol, loc) LEFT JOIN baskets k ON k.h = f.h AND k.d = i.d)"
+#: Greedy episodes of (key, symbol, d): each opens so many days after the last one that did.
+WALK = "walk AS (SELECT key, symbol, min(d) AS d FROM days GROUP BY 1, 2 UNION ALL SELECT w.key, w.symbol, (SELECT min(x.d) FROM days x WHERE x.key = w.key AND x.symbol = w.symbol AND x.d >= w.d + {0}) AS d FROM walk w WHERE (SELECT min(x.d) FROM days x WHERE x.key = w.key AND x.symbol = w.symbol AND x.d >= w.d + {0}) IS NOT NULL)"
+LABELS = ", ".join(f"('{x.label}')" for x in SPECS)
+RELAXED = ", ".join(f"('t{t:g}', {x}, {round(t - t * x, 4)}, {round(0.2 - 0.2 * x, 4)})" for t in (0.2, 0.8, 1.4, 2.0, 9.0) for x in (0.0, 0.1, 0.25, 0.5))
+CLAUSES = ", ".join(f"('{x.label}', '{x.direction}', {k}, '{c.indicator}', '{c.op}', {c.threshold}, {c.within_days})" for x in [*SPECS, NEWS_VOLUME] for k, c in enumerate(x.clauses))
+HOUR = "PARTITION BY symbol ORDER BY ts"
+SHORT_HIT = "anchor AS (SELECT h, avg(-mae) AS f, avg(abs(mfe)) AS a FROM long_ev GROUP BY 1), " + "hit AS (SELECT symbol, trigger_d, o, CASE WHEN high >= entry_price * (1 + a) THEN 'loss' WHEN low <= entry_price * (1 - f) THEN 'win' END AS outcome, CASE WHEN high >= entry_price * (1 + a) THEN -a - 0.002 WHEN low <= entry_price * (1 - f) THEN f - 0.002 END AS net FROM met JOIN anchor ON h = (SELECT min(x) FROM (SELECT unnest([1, 3, 7, 14, 21]) AS x) WHERE x >= o) WHERE o <= 21), first_hit AS (SELECT symbol, trigger_d, arg_min(outcome, o) AS outcome, arg_min(net, o) AS net FROM hit WHERE outcome IS NOT NULL GROUP BY 1, 2), ends AS (SELECT symbol, trigger_d, arg_min(1 - (high + low) / 2 / entry_price - 0.002, o) AS net FROM met WHERE o = 22 OR loc = n_rows - 1 GROUP BY 1, 2), trade AS (SELECT symbol, trigger_d, coalesce(f.outcome, 'timeout') AS outcome, coalesce(f.net, e.net) AS net_return FROM ends e LEFT JOIN first_hit f USING (symbol, trigger_d))"
 EVENT_COLUMNS = [f"{k}_{h}" for h in HORIZONS for k in ("mfe", "mae", "fwd")]
 BASE = (S.BARS, S.IND, S.EV)
 VERDICT = f"verdict AS (SELECT *, {S.STATUS} AS status FROM battery)"
@@ -136,7 +220,14 @@ QUERIES = {
     "cnd_static_triggers": static_triggers,
     "cnd_occurrence_set": lambda s, d: occurrences(panel(s, d), SPECS),
     "cnd_count": lambda s, d: occurrences(panel(s, d), SPECS).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
-    "cnd_episode_count": lambda s, d: E.greedy_episodes(occurrences(panel(s, d), SPECS[:1]), 21).select("symbol", F.col("n_episodes").cast("long").alias("n_episodes")),
+    "cnd_episode_count": lambda s, d: E.greedy_episodes(occurrences(panel(s, d), SPECS), 21, "label").select("label", "symbol", F.col("n_episodes").cast("long").alias("n_episodes")),
+    "cnd_testable": lambda s, d: G.testability(panel(s, d), SPECS).select("label", "n", "episodes", "testable", "reason"),
+    "cnd_relax_until_testable": relax_until,
+    "cnd_redundancy": redundancy,
+    "cnd_jaccard_all": lambda s, d: agreement(occurrences(panel(s, d), SPECS), all_pairs=True).select("a", "b", "both", F.round("jaccard", 6).alias("jaccard")),
+    "cnd_control": lambda s, d: occurrences(complete(s, d), [Spec("whole", NEWS_VOLUME.clauses), Spec("state", NEWS_VOLUME.without_events().clauses)]),
+    "cnd_hourly_native": hourly_native,
+    "cnd_described": described,
     "cnd_jaccard": lambda s, d: agreement(occurrences(panel(s, d), SPECS)).select("a", "b", F.round("jaccard", 6).alias("jaccard")),
     "cnd_relax_counts": relaxed,
     "cnd_grammar_enumerate": lambda s, d: s.createDataFrame([(x.label, len(x.clauses), x.direction) for x in enumerate_specs([Clause("volume_zscore_30d", ">=", float(t)) for t in (1, 2, 3)], [Clause("donchian_pct_20d", "<", 0.3), Clause("donchian_pct_20d", ">", 0.7)], [0, 3, 7])], "label string, n_clauses int, direction string").groupBy("direction", "n_clauses").agg(F.count(F.lit(1)).alias("n")),
@@ -144,16 +235,26 @@ QUERIES = {
     "jn_pit_latest_revision": lambda s, d: V.as_of(panels.macro_vintage(s, d), F.lit("1998-06-30").cast("date")).select("series", "period", "value"),
     "jn_semi_calendar": lambda s, d: panels.bars_1d(s, d).join(panels.calendar(s, d), "d", "left_semi").select("symbol", "d", "close"),
     "jn_asof_next_bar": lambda s, d: panels.bars_1d(s, d).select("symbol", "d", F.lead("d").over(by_day()).alias("next_d"), F.lead("open").over(by_day()).alias("next_open")),
-    "jn_ffill_daily_to_hourly": lambda s, d: panels.bars_1h(s, d).withColumn("d", F.to_date("ts")).join(panels.bars_1h(s, d).groupBy("symbol", F.to_date("ts").alias("d")).agg(F.max("close").alias("day_close")), ["symbol", "d"], "left").select("symbol", "ts", F.lag("day_close", 24).over(Window.partitionBy("symbol").orderBy("ts")).alias("known")),
+    "jn_ffill_daily_to_hourly": lambda s, d: carried(panels.bars_1h(s, d).groupBy("symbol", F.date_add(F.to_date("ts"), 1).cast("timestamp").alias("t")).agg(F.max("close").alias("known")), panels.bars_1h(s, d).select("symbol", F.col("ts").alias("t")), "known").select("symbol", F.col("t").alias("ts"), "known"),
     "evt_build_events": lambda s, d: events(s, d).select("symbol", "trigger_d", F.col("entry_loc").cast("long").alias("entry_loc"), "entry_price", "regime", *rounded(*EVENT_COLUMNS)),
     "evt_regime_split": lambda s, d: events(s, d).groupBy("symbol").agg(F.count_if(F.col("regime") == "normal").alias("n_normal"), F.count_if(F.col("regime") == "shock").alias("n_shock")),
     "evt_basket": lambda s, d: E.basket(panels.bars_1d(s, d), 7).select("d", F.round("basket", 6).alias("basket")),
-    "evt_market_adjust": lambda s, d: events(s, d).join(E.basket(panels.bars_1d(s, d), 7).withColumnRenamed("d", "trigger_d"), "trigger_d", "left").select("symbol", "trigger_d", F.round(F.col("fwd_7") - F.coalesce("basket", F.lit(0.0)), 6).alias("adjusted")),
+    "evt_market_adjust": lambda s, d: events(s, d).join(E.basket(panels.bars_1d(s, d), 7).withColumnRenamed("d", "trigger_d"), "trigger_d", "left").select("symbol", "trigger_d", F.round(E.market_adjusted(F.col("fwd_7"), F.col("basket")), 6).alias("adjusted")),
+    "evt_market_adjust_short": lambda s, d: events(s, d, "short").join(E.basket(panels.bars_1d(s, d), 7).withColumnRenamed("d", "trigger_d"), "trigger_d", "left").select("symbol", "trigger_d", F.round(E.market_adjusted(F.col("fwd_7"), F.col("basket"), -1), 6).alias("adjusted")),
+    "evt_simulate_short": lambda s, d: ev_simulated(s, d, "short").select("symbol", "trigger_d", "outcome", F.round("net_return", 6).alias("net_return")),
+    "evt_anchors_normal": lambda s, d: E.anchors(events(s, d).where("regime = 'normal'")).select("h", *rounded("mfe_anchor", "mae_anchor")),
+    "evt_barrier_exit": barrier_exit,
     "evt_anchors": lambda s, d: E.anchors(events(s, d)).select("h", *rounded("mfe_anchor", "mae_anchor")),
     "evt_elapsed_bucket": lambda s, d: s.range(1, 31).select("id", E.bucket_for(F.col("id")).alias("bucket")),
     "evt_simulate_trade": lambda s, d: ev_simulated(s, d).select("symbol", "trigger_d", "outcome", F.round("net_return", 6).alias("net_return")),
-    "evt_report": lambda s, d: E.report(ev_simulated(s, d), "symbol").select("symbol", "n", *rounded("win_rate", "sortino")),
-    "evt_compression_exit": lambda s, d: E.compression_exits(panel(s, d), 1.0).select("symbol", "last_d", F.col("duration").cast("long").alias("duration"), F.round("z", 6).alias("z")),
+    "evt_report": lambda s, d: E.report(ev_simulated(s, d), "symbol").select("symbol", "n", *rounded("win_rate", "strict_win_rate", "sortino", "total_expectancy", "timeout_fraction")),
+    "evt_compression_exit": lambda s, d: E.compression_exits(panel(s, d), 1.0).select("symbol", "start_d", "end_d", "confirmed_d", F.col("duration").cast("long").alias("duration"), *rounded("z_start", "z_end", "squeeze_return", "end_return")),
+    "wf_barrier_grid_all": lambda s, d: grid(s, d, whole=True).select("fold", "tp", "sl", "n", *rounded("sortino", "win_rate")),
+    "wf_oos_trades": lambda s, d: one_evidence(s, d, ALL_REGIMES).trades.select("symbol", "period", "trigger_d", "outcome", F.round("net_return", 6).alias("net_return")),
+    "wf_params_log": lambda s, d: one_evidence(s, d, ALL_REGIMES).settings.select("fold", "tp", "sl", F.col("n").cast("long").alias("n"), F.round("sortino", 5).alias("sortino")),
+    "wf_oos_ratio": lambda s, d: one_evidence(s, d, ALL_REGIMES).outcomes.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg("mfe") / F.avg(F.abs("mae")), 6).alias("ratio")),
+    "wf_incremental_pool": lambda s, d: one_evidence(s, d, NEWS_VOLUME).pool.select("chunk", F.size("base").cast("long").alias("n"), F.round(F.aggregate("base", F.lit(0.0), lambda a, x: a + x) / F.size("base"), 6).alias("mean")),
+    "wf_relative_outcomes": lambda s, d: one_evidence(s, d, dataclasses.replace(ALL_REGIMES, outcome="market_relative")).outcomes.select("symbol", "trigger_d", "h", F.round("value", 6).alias("value")),
     "wf_folds": lambda s, d: walkforward.folds(events(s, d)),
     "wf_barrier_grid": grid,
     "wf_horizon_select": lambda s, d: chosen(s, d)[2].select("fold", "h", F.round("score", 6).alias("score")),
@@ -164,8 +265,7 @@ QUERIES = {
     "wf_bootstrap_p": bootstrap_p,
     "wf_concentration": lambda s, d: walkforward.concentration(events(s, d), ["period"], "symbol", "fwd_7").select("period", F.round("max_share", 6).alias("max_share"), "dominant", "concentrated"),
     "wf_classify": lambda s, d: battery(s, d).select("candidate", "status"),
-    "wf_explain": lambda s, d: battery(s, d).where("status = 'insufficient_data'").select("candidate", "reason"),
-    "wf_explain_all": lambda s, d: battery(s, d).select("candidate", "reason"),
+    "wf_explain": lambda s, d: battery(s, d).select("candidate", "reason"),
     "wf_bh": lambda s, d: walkforward.benjamini_hochberg(battery(s, d)).select("candidate", "survives"),
     "wf_bh_weighted": lambda s, d: walkforward.benjamini_hochberg(battery(s, d), weight="weight", by=["brand"]).select("candidate", "survives"),
     "wf_fdr_demotion": lambda s, d: walkforward.demote(battery(s, d)).groupBy("status", "fdr_demoted").agg(F.count(F.lit(1)).alias("n")),
@@ -191,13 +291,29 @@ REASONS = f"CASE WHEN n <= 20 THEN {REASON} WHEN sortino IS NULL THEN 'no trade
 LITERAL_SPECS = ", ".join(f"('{x.label}', '{x.describe()}')" for x in SPECS)
 
 ORACLE = {
+    "wf_relative_outcomes": S.sql("SELECT symbol, trigger_d, CAST(h AS INTEGER) AS h, round(fwd, 6) AS value FROM long_rel JOIN best USING (h) WHERE fold = period", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, S.FORWARD, BASKETS, RELATIVE, SPAN.format("<").replace("forward_of f", "forward_rel f"), SCORE.replace("long_ev", "long_rel")),
+    "wf_incremental_pool": S.sql("SELECT CAST(fold AS VARCHAR) AS chunk, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT b.fold, CASE b.h " + " ".join(f"WHEN {h} THEN fwd_{h}" for h in HORIZONS) + " END AS v FROM evx x JOIN best b ON b.fold = x.period WHERE regime = 'normal' AND NOT recent) WHERE v IS NOT NULL GROUP BY 1", S.BARS, S.SURPRISE, S.IND, EV_NEWS, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
+    "wf_oos_ratio": S.sql("SELECT CAST(period AS INTEGER) AS period, count(*) AS n, round(avg(fwd), 6) AS mean, round(avg(mfe) / avg(abs(mae)), 6) AS ratio FROM long_ev JOIN best USING (h) WHERE fold = period GROUP BY 1", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
+    "wf_params_log": S.sql("SELECT CAST(fold AS INTEGER) AS fold, tp, sl, n, round(sortino, 5) AS sortino FROM pick", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, MET, GRID, TEST_YEAR),
+    "wf_oos_trades": S.sql("SELECT w.symbol, CAST(w.fold AS INTEGER) AS period, w.trigger_d, coalesce(f.outcome, 'timeout') AS outcome, round(coalesce(f.net, e.net), 6) AS net_return FROM own w JOIN ends e USING (symbol, trigger_d) LEFT JOIN own_first f USING (symbol, trigger_d)", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, MET, GRID, TEST_YEAR),
+    "wf_barrier_grid_all": S.sql(f"SELECT CAST(fold AS INTEGER) AS fold, tp, sl, n, round(sortino, 6) AS sortino, round(win_rate, 6) AS win_rate FROM (SELECT fold, tp, sl, {REPORT} FROM traded GROUP BY 1, 2, 3)", *BASE, S.LONG, S.FOLDS, MET, GRID),
+    "evt_barrier_exit": S.sql(f"SELECT symbol, d, CASE WHEN low <= price * (1 - 0.4::DOUBLE) THEN 'stop' WHEN high >= price * (1 + 0.5::DOUBLE) THEN 'target' WHEN d - entry >= 5 THEN 'time' END AS why FROM (SELECT *, lag(d, 4) OVER ({S.W}) AS entry, lag(close, 4) OVER ({S.W}) AS price FROM bars) WHERE entry IS NOT NULL", S.BARS),
+    "evt_anchors_normal": S.sql("SELECT CAST(h AS INTEGER) AS h, round(avg(mfe), 6) AS mfe_anchor, round(avg(abs(mae)), 6) AS mae_anchor FROM long_ev l JOIN (SELECT symbol, trigger_d, regime FROM ev) e USING (symbol, trigger_d) WHERE regime = 'normal' GROUP BY 1", *BASE, S.LONG),
+    "evt_simulate_short": S.sql("SELECT symbol, trigger_d, outcome, round(net_return, 6) AS net_return FROM trade", *BASE, S.LONG, MET, SHORT_HIT),
+    "evt_market_adjust_short": S.sql("SELECT symbol, trigger_d, round(-fwd_7 + coalesce(basket, 0), 6) AS adjusted FROM ev LEFT JOIN baskets ON d = trigger_d AND h = 7", *BASE, BASKETS),
+    "cnd_described": f"SELECT label, any_value(direction) || ' when ' || string_agg(replace(indicator, '_', ' ') || ' ' || CASE op WHEN '<' THEN 'below' WHEN '<=' THEN 'at most' WHEN '>' THEN 'above' ELSE 'at least' END || ' ' || printf('%.2f', threshold) || CASE WHEN reach > 0 THEN ' within ' || CAST(reach AS VARCHAR) || ' days' ELSE '' END, ' and ' ORDER BY k) AS text FROM (VALUES {CLAUSES}) t(label, direction, k, indicator, op, threshold, reach) GROUP BY 1",
+    "cnd_hourly_native": S.sql(f"SELECT label, symbol, ts FROM (SELECT 'native' AS label, symbol, ts FROM h WHERE wide_1 UNION ALL SELECT 'hours', symbol, ts FROM h WHERE up_1 UNION ALL SELECT 'mixed', symbol, ts FROM h WHERE wide AND down)", S.HOURS, "dd AS (SELECT symbol, CAST(ts AS DATE) AS d, coalesce((max(high) - min(low)) / arg_max(close, ts) >= 1.0, false) AS wide FROM hours GROUP BY 1, 2), judged AS (SELECT *, bool_or(wide) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS wide_1 FROM dd)", f"r AS (SELECT symbol, ts, close / lag(close, 24) OVER ({HOUR}) - 1 AS ret FROM hours), q AS (SELECT symbol, ts, coalesce(ret < 0, false) AS down, bool_or(coalesce(ret > 0, false)) OVER ({HOUR} ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS up_1 FROM r), h AS (SELECT q.*, j.wide, j.wide_1 FROM q ASOF JOIN judged j ON j.symbol = q.symbol AND q.ts >= j.d)"),
+    "cnd_control": S.recursive(f"SELECT 'state' AS label, symbol, d FROM whole WHERE volume_zscore_30d >= 1 UNION ALL SELECT 'whole', symbol, d FROM (SELECT *, {S.roll('bool_or(coalesce(cpi_surprise >= -0.5, false))', 15)} AS recent FROM whole) WHERE recent AND volume_zscore_30d >= 1", *S.ALL),
+    "cnd_jaccard_all": S.sql("SELECT x.label AS a, y.label AS b, CAST(coalesce(both_n, 0) AS BIGINT) AS both, round(coalesce(both_n, 0) / (x.n + y.n - coalesce(both_n, 0)), 6) AS jaccard FROM (SELECT label, count(*) AS n FROM hits GROUP BY 1) x JOIN (SELECT label, count(*) AS n FROM hits GROUP BY 1) y ON x.label < y.label LEFT JOIN (SELECT p.label AS a, q.label AS b, count(*) AS both_n FROM hits p JOIN hits q USING (symbol, d) WHERE p.label < q.label GROUP BY 1, 2) m ON m.a = x.label AND m.b = y.label", S.BARS, S.IND, HITS),
+    "cnd_relax_until_testable": S.recursive("SELECT t.label, CAST(min(t.x) FILTER (good) AS DOUBLE) AS step, CAST(arg_min(t.v, t.x) FILTER (good) AS DOUBLE) AS threshold FROM (SELECT *, (SELECT count(*) FROM found f WHERE f.key = label || '/' || CAST(x AS VARCHAR)) >= 120 AND (SELECT count(*) FROM walk w WHERE w.key = label || '/' || CAST(x AS VARCHAR)) >= 40 AS good FROM tried) t GROUP BY 1", S.BARS, S.IND, f"tried AS (SELECT * FROM (VALUES {RELAXED}) t(label, x, v, r)), found AS (SELECT label || '/' || CAST(x AS VARCHAR) AS key, symbol, d FROM ind JOIN tried ON volume_zscore_30d >= v AND range_zscore_30d >= r), days AS (SELECT DISTINCT key, symbol, d FROM found)", WALK.format(21)),
+    "cnd_testable": S.recursive(f"SELECT label, n, episodes, reason IS NULL AS testable, reason FROM (SELECT *, CASE WHEN n < 120 THEN 'occurred ' || CAST(n AS VARCHAR) || ' times of 120 needed' WHEN episodes < 40 THEN 'occurred on only ' || CAST(episodes AS VARCHAR) || ' separate occasions of 40 needed' END AS reason FROM (SELECT label, (SELECT count(*) FROM hits h WHERE h.label = l.label) AS n, (SELECT count(*) FROM walk w WHERE w.key = l.label) AS episodes FROM (VALUES {LABELS}) l(label)))", S.BARS, S.IND, HITS, "days AS (SELECT DISTINCT label AS key, symbol, d FROM hits)", WALK.format(21)),
     "flagship_event_study": S.sql("SELECT symbol, period, count(*) AS n, round(avg(fwd_3), 6) AS mean_fwd_3, round(avg(mfe_7), 6) AS mean_mfe_7, round(avg(mae_7), 6) AS mean_mae_7 FROM ev GROUP BY 1, 2", S.REGION_BARS, S.SURPRISE, S.IND, S.EV.replace(" FROM ind) WHERE", f", {S.roll('bool_or(coalesce(sp <= -0.3, false))', 8)} AS recent FROM (SELECT ind.*, s.surprise AS sp FROM ind LEFT JOIN (SELECT published, surprise FROM surprise WHERE series = '1-URGENT') s ON ind.d = s.published)) WHERE recent AND")),
     "cnd_clause": S.sql("SELECT symbol, d, v1 AS fired FROM lit", S.BARS, S.IND, HITS),
     "cnd_within_days": S.sql("SELECT symbol, d, v3 AS fired FROM lit", S.BARS, S.IND, HITS),
-    "cnd_static_triggers": S.sql("SELECT symbol, d, wide AND close > open AS c2_up, wide AND close < open AS c2_down, strong AND coalesce(close_return_5d > 0, false) AS c6_up, strong AND coalesce(close_return_5d < 0, false) AS c6_down FROM t", S.BARS, S.CALENDAR, S.IND, f"t AS (SELECT *, coalesce(high - low > 1.5 * {S.roll('avg(high - low)', 20)} AND {S.roll('count(high)', 20)} >= 10, false) AND d IN (SELECT d FROM calendar) AS wide, coalesce(efficiency_ratio_20d > 0.4 AND volume > 1.8 * {S.roll('avg(volume)', 20)}, false) AS strong FROM ind)"),
+    "cnd_static_triggers": S.recursive(f"SELECT symbol, d, coalesce(funding_zscore_30d < -2, false) AS c1_long, coalesce(funding_zscore_30d > 2, false) AS c1_short, wide AND close < open AS c2_long, wide AND close > open AS c2_short, strong AND coalesce(close_return_5d > 0, false) AS c6_long, strong AND coalesce(close_return_5d < 0, false) AS c6_short FROM (SELECT *, coalesce(range_pct > 1.5 * {S.roll('avg(range_pct)', 20)} AND {S.roll('count(range_pct)', 20)} >= 10, false) AND is_macro_day = 1 AS wide, coalesce(efficiency_ratio_20d > 0.4 AND volume > 1.8 * {S.roll('avg(volume)', 20)} AND {S.roll('count(volume)', 20)} >= 10, false) AS strong FROM whole)", *S.ALL),
     "cnd_occurrence_set": S.sql("SELECT label, symbol, d FROM hits", S.BARS, S.IND, HITS),
     "cnd_count": S.sql("SELECT label, count(*) AS n FROM hits GROUP BY 1", S.BARS, S.IND, HITS),
-    "cnd_episode_count": S.sql("SELECT symbol, count(*) AS n_episodes FROM walk GROUP BY 1", S.BARS, S.IND, HITS, "days AS (SELECT DISTINCT symbol, d FROM hits WHERE label = 'volume'), walk AS (SELECT symbol, min(d) AS d FROM days GROUP BY 1 UNION ALL SELECT w.symbol, (SELECT min(x.d) FROM days x WHERE x.symbol = w.symbol AND x.d >= w.d + 21) AS d FROM walk w WHERE (SELECT min(x.d) FROM days x WHERE x.symbol = w.symbol AND x.d >= w.d + 21) IS NOT NULL)").replace("WITH", "WITH RECURSIVE", 1),
+    "cnd_episode_count": S.recursive("SELECT key AS label, symbol, count(*) AS n_episodes FROM walk GROUP BY 1, 2", S.BARS, S.IND, HITS, "days AS (SELECT DISTINCT label AS key, symbol, d FROM hits)", WALK.format(21)),
     "cnd_jaccard": S.sql("SELECT a, b, round(both_n / (x.n + y.n - both_n), 6) AS jaccard FROM (SELECT p.label AS a, q.label AS b, count(*) AS both_n FROM hits p JOIN hits q USING (symbol, d) WHERE p.label < q.label GROUP BY 1, 2) JOIN (SELECT label, count(*) AS n FROM hits GROUP BY 1) x ON x.label = a JOIN (SELECT label, count(*) AS n FROM hits GROUP BY 1) y ON y.label = b", S.BARS, S.IND, HITS),
     "cnd_relax_counts": S.sql(" UNION ALL ".join(f"SELECT '{x:.2f}' AS label, count(*) AS n FROM ind WHERE volume_zscore_30d >= {round(2 - 2 * x, 4)} HAVING count(*) > 0" for x in (0.1, 0.25, 0.5)), S.BARS, S.IND),
     "cnd_grammar_enumerate": "SELECT direction, CAST(2 AS INTEGER) AS n_clauses, count(*) AS n FROM range(3) a, range(2) b, range(3) c, (SELECT unnest(['long', 'short']) AS direction) GROUP BY 1, 2",
@@ -205,7 +321,7 @@ ORACLE = {
     "jn_pit_latest_revision": S.sql("SELECT series, period, value FROM vintage WHERE realtime_start <= DATE '1998-06-30' QUALIFY row_number() OVER (PARTITION BY series, period ORDER BY realtime_start DESC) = 1", S.VINTAGE),
     "jn_semi_calendar": S.sql("SELECT symbol, d, close FROM bars WHERE d IN (SELECT d FROM calendar)", S.BARS, S.CALENDAR),
     "jn_asof_next_bar": S.sql("SELECT a.symbol, a.d, b.d AS next_d, b.open AS next_open FROM bars a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.d < b.d", S.BARS),
-    "jn_ffill_daily_to_hourly": S.sql("SELECT symbol, ts, lag(day_close, 24) OVER (PARTITION BY symbol ORDER BY ts) AS known FROM (SELECT h.symbol, h.ts, g.day_close FROM hours h JOIN (SELECT symbol, CAST(ts AS DATE) AS d, max(close) AS day_close FROM hours GROUP BY 1, 2) g ON g.symbol = h.symbol AND g.d = CAST(h.ts AS DATE))", S.HOURS),
+    "jn_ffill_daily_to_hourly": S.sql("SELECT h.symbol, h.ts, g.known FROM hours h ASOF LEFT JOIN (SELECT symbol, CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) AS t, max(close) AS known FROM hours GROUP BY 1, 2) g ON g.symbol = h.symbol AND h.ts >= g.t", S.HOURS),
     "evt_build_events": S.sql(f"SELECT symbol, trigger_d, entry_loc, entry_price, regime, {S.r(*EVENT_COLUMNS)} FROM ev", *BASE),
     "evt_regime_split": S.sql("SELECT symbol, count(*) FILTER (regime = 'normal') AS n_normal, count(*) FILTER (regime = 'shock') AS n_shock FROM ev GROUP BY 1", *BASE),
     "evt_basket": S.sql("SELECT x.d, round(avg(y.close / x.close - 1), 6) AS basket FROM p x JOIN p y ON y.symbol = x.symbol AND y.k = x.k + 7 GROUP BY 1", S.BARS, "p AS (SELECT symbol, d, close, dense_rank() OVER (ORDER BY d) AS k FROM bars)"),
@@ -213,19 +329,18 @@ ORACLE = {
     "evt_anchors": S.sql("SELECT CAST(h AS INTEGER) AS h, round(f, 6) AS mfe_anchor, round(a, 6) AS mae_anchor FROM anchor", *BASE, S.LONG, ANCHOR),
     "evt_elapsed_bucket": "SELECT id, CAST((SELECT min(x) FROM (SELECT unnest([1, 3, 7, 14, 21]) AS x) WHERE x >= id) AS INTEGER) AS bucket FROM range(1, 31) t(id)",
     "evt_simulate_trade": S.sql("SELECT symbol, trigger_d, outcome, round(net_return, 6) AS net_return FROM trade", *BASE, S.LONG, ANCHOR, MET, HIT),
-    "evt_report": S.sql(f"SELECT symbol, n, round(win_rate, 6) AS win_rate, round(sortino, 6) AS sortino FROM (SELECT symbol, {REPORT} FROM trade GROUP BY 1)", *BASE, S.LONG, ANCHOR, MET, HIT),
-    "evt_compression_exit": S.sql(f"SELECT symbol, d AS last_d, loc - start_loc + 1 AS duration, round(vol_compression_zscore, 6) AS z FROM (SELECT *, max(CASE WHEN on_ AND NOT coalesce(was, false) THEN loc END) OVER ({S.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS start_loc FROM (SELECT *, lag(on_) OVER ({S.W}) AS was, {S.ahead('bool_or(on_)', 1, 5)} AS again, lead(d, 5) OVER ({S.W}) AS fifth FROM (SELECT *, coalesce(vol_compression_zscore >= 1.0, false) AS on_ FROM ind))) WHERE on_ AND NOT again AND fifth IS NOT NULL", S.BARS, S.IND),
+    "evt_report": S.sql(f"SELECT symbol, n, round(win_rate, 6) AS win_rate, round(strict_win_rate, 6) AS strict_win_rate, round(sortino, 6) AS sortino, round(total_expectancy, 6) AS total_expectancy, round(timeout_fraction, 6) AS timeout_fraction FROM (SELECT symbol, {REPORT}, count(*) FILTER (outcome = 'win') / count(*) AS strict_win_rate, sum(net_return) AS total_expectancy, count(*) FILTER (outcome = 'timeout') / count(*) AS timeout_fraction FROM trade GROUP BY 1)", *BASE, S.LONG, ANCHOR, MET, HIT),
+    "evt_compression_exit": S.sql(f"SELECT symbol, start_d, d AS end_d, fifth AS confirmed_d, loc - start_loc AS duration, round(z_start, 6) AS z_start, round(z, 6) AS z_end, round(close / start_close - 1, 6) AS squeeze_return, round(close / pc - 1, 6) AS end_return FROM (SELECT *, last_value(CASE WHEN on_ AND NOT coalesce(was, false) THEN loc END IGNORE NULLS) OVER u AS start_loc, last_value(CASE WHEN on_ AND NOT coalesce(was, false) THEN d END IGNORE NULLS) OVER u AS start_d, last_value(CASE WHEN on_ AND NOT coalesce(was, false) THEN close END IGNORE NULLS) OVER u AS start_close, last_value(CASE WHEN on_ AND NOT coalesce(was, false) THEN z END IGNORE NULLS) OVER u AS z_start FROM (SELECT *, lag(on_) OVER ({S.W}) AS was, {S.ahead('bool_or(on_)', 1, 5)} AS again, lead(d, 5) OVER ({S.W}) AS fifth, lag(close) OVER ({S.W}) AS pc FROM (SELECT *, vol_compression_zscore AS z, coalesce(vol_compression_zscore >= 1.0, false) AS on_ FROM ind)) WINDOW u AS ({S.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE NOT on_ AND was AND NOT again AND fifth IS NOT NULL", S.BARS, S.IND),
     "wf_folds": S.sql("SELECT CAST(fold AS INTEGER) AS fold, CAST(n_train AS BIGINT) AS n_train, n_test FROM folds", *BASE, S.FOLDS),
     "wf_barrier_grid": S.sql(f"SELECT CAST(fold AS INTEGER) AS fold, tp, sl, n, round(sortino, 6) AS sortino, round(win_rate, 6) AS win_rate FROM (SELECT fold, tp, sl, {REPORT} FROM traded GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(sortino, 9) DESC NULLS LAST, tp, sl) = 1", *BASE, S.LONG, S.FOLDS, MET, GRID),
     "wf_horizon_select": S.sql("SELECT CAST(fold AS INTEGER) AS fold, CAST(h AS INTEGER) AS h, round(score, 6) AS score FROM best", *BASE, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
     "wf_oos_returns": S.sql("SELECT symbol, trigger_d, CAST(period AS INTEGER) AS period, CAST(h AS INTEGER) AS h, round(fwd, 6) AS fwd FROM long_ev JOIN best USING (h) WHERE fold = period", *BASE, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
     "wf_baseline_incremental": S.sql("SELECT CAST(period AS INTEGER) AS period, count(*) AS n, round(avg(fwd_3), 6) AS mean FROM ev WHERE NOT EXISTS (SELECT 1 FROM ind i WHERE i.symbol = ev.symbol AND i.loc + 1 = ev.entry_loc AND coalesce(i.range_zscore_30d >= 0.5, false)) GROUP BY 1", *BASE),
     "wf_baseline_unconditional": S.sql("SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, round(avg(base), 6) AS mean FROM around WHERE h = 3 GROUP BY 1", *BASE, S.FOLDS, S.FORWARD, SPAN.format("=")),
-    "wf_bootstrap_lcg": S.sql("SELECT count(*) AS reps, round(avg(m), 6) AS mean, round(min(m), 6) AS least, round(max(m), 6) AS most FROM (SELECT b, avg(base) AS m FROM (SELECT b, ((b * 7919 + j * 104729 + 12345) * 48271 % 2147483647) % ((SELECT count(*) FROM pool) - 8) + i AS k FROM range(200) x(b), range(10) y(j), range(9) w(i)) JOIN pool USING (k) GROUP BY 1)", S.BARS, S.IND, S.FORWARD, "pool AS (SELECT row_number() OVER (ORDER BY loc) - 1 AS k, base FROM forward_of WHERE h = 3 AND symbol = 'A' AND base IS NOT NULL)"),
+    "wf_bootstrap_lcg": S.sql("SELECT symbol, count(*) AS reps, round(avg(m), 6) AS mean, round(min(m), 6) AS least, round(max(m), 6) AS most FROM (SELECT symbol, b, avg(base) AS m FROM (SELECT symbol, b, ((b * 7919 + j * 104729 + 12345) * 48271 % 2147483647) % (n - 8) + i AS k FROM (SELECT symbol, count(*) AS n FROM pool GROUP BY 1), range(200) x(b), range(10) y(j), range(9) w(i)) JOIN pool USING (symbol, k) GROUP BY 1, 2) GROUP BY 1", S.BARS, S.IND, S.FORWARD, "pool AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY loc) - 1 AS k, base FROM forward_of WHERE h = 3 AND base IS NOT NULL)"),
     "wf_concentration": S.sql("SELECT CAST(y.period AS INTEGER) AS period, round(max_share, 6) AS max_share, dominant, max_share > 0.6 AS concentrated FROM (SELECT DISTINCT period FROM ev) y LEFT JOIN (SELECT period, max(s) / sum(s) AS max_share, arg_max(symbol, (s, symbol)) AS dominant FROM (SELECT period, symbol, sum(fwd_7) AS s FROM ev GROUP BY 1, 2) WHERE s > 0 GROUP BY 1) z ON z.period = y.period", *BASE),
     "wf_classify": S.sql("SELECT candidate, status FROM verdict", S.BATTERY, VERDICT),
-    "wf_explain": S.sql(f"SELECT candidate, {REASON} AS reason FROM battery WHERE n <= 20", S.BATTERY),
-    "wf_explain_all": S.sql(f"SELECT candidate, {REASONS} AS reason FROM battery", S.BATTERY),
+    "wf_explain": S.sql(f"SELECT candidate, {REASONS} AS reason FROM battery", S.BATTERY),
     "wf_bh": S.sql("SELECT candidate, coalesce(p <= (SELECT cut FROM cut), false) AS survives FROM battery", S.BATTERY, FAMILY.format("")),
     "wf_bh_weighted": S.sql("SELECT b.candidate, coalesce(q <= cut, false) AS survives FROM battery b LEFT JOIN w USING (candidate) LEFT JOIN cut ON cut.brand = b.brand", S.BATTERY, "w AS (SELECT candidate, brand AS fam, p / (weight / avg(weight) OVER (PARTITION BY brand)) AS q FROM battery WHERE p IS NOT NULL), fam AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY q) AS rk, count(*) OVER (PARTITION BY fam) AS m FROM w), cut AS (SELECT fam AS brand, max(q) AS cut FROM fam WHERE q <= 0.05 * rk / m GROUP BY 1)"),
     "wf_fdr_demotion": S.sql("SELECT CASE WHEN dem THEN 'rejected' ELSE status END AS status, dem AS fdr_demoted, count(*) AS n FROM (SELECT status, p IS NOT NULL AND n > 20 AND status = 'accepted' AND NOT coalesce(p <= (SELECT cut FROM cut), false) AS dem FROM verdict) GROUP BY 1, 2", S.BATTERY, VERDICT, FAMILY.format("AND n > 20")),

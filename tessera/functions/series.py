@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -53,10 +53,24 @@ def filled(x: str) -> Column:
 
 
 def is_true(c: Column) -> Column:
-    """Comparisons with missing or not-a-number values count as false."""
+    """Comparisons with missing values count as false."""
     return F.coalesce(c, F.lit(False))
 
 
+def usable(x: Column) -> Column:
+    """Neither missing nor not-a-number; Spark holds the latter greater than any number, so comparisons need this guard."""
+    return x.isNotNull() & ~F.isnan(x)
+
+
+def carried(known: DataFrame, onto: DataFrame, *values: str) -> DataFrame:
+    """onto (symbol, t, ...) with the values of the last row of known (symbol, t) at or before t: one sort a symbol, no range join."""
+    last = Window.partitionBy("symbol").orderBy("t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    left = known.select("symbol", "t", F.lit(0).alias("__side"), F.struct(*values).alias("__known"))
+    right = onto.withColumn("__side", F.lit(1))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("__known", F.last("__known", ignorenulls=True).over(last))
+    return both.where("__side = 1").select(*onto.columns, "__known.*")
+
+
 def rounded(*names: str, to: int = 6) -> list[Column]:
     return [F.round(n, to).alias(n) for n in names]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.series import by_day, HORIZONS, ahead, forward, is_true
+from tessera.functions.series import HORIZONS, ahead, by_day, forward, is_true, usable
 
 FEE = 0.002
 MULTIPLES = (0.6, 0.8, 1.0, 1.2, 1.5)
@@ -17,6 +17,11 @@ def regime(z: str = "shock_zscore") -> Column:
     return F.when(F.col(z) >= SHOCK, "shock").otherwise("normal")
 
 
+def path_frame(most: int) -> Column:
+    """The (high, low) of the bars after the entry's, which is the next one, up to one past the longest horizon."""
+    return F.collect_list(F.struct("high", "low")).over(ahead(2, most + 2))
+
+
 def build_events(df: DataFrame, trigger: Column, direction: str = "long", horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """A row for each bar that triggers: entry on the next one, excursions over the h bars after the entry's.
 
@@ -24,20 +29,20 @@ def build_events(df: DataFrame, trigger: Column, direction: str = "long", horizo
     whose longest horizon is not complete give no event.
     """
     price = F.lead("open", 1).over(by_day())
-    columns = {"entry_price": price, "regime": regime(), "fired": is_true(trigger)}
+    columns = {"entry_price": price, "regime": regime(), "fired": is_true(trigger), "path": path_frame(max(horizons))}
     for h in horizons:
         top, bottom = F.max("high").over(ahead(2, 1 + h)), F.min("low").over(ahead(2, 1 + h))
         best, worst = (top, bottom) if direction == "long" else (bottom, top)
         sign = 1 if direction == "long" else -1
         columns |= {f"mfe_{h}": sign * (F.try_divide(best, price) - 1), f"mae_{h}": sign * (F.try_divide(worst, price) - 1), f"fwd_{h}": sign * forward("close", 1, 1 + h)}
     kept = df.withColumns(columns).where(F.col("fired") & (F.col("loc") + 1 + max(horizons) < F.col("n_rows")) & (F.col("entry_price") > 0))
-    return kept.select("symbol", F.col("d").alias("trigger_d"), (F.col("loc") + 1).alias("entry_loc"), "entry_price", "regime", F.year("d").alias("period"), *[f"{k}_{h}" for h in horizons for k in ("mfe", "mae", "fwd")])
+    return kept.select("symbol", F.col("d").alias("trigger_d"), (F.col("loc") + 1).alias("entry_loc"), "entry_price", "path", "regime", F.year("d").alias("period"), *[f"{k}_{h}" for h in horizons for k in ("mfe", "mae", "fwd")])
 
 
 def long_form(events: DataFrame, *keep: str, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """A row for each event and horizon: h, mfe, mae, fwd, and the columns to keep."""
     rows = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"mfe_{h}").alias("mfe"), F.col(f"mae_{h}").alias("mae"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])
-    return events.select("symbol", "trigger_d", "entry_loc", "entry_price", "period", *keep, F.explode(rows).alias("x")).select("symbol", "trigger_d", "entry_loc", "entry_price", "period", *keep, "x.*")
+    return events.select("symbol", "trigger_d", "entry_loc", "period", *keep, F.explode(rows).alias("x")).select("symbol", "trigger_d", "entry_loc", "period", *keep, "x.*")
 
 
 def anchors(events: DataFrame, *by: str) -> DataFrame:
@@ -50,26 +55,64 @@ def bucket_for(elapsed: Column, horizons: tuple[int, ...] = HORIZONS) -> Column:
     return F.array_min(F.filter(F.array(*map(F.lit, horizons)), lambda h: h >= elapsed))
 
 
-def simulate(events: DataFrame, bars: DataFrame, levels: DataFrame, by: list[str], horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """Outcome and net return of each event under each barrier setting.
+def barrier_prices(price: Column, sign: Column, favourable: Column, adverse: Column) -> tuple[Column, Column]:
+    """Target and stop of a trade; sign 1 for a long one, -1 for a short one."""
+    return price * (1 + sign * favourable), price * (1 - sign * adverse)
+
+
+def trade(path: Column, price: Column, sign: Column, levels: Column, tp: Column, sl: Column) -> Column:
+    """(outcome, net) of a trade under one setting.
+
+    levels: ascending array of (h, mfe, mae); the levels of a bar are those of the first horizon that its distance from the entry does
+    not pass.  A bar's stop counts before its target; without a hit the trade ends at the bar past the longest horizon, or the
+    last one, at the middle of its range.  The path is at hand as an array, so no bars are joined.
+    """
+    last = F.element_at(path, -1)
+    n = F.element_at(levels, -1)["h"]
+
+    def step(state: Column, bar: Column) -> Column:
+        o = state["o"] + 1
+        level = F.element_at(F.filter(levels, lambda x: x["h"] >= o), 1)
+        up, down = level["mfe"] * tp, level["mae"] * sl
+        target, stop = barrier_prices(price, sign, up, down)
+        reached = lambda level_price, side: F.when(sign * side > 0, bar["high"] >= level_price).otherwise(bar["low"] <= level_price)
+        result = F.when(reached(stop, F.lit(-1)), F.struct(F.lit("loss").alias("outcome"), (-down - FEE).alias("net"))).when(reached(target, F.lit(1)), F.struct(F.lit("win").alias("outcome"), (up - FEE).alias("net")))
+        return F.struct(o.alias("o"), F.coalesce(state["hit"], result).alias("hit"))
+
+    start = F.struct(F.lit(0).alias("o"), F.lit(None).cast("struct<outcome:string,net:double>").alias("hit"))
+    hit = F.aggregate(F.slice(path, 1, n), start, step, lambda s: s["hit"])
+    middle = sign * ((last["high"] + last["low"]) / 2 / price - 1) - FEE
+    return F.coalesce(hit, F.struct(F.lit("timeout").alias("outcome"), middle.alias("net")))
+
+
+def settings(tps: tuple[float, ...] = MULTIPLES, sls: tuple[float, ...] = MULTIPLES) -> Column:
+    """All (tp, sl) in order, as an array."""
+    return F.array(*[F.struct(F.lit(x).alias("tp"), F.lit(y).alias("sl")) for x in tps for y in sls])
+
+
+def simulate(events: DataFrame, levels: DataFrame, by: list[str], grid: Column | None = None, direction: str = "long", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Outcome and net return of each event under each setting: by columns, keep, symbol, trigger_d, tp, sl, outcome, net_return.
 
-    levels: by columns, tp, sl, h, mfe_anchor, mae_anchor.  Bars after the entry meet the event by an
-    equi-join on symbol and row; a bar's stop counts before its target; without a hit the trade ends
-    at the longest horizon's bar, or the last one, at the middle of its range.
+    levels: by columns, h, mfe_anchor, mae_anchor, a few rows for each value of `by`; grid: array of (tp, sl).
     """
-    most = max(horizons)
-    spread = events.select(*[c for c in by if c in events.columns], "symbol", "trigger_d", "entry_loc", "entry_price", F.explode(F.sequence(F.lit(1), F.lit(most + 1))).alias("o"))
-    met = spread.withColumn("loc", F.col("entry_loc") + F.col("o")).join(bars.select("symbol", "loc", "high", "low", "n_rows"), ["symbol", "loc"])
-    within = met.where(F.col("o") <= most).withColumn("h", bucket_for(F.col("o"), horizons))
-    keys = [c for c in by if c in events.columns]
-    hit = within.join(levels, [*keys, "h"]).withColumn("stop", F.col("low") <= F.col("entry_price") * (1 - F.col("mae_anchor") * F.col("sl"))).withColumn("target", F.col("high") >= F.col("entry_price") * (1 + F.col("mfe_anchor") * F.col("tp")))
-    result = F.when(F.col("stop"), F.struct(F.lit("loss").alias("outcome"), (-F.col("mae_anchor") * F.col("sl") - FEE).alias("net"))).when(F.col("target"), F.struct(F.lit("win").alias("outcome"), (F.col("mfe_anchor") * F.col("tp") - FEE).alias("net")))
-    id_ = [*keys, "symbol", "trigger_d", "tp", "sl"]
-    first = hit.withColumn("r", result).where("r IS NOT NULL").groupBy(*id_).agg(F.min_by("r", "o").alias("r"))
-    end = met.where((F.col("o") == most + 1) | (F.col("loc") == F.col("n_rows") - 1)).groupBy(*keys, "symbol", "trigger_d").agg(F.min_by(F.struct("high", "low", "entry_price"), "o").alias("e"))
-    every = end.join(levels.select(*keys, "tp", "sl").distinct(), keys) if keys else end.join(levels.select("tp", "sl").distinct(), F.lit(True))
-    timeout = (F.col("e.high") + F.col("e.low")) / 2 / F.col("e.entry_price") - 1 - FEE
-    return every.join(first, id_, "left").select(*id_, F.coalesce("r.outcome", F.lit("timeout")).alias("outcome"), F.coalesce("r.net", timeout).alias("net_return"))
+    per = levels.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("h", F.col("mfe_anchor").alias("mfe"), F.col("mae_anchor").alias("mae")))).alias("levels"))
+    joined = events.join(per, by) if by else events.join(per, F.lit(True))
+    one = joined.select(*by, *keep, "symbol", "trigger_d", "entry_price", "path", "levels", F.explode(grid if grid is not None else settings((1.0,), (1.0,))).alias("g"))
+    made = one.withColumn("r", trade(F.col("path"), F.col("entry_price"), F.lit(1 if direction == "long" else -1), F.col("levels"), F.col("g.tp"), F.col("g.sl")))
+    return made.select(*by, *keep, "symbol", "trigger_d", "g.tp", "g.sl", F.col("r.outcome").alias("outcome"), F.col("r.net").alias("net_return"))
+
+
+def chosen_setting(results: DataFrame, by: list[str], grid: Column | None = None) -> DataFrame:
+    """by, tp, sl, n, sortino: the setting of the greatest ratio on `results`, the first of equals.
+
+    If the very first setting has no ratio it stays, as no ratio can be said to be greater than none.
+    """
+    order = F.transform(grid if grid is not None else settings(), lambda g, i: F.struct(g["tp"].alias("tp"), g["sl"].alias("sl"), i.alias("place")))
+    scored = results.groupBy(*by, "tp", "sl").agg(F.count(F.lit(1)).alias("n"), sortino(F.col("net_return")).alias("sortino"))
+    placed = scored.withColumn("place", F.filter(order, lambda g: (g["tp"] == F.col("tp")) & (g["sl"] == F.col("sl")))[0]["place"])
+    placed = placed.withColumn("stuck", F.max(F.when(F.col("place") == 0, F.col("sortino").isNull())).over(Window.partitionBy(*by)))
+    first = Window.partitionBy(*by).orderBy(F.when(F.col("stuck"), F.col("place")), F.round("sortino", 9).desc_nulls_last(), "place")
+    return placed.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).select(*by, "tp", "sl", "n", "sortino")
 
 
 def sortino(r: Column) -> Column:
@@ -94,32 +137,57 @@ def basket(bars: DataFrame, h: int) -> DataFrame:
     return placed.join(later, ["symbol", "k"]).groupBy("d").agg(F.avg(F.try_divide(F.col("later"), F.col("close")) - 1).alias("basket"))
 
 
-def greedy_episodes(days: DataFrame, apart: int) -> DataFrame:
-    """symbol, n_episodes: a day opens an episode if it lies `apart` days after the last one that did."""
-    fold = F.aggregate(
-        F.array_sort(F.collect_set("d")),
+def greedy_count(days: str, apart: Column) -> Column:
+    """How many of ascending days open an episode: the first, and each that lies `apart` days after the last one that did."""
+    return F.aggregate(
+        days,
         F.struct(F.lit(0).alias("n"), F.lit(None).cast("date").alias("last")),
         lambda s, d: F.when(s["last"].isNull() | (F.date_diff(d, s["last"]) >= apart), F.struct((s["n"] + 1).alias("n"), d.alias("last"))).otherwise(s),
         lambda s: s["n"],
     )
-    return days.groupBy("symbol").agg(fold.alias("n_episodes"))
 
 
-def compression_exits(df: DataFrame, threshold: float = 1.25, confirm: int = 5) -> DataFrame:
-    """Confirmed ends of compressed runs: start, last compressed day, length and score on it."""
-    state = df.withColumn("on", is_true(F.col("vol_compression_zscore") >= threshold))
-    state = state.withColumns({"was": F.coalesce(F.lag("on").over(by_day()), F.lit(False)), "again": F.max(F.col("on").cast("int")).over(ahead(1, confirm)), "complete": F.lead("d", confirm).over(by_day()).isNotNull()})
-    state = state.withColumn("start_loc", F.max(F.when(F.col("on") & ~F.col("was"), F.col("loc"))).over(by_day().rowsBetween(Window.unboundedPreceding, 0)))
-    ends = state.where(F.col("on") & (F.col("again") == 0) & F.col("complete"))
-    return ends.select("symbol", F.col("d").alias("last_d"), (F.col("loc") - F.col("start_loc") + 1).alias("duration"), F.col("vol_compression_zscore").alias("z"))
+def greedy_episodes(days: DataFrame, apart: int, *by: str) -> DataFrame:
+    """symbol (and by), n_episodes; a row of days holds one symbol's distinct days."""
+    sorted_days = days.groupBy("symbol", *by).agg(F.array_sort(F.collect_set("d")).alias("days"))
+    return sorted_days.select("symbol", *by, greedy_count("days", F.lit(apart)).alias("n_episodes"))
+
 
+def market_adjusted(value: Column, basket: Column, sign: Column | int = 1) -> Column:
+    """The value less what the basket did, signed as the trade is; a day without a basket leaves it as it is."""
+    return value - sign * F.coalesce(basket, F.lit(0.0))
 
-def path_outcome(df: DataFrame, h: int) -> list[Column]:
+
+def expired(entry: Column, now: Column, days: Column | int, price: Column, high: Column, low: Column, stop: Column, target: Column, sign: Column | int = 1) -> Column:
+    """Why an open position ends on a bar, or null: the stop, the target, or the days that it may be held."""
+    hit = lambda level, side: F.when(F.lit(sign) * side > 0, high >= level).otherwise(low <= level)
+    return F.when(hit(stop, -1), "stop").when(hit(target, 1), "target").when(F.date_diff(now, entry) >= days, "time")
+
+
+def compression_exits(df: DataFrame, threshold: float = 1.25, confirm: int = 5) -> DataFrame:
+    """Ends of compressed runs that the `confirm` days after them confirm.
+
+    symbol, start_d, end_d (the first day out of it), confirmed_d, duration, z_start, z_end, squeeze_return (from start to end) and
+    end_return (the end's own day).
+    """
+    w, upto = by_day(), by_day().rowsBetween(Window.unboundedPreceding, 0)
+    z = F.col("vol_compression_zscore")
+    state = df.withColumn("on", is_true(z >= threshold) & usable(z))
+    state = state.withColumns({"was": F.coalesce(F.lag("on").over(w), F.lit(False)), "again": F.max("on").over(ahead(0, confirm)), "confirmed_d": F.lead("d", confirm).over(w), "z": z})
+    begin = F.when(F.col("on") & ~F.col("was"), F.struct("loc", "d", "close", "z"))
+    state = state.withColumns({"start": F.last(begin, ignorenulls=True).over(upto), "before": F.lag("close").over(w)})
+    ends = state.where(~F.col("on") & F.col("was") & ~F.col("again") & F.col("confirmed_d").isNotNull())
+    change = lambda x, y: F.try_divide(x, y) - 1
+    return ends.select("symbol", F.col("start.d").alias("start_d"), F.col("d").alias("end_d"), "confirmed_d", (F.col("loc") - F.col("start.loc")).alias("duration"), F.col("start.z").alias("z_start"), F.col("z").alias("z_end"), change(F.col("close"), F.col("start.close")).alias("squeeze_return"), change(F.col("close"), F.col("before")).alias("end_return"))
+
+
+def path_outcome(df: DataFrame, h: int, direction: str = "long") -> list[Column]:
     """For an entry on the next bar: its open to the close h bars on, and the excursions between; null until complete."""
     price, done = F.lead("open", 1).over(by_day()), F.lead("close", 1 + h).over(by_day()).isNotNull()
-    high, low = F.max("high").over(ahead(2, 1 + h)), F.min("low").over(ahead(2, 1 + h))
-    whole = lambda x: F.when(done, x)
-    return [whole(F.try_divide(F.lead("close", 1 + h).over(by_day()), price) - 1).alias("outcome"), whole(F.try_divide(high, price) - 1).alias("mfe"), whole(F.abs(F.try_divide(low, price) - 1)).alias("mae")]
+    top, bottom = F.max("high").over(ahead(2, 1 + h)), F.min("low").over(ahead(2, 1 + h))
+    sign, best, worst = (1, top, bottom) if direction == "long" else (-1, bottom, top)
+    moved = lambda x: F.when(done, sign * (F.try_divide(x, price) - 1))
+    return [moved(F.lead("close", 1 + h).over(by_day())).alias("outcome"), moved(best).alias("mfe"), F.abs(moved(worst)).alias("mae")]
 
 
 def prospective_split(df: DataFrame, fired: Column, proposed: Column, h: int, *by: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """The indicator library: causal window expressions over a panel, computed in one sort.
 
-`with_inputs` adds the columns that indicators are built on; each indicator is then one expression.  The
-registry can be extended with `register`.
+`with_inputs` adds the columns that indicators are built on; each indicator is then one expression.  Windows are
+counted in days; on an hourly panel `scale` is 24, and the indicators that are daily by nature are taken
+from the daily panel instead.  `complete` adds the ones that come from side tables.  The registry
+can be extended with `register`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,43 +47,92 @@ def stochastic(n: int = 14) -> Column:
     return with_least(100 * F.try_divide(F.col("close") - low, high - low), F.col("close"), roll(n), n)
 
 
-INDICATORS: dict[str, Callable[[], Column]] = {
-    "close_return_1d": lambda: change("close", 1),
-    "close_return_5d": lambda: change("close", 5),
-    "daily_range_pct": lambda: F.col("range_pct"),
-    "range_zscore_30d": lambda: zscore(F.col("range_pct"), 30, 15),
-    "vol_compression_zscore": lambda: -zscore(F.col("vol_20"), 180, 60),
-    "shock_zscore": lambda: zscore(F.col("vol_5"), 252, 63),
-    "volume_zscore_30d": lambda: zscore(F.col("volume"), 30, 15),
-    "efficiency_ratio_20d": efficiency,
-    "donchian_pct_20d": donchian,
-    "bollinger_pctb_20d": bollinger,
-    "stochastic_k_14d": stochastic,
+@dataclass(frozen=True)
+class Indicator:
+    """An expression for a scale (bars a day), or none if the column comes from a side table or a pass of its own.
+
+    event: something that happens on a day; news: one that is published.  daily_native: has no hourly form.  proposable: may
+    stand in a proposal.  neutral: its value in an ordinary market, towards which thresholds are relaxed.
+    """
+
+    build: Callable[[int], Column] | None
+    words: str
+    neutral: float | None = None
+    daily_native: bool = False
+    proposable: bool = True
+    event: bool = False
+    news: bool = False
+
+
+INDICATORS: dict[str, Indicator] = {
+    "close_return_1d": Indicator(lambda k: change("close", k), "change of price in a day", 0.0),
+    "close_return_5d": Indicator(lambda k: change("close", 5 * k), "change of price in five days", 0.0),
+    "daily_range_pct": Indicator(lambda k: F.col("range_pct"), "range of the day over its price", daily_native=True, proposable=False),
+    "range_zscore_30d": Indicator(lambda k: zscore(F.col("range_pct"), 30 * k, 15 * k), "score of the range in 30 days", 0.0, daily_native=True),
+    "vol_compression_zscore": Indicator(lambda k: -zscore(F.col("vol_20"), 180, 60), "compression of volatility", daily_native=True, proposable=False),
+    "shock_zscore": Indicator(lambda k: zscore(F.col("vol_5"), 252, 63), "score of a shock", 0.0, daily_native=True, proposable=False, event=True),
+    "volume_zscore_30d": Indicator(lambda k: zscore(F.col("volume"), 30 * k, 15 * k), "score of the volume in 30 days", 0.0),
+    "efficiency_ratio_20d": Indicator(lambda k: efficiency(20 * k), "efficiency of the trend in 20 days", daily_native=True),
+    "donchian_pct_20d": Indicator(lambda k: donchian(), "place in the channel of 20 days", 0.5),
+    "bollinger_pctb_20d": Indicator(lambda k: bollinger(), "place between the bands of 20 days", 0.5),
+    "stochastic_k_14d": Indicator(lambda k: stochastic(), "place in the range of 14 days"),
+    "funding_zscore_30d": Indicator(None, "score of the funding rate in 30 days", 0.0),
+    "rsi_14d": Indicator(None, "relative strength in 14 days", 50.0, daily_native=True),
+    "atr_pct_14d": Indicator(None, "average true range of 14 days over the price", daily_native=True),
+    "is_macro_day": Indicator(None, "day of a release", proposable=False, event=True),
+    "cpi_surprise": Indicator(None, "surprise of a price index release", 0.0, daily_native=True, event=True, news=True),
+    "rate_surprise": Indicator(None, "surprise of a rate release", 0.0, daily_native=True, event=True, news=True),
+    "jobless_claims_surprise": Indicator(None, "surprise of a claims release", 0.0, daily_native=True, event=True, news=True),
 }
-EVENT_INDICATORS: set[str] = {"is_macro_day", "surprise"}
 
 
-def register(name: str, builder: Callable[[], Column], event: bool = False) -> None:
-    """Add an indicator: an expression over the columns of `with_inputs`, backward-looking only."""
-    INDICATORS[name] = builder
-    if event:
-        EVENT_INDICATORS.add(name)
+def register(name: str, build: Callable[[int], Column], words: str = "", **traits) -> None:
+    """Add an indicator: an expression over the columns of `with_inputs`, backward-looking only, and its traits."""
+    INDICATORS[name] = Indicator(build, words or name.replace("_", " "), **traits)
 
 
-def with_indicators(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
-    return with_inputs(bars).withColumns({n: INDICATORS[n]() for n in names or list(INDICATORS)})
+def named(trait: str) -> frozenset[str]:
+    """The indicators that have a trait: event, news, daily_native or proposable."""
+    return frozenset(n for n, i in INDICATORS.items() if getattr(i, trait))
 
 
-def with_funding(bars: DataFrame, funding: DataFrame) -> DataFrame:
+def from_bars() -> list[str]:
+    """The indicators that bars alone give."""
+    return [n for n, i in INDICATORS.items() if i.build]
+
+
+def with_indicators(bars: DataFrame, names: list[str] | None = None, scale: int = 1) -> DataFrame:
+    return with_inputs(bars).withColumns({n: INDICATORS[n].build(scale) for n in (from_bars() if names is None else names)})
+
+
+def with_funding(bars: DataFrame, funding: DataFrame, scale: int = 1) -> DataFrame:
     """The side series carried forward to each bar, and its score; null where there is none."""
     joined = bars.join(funding, ["symbol", "d"], "left").withColumn("rate", filled("rate"))
-    return joined.withColumn("funding_zscore_30d", zscore(F.col("rate"), 30, 15))
+    return joined.withColumn("funding_zscore_30d", zscore(F.col("rate"), 30 * scale, 15 * scale))
 
 
 def with_macro_day(bars: DataFrame, days: DataFrame) -> DataFrame:
     return bars.join(days.select("d").distinct().withColumn("is_macro_day", F.lit(1)), "d", "left").fillna(0, ["is_macro_day"])
 
 
+def with_surprises(bars: DataFrame, surprises: DataFrame, series: dict[str, str]) -> DataFrame:
+    """A column for each (indicator, series): the surprise on its day of publication, null on others."""
+    wide = surprises.groupBy(F.col("published").alias("d")).agg(*[F.max(F.when(F.col("series") == of, F.col("surprise"))).alias(name) for name, of in series.items()])
+    return bars.join(wide, "d", "left")
+
+
+def complete(bars: DataFrame, funding: DataFrame | None = None, days: DataFrame | None = None, surprises: DataFrame | None = None, series: dict[str, str] | None = None) -> DataFrame:
+    """All indicators of the registry.  Those of a side table that is not given are null, and 0 for the macro day."""
+    missing = F.lit(None).cast("double")
+    df = with_indicators(bars)
+    strength = wilder(bars).select("symbol", "d", F.nanvl("rsi", missing).alias("rsi_14d"), F.nanvl("atr_pct", missing).alias("atr_pct_14d"))
+    df = df.join(strength, ["symbol", "d"], "left")
+    df = with_funding(df, funding) if funding is not None else df.withColumn("funding_zscore_30d", missing)
+    df = with_macro_day(df, days) if days is not None else df.withColumn("is_macro_day", F.lit(0))
+    df = with_surprises(df, surprises, series) if surprises is not None and series else df
+    return df.withColumns({n: missing for n in INDICATORS if n not in df.columns})
+
+
 # -- recursive indicators: a symbol's history is one group -----------------------------------------
 
 
@@ -133,7 +185,68 @@ def forward_efficiency(h: int) -> Column:
     return F.when(F.lead("close", h).over(by_day()).isNotNull(), F.try_divide(moved, F.sum("chg").over(ahead(1, h))))
 
 
-def snapshot(df: DataFrame, names: list[str]) -> DataFrame:
-    """symbol, indicator, value: the last row of each symbol, unpivoted."""
-    last = df.groupBy("symbol").agg(*[F.max_by(n, "d").alias(n) for n in names])
+def snapshot(df: DataFrame, names: list[str], non_null: bool = False) -> DataFrame:
+    """symbol, indicator, value: the last row of each symbol, unpivoted; or of each indicator its last reading that there is."""
+    at = lambda n: F.when(F.col(n).isNotNull(), F.col("d")) if non_null else F.col("d")
+    last = df.groupBy("symbol").agg(*[F.max_by(F.col(n).cast("double"), at(n)).alias(n) for n in names])
     return last.unpivot(["symbol"], names, "indicator", "value")
+
+
+def leadup(df: DataFrame, names: list[str], rows: int = 7) -> DataFrame:
+    """The last rows of each symbol, with the named indicators."""
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("d").desc()))
+    return df.withColumn("__n", n).where(F.col("__n") <= rows).select("symbol", "d", *names)
+
+
+def price_snapshot(bars: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """symbol, d, close, change_1, change_7 of the last row up to a day; null changes where fewer than 8 rows are known."""
+    seen = bars if as_of is None else bars.where(F.col("d") <= as_of)
+    known = F.count(F.lit(1)).over(by_day().rowsBetween(Window.unboundedPreceding, 0)) >= 8
+    moved = seen.withColumns({"change_1": F.when(known, change("close", 1)), "change_7": F.when(known, change("close", 7))})
+    return moved.groupBy("symbol").agg(F.max_by(F.struct("d", "close", "change_1", "change_7"), "d").alias("x")).select("symbol", "x.*")
+
+
+def transitions(at_least: Column) -> Column:
+    """Whether a state holds here and did not on the row before."""
+    state = F.coalesce(at_least, F.lit(False))
+    return state & ~F.coalesce(F.lag(state).over(by_day()), F.lit(False))
+
+
+# -- synthetic indicators, with a planted or no effect ------------------------------------------------
+
+
+def uniform(seed: str, *key: str) -> Column:
+    """A number in [0, 1) that seed and key decide: 52 bits of an MD5, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key])), 1, 13), 16, 10).cast("double") / float(2**52)
+
+
+def planted(forward: str, top: float, rate: float = 0.02, seed: str = "planted") -> Column:
+    """Looks ahead on purpose: fires on a share `rate` of all days, only on ones in the top share of the symbol's forward returns."""
+    limit = F.percentile(forward, F.lit(1.0 - top)).over(Window.partitionBy("symbol"))
+    return F.coalesce((F.col(forward) >= limit) & (uniform(seed, "symbol", "d") < rate / top), F.lit(False)).cast("double")
+
+
+def at_random(rate: float = 0.02, seed: str = "random") -> Column:
+    """Fires on a share of all days, whatever happens."""
+    return (uniform(seed, "symbol", "d") < rate).cast("double")
+
+
+def on_days(days: list[str]) -> Column:
+    """Fires on given days."""
+    return F.col("d").cast("string").isin(*days).cast("double")
+
+
+def planted_apart(forward: str, symbol: str, top: float, rate: float = 0.02, seed: str = "apart") -> Column:
+    """Planted on one symbol's returns apart from the mean of all on the day; never fires on others."""
+    apart = F.col(forward) - F.avg(forward).over(Window.partitionBy("d"))
+    limit = F.percentile(F.when(F.col("symbol") == symbol, apart), F.lit(1.0 - top)).over(Window.partitionBy())
+    return F.coalesce((F.col("symbol") == symbol) & (apart >= limit) & (uniform(seed, "symbol", "d") < rate / top), F.lit(False)).cast("double")
+
+
+def sentiment(forward: str, rho: float, seed: str = "sentiment") -> Column:
+    """A score whose correlation with the symbol's forward returns is rho: their own score and Gaussian noise from two draws."""
+    whole = Window.partitionBy("symbol")
+    own = F.try_divide(F.col(forward) - F.avg(forward).over(whole), F.stddev_samp(forward).over(whole))
+    first, second = (uniform(f"{seed}{k}", "symbol", "d") for k in (1, 2))
+    noise = F.sqrt(-2.0 * F.log(first + 2.0**-53)) * F.cos(second * (2 * 3.141592653589793))
+    return rho * own + (1.0 - rho * rho) ** 0.5 * noise

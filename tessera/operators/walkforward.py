@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.series import by_day
+from tessera.functions.series import by_day, usable
 
 MIN_TRAIN, MIN_REPORT, MIN_PERIODS = 20, 20, 3
-SIGNIFICANCE, FDR, MAX_SHARE, BLOCK_HORIZONS = 0.10, 0.05, 0.6, 3
+SIGNIFICANCE, FDR, MAX_SHARE, BLOCK_HORIZONS, MIN_POOL = 0.10, 0.05, 0.6, 3, 20
 
 
-def folds(events: DataFrame) -> DataFrame:
-    """fold (a year after the first three), n_train, n_test; years are few, so they meet in one window."""
-    years = events.groupBy("period").agg(F.count(F.lit(1)).alias("n_test"))
-    w = Window.orderBy("period")
-    years = years.withColumns({"k": F.row_number().over(w), "n_train": F.coalesce(F.sum("n_test").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    return years.where((F.col("k") > MIN_PERIODS) & (F.col("n_train") >= MIN_TRAIN)).select(F.col("period").alias("fold"), "n_train", "n_test")
+def folds(events: DataFrame, *by: str) -> DataFrame:
+    """by, fold (a year after the first three), n_train, n_test; years are few, so they meet in one window."""
+    years = events.groupBy(*by, "period").agg(F.count(F.lit(1)).alias("n_test"))
+    w = Window.partitionBy(*by).orderBy("period")
+    years = years.withColumns({"__place": F.row_number().over(w), "n_train": F.coalesce(F.sum("n_test").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    return years.where((F.col("__place") > MIN_PERIODS) & (F.col("n_train") >= MIN_TRAIN)).select(*by, F.col("period").alias("fold"), "n_train", "n_test")
 
 
 def forward_by_loc(df: DataFrame, horizons) -> DataFrame:
@@ -31,18 +33,18 @@ def forward_by_loc(df: DataFrame, horizons) -> DataFrame:
 
 def spans(events: DataFrame, of: DataFrame, test: bool) -> DataFrame:
     """fold, symbol and the range of rows from the first to the last entry of its train or test events."""
-    joined = events.join(F.broadcast(of), F.col("period") == F.col("fold") if test else F.col("period") < F.col("fold"))
+    joined = events.join(of, F.col("period") == F.col("fold") if test else F.col("period") < F.col("fold"))
     return joined.groupBy("fold", "symbol").agg(F.min("entry_loc").alias("lo"), F.max("entry_loc").alias("hi"))
 
 
 def baseline(forward: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows of `forward` inside each fold's range; folds are the years of a panel, a bounded set."""
-    return forward.join(F.broadcast(ranges), "symbol").where(F.col("loc").between(F.col("lo"), F.col("hi")))
+    return forward.join(ranges, "symbol").where(F.col("loc").between(F.col("lo"), F.col("hi")))
 
 
 def select_horizon(long_events: DataFrame, of: DataFrame, train_baseline: DataFrame) -> DataFrame:
     """fold, h: the greatest (mean - baseline mean) over deviation on the train events; ties go to the least h."""
-    train = long_events.join(F.broadcast(of), F.col("period") < F.col("fold")).groupBy("fold", "h").agg(F.avg("fwd").alias("m"), F.stddev_samp("fwd").alias("sd"))
+    train = long_events.join(of, F.col("period") < F.col("fold")).groupBy("fold", "h").agg(F.avg("fwd").alias("m"), F.stddev_samp("fwd").alias("sd"))
     base = train_baseline.groupBy("fold", "h").agg(F.avg("base").alias("b"))
     score = train.join(base, ["fold", "h"]).withColumn("score", F.try_divide(F.col("m") - F.col("b"), F.col("sd")))
     best = Window.partitionBy("fold").orderBy(F.col("score").desc_nulls_last(), "h")
@@ -56,16 +58,21 @@ def concentration(df: DataFrame, by: list[str], group: str, value: str) -> DataF
     return df.select(*by).distinct().join(positive, by, "left").withColumn("concentrated", F.col("max_share") > MAX_SHARE)
 
 
+def is_above(x: Column, limit: float) -> Column:
+    """False for what is missing or no number, which Spark would hold to be greater than any."""
+    return F.coalesce((x > limit) & ~F.isnan(x), F.lit(False))
+
+
 def classify(n: Column, sortino: Column, ok: Column, by_symbol: Column, by_year: Column, significant: Column, excess: Column, ratio: Column) -> Column:
     """The ordered gates of the verdict."""
     return (
         F.when(n <= MIN_REPORT, "insufficient_data")
-        .when(sortino.isNull(), "rejected")
+        .when(sortino.isNull() | F.isnan(sortino), "rejected")
         .when(~F.coalesce(ok, F.lit(False)), "watch")
         .when(by_symbol.isNull() | by_year.isNull(), "watch")
         .when(by_symbol | by_year, "watch")
-        .when(~F.coalesce(significant, F.lit(False)) | F.coalesce(excess <= 0, F.lit(True)), "rejected")
-        .when(F.coalesce(ratio <= 1, F.lit(True)), "watch")
+        .when(~F.coalesce(significant, F.lit(False)) | ~is_above(excess, 0), "rejected")
+        .when(~is_above(ratio, 1), "watch")
         .otherwise("accepted")
     )
 
@@ -74,15 +81,15 @@ def explain(n: Column, sortino: Column, ok: Column, by_symbol: Column, by_year:
     """Why a candidate is not accepted: the first gate that stops it."""
     return (
         F.when(n <= MIN_REPORT, F.concat(F.lit("only "), n.cast("string"), F.lit(" of more than 20 events")))
-        .when(sortino.isNull(), "no trade result")
+        .when(sortino.isNull() | F.isnan(sortino), "no trade result")
         .when(~F.coalesce(ok, F.lit(False)), "pattern test did not run")
         .when(by_symbol.isNull() | by_year.isNull(), "no positive group")
         .when(by_symbol, "one symbol carries it")
         .when(by_year, "one year carries it")
         .when(excess <= 0, "no excess return")
         .when(~F.coalesce(significant, F.lit(False)), "not better than its baseline")
-        .when(excess.isNull(), "no excess return")
-        .when(F.coalesce(ratio <= 1, F.lit(True)), "adverse moves outweigh favourable ones")
+        .when(~usable(excess), "no excess return")
+        .when(~is_above(ratio, 1), "adverse moves outweigh favourable ones")
     )
 
 
@@ -104,22 +111,36 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", weight: str | None = None, b
     total = Window.partitionBy(*by)
     ranked = counts.withColumns({"rank": F.sum("k").over(up.rowsBetween(Window.unboundedPreceding, 0)), "m": F.sum("k").over(total)})
     cut = ranked.where(F.col("__p") <= alpha * F.col("rank") / F.col("m")).groupBy(*by).agg(F.max("__p").alias("__cut"))
-    joined = df.join(F.broadcast(cut), by, "left") if by else df.join(F.broadcast(cut), F.lit(True), "left")
+    joined = df.join(cut, by, "left") if by else df.join(cut, F.lit(True), "left")  # without families it is one row
     return joined.withColumn("survives", F.coalesce(F.col("__usable") & (F.col("__p") <= F.col("__cut")), F.lit(False))).drop("__usable", "__p", "__cut")
 
 
-def demote(battery: DataFrame) -> DataFrame:
-    """Accepted candidates of the family (a p-value, and over 20 events or an unknown count) that do not survive become rejected."""
+def demote(battery: DataFrame, weight: str | None = None) -> DataFrame:
+    """Accepted candidates of the family (a p-value, and over 20 events or an unknown count) that do not survive become rejected.
+
+    weight: a column of prior weights, given before any outcome was seen.
+    """
     member = F.col("p").isNotNull() & F.coalesce(F.col("n") > MIN_REPORT, F.lit(True))
-    tested = benjamini_hochberg(battery.withColumn("__p_in", F.when(member, F.col("p"))), "__p_in")
+    tested = benjamini_hochberg(battery.withColumn("__p_in", F.when(member, F.col("p"))), "__p_in", weight)
     demoted = member & (F.col("status") == "accepted") & ~F.col("survives")
     return tested.withColumns({"fdr_significant": F.when(member, F.col("survives")), "fdr_demoted": demoted, "status": F.when(demoted, "rejected").otherwise(F.col("status"))}).drop("__p_in", "survives")
 
 
+def live_after(live: DataFrame, battery: DataFrame) -> DataFrame:
+    """The live state without the candidates that the family's correction demoted."""
+    return live.join(battery.where("fdr_demoted").select("candidate"), "candidate", "left_anti")
+
+
+#: The normal quantile of a one-sided level of 0.05, and those of the powers in use.
+Z_LEVEL, Z_POWER = 1.645, {0.8: 0.84, 0.9: 1.282}
+
+
 def required_n(sd: Column, effect: float = 0.05, power: float = 0.8) -> Column:
     """Events needed to see the effect, with the variance that overlapping windows add."""
-    z = 1.645 + (0.84 if power == 0.8 else 1.282)
-    return F.when((sd > 0) & F.lit(effect > 0), 6.0 * F.pow(z * sd / F.lit(effect), 2))
+    if not 0 < power < 1:
+        raise ValueError(f"a power of {power}")
+    z = Z_LEVEL + Z_POWER.get(power, NormalDist().inv_cdf(power))
+    return F.when((sd > 0) & ~F.isnan(sd) & F.lit(effect > 0), 6.0 * F.pow(z * sd / F.lit(effect), 2))
 
 
 def prune_codes(df: DataFrame) -> DataFrame:
@@ -131,41 +152,61 @@ def prune_codes(df: DataFrame) -> DataFrame:
 # -- bootstrap --------------------------------------------------------------------------------------
 
 
-def block_bootstrap_means(chunks: list[np.ndarray], n: int, block: int, reps: int = 2000, seed: int = 0) -> np.ndarray:
-    """Means of n values drawn in contiguous blocks from chunks, which are chosen by their length."""
+def block_bootstrap_means(chunks: list[np.ndarray], n: int, block: int, reps: int = 2000, seed: int | list[int] = 0) -> np.ndarray:
+    """Means of n values drawn in contiguous blocks, `reps` times.
+
+    A place is drawn evenly among all values, which picks its chunk by length, and then a block's start in that chunk; a block is as long
+    as asked for, or as its chunk.  All draws are arrays: a block's sum is a difference of prefix sums, and the block in which a
+    replicate reaches n counts in part.
+    """
+    chunks = [np.asarray(c, float) for c in chunks if len(c)]
+    size = np.array([len(c) for c in chunks])
+    first = np.cumsum(size) - size
+    sums = np.concatenate([[0.0], np.cumsum(np.concatenate(chunks))])
+    length = np.minimum(block, size)
     rng = np.random.default_rng(seed)
-    chunks = [c for c in chunks if len(c)]
-    share = np.array([len(c) for c in chunks]) / sum(map(len, chunks))
-    out = np.empty(reps)
-    for r in range(reps):
-        drawn, held = [], 0
-        while held < n:
-            c = chunks[int(rng.choice(len(chunks), p=share))]
-            length = min(block, len(c))
-            s = int(rng.integers(0, len(c) - length + 1))
-            drawn.append(c[s : s + length])
-            held += length
-        out[r] = np.concatenate(drawn)[:n].mean()
-    return out
+    total, held = np.zeros(reps), np.zeros(reps, np.int64)
+    while (held < n).any():
+        short = np.flatnonzero(held < n)
+        draws = max(1, min(-(-int(n - held.min()) // int(length.max())) + 1, 4_000_000 // len(short)))
+        of = np.searchsorted(first, rng.integers(0, size.sum(), (len(short), draws)), side="right") - 1
+        start = first[of] + np.floor(rng.random(of.shape) * (size[of] - length[of] + 1)).astype(np.int64)
+        upto = held[short, None] + np.cumsum(length[of], axis=1)
+        take = np.clip(n - (upto - length[of]), 0, length[of])
+        total[short] += (sums[start + take] - sums[start]).sum(axis=1)
+        held[short] = upto[:, -1]
+    return total / n
 
 
-def bootstrap_p(observed: DataFrame, pool: DataFrame, reps: int = 2000) -> DataFrame:
-    """candidate, n, mean, baseline_mean, p, significant.
+SLICES = 4  # of a candidate's replicates, which run side by side
 
-    observed: candidate, value, block; pool: candidate, chunk, place, base.  Candidates run side by
-    side, one group each; a group is a candidate's out-of-sample history.
-    """
 
-    def of_candidate(key, o: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(o) or len(b) < 20:
-            return pd.DataFrame([(key[0], len(o), None, None, None, None)], columns=["candidate", "n", "mean", "baseline_mean", "p", "significant"])
-        chunks = [g.sort_values("place")["base"].to_numpy() for _, g in b.groupby("chunk", sort=True)]
-        means = block_bootstrap_means(chunks, len(o), int(o["block"].iloc[0]), reps)
-        mean, base = float(o["value"].mean()), float(b["base"].mean())
-        p = float((means >= mean).mean())
-        return pd.DataFrame([(key[0], len(o), mean, base, p, p < SIGNIFICANCE and mean > base)], columns=["candidate", "n", "mean", "baseline_mean", "p", "significant"])
+def bootstrap_p(observed: DataFrame, pool: DataFrame, reps: int = 2000) -> DataFrame:
+    """candidate, n, mean, baseline_mean, baseline_n, p, p_two_sided, significant.
 
-    return observed.groupBy("candidate").cogroup(pool.groupBy("candidate")).applyInPandas(of_candidate, "candidate string, n long, mean double, baseline_mean double, p double, significant boolean")
+    observed: candidate, value, block (one for each candidate); pool: candidate, chunk, base (array, in order).  A task has one
+    candidate's pool and a share of its replicates.
+    """
+    name = F.col("candidate").cast("string").alias("candidate")
+    own = observed.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("block").alias("block"))
+    joined = own.join(pool.select(name, "chunk", "base"), "candidate").withColumn("slice", F.explode(F.array(*map(F.lit, range(SLICES)))))
+    share = [len(range(k, reps, SLICES)) for k in range(SLICES)]
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        chunks = [np.asarray(c, float) for c in p.sort_values("chunk")["base"]]
+        n, mean, block = int(p["n"].iloc[0]), float(p["mean"].iloc[0]), int(p["block"].iloc[0])
+        values = np.concatenate(chunks) if chunks else np.zeros(0)
+        base = float(values.mean()) if len(values) else None
+        above = beyond = drawn = None
+        if len(values) >= MIN_POOL:
+            means = block_bootstrap_means(chunks, n, block, share[key[1]], [0, key[1]])
+            above, beyond, drawn = int((means >= mean).sum()), int((np.abs(means - base) >= abs(mean - base)).sum()), len(means)
+        return pd.DataFrame([(key[0], base, len(values), above, beyond, drawn)], columns=["candidate", "base", "size", "above", "beyond", "drawn"])
+
+    parts = joined.groupBy("candidate", "slice").applyInPandas(run, "candidate string, base double, size long, above long, beyond long, drawn long")
+    told = parts.groupBy("candidate").agg(F.max("base").alias("baseline_mean"), F.max("size").alias("baseline_n"), (F.sum("above") / F.sum("drawn")).alias("p"), (F.sum("beyond") / F.sum("drawn")).alias("p_two_sided"))
+    significant = F.when(F.col("p").isNotNull(), (F.col("p") < SIGNIFICANCE) & (F.col("mean") > F.col("baseline_mean")))
+    return own.join(told, "candidate", "left").select("candidate", "n", "mean", "baseline_mean", F.coalesce("baseline_n", F.lit(0)).alias("baseline_n"), "p", "p_two_sided", significant.alias("significant"))
 
 
 def keep_or_drop(n: Column, status: Column, significant: Column, sd: Column) -> Column:
@@ -173,3 +214,36 @@ def keep_or_drop(n: Column, status: Column, significant: Column, sd: Column) ->
     need = required_n(sd)
     settled = (status == "accepted") | (status == "insufficient_data") | (n <= MIN_REPORT) | F.coalesce(significant, F.lit(False))
     return F.when(settled, "keep").when(F.coalesce(n >= need, F.lit(False)), "drop").otherwise("keep")
+
+
+def advice_reason(n: Column, status: Column, significant: Column, sd: Column, excess: Column, symbol_share: Column, year_share: Column, ratio: Column) -> Column:
+    """Why keep_or_drop says what it says."""
+    need, count = required_n(sd), n.cast("string")
+    share = lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
+    held = F.when((share(symbol_share) > MAX_SHARE) | (share(year_share) > MAX_SHARE), F.when(share(symbol_share) >= share(year_share), "significant, so far mostly on one symbol").otherwise("significant, so far mostly in one year"))
+    held = held.when(usable(ratio) & (ratio <= 1), "significant, but adverse moves outweigh favourable ones").otherwise("significant, held back by a robustness check")
+    runs = F.when(usable(excess), F.concat(F.lit(", the effect runs "), F.format_number(100 * excess, 1), F.lit(" %"))).otherwise("")
+    return (
+        F.when(status == "accepted", "accepted")
+        .when((status == "insufficient_data") | (n <= MIN_REPORT), F.concat(F.lit("only "), count, F.lit(" events, not yet testable")))
+        .when(F.coalesce(significant, F.lit(False)), held)
+        .when(n >= need, F.concat(F.lit("had the power ("), count, F.lit(" of "), F.format_number(need, 0), F.lit(") and showed nothing"), runs))
+        .when(need.isNotNull(), F.concat(F.lit("undetermined: "), count, F.lit(" of "), F.format_number(need, 0), F.lit(" events")))
+        .otherwise("not enough is known")
+    )
+
+
+def significance_text(found: dict) -> str:
+    """One line for a person on a verdict's row (a mapping with the columns that a battery has)."""
+    if found.get("p") is None:
+        return "The pattern could not be tested: too little data."
+    against = "the same market state without the event" if found.get("baseline_kind") == "incremental" else "ordinary returns of the same time"
+    ratio, sortino = found.get("ratio"), found.get("sortino")
+    risk = "no risk profile" if ratio is None or ratio != ratio else f"sortino {sortino:.2f}, favourable over adverse moves {ratio:.2f}" if sortino is not None else f"favourable over adverse moves {ratio:.2f}"
+    wrong_way = "" if found["excess"] > 0 else " The effect runs against the direction traded."
+    return f"Excess {100 * found['excess']:+.2f} % over {against} (n = {found['n']}, {found.get('baseline_n')} to compare), p = {found['p']:.3f}, {'' if found['significant'] else 'not '}significant; {risk}.{wrong_way}"
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """df with null for what is no number, as documents need it."""
+    return df.withColumns({c: F.when(usable(F.col(c)), F.col(c)) for c, kind in df.dtypes if kind in ("double", "float")})

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from itertools import product
 from typing import Any
@@ -16,15 +16,17 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.series import by_day, HORIZONS, is_true
-from tessera.operators.indicators import EVENT_INDICATORS, INDICATORS
+from tessera.functions.series import HORIZONS, by_day, carried, is_true, usable
+from tessera.functions.text import WORDS
+from tessera.operators.events import greedy_count
+from tessera.operators.indicators import INDICATORS, named, with_indicators
 
 MAX_WITHIN, MAX_CLAUSES, MAX_PROPOSALS, MAX_OVERLAP = 14, 2, 2, 0.6
 MIN_OCCURRENCES, MIN_EPISODES = 120, 40
 RELAXATION = (0.10, 0.25, 0.50)
 OPERATORS = {"<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
-#: Values that an indicator takes in an ordinary market; thresholds are relaxed towards them.
-NEUTRAL = {"range_zscore_30d": 0.0, "vol_compression_zscore": 0.0, "shock_zscore": 0.0, "volume_zscore_30d": 0.0, "funding_zscore_30d": 0.0, "close_return_1d": 0.0, "close_return_5d": 0.0, "efficiency_ratio_20d": 0.25, "donchian_pct_20d": 0.5, "bollinger_pctb_20d": 0.5, "surprise": 0.0}
+#: A label with one of these claims a macro event.
+MACRO_WORDS = re.compile(r"cpi|fomc|macro|fed[\W_]|jobless|claims|rate[\W_]?(decision|hike|cut)|news|headline", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -41,11 +43,17 @@ class Clause:
             raise ValueError(f"within_days {self.within_days} is not in 0..{MAX_WITHIN}")
 
     def column(self, scale: int = 1) -> Column:
-        hit = is_true(OPERATORS[self.op](F.col(self.indicator), F.lit(self.threshold)))
+        """Whether it holds on a row, or held within the days before it; `scale` rows make a day."""
+        x = F.col(self.indicator)
+        hit = is_true(OPERATORS[self.op](x, F.lit(self.threshold)) & usable(x))
         if not self.within_days:
             return hit
         return F.max(hit).over(by_day().rowsBetween(-self.within_days * scale, 0))
 
+    def to_dict(self) -> dict[str, Any]:
+        d = {"indicator": self.indicator, "op": self.op, "threshold": self.threshold}
+        return d | ({"within_days": self.within_days} if self.within_days else {})
+
     @staticmethod
     def from_dict(d: dict[str, Any]) -> Clause:
         within = d.get("within_days")
@@ -79,14 +87,26 @@ class Spec:
 
     def without_events(self) -> Spec | None:
         """The control: the state clauses alone, or none if there are none."""
-        rest = tuple(c for c in self.clauses if c.indicator not in EVENT_INDICATORS)
+        rest = tuple(c for c in self.clauses if c.indicator not in named("event"))
         return Spec(f"{self.label} (control)", rest, self.direction, self.horizons, self.coins, self.outcome) if rest else None
 
+    def has_news(self) -> bool:
+        return any(c.indicator in named("news") for c in self.clauses)
+
+    def uses(self, indicator: str) -> bool:
+        return any(c.indicator == indicator for c in self.clauses)
+
+    def in_words(self) -> str:
+        """For a reader who does not know the indicators' names."""
+        reach = lambda n: f" at some time in the last {n} day{'s' * (n > 1)}" if n else ""
+        one = lambda c: f"{INDICATORS[c.indicator].words if c.indicator in INDICATORS else c.indicator} {WORDS[c.op]} {c.threshold:g}{reach(c.within_days)}"
+        return " and ".join(map(one, self.clauses))
+
     def describe(self) -> str:
         return " and ".join(f"{c.indicator} {c.op} {c.threshold:g}" + (f" within the last {c.within_days} days" if c.within_days else "") for c in self.clauses) + f", {self.direction}"
 
     def to_json(self) -> str:
-        d = asdict(self)
+        d = asdict(self) | {"clauses": [c.to_dict() for c in self.clauses]}
         for k, v in (("coins", None), ("outcome", "raw"), ("prior_weight", 1.0)):
             if d[k] == v:
                 del d[k]
@@ -98,20 +118,23 @@ class Spec:
         return Spec(d["label"], tuple(map(Clause.from_dict, d["clauses"])), d.get("direction", "long"), tuple(d.get("horizons", HORIZONS)), tuple(d["coins"]) if d.get("coins") else None, d.get("outcome", "raw"), float(d.get("prior_weight", 1.0)))
 
 
-def from_proposal(d: dict[str, Any], banned: frozenset[str] = frozenset()) -> Spec | str:
-    """The specification, or why it is refused."""
-    clauses = d.get("clauses") or []
-    if len(clauses) > MAX_CLAUSES:
-        return f"more than {MAX_CLAUSES} clauses"
-    for c in clauses:
-        if c.get("indicator") in banned:
-            return f"{c['indicator']} cannot be proposed"
-        if c.get("indicator") not in INDICATORS and c.get("indicator") not in EVENT_INDICATORS:
-            return f"unknown indicator {c.get('indicator')}"
+def from_proposal(d: dict[str, Any], news: bool = True) -> Spec | str:
+    """The specification, or why it is refused.  news: whether a published event is a necessary condition, as for proposals it is."""
     try:
-        return Spec.from_json(json.dumps(d))
+        spec = Spec.from_json(json.dumps(d))
     except (KeyError, TypeError, ValueError) as e:
         return str(e)
+    unknown = sorted({c.indicator for c in spec.clauses} - INDICATORS.keys())
+    banned = sorted({c.indicator for c in spec.clauses} - named("proposable") - set(unknown))
+    if unknown:
+        return f"unknown indicator {', '.join(unknown)}"
+    if len(spec.clauses) > MAX_CLAUSES:
+        return f"{len(spec.clauses)} clauses, more than {MAX_CLAUSES}"
+    if banned:
+        return f"{', '.join(banned)} cannot be proposed"
+    if (news or MACRO_WORDS.search(spec.label)) and not spec.has_news():
+        return f"no clause on a published event ({', '.join(sorted(named('news')))})" if news else "the label names a macro event that no clause holds"
+    return spec
 
 
 def proposals(response: dict[str, Any]) -> list[dict[str, Any]]:
@@ -128,15 +151,16 @@ def normalise_coin(name: str, universe: frozenset[str]) -> str | None:
     return coin if coin in universe else None
 
 
-def claims_label(label: str, word: str) -> bool:
-    return re.search(rf"\b{re.escape(word)}\b", label, re.IGNORECASE) is not None
-
-
 def loosened(c: Clause, step: float) -> Clause:
     """The threshold moved towards the indicator's neutral value by a share of its distance."""
-    if c.indicator not in NEUTRAL or c.threshold == NEUTRAL[c.indicator]:
+    neutral = INDICATORS[c.indicator].neutral if c.indicator in INDICATORS else None
+    if neutral is None or c.threshold == neutral:
         return c
-    return Clause(c.indicator, c.op, round(c.threshold - (c.threshold - NEUTRAL[c.indicator]) * step, 4), c.within_days)
+    return Clause(c.indicator, c.op, round(c.threshold - (c.threshold - neutral) * step, 4), c.within_days)
+
+
+def relaxed(spec: Spec, step: float) -> Spec:
+    return replace(spec, clauses=tuple(loosened(c, step) for c in spec.clauses))
 
 
 def occurrences(panel: DataFrame, specs: list[Spec]) -> DataFrame:
@@ -146,12 +170,82 @@ def occurrences(panel: DataFrame, specs: list[Spec]) -> DataFrame:
     return fired.select("symbol", "d", F.explode(F.filter(rows, lambda r: r["hit"])).alias("r")).select("r.label", "symbol", "d")
 
 
-def agreement(hits: DataFrame) -> DataFrame:
-    """a, b, jaccard of each pair of labels that share a firing: from their counts and one join on (symbol, d)."""
+def occurrences_hourly(hourly: DataFrame, daily: DataFrame, specs: list[Spec]) -> DataFrame:
+    """label, symbol, ts of every hour on which a specification fires.
+
+    hourly: symbol, ts and bars; daily: a complete panel of days.  A clause on an indicator that is daily by nature is judged on the
+    daily panel, its reach included, and carried to the hours from that day on; the others are judged on hours, 24 to a day.
+    """
+    clauses = list(dict.fromkeys(c for s in specs for c in s.clauses))
+    native = [c for c in clauses if c.indicator in named("daily_native")]
+    names = {c: f"__c{k}" for k, c in enumerate(clauses)}
+    own = sorted({c.indicator for c in clauses} - {c.indicator for c in native})
+    panel = with_indicators(hourly.withColumnRenamed("ts", "d"), [n for n in own if INDICATORS[n].build], 24)
+    if "is_macro_day" in own or "funding_zscore_30d" in own:
+        side = daily.select("symbol", F.col("d").cast("timestamp").alias("t"), *(n for n in ("is_macro_day", "funding_zscore_30d") if n in own))
+        panel = carried(side, panel.withColumn("t", F.col("d")), *(c for c in side.columns if c not in ("symbol", "t"))).drop("t")
+    panel = panel.withColumns({names[c]: c.column(24) for c in clauses if c not in native})
+    if native:
+        judged = daily.withColumns({names[c]: c.column() for c in native}).withColumn("t", F.col("d").cast("timestamp"))
+        panel = carried(judged, panel.withColumn("t", F.col("d")), *(names[c] for c in native))
+    fired = lambda s: reduce(lambda a, b: a & b, (is_true(F.col(names[c])) for c in s.clauses)) & (F.col("symbol").isin(*s.coins) if s.coins else F.lit(True))
+    rows = F.array(*[F.when(fired(s), F.lit(s.label)) for s in specs])
+    return panel.select("symbol", F.col("d").alias("ts"), F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("label")).select("label", "symbol", "ts")
+
+
+def agreement(hits: DataFrame, all_pairs: bool = False) -> DataFrame:
+    """a, b, jaccard of each pair of labels that share a firing: from their counts and one join on (symbol, d).
+
+    all_pairs: also those that share none, at 0.
+    """
     n = hits.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     both = hits.alias("x").join(hits.alias("y"), ["symbol", "d"]).where("x.label < y.label").groupBy(F.col("x.label").alias("a"), F.col("y.label").alias("b")).agg(F.count(F.lit(1)).alias("both"))
-    joined = both.join(n.select(F.col("label").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("label").alias("b"), F.col("n").alias("nb")), "b")
-    return joined.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+    left, right = n.select(F.col("label").alias("a"), F.col("n").alias("na")), n.select(F.col("label").alias("b"), F.col("n").alias("nb"))
+    if all_pairs:  # a row for each pair of labels, which are few
+        joined = left.join(right, F.col("a") < F.col("b")).join(both, ["a", "b"], "left").fillna(0, ["both"])
+    else:
+        joined = both.join(left, "a").join(right, "b")
+    return joined.select("a", "b", "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+
+
+def testability(panel: DataFrame, specs: list[Spec]) -> DataFrame:
+    """label, n, episodes, testable, reason of every specification, in one pass over the panel.
+
+    An episode starts as many days after the one before it as the longest horizon has.
+    """
+    known = panel.sparkSession.createDataFrame([(s.label, max(s.horizons)) for s in specs], "label string, apart int")
+    by_symbol = occurrences(panel, specs).groupBy("label", "symbol").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("d")).alias("days")).join(known, "label")
+    counted = by_symbol.withColumn("episodes", greedy_count("days", F.col("apart"))).groupBy("label").agg(F.sum("n").alias("n"), F.sum("episodes").alias("episodes"))
+    rows = known.select("label").join(counted, "label", "left").fillna(0)
+    rare = F.concat(F.lit("occurred "), F.col("n").cast("string"), F.lit(f" times of {MIN_OCCURRENCES} needed"))
+    near = F.concat(F.lit("occurred on only "), F.col("episodes").cast("string"), F.lit(f" separate occasions of {MIN_EPISODES} needed"))
+    reason = F.when(F.col("n") < MIN_OCCURRENCES, rare).when(F.col("episodes") < MIN_EPISODES, near)
+    return rows.select("label", "n", "episodes", reason.isNull().alias("testable"), reason.alias("reason"))
+
+
+def relax_until_testable(panel: DataFrame, specs: list[Spec]) -> dict[str, tuple[Spec, float] | None]:
+    """By label the specification, with the least relaxation that makes it testable and that step; None where none does.
+
+    All steps of all specifications are counted in one pass; only their counts are looked at, never an outcome.
+    """
+    steps = (0.0, *RELAXATION)
+    asked = {f"{k}/{x}": (s, relaxed(s, x), x) for k, s in enumerate(specs) for x in steps}
+    good = {r.label for r in testability(panel, [replace(v, label=key) for key, (_, v, _) in asked.items()]).where("testable").select("label").collect()}
+    return {s.label: next(((asked[f"{k}/{x}"][1], x) for x in steps if f"{k}/{x}" in good), None) for k, s in enumerate(specs)}
+
+
+def distinct_proposals(panel: DataFrame, specs: list[Spec]) -> tuple[list[Spec], dict[str, str]]:
+    """The first of those that fire on the same days, and for each that is dropped the label it repeats; one job for all pairs."""
+    same = {(r.a, r.b) for r in agreement(occurrences(panel, specs)).where(F.col("jaccard") > MAX_OVERLAP).collect()}
+    kept: list[Spec] = []
+    dropped: dict[str, str] = {}
+    for s in specs:
+        clash = next((k.label for k in kept if (k.label, s.label) in same or (s.label, k.label) in same), None)
+        if clash is None:
+            kept.append(s)
+        else:
+            dropped[s.label] = clash
+    return kept, dropped
 
 
 def enumerate_specs(events: list[Clause], states: list[Clause], withins: list[int]) -> list[Spec]:

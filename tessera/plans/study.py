@@ -1,58 +1,266 @@
-"""A battery of conditions from bars to verdicts: all candidates share one panel, one bootstrap and one family of p-values."""
+"""A battery of conditions from bars to verdicts.
+
+All candidates share one panel, one table of firings keyed by candidate, one bootstrap and one family of p-values, so neither the plan
+nor the count of jobs grows with the candidates.  Folds are the years of a candidate's events; what a fold's training years
+say is a running sum over years, so no event is repeated for each later fold but for its own barrier trades.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tessera.functions.series import ahead, by_day
 from tessera.operators import events as E
-from tessera.operators import indicators as I
+from tessera.operators import indicators as I  # noqa: E741
 from tessera.operators import walkforward as W
 from tessera.plans.grammar import Spec
 from tessera.sources.state import cut
 
 
-def evidence(panel: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """Out-of-sample outcomes of a specification at each year's chosen horizon, and the pool of bars that they are held against.
+@dataclass(frozen=True)
+class Sides:
+    """Side tables of a panel; what is missing gives null indicators."""
+
+    funding: DataFrame | None = None
+    days: DataFrame | None = None
+    surprises: DataFrame | None = None
+    series: dict[str, str] | None = None
+
+    def until(self, day: date) -> Sides:
+        """What was known on the day."""
+        known = lambda df, c: None if df is None else df.where(F.col(c) <= F.lit(day))
+        return Sides(known(self.funding, "d"), known(self.days, "d"), known(self.surprises, "published"), self.series)
+
+
+def measured(panel: DataFrame, horizons: list[int], relative: bool) -> DataFrame:
+    """The panel with what a trade that a row triggers would meet: price, path, and for each horizon the greatest and least price,
+    the change of the close from each row (`base`) and, if asked for, that change less the basket's (`apart`)."""
+    columns = {"price": F.lead("open", 1).over(by_day()), "path": E.path_frame(max(horizons)), "regime": E.regime(), "period": F.year("d")}
+    for h in horizons:
+        columns |= {f"top_{h}": F.max("high").over(ahead(2, 1 + h)), f"bottom_{h}": F.min("low").over(ahead(2, 1 + h)), f"base_{h}": F.try_divide(F.lead("close", h).over(by_day()), F.col("close")) - 1}
+    df = panel.withColumns(columns)
+    for h in horizons:
+        if relative:
+            df = df.join(E.basket(panel, h).withColumnRenamed("basket", f"basket_{h}"), "d", "left")
+        df = df.withColumn(f"apart_{h}", E.market_adjusted(F.col(f"base_{h}"), F.col(f"basket_{h}")) if relative else F.col(f"base_{h}"))
+    return df.withColumns({f"{k}_from_{h}": F.lead(f"{k}_{h}", 1).over(by_day()) for h in horizons for k in ("base", "apart")})
+
+
+def candidates(spark, specs: list[Spec]) -> DataFrame:
+    """A row a specification, with what the later steps need of it."""
+    rows = [
+        (k, s.label, 1 if s.direction == "long" else -1, sorted(s.horizons), max(s.horizons), s.uses("shock_zscore"), s.outcome == "market_relative", float(s.prior_weight), s.coins is not None and len(s.coins) == 1, control(s) is not None)
+        for k, s in enumerate(specs)
+    ]
+    return spark.createDataFrame(rows, "k int, candidate string, sign int, horizons array<int>, most int, shocks boolean, relative boolean, weight double, one_symbol boolean, contrast boolean")
+
+
+def control(spec: Spec) -> Spec | None:
+    """The state clauses alone, where they say less than the whole."""
+    rest = spec.without_events()
+    return rest if rest is not None and len(rest.clauses) < len(spec.clauses) else None
+
+
+def firings(df: DataFrame, specs: list[Spec], of: DataFrame, horizons: list[int]) -> DataFrame:
+    """A row for each candidate and row of the panel that fires, treated or as its control.
+
+    Bars in a shock give no event, unless the specification asks for shocks; nor do those whose longest horizon is not complete.
+    """
+    flags = {f"__t{k}": s.column() for k, s in enumerate(specs)}
+    flags |= {f"__c{k}": c.column() for k, s in enumerate(specs) if (c := control(s)) is not None}
+    df = df.withColumns(flags)
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__t{k}").alias("treated"), (F.col(f"__c{k}") if f"__c{k}" in flags else F.lit(False)).alias("state")) for k in range(len(specs))])
+    out = lambda h: F.struct(F.lit(h).alias("h"), F.col(f"top_{h}").alias("top"), F.col(f"bottom_{h}").alias("bottom"), F.col(f"base_from_{h}").alias("base"), F.col(f"apart_from_{h}").alias("apart"))
+    fired = df.select("symbol", "d", "loc", "n_rows", "price", "path", "regime", "period", F.array(*map(out, horizons)).alias("outs"), F.explode(F.filter(each, lambda x: x["treated"] | x["state"])).alias("x"))
+    rows = fired.select("*", "x.*").drop("x").join(of, "k")
+    rows = rows.where(((F.col("regime") == "normal") | F.col("shocks")) & (F.col("loc") + 1 + F.col("most") < F.col("n_rows")) & (F.col("price") > 0))
+    sign, price = F.col("sign"), F.col("price")
+    best = lambda x, good: F.when((sign > 0) == F.lit(good), x["top"]).otherwise(x["bottom"])
+    moved = lambda x, good: sign * (F.try_divide(best(x, good), price) - 1)
+    value = lambda x: sign * F.when(F.col("relative"), x["apart"]).otherwise(x["base"])
+    told = F.transform(F.filter("outs", lambda x: F.array_contains("horizons", x["h"])), lambda x: F.struct(x["h"].alias("h"), moved(x, True).alias("mfe"), moved(x, False).alias("mae"), value(x).alias("value")))
+    return rows.select("k", "treated", "state", "symbol", F.col("d").alias("trigger_d"), (F.col("loc") + 1).alias("entry_loc"), "period", F.col("price").alias("entry_price"), "path", "sign", told.alias("outs"))
+
+
+def trained(long: DataFrame, folds: DataFrame) -> DataFrame:
+    """k, fold, h and of the training years the events, mean and deviation of their values, and mean excursions."""
+    year = long.groupBy("k", "period", "h").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.sum("mfe").alias("f"), F.sum(F.abs("mae")).alias("a"))
+    before = Window.partitionBy("k", "h").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    upto = year.select("k", "period", "h", *[F.sum(c).over(before).alias(c) for c in ("n", "s", "q", "f", "a")])
+    rows = upto.join(folds.select("k", F.col("fold").alias("period")), ["k", "period"])
+    n = F.col("n")
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * F.col("s") / n) / (n - 1)))
+    return rows.select("k", F.col("period").alias("fold"), "h", "n", (F.col("s") / n).alias("mean"), F.when(n > 1, spread).alias("sd"), (F.col("f") / n).alias("mfe_anchor"), (F.col("a") / n).alias("mae_anchor"))
+
+
+def running(df: DataFrame, horizons: list[int]) -> DataFrame:
+    """symbol, loc, h, and up to each row the count and sum of the usable changes, raw and apart from the basket."""
+    rows = df.select("symbol", "loc", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"base_{h}").alias("base"), F.col(f"apart_{h}").alias("apart")) for h in horizons])).alias("x")).select("symbol", "loc", "x.*")
+    w = Window.partitionBy("symbol", "h").orderBy("loc").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("symbol", "h", "loc", F.count("base").over(w).alias("c"), F.coalesce(F.sum("base").over(w), F.lit(0.0)).alias("base"), F.coalesce(F.sum("apart").over(w), F.lit(0.0)).alias("apart"))
+
 
-    outcomes: candidate, symbol, period, h, value, mfe, mae, block.  pool: candidate, chunk, place, base.
-    Bars in a shock give no event, unless the specification asks for shocks.
+def trained_baseline(spans: DataFrame, folds: DataFrame, of: DataFrame, sums: DataFrame) -> DataFrame:
+    """k, fold, h, b: the mean change of the bars between the first and the last training entry of each symbol.
+
+    spans: k, symbol, period, lo, hi.  A range's sum is a difference of two running sums, met by equi-joins.
     """
-    found = E.build_events(panel, spec.column(), spec.direction, spec.horizons)
-    if not any(c.indicator == "shock_zscore" for c in spec.clauses):
-        found = found.where("regime = 'normal'")
-    found = cut(found)
-    long, of = E.long_form(found, horizons=spec.horizons), W.folds(found)
-    forward = W.forward_by_loc(panel, spec.horizons).withColumn("base", F.col("base") * (1 if spec.direction == "long" else -1))
-    chosen = W.select_horizon(long, of, W.baseline(forward, W.spans(found, of, test=False))).select("fold", "h")
-    chosen = cut(chosen)  # a row a year
-    block = chosen.agg((3 * F.max_by("h", "fold")).alias("block"))
-    outcomes = long.join(F.broadcast(chosen.withColumnRenamed("fold", "period")), ["period", "h"]).join(F.broadcast(block), F.lit(True))
-    pool = W.baseline(forward, W.spans(found, of, test=True)).join(F.broadcast(chosen), ["fold", "h"])
-    label = F.lit(spec.label).alias("candidate")
-    return (
-        outcomes.select(label, "symbol", "period", "h", F.col("fwd").alias("value"), "mfe", "mae", "block"),
-        pool.select(label, F.concat_ws("/", "fold", "symbol").alias("chunk"), F.col("loc").alias("place"), "base"),
-    )
-
-
-def run(bars: DataFrame, specs: list[Spec], as_of: date | None = None, reps: int = 2000) -> DataFrame:
-    """A row a specification: n, mean, baseline_mean, excess, p, sortino, ratio, concentration, status and the family's correction.
-
-    A specification without a fold has n = 0 and is insufficient.  Bars after as_of are not seen.
+    before = spans.join(folds.select("k", "fold"), "k").where(F.col("period") < F.col("fold")).groupBy("k", "fold", "symbol").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = before.join(of.select("k", "sign", "relative", F.explode("horizons").alias("h")), "k")
+    at = lambda name, loc: sums.select("symbol", "h", F.col("loc").alias(loc), F.col("c").alias(f"c_{name}"), F.col("base").alias(f"base_{name}"), F.col("apart").alias(f"apart_{name}"))
+    met = rows.withColumn("below", F.col("lo") - 1).join(at("hi", "hi"), ["symbol", "h", "hi"]).join(at("lo", "below"), ["symbol", "h", "below"], "left").fillna(0.0, ["c_lo", "base_lo", "apart_lo"])
+    total = F.col("sign") * F.when(F.col("relative"), F.col("apart_hi") - F.col("apart_lo")).otherwise(F.col("base_hi") - F.col("base_lo"))
+    return met.groupBy("k", "fold", "h").agg(F.try_divide(F.sum(total), F.sum(F.col("c_hi") - F.col("c_lo"))).alias("b"))
+
+
+def chosen_horizon(train: DataFrame, base: DataFrame) -> DataFrame:
+    """k, fold, h: the greatest (mean - baseline) over deviation in the training years; the least h of equals, and where none has a score."""
+    score = F.when((F.col("n") >= 2) & (F.col("sd") > 0), (F.col("mean") - F.col("b")) / F.col("sd"))
+    best = Window.partitionBy("k", "fold").orderBy(F.round("score", 12).desc_nulls_last(), "h")
+    return train.join(base, ["k", "fold", "h"], "left").withColumn("score", score).withColumn("__n", F.row_number().over(best)).where(F.col("__n") == 1).select("k", "fold", "h", "score")
+
+
+def unconditional_pool(spans: DataFrame, chosen: DataFrame, of: DataFrame, df: DataFrame, horizons: list[int]) -> DataFrame:
+    """k, chunk, base: the changes of all bars between the first and last entry of a fold's test events, a chunk a fold and symbol."""
+    rows = df.select("symbol", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col("loc").alias("loc"), F.col(f"base_{h}").alias("base"), F.col(f"apart_{h}").alias("apart")) for h in horizons])).alias("x")).select("symbol", "x.*")
+    history = rows.groupBy("symbol", "h").agg(F.array_sort(F.collect_list(F.struct("loc", "base", "apart"))).alias("rows"))
+    test = spans.withColumnRenamed("period", "fold").join(chosen.select("k", "fold", "h"), ["k", "fold"]).join(of.where(~F.col("contrast")).select("k", "sign", "relative"), "k").join(history, ["symbol", "h"])
+    part = F.filter(F.slice("rows", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + 1).cast("int")), lambda x: x["base"].isNotNull())
+    base = F.transform(part, lambda x: F.col("sign") * F.when(F.col("relative"), x["apart"]).otherwise(x["base"]))
+    return test.select("k", F.concat_ws("/", "fold", "symbol").alias("chunk"), base.alias("base")).where(F.size("base") > 0)
+
+
+def incremental_pool(fired: DataFrame, chosen: DataFrame, of: DataFrame) -> DataFrame:
+    """k, chunk, base: the values of the control's events that are not treated, a chunk a fold."""
+    rows = fired.where(F.col("state") & ~F.col("treated")).join(of.where("contrast").select("k"), "k", "left_semi").withColumnRenamed("period", "fold")
+    met = rows.select("k", "fold", "symbol", "entry_loc", F.explode("outs").alias("x")).select("k", "fold", "symbol", "entry_loc", "x.h", "x.value").join(chosen.select("k", "fold", "h"), ["k", "fold", "h"]).where("value IS NOT NULL")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("symbol", "entry_loc", "value"))), lambda x: x["value"])
+    return met.groupBy("k", "fold").agg(ordered.alias("base")).select("k", F.col("fold").cast("string").alias("chunk"), "base")
+
+
+def barrier_trades(treated: DataFrame, train: DataFrame, folds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Out-of-sample trades (k, symbol, period, trigger_d, outcome, net_return) and the settings behind them (k, fold, tp, sl, n, sortino).
+
+    Anchors come from the training years; each fold takes the setting that served them best, and trades its own year with it.
     """
-    panel = cut(I.with_indicators(bars if as_of is None else bars.where(F.col("d") <= F.lit(as_of))))
-    pairs = [evidence(panel, s) for s in specs]
-    outcomes, pool = (cut(reduce(DataFrame.unionByName, side)) for side in zip(*pairs, strict=True))
-    tested = W.bootstrap_p(outcomes.select("candidate", "value", "block"), pool, reps)
-    ratios = outcomes.groupBy("candidate", "period").agg(F.try_divide(F.avg("mfe"), F.avg(F.abs("mae"))).alias("r")).groupBy("candidate").agg(F.avg("r").alias("ratio"))
-    spread = outcomes.groupBy("candidate").agg(E.sortino(F.col("value")).alias("sortino"), F.stddev_samp("value").alias("oos_sd"))
-    by_symbol, by_year = (W.concentration(outcomes, ["candidate"], g, "value").select("candidate", F.col("concentrated").alias(name)) for g, name in (("symbol", "by_symbol"), ("period", "by_year")))
-    labels = bars.sparkSession.createDataFrame([(s.label,) for s in specs], "candidate string")
-    rows = reduce(lambda a, b: a.join(b, "candidate", "left"), [tested, ratios, spread, by_symbol, by_year], labels)
-    rows = rows.withColumns({"n": F.coalesce("n", F.lit(0)), "excess": F.col("mean") - F.col("baseline_mean"), "ok": F.col("p").isNotNull()})
+    levels = train.groupBy("k", "fold").agg(F.array_sort(F.collect_list(F.struct("h", F.col("mfe_anchor").alias("mfe"), F.col("mae_anchor").alias("mae")))).alias("levels"))
+    met = treated.select("k", "symbol", "period", "trigger_d", "entry_price", "path", "sign").join(levels.join(folds.select("k", "fold"), ["k", "fold"]), "k").where(F.col("period") <= F.col("fold"))
+    result = lambda df: df.withColumn("r", E.trade(F.col("path"), F.col("entry_price"), F.col("sign"), F.col("levels"), F.col("tp"), F.col("sl")))
+    past = met.where(F.col("period") < F.col("fold")).select("*", F.explode(E.settings()).alias("g")).select("*", "g.tp", "g.sl")
+    settings = cut(E.chosen_setting(result(past).select("k", "fold", "tp", "sl", F.col("r.net").alias("net_return")), ["k", "fold"]))
+    own = met.where(F.col("period") == F.col("fold")).join(settings.select("k", "fold", "tp", "sl"), ["k", "fold"])
+    return result(own).select("k", "symbol", "period", "trigger_d", F.col("r.outcome").alias("outcome"), F.col("r.net").alias("net_return")), settings
+
+
+@dataclass(frozen=True)
+class Evidence:
+    """The tables between bars and verdicts, each keyed by candidate (k)."""
+
+    of: DataFrame
+    fired: DataFrame
+    folds: DataFrame
+    train: DataFrame
+    chosen: DataFrame
+    outcomes: DataFrame
+    pool: DataFrame
+    trades: DataFrame
+    settings: DataFrame
+
+
+def evidence(panel: DataFrame, specs: list[Spec]) -> Evidence:
+    """panel: `indicators.complete` of the bars."""
+    horizons = sorted({h for s in specs for h in s.horizons})
+    df = cut(measured(panel, horizons, any(s.outcome == "market_relative" for s in specs)))
+    of = candidates(panel.sparkSession, specs)
+    fired = cut(firings(df, specs, of, horizons))
+    treated = fired.where("treated")
+    long = treated.select("k", "symbol", "period", "trigger_d", "entry_loc", F.explode("outs").alias("x")).select("k", "symbol", "period", "trigger_d", "entry_loc", "x.*")
+    folds = cut(W.folds(treated, "k"))
+    train = cut(trained(long, folds))
+    spans = treated.groupBy("k", "symbol", "period").agg(F.min("entry_loc").alias("lo"), F.max("entry_loc").alias("hi"))
+    chosen = cut(chosen_horizon(train, trained_baseline(spans, folds, of, running(df, horizons))))
+    outcomes = long.withColumnRenamed("period", "fold").join(chosen.select("k", "fold", "h"), ["k", "fold", "h"]).withColumnRenamed("fold", "period").where("value IS NOT NULL")
+    pool = unconditional_pool(spans, chosen, of, df, horizons).unionByName(incremental_pool(fired, chosen, of))
+    return Evidence(of, fired, folds, train, chosen, cut(outcomes), pool, *barrier_trades(treated, train, folds))
+
+
+def verdicts(e: Evidence, reps: int = 2000) -> DataFrame:
+    """A row a candidate: the barrier trades' report, the pattern's test against its baseline, the verdict and the family's correction."""
+    block = e.chosen.groupBy("k").agg(F.max_by("h", "fold").alias("horizon"), F.array_sort(F.collect_set("h")).alias("horizons_used"))
+    tested = W.bootstrap_p(e.outcomes.join(block, "k").select(F.col("k").alias("candidate"), "value", (F.col("horizon") * W.BLOCK_HORIZONS).alias("block")), e.pool.withColumnRenamed("k", "candidate"), reps).withColumn("k", F.col("candidate").cast("int")).drop("candidate")
+    tested = tested.withColumnRenamed("n", "n_outcomes")
+    ratios = e.outcomes.groupBy("k", "period").agg(F.try_divide(F.avg("mfe"), F.avg(F.abs("mae"))).alias("r")).groupBy("k").agg(F.avg("r").alias("ratio"))
+    spread = e.outcomes.groupBy("k").agg(F.stddev_samp("value").alias("oos_sd"), E.sortino(F.col("value")).alias("path_sortino"))
+    reported = E.report(e.trades, "k")
+    share = lambda df, group, value, name: W.concentration(df, ["k"], group, value).select("k", F.col("max_share").alias(f"{name}_share"), F.col("dominant").cast("string").alias(f"{name}_dominant"), F.col("concentrated").alias(name))
+    parts = [reported, tested, ratios, spread, block]
+    for group, name in (("symbol", "by_symbol"), ("period", "by_year")):
+        parts += [share(e.outcomes, group, "value", name), share(e.trades, group, "net_return", f"{name}_traded")]
+    rows = reduce(lambda a, b: a.join(b, "k", "left"), parts, e.of)
+    ok = F.col("p").isNotNull()
+    judged = lambda name: F.when(ok, F.col(name)).otherwise(F.col(f"{name}_traded"))  # the trades' where the pattern could not be tested
+    rows = rows.withColumns({"n": F.coalesce("n", F.lit(0)), "ok": ok, "excess": F.col("mean") - F.col("baseline_mean"), "by_symbol": F.when(F.col("one_symbol"), F.lit(False)).otherwise(judged("by_symbol")), "by_year": judged("by_year"), "baseline_kind": F.when(F.col("contrast"), "incremental").otherwise("unconditional")})
     gates = [F.col(c) for c in ("n", "sortino", "ok", "by_symbol", "by_year", "significant", "excess", "ratio")]
-    return W.demote(rows.withColumns({"status": W.classify(*gates), "reason": W.explain(*gates), "required_n": W.required_n(F.col("oos_sd"))}).drop("ok"))
+    advice = [F.col(c) for c in ("n", "status", "significant", "oos_sd")]
+    rows = rows.withColumns({"status": W.classify(*gates), "reason": W.explain(*gates), "required_n": W.required_n(F.col("oos_sd"))})
+    rows = W.demote(rows, "weight").withColumns({"advice": W.keep_or_drop(*advice), "advice_reason": W.advice_reason(*advice, *(F.col(c) for c in ("excess", "by_symbol_share", "by_year_share", "ratio")))})
+    return rows.drop("k", "ok", "sign", "horizons", "most", "shocks", "relative", "one_symbol", "contrast", "by_symbol_traded", "by_year_traded", "by_symbol_traded_share", "by_year_traded_share", "by_symbol_traded_dominant", "by_year_traded_dominant")
+
+
+def static_specs() -> list[str]:
+    """The columns of `static_triggers`, each a candidate of its own."""
+    return ["c1_long", "c1_short", "c2_long", "c2_short", "c6_long", "c6_short"]
+
+
+def static_triggers(panel: DataFrame, scale: int = 1) -> dict[str, Column]:
+    """Six conditions over a complete panel: extreme funding (both ways), a wide bar on a release day against its own direction,
+    and an efficient trend on rising volume (both ways)."""
+    w = by_day().rowsBetween(-(20 * scale - 1), 0)
+    least = lambda x, limit: F.when(F.count(x).over(w) >= 10 * scale, x > limit * F.avg(x).over(w))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    z, wide = F.col("funding_zscore_30d"), sure(least(F.col("range_pct"), 1.5)) & (F.col("is_macro_day") == 1)
+    strong = sure(F.col("efficiency_ratio_20d") > 0.4) & sure(least(F.col("volume"), 1.8))
+    return {
+        "c1_long": sure((z < -2.0) & ~F.isnan(z)), "c1_short": sure((z > 2.0) & ~F.isnan(z)),
+        "c2_long": wide & sure(F.col("close") < F.col("open")), "c2_short": wide & sure(F.col("close") > F.col("open")),
+        "c6_long": strong & sure(F.col("close_return_5d") > 0), "c6_short": strong & sure(F.col("close_return_5d") < 0),
+    }
+
+
+def run(bars: DataFrame, specs: list[Spec], as_of: date | None = None, reps: int = 2000, sides: Sides | None = None, with_static: bool = False) -> DataFrame:
+    """A row a specification, and with `with_static` one for each of the six static conditions.
+
+    Nothing after as_of is seen.  A specification without a fold has n = 0 and is insufficient.  Two of one label, or one on an
+    indicator that the panel lacks, are refused before anything runs.
+    """
+    labels = [s.label for s in specs]
+    unknown = sorted({c.indicator for s in specs for c in s.clauses} - I.INDICATORS.keys())
+    if unknown or len(set(labels)) < len(labels):
+        raise ValueError(f"unknown indicators {unknown}" if unknown else "two specifications of one label")
+    sides = sides or Sides()
+    if as_of is not None:
+        bars, sides = bars.where(F.col("d") <= F.lit(as_of)), sides.until(as_of)
+    panel = I.complete(bars, sides.funding, sides.days, sides.surprises, sides.series)
+    if with_static:
+        panel, specs = with_static_specs(panel, specs)
+    return verdicts(evidence(panel, specs), reps)
+
+
+def with_static_specs(panel: DataFrame, specs: list[Spec]) -> tuple[DataFrame, list[Spec]]:
+    """The panel with the static conditions as columns, and their specifications before the others."""
+    from tessera.plans.grammar import Clause
+
+    flags = static_triggers(panel)
+    made = [Spec(name, (Clause(name, ">=", 1.0),), "long" if name.endswith("long") else "short") for name in flags]
+    return panel.withColumns({name: c.cast("int") for name, c in flags.items()}), [*made, *specs]
+
+
+def shutdown(battery: DataFrame, dropped: DataFrame) -> bool:
+    """Whether no candidate is left to test."""
+    return battery.join(dropped.select("candidate"), "candidate", "left_anti").isEmpty()

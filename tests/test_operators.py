@@ -30,8 +30,8 @@ def walk(n, seed=42):
 
 def test_indicators_do_not_look_ahead(spark):
     closes = walk(320)
-    full, cut = (I.with_indicators(panel(spark, c)).select("d", *I.INDICATORS).toPandas().set_index("d").sort_index() for c in (closes, closes[:260]))
-    for name in I.INDICATORS:
+    full, cut = (I.with_indicators(panel(spark, c)).select("d", *I.from_bars()).toPandas().set_index("d").sort_index() for c in (closes, closes[:260]))
+    for name in I.from_bars():
         pd.testing.assert_series_equal(full[name].iloc[:260], cut[name], check_exact=False, rtol=1e-9)
 
 
@@ -149,7 +149,7 @@ def test_every_candidate_is_explained(spark):
     import __spark_entry__ as entry
 
     sf, queries = "/root/testdata/sf0.01", entry.queries()
-    reasons = {r.candidate: r.reason for r in queries["wf_explain_all"](spark, sf).collect()}
+    reasons = {r.candidate: r.reason for r in queries["wf_explain"](spark, sf).collect()}
     status = {r.candidate: r.status for r in queries["wf_classify"](spark, sf).collect()}
     assert reasons.keys() == status.keys()
     assert all((reasons[k] is None) == (status[k] == "accepted") for k in status)
@@ -167,6 +167,6 @@ def test_a_wrong_direction_is_told_before_significance(spark):
 def test_snapshot_has_every_indicator(spark):
     import __spark_entry__ as entry
 
-    rows = entry.queries()["ind_snapshot_all"](spark, "/root/testdata/sf0.001").collect()
+    rows = entry.queries()["ind_snapshot_unpivot"](spark, "/root/testdata/sf0.001").collect()
     assert {r.indicator for r in rows} == set(I.INDICATORS)
     assert len(rows) == len(I.INDICATORS) * len({r.symbol for r in rows})
