@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import sql as S
 from tessera.catalog.operations import CLOSED, day, tests
-from tessera.catalog.studies import BASE, SPECS, battery
+from tessera.catalog.studies import BASE, SPECS, battery, sides_of
 from tessera.operators import registry as R
 from tessera.operators import walkforward
-from tessera.plans import study
-from tessera.sources import panels
+from tessera.functions import text
+from tessera.operators import stats
+from tessera.plans import admission, study
+from tessera.sources import panels, state
 
 NOW = "DATE '2001-08-01'"
 
@@ -62,6 +64,71 @@ def costs(s, d):
     return R.call_costs(parts(s, d).select(F.col("p_brand").alias("model"), F.col("p_size").alias("tokens")), prices).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(F.col("tokens") * F.col("price")), 4).alias("cost"), F.first("price").alias("price"))
 
 
+def usage(s, d):
+    """Orders as calls of models, with tokens of four kinds."""
+    prices = s.createDataFrame([("1", 2.0, 10.0), ("2-H", 1.0, 5.0), ("3", 0.5, 4.0), ("3-MEDIUM", 0.25, 2.0)], "prefix string, price_in double, price_out double")
+    k = F.col("o_orderkey")
+    calls = panels.table(s, d, "orders").select(F.col("o_orderstatus").alias("label"), F.col("o_orderpriority").alias("model"), (k % 1000).alias("input"), (k % 77).alias("output"), (k % 400).alias("cache_write"), (k % 900).alias("cache_read"))
+    return R.usage(R.call_costs(calls, prices)).select(F.coalesce("label", F.lit("TOTAL")).alias("label"), "calls", *(F.round(c, 6).alias(c) for c in ("cost", "per_call", "cache_ratio")))
+
+
+def advised(s, d):
+    gates = [F.col("n"), F.col("status"), F.col("p") < 0.1, F.col("ratio") / 20]
+    share = F.when(F.col("by_symbol"), 0.8).otherwise(0.3), F.when(F.col("by_year"), 0.7).otherwise(0.2)
+    return battery(s, d).withColumns({"advice": walkforward.keep_or_drop(*gates), "advice_reason": walkforward.advice_reason(*gates, F.col("excess"), *share, F.col("ratio"))})
+
+
+def status_report(s, d):
+    rows = R.status_report(battery(s, d).withColumn("dropped", F.col("candidate") % 31 == 0))
+    return rows.select("section", "place", "n", "never", F.array_join(F.slice(F.col("names").cast("array<string>"), 1, 8), ",").alias("first_names"))
+
+
+def triggers_in_words(s, d):
+    name = F.concat(F.when(F.col("p_partkey") % 3 == 0, "c1_").when(F.col("p_partkey") % 3 == 1, "c9_").otherwise("own_"), F.col("p_partkey").cast("string"))
+    asked = parts(s, d).select(name.alias("candidate"))
+    static = s.createDataFrame([("c1", "funding is extreme"), ("c2", "a wide bar on a release day")], "family string, words string")
+    return R.described_triggers(asked, static, asked.where("candidate LIKE '%7'").withColumn("words", F.concat(F.lit("specified as "), F.col("candidate"))))
+
+
+def yearly_prune(s, d):
+    advice = history(s, d).select("candidate", F.when(F.col("candidate") % 2 == 0, "drop").otherwise("keep").alias("advice"))
+    return R.yearly_prune(history(s, d), advice, now(), 2000)
+
+
+def migrated(s, d):
+    entries = history(s, d).withColumn("spec", F.concat(F.lit("spec "), F.col("candidate").cast("string"))).withColumn("first_tracked_at", F.when(F.col("candidate") % 7 != 0, F.col("first_tracked_at")))
+    log = state.migrated_history(entries).select("candidate", F.array_join(F.transform("status_log", lambda e: F.concat_ws("@", e["status"], e["at"])), ",").alias("log"))
+    return state.migrated_registry(entries).select("candidate", F.col("spec.spec").alias("spec"), "status", "registered_at").join(log, "candidate")
+
+
+def proposals(s, d):
+    """Answers with two, one or no proposal, as documents."""
+    k = F.col("p_partkey")
+    spec = lambda n: F.concat(F.lit('{"label": "'), F.lit(n), k.cast("string"), F.lit('", "direction": "long", "clauses": [{"indicator": "rsi_14d", "op": "<", "threshold": '), (k % 50).cast("string"), F.lit("}]}"))
+    action = F.when(k % 5 == 0, "wait").otherwise("propose")
+    body = F.when(k % 3 == 0, F.concat(F.lit('"spec": '), spec("one"))).when(k % 3 == 1, F.concat(F.lit('"specs": ['), spec("x"), F.lit(", "), spec("y"), F.lit(", "), spec("z"), F.lit("]"))).otherwise(F.lit('"spec": null'))
+    rows = parts(s, d).select(k, F.concat(F.lit('{"action": "'), action, F.lit('", '), body, F.lit("}")).alias("doc"))
+    return rows.select("p_partkey", F.explode(admission.proposed(F.col("doc"))).alias("x")).select("p_partkey", "x.label", F.col("x.clauses")[0]["threshold"].alias("threshold"))
+
+
+def coins(s, d):
+    k = F.col("n_nationkey")
+    written = F.when(k % 4 == 0, F.lower("n_name")).when(k % 4 == 1, F.concat(F.lit(" "), F.col("n_name"), F.lit("usdt "))).when(k % 4 == 2, F.col("n_name")).otherwise(F.concat(F.col("n_name"), F.lit("x")))
+    known = ["FRANCEUSDT", "GERMANYUSDT", "CHINAUSDT", "BRAZILUSDT", "CANADAUSDT", "ALGERIAUSDT", "NATION_0USDT", "NATION_1USDT", "NATION_2USDT"]
+    return panels.table(s, d, "nation").select("n_nationkey", admission.normal_coin(written, known).alias("coin"))
+
+
+def texts(s, d):
+    raw = F.concat(F.when(F.col("p_partkey") % 2 == 0, "```json\n{a < b & c > d} ").otherwise("a <b> & token-"), F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, "\n```").otherwise(" secret-7"))
+    return parts(s, d).select("p_partkey", text.escaped(raw).alias("escaped"), text.unfenced(raw).alias("unfenced"), text.masked(raw, "secret-7", "token-").alias("masked"))
+
+
+def required(s, d):
+    """Candidates of the live tests with the events that their power asks for, none where no deviation is known."""
+    sds = battery(s, d).select(F.concat(F.lit("c"), F.col("candidate").cast("string")).alias("candidate"), (F.col("ratio") / 10).alias("sd"))
+    return tests(s, d).groupBy("candidate").agg(F.count(F.lit(1)).alias("n")).join(sds, "candidate", "left").select("candidate", "n", F.round(walkforward.required_n(F.col("sd")), 4).alias("needed"))
+
+
 def sweep(s, d):
     b = walkforward.benjamini_hochberg(battery(s, d), by=["brand"]).groupBy("brand")
     return b.agg(F.count("p").alias("family"), F.count_if(F.col("p") < 0.1).alias("raw_hits"), F.count_if("survives").alias("survivors"), F.round(F.avg((F.col("excess") > 0).cast("double")), 6).alias("positive"), F.round(F.median("excess"), 6).alias("median_excess"))
@@ -85,7 +152,21 @@ def latest_tests(s, d):
 
 
 QUERIES = {
-    "wf_battery": lambda s, d: study.run(panels.bars_1d(s, d), SPECS).select("candidate", "n", "mean", "baseline_mean", "p", "sortino", "ratio", "status", "fdr_significant"),
+    "stat_fdr_simulation": lambda s, d: stats.fdr_simulation(s, [0.0, 0.3, 0.7], 400).select("quality", "trials", *(F.round(c, 6).alias(c) for c in ("found", "fdr"))),
+    "evt_market_return_short": lambda s, d: R.market_return(panels.bars_1d(s, d), panels.literal_days(s), 7, "short").select("day", F.round("market", 6).alias("market")),
+    "wf_without_nan": lambda s, d: walkforward.without_nan(battery(s, d).select("candidate", F.when(F.col("candidate") % 3 == 0, float("nan")).otherwise(F.col("ratio")).alias("ratio"))).select("candidate", F.round("ratio", 6).alias("ratio")),
+    "stm_required_n": required,
+    "sca_texts": texts,
+    "cnd_normal_coin": coins,
+    "cnd_proposals": proposals,
+    "snk_migrate": migrated,
+    "stm_yearly_prune": yearly_prune,
+    "stm_described_triggers": triggers_in_words,
+    "agg_prune_digest": lambda s, d: R.prune_digest(walkforward.prune_codes(advised(s, d))).select("place", "section", "code", "line"),
+    "agg_status_report": status_report,
+    "wf_advice_reason": lambda s, d: advised(s, d).select("candidate", "advice", "advice_reason"),
+    "agg_usage_cost": usage,
+    "wf_battery": lambda s, d: study.run(panels.bars_1d(s, d), SPECS, sides=sides_of(s, d), with_static=True).select("candidate", "n", "mean", "baseline_mean", "p", "p_two_sided", "sortino", "ratio", "status", "reason", "advice", "fdr_significant"),
     "stm_status_latest": lambda s, d: R.latest_status(history(s, d)).withColumnRenamed("at", "updated"),
     "stm_status_append": bounded_log,
     "stm_prune_due": lambda s, d: R.prune_due(history(s, d), now()).select("candidate", F.round("years", 6).alias("years")),
@@ -110,6 +191,18 @@ HISTORY = "entry AS (SELECT o_custkey AS candidate, CAST(o_orderdate AS DATE) AS
 ASKED = "known AS (SELECT DISTINCT p_name AS name FROM part), asked AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN ' ' || upper(p_name) WHEN 2 THEN substr(sha256(p_name), 1, 4) ELSE p_name || '?' END AS query FROM part)"
 FAMILY = "fam AS (SELECT candidate, brand, p, row_number() OVER (PARTITION BY brand ORDER BY p) AS rk, count(*) OVER (PARTITION BY brand) AS m FROM battery WHERE p IS NOT NULL), cut AS (SELECT brand, max(p) FILTER (p <= 0.05 * rk / m) AS cut FROM fam GROUP BY 1)"
 ORACLE = {
+    "evt_market_return_short": S.sql("SELECT day, round(-avg(exit / open - 1), 6) AS market FROM (SELECT symbol, day, arg_min(open, d) AS open, arg_min_null(exit, d) AS exit FROM (SELECT symbol, d, open, lead(close, 7) OVER (PARTITION BY symbol ORDER BY d) AS exit FROM bars) b JOIN (SELECT unnest([DATE '1996-01-31', DATE '1996-03-26', DATE '1997-05-20', DATE '1998-09-29', DATE '1999-11-16']) AS day) ON b.d >= day GROUP BY 1, 2) WHERE open > 0 AND exit IS NOT NULL GROUP BY 1", S.BARS),
+    "wf_without_nan": S.sql("SELECT candidate, round(CASE WHEN candidate % 3 <> 0 THEN ratio END, 6) AS ratio FROM battery", S.BATTERY),
+    "stm_required_n": S.sql("SELECT t.candidate, t.n, round(CASE WHEN b.ratio > 0 THEN 6.0 * pow((1.645 + 0.84) * (b.ratio / 10) / 0.05, 2) END, 4) AS needed FROM (SELECT candidate, count(*) AS n FROM tests GROUP BY 1) t LEFT JOIN battery b ON t.candidate = 'c' || b.candidate", *BASE, S.TESTS, S.BATTERY),
+    "sca_texts": "SELECT p_partkey, CASE WHEN e THEN '```json' || chr(10) || '{a &lt; b &amp; c &gt; d} ' || p_brand || chr(10) || '```' ELSE 'a &lt;b&gt; &amp; token-' || p_brand || ' secret-7' END AS escaped, CASE WHEN e THEN '{a < b & c > d} ' || p_brand ELSE 'a <b> & token-' || p_brand || ' secret-7' END AS unfenced, CASE WHEN e THEN '```json' || chr(10) || '{a < b & c > d} ' || p_brand || chr(10) || '```' ELSE 'a <b> & ***' || p_brand || ' ***' END AS masked FROM (SELECT *, p_partkey % 2 = 0 AS e FROM part)",
+    "cnd_normal_coin": "SELECT n_nationkey, CASE WHEN full_ IN ('FRANCEUSDT', 'GERMANYUSDT', 'CHINAUSDT', 'BRAZILUSDT', 'CANADAUSDT', 'ALGERIAUSDT', 'NATION_0USDT', 'NATION_1USDT', 'NATION_2USDT') THEN full_ END AS coin FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 3 THEN upper(n_name) || 'XUSDT' ELSE upper(n_name) || 'USDT' END AS full_ FROM nation)",
+    "cnd_proposals": "SELECT p_partkey, label, CAST(p_partkey % 50 AS DOUBLE) AS threshold FROM (SELECT p_partkey, unnest(CASE p_partkey % 3 WHEN 0 THEN ['one' || p_partkey] WHEN 1 THEN ['x' || p_partkey, 'y' || p_partkey] ELSE [] END) AS label FROM part WHERE p_partkey % 5 <> 0)",
+    "snk_migrate": S.sql("SELECT candidate, 'spec ' || candidate AS spec, arg_max(status, (updated, k)) AS status, strftime(min(updated), '%Y-%m-%dT00:00:00+00:00') AS registered_at, string_agg(status || '@' || strftime(updated, '%Y-%m-%dT00:00:00+00:00'), ',' ORDER BY updated, k) AS log FROM entry WHERE candidate % 7 <> 0 GROUP BY 1", HISTORY),
+    "stm_yearly_prune": S.sql(f"SELECT candidate FROM entry GROUP BY 1 HAVING candidate % 2 = 0 AND candidate % 11 <> 0 AND ({NOW} - min(updated)) / 365.25 >= 2 AND NOT bool_or(status = 'accepted') AND NOT (candidate % 3 = 0 AND {NOW} - max(updated) < 180)", HISTORY),
+    "stm_described_triggers": "SELECT candidate, CASE WHEN candidate LIKE 'c1\\_%' ESCAPE '\\' THEN 'funding is extreme' WHEN candidate LIKE '%7' THEN 'specified as ' || candidate ELSE 'no definition found' END AS words FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN 'c1_' WHEN 1 THEN 'c9_' ELSE 'own_' END || p_partkey AS candidate FROM part)",
+    "agg_status_report": S.sql("SELECT section, CAST(CASE section WHEN 'accepted' THEN 1 WHEN 'watch' THEN 2 WHEN 'insufficient_data' THEN 3 WHEN 'error' THEN 4 WHEN 'rejected' THEN 5 ELSE 6 END AS INTEGER) AS place, count(*) AS n, count(*) FILTER (n0 = 0) AS never, array_to_string(list_slice(list_sort(list(candidate) FILTER (n0 > 0)), 1, 8), ',') AS first_names FROM (SELECT candidate, n AS n0, CASE WHEN candidate % 31 = 0 THEN 'dropped' ELSE status END AS section FROM verdict) GROUP BY 1, 2", S.BATTERY, f"verdict AS (SELECT *, {S.STATUS} AS status FROM battery)"),
+    "wf_advice_reason": S.sql("SELECT candidate, CASE WHEN status IN ('accepted', 'insufficient_data') OR n <= 20 OR coalesce(p < 0.1, false) THEN 'keep' WHEN need IS NOT NULL AND n >= need THEN 'drop' ELSE 'keep' END AS advice, CASE WHEN status = 'accepted' THEN 'accepted' WHEN status = 'insufficient_data' OR n <= 20 THEN 'only ' || n || ' events, not yet testable' WHEN coalesce(p < 0.1, false) THEN CASE WHEN coalesce(by_symbol, false) THEN 'significant, so far mostly on one symbol' WHEN coalesce(by_year, false) THEN 'significant, so far mostly in one year' WHEN ratio <= 1 THEN 'significant, but adverse moves outweigh favourable ones' ELSE 'significant, held back by a robustness check' END WHEN n >= need THEN 'had the power (' || n || ' of ' || format('{:,}', CAST(round_even(need, 0) AS BIGINT)) || ') and showed nothing, the effect runs ' || printf('%.1f', 100 * excess) || ' %' WHEN need IS NOT NULL THEN 'undetermined: ' || n || ' of ' || format('{:,}', CAST(round_even(need, 0) AS BIGINT)) || ' events' ELSE 'not enough is known' END AS advice_reason FROM (SELECT *, CASE WHEN ratio > 0 THEN 6.0 * pow((1.645 + 0.84) * (ratio / 20) / 0.05, 2) END AS need FROM verdict)", S.BATTERY, f"verdict AS (SELECT *, {S.STATUS} AS status FROM battery)"),
+    "agg_usage_cost": "WITH priced AS (SELECT o_orderstatus AS label, o_orderkey % 1000 AS i, o_orderkey % 77 AS o, o_orderkey % 400 AS w, o_orderkey % 900 AS r, CASE WHEN o_orderpriority LIKE '1%' THEN 2.0 WHEN o_orderpriority LIKE '2-H%' THEN 1.0 WHEN o_orderpriority LIKE '3-MEDIUM%' THEN 0.25 WHEN o_orderpriority LIKE '3%' THEN 0.5 ELSE 0 END::DOUBLE AS pi, CASE WHEN o_orderpriority LIKE '1%' THEN 10.0 WHEN o_orderpriority LIKE '2-H%' THEN 5.0 WHEN o_orderpriority LIKE '3-MEDIUM%' THEN 2.0 WHEN o_orderpriority LIKE '3%' THEN 4.0 ELSE 0 END::DOUBLE AS po FROM orders) SELECT coalesce(label, 'TOTAL') AS label, count(*) AS calls, round(sum(c), 6) AS cost, round(sum(c) / count(*), 6) AS per_call, round(sum(r) / nullif(sum(r) + sum(w), 0), 6) AS cache_ratio FROM (SELECT *, (i * pi + w * pi * 1.25 + r * pi * 0.1 + o * po) / 1000000 AS c FROM priced) GROUP BY ROLLUP (label)",
     "stm_status_latest": S.sql("SELECT candidate, status, updated FROM entry QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY updated DESC, k DESC) = 1", HISTORY),
     "stm_status_append": S.sql("SELECT candidate, CAST(count(*) AS INTEGER) AS n, string_agg(status, ',' ORDER BY updated, k) AS statuses FROM (SELECT * FROM (SELECT candidate, updated, k, status FROM entry UNION ALL SELECT DISTINCT candidate, DATE '2099-01-01', 0, 'watch' FROM entry) QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY updated DESC, k DESC) <= 5) GROUP BY 1", HISTORY),
     "stm_prune_due": S.sql(f"SELECT candidate, round(({NOW} - min(updated)) / 365.25, 6) AS years FROM entry GROUP BY 1 HAVING candidate % 11 <> 0 AND ({NOW} - min(updated)) / 365.25 >= 2 AND NOT bool_or(status = 'accepted') AND NOT (candidate % 3 = 0 AND {NOW} - max(updated) < 180)", HISTORY),

@@ -271,9 +271,9 @@ QUERIES = {
     "wf_fdr_demotion": lambda s, d: walkforward.demote(battery(s, d)).groupBy("status", "fdr_demoted").agg(F.count(F.lit(1)).alias("n")),
     "wf_required_n": lambda s, d: battery(s, d).select("candidate", F.round(walkforward.required_n(F.col("ratio") / 10), 4).alias("n")),
     "wf_prune_codes": lambda s, d: walkforward.prune_codes(battery(s, d)).select("candidate", "code"),
-    "stat_mann_whitney": lambda s, d: stats.mann_whitney(I.with_inputs(panels.bars_1d(s, d)).where("ret IS NOT NULL"), "ret", F.dayofweek("d") == 2, ["symbol"]).select("symbol", "n1", "n2", F.round("u", 2).alias("u"), F.round("z", 6).alias("z")),
+    "stat_mann_whitney": lambda s, d: stats.mann_whitney(I.with_inputs(panels.bars_1d(s, d)).where("ret IS NOT NULL"), "ret", F.dayofweek("d") == 2, ["symbol"]).select("symbol", "n1", "n2", F.round("u", 2).alias("u"), F.round("z", 6).alias("z"), F.round("p", 6).alias("p")),
     "stat_fisher_exact": lambda s, d: s.range(1, 9).select("id", F.round(stats.fisher_one_sided(F.col("id"), F.lit(5), F.lit(3), F.col("id") + 4), 6).alias("p")),
-    "stat_signed_rank": lambda s, d: stats.signed_rank(events(s, d).withColumn("x", F.round(F.col("fwd_7") - F.col("fwd_3"), 4)), "x", ["symbol"]).select("symbol", "n", F.round("w_plus", 2).alias("w_plus"), F.round("w_minus", 2).alias("w_minus")),
+    "stat_signed_rank": lambda s, d: stats.signed_rank(events(s, d).withColumn("x", F.round(F.col("fwd_7") - F.col("fwd_3"), 4)), "x", ["symbol"]).select("symbol", "n", F.round("w_plus", 2).alias("w_plus"), F.round("w_minus", 2).alias("w_minus"), F.round("z", 6).alias("z"), F.round("p", 6).alias("p")),
 }
 
 
@@ -290,6 +290,13 @@ REASON = "'only ' || CAST(n AS VARCHAR) || ' of more than 20 events'"
 REASONS = f"CASE WHEN n <= 20 THEN {REASON} WHEN sortino IS NULL THEN 'no trade result' WHEN NOT ok THEN 'pattern test did not run' WHEN by_symbol IS NULL OR by_year IS NULL THEN 'no positive group' WHEN by_symbol THEN 'one symbol carries it' WHEN by_year THEN 'one year carries it' WHEN excess <= 0 THEN 'no excess return' WHEN NOT coalesce(p < 0.1, false) THEN 'not better than its baseline' WHEN ratio IS NULL OR ratio <= 1 THEN 'adverse moves outweigh favourable ones' END"
 LITERAL_SPECS = ", ".join(f"('{x.label}', '{x.describe()}')" for x in SPECS)
 
+def tail_sql(z: str) -> str:
+    """The share of a normal distribution above z, as `stats.normal_tail` approximates it."""
+    t = f"(1 / (1 + 0.2316419::DOUBLE * abs({z})))"
+    upper = f"exp(-({z}) * ({z}) / 2) / 2.5066282746310002::DOUBLE * {t} * (0.319381530::DOUBLE + {t} * (-0.356563782::DOUBLE + {t} * (1.781477937::DOUBLE + {t} * (-1.821255978::DOUBLE + {t} * 1.330274429::DOUBLE))))"
+    return f"CASE WHEN {z} >= 0 THEN {upper} ELSE 1 - {upper} END"
+
+
 ORACLE = {
     "wf_relative_outcomes": S.sql("SELECT symbol, trigger_d, CAST(h AS INTEGER) AS h, round(fwd, 6) AS value FROM long_rel JOIN best USING (h) WHERE fold = period", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, S.FORWARD, BASKETS, RELATIVE, SPAN.format("<").replace("forward_of f", "forward_rel f"), SCORE.replace("long_ev", "long_rel")),
     "wf_incremental_pool": S.sql("SELECT CAST(fold AS VARCHAR) AS chunk, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT b.fold, CASE b.h " + " ".join(f"WHEN {h} THEN fwd_{h}" for h in HORIZONS) + " END AS v FROM evx x JOIN best b ON b.fold = x.period WHERE regime = 'normal' AND NOT recent) WHERE v IS NOT NULL GROUP BY 1", S.BARS, S.SURPRISE, S.IND, EV_NEWS, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
@@ -346,8 +353,8 @@ ORACLE = {
     "wf_fdr_demotion": S.sql("SELECT CASE WHEN dem THEN 'rejected' ELSE status END AS status, dem AS fdr_demoted, count(*) AS n FROM (SELECT status, p IS NOT NULL AND n > 20 AND status = 'accepted' AND NOT coalesce(p <= (SELECT cut FROM cut), false) AS dem FROM verdict) GROUP BY 1, 2", S.BATTERY, VERDICT, FAMILY.format("AND n > 20")),
     "wf_required_n": S.sql("SELECT candidate, round(CASE WHEN ratio > 0 THEN 6.0 * pow((1.645 + 0.84) * (ratio / 10) / 0.05, 2) END, 4) AS n FROM battery", S.BATTERY),
     "wf_prune_codes": S.sql("SELECT candidate, CAST(year(first_tracked) AS VARCHAR) || '-' || lpad(CAST(row_number() OVER (PARTITION BY year(first_tracked) ORDER BY first_tracked, candidate) AS VARCHAR), 4, '0') AS code FROM battery", S.BATTERY),
-    "stat_mann_whitney": S.sql("SELECT symbol, n1, n2, round(u, 2) AS u, round((u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 6) AS z FROM (SELECT symbol, n1, n2, ties, r - n1 * (n1 + 1) / 2.0 AS u FROM (SELECT symbol, sum(rk) FILTER (t) AS r, CAST(count(*) FILTER (t) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT t) AS DOUBLE) AS n2 FROM x GROUP BY 1) JOIN (SELECT symbol, sum(pow(k, 3) - k) AS ties FROM (SELECT symbol, ret, CAST(count(*) AS DOUBLE) AS k FROM x GROUP BY 1, 2) GROUP BY 1) USING (symbol))", S.BARS, S.IND, "x AS (SELECT symbol, ret, dayofweek(d) = 1 AS t, rank() OVER (PARTITION BY symbol ORDER BY ret) + (count(*) OVER (PARTITION BY symbol, ret) - 1) / 2.0 AS rk FROM base WHERE ret IS NOT NULL)").replace("SELECT symbol, n1, n2, round(u, 2)", "SELECT symbol, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 2)", 1),
-    "stat_signed_rank": S.sql("SELECT symbol, count(*) AS n, round(coalesce(sum(rk) FILTER (x > 0), 0), 2) AS w_plus, round(coalesce(sum(rk) FILTER (x < 0), 0), 2) AS w_minus FROM (SELECT symbol, x, rank() OVER (PARTITION BY symbol ORDER BY abs(x)) + (count(*) OVER (PARTITION BY symbol, abs(x)) - 1) / 2.0 AS rk FROM (SELECT symbol, round(fwd_7 - fwd_3, 4) AS x FROM ev) WHERE x <> 0) GROUP BY 1", *BASE),
+    "stat_mann_whitney": S.sql(f"SELECT symbol, n1, n2, u, round(z, 6) AS z, round({tail_sql('z')}, 6) AS p FROM (SELECT symbol, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 2) AS u, (u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM (SELECT symbol, n1, n2, ties, r - n1 * (n1 + 1) / 2.0 AS u FROM (SELECT symbol, sum(rk) FILTER (t) AS r, CAST(count(*) FILTER (t) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT t) AS DOUBLE) AS n2 FROM x GROUP BY 1) JOIN (SELECT symbol, sum(pow(k, 3) - k) AS ties FROM (SELECT symbol, ret, CAST(count(*) AS DOUBLE) AS k FROM x GROUP BY 1, 2) GROUP BY 1) USING (symbol)))", S.BARS, S.IND, "x AS (SELECT symbol, ret, dayofweek(d) = 1 AS t, rank() OVER (PARTITION BY symbol ORDER BY ret) + (count(*) OVER (PARTITION BY symbol, ret) - 1) / 2.0 AS rk FROM base WHERE ret IS NOT NULL)"),
+    "stat_signed_rank": S.sql(f"SELECT symbol, n, round(wp, 2) AS w_plus, round(wm, 2) AS w_minus, round(z, 6) AS z, round(least(1.0, 2 * {tail_sql('abs(z)')}), 6) AS p FROM (SELECT *, (wp - n * (n + 1) / 4.0) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM (SELECT symbol, count(*) AS n, coalesce(sum(rk) FILTER (x > 0), 0) AS wp, coalesce(sum(rk) FILTER (x < 0), 0) AS wm FROM ranked GROUP BY 1) JOIN (SELECT symbol, sum(pow(k, 3) - k) AS ties FROM (SELECT symbol, abs(x) AS a, CAST(count(*) AS DOUBLE) AS k FROM ranked GROUP BY 1, 2) GROUP BY 1) USING (symbol))", *BASE, "ranked AS (SELECT symbol, x, rank() OVER (PARTITION BY symbol ORDER BY abs(x)) + (count(*) OVER (PARTITION BY symbol, abs(x)) - 1) / 2.0 AS rk FROM (SELECT symbol, round(fwd_7 - fwd_3, 4) AS x FROM ev) WHERE x <> 0)"),
     "stat_fisher_exact": "SELECT id, round(sum(exp(lgamma(id + 6) - lgamma(k + 1) - lgamma(id + 6 - k) + lgamma(id + 8) - lgamma(id + 4 - k) - lgamma(4 + k + 1) + lgamma(id + 4) + lgamma(id + 9 + 1) - lgamma(id + id + 13))), 6) AS p FROM (SELECT id, unnest(range(id, least(id + 5, id + 3) + 1)) AS k FROM range(1, 9) t(id)) GROUP BY 1",
 }
 

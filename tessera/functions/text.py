@@ -30,3 +30,23 @@ def message_parts(text: Column, limit: int = 3500) -> Column:
     ways = [rf"{part}\z", rf"{part}(?=\n\n){OUTSIDE}", rf"{part}(?=\n){OUTSIDE}", rf"{part}(?<= ){OUTSIDE}", part]
     found = F.regexp_extract_all(text, F.lit("(?s)\\n*(" + "|".join(ways) + ")"), F.lit(1))
     return F.filter(found, lambda p: F.length(F.trim(p, F.lit("\n"))) > 0)
+
+
+def escaped(text: Column) -> Column:
+    """For markup: the three characters that would be read as such."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def unfenced(text: Column) -> Column:
+    """What a code fence around the whole text holds, else the text, trimmed."""
+    inner = F.regexp_extract(text, r"(?s)^\s*```[A-Za-z]*\s*\n?(.*?)\s*```\s*$", 1)
+    return F.trim(F.when(inner != "", inner).otherwise(text), F.lit(" \n\r\t"))
+
+
+def masked(text: Column, *secrets: str) -> Column:
+    """The text without the secrets, none of which may be empty."""
+    for secret in secrets:
+        if not secret:
+            raise ValueError("an empty secret")
+        text = F.replace(text, F.lit(secret), F.lit("***"))
+    return text

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,10 +14,70 @@ def fired_within(df: DataFrame, fired: Column, rows: int) -> Column:
     return F.coalesce(F.max(fired.cast("int")).over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-(rows - 1), 0)), F.lit(0)) == 1
 
 
-def one_open_per_key(days: DataFrame, key: str, lasts: int) -> DataFrame:
-    """key, opened: the days that open a test, each `lasts` days or more after the one before it."""
-    fold = F.aggregate(F.array_sort(F.collect_set("d")), F.expr("cast(array() as array<date>)"), lambda s, d: F.when((F.size(s) == 0) | (F.date_diff(d, F.try_element_at(s, F.lit(-1))) >= lasts), F.array_append(s, d)).otherwise(s))
-    return days.groupBy(key).agg(fold.alias("ds")).select(key, F.explode("ds").alias("opened"))
+def scan(hits: DataFrame, open_tests: DataFrame, dropped: DataFrame, since: Column, until: Column) -> DataFrame:
+    """candidate, coin, first_ts: what fired in (since, until], without pairs that have an open test and candidates that were dropped."""
+    fired = hits.where((F.col("ts") > since) & (F.col("ts") <= until)).groupBy("candidate", "coin").agg(F.min("ts").alias("first_ts"))
+    return fired.join(open_tests.select("candidate", "coin").distinct(), ["candidate", "coin"], "left_anti").join(dropped.select("candidate").distinct(), "candidate", "left_anti")
+
+
+def resolve(open_tests: DataFrame, bars: DataFrame, today: Column) -> DataFrame:
+    """Open tests (candidate, coin, entry_d, entry_price, horizon, sign) that are due, with what happened: status, close_d, forward_return, mfe, mae.
+
+    A test is due when its horizon has passed by the calendar; it closes on the bar `horizon` rows after its entry's, and stays open
+    while there is no such bar by today.  Each test meets its bars by equi-joins on (coin, row).
+    """
+    placed = bars.where(F.col("d") <= today).withColumn("loc", F.row_number().over(Window.partitionBy("symbol").orderBy("d")))
+    start = placed.select(F.col("symbol").alias("coin"), F.col("d").alias("entry_d"), F.col("loc").alias("entry_loc"))
+    asked = open_tests.where(F.date_diff(today, F.col("entry_d")) >= F.col("horizon")).join(start, ["coin", "entry_d"], "left")
+    steps = asked.withColumn("loc", F.explode_outer(F.sequence(F.col("entry_loc") + 1, F.col("entry_loc") + F.col("horizon"))))
+    met = steps.join(placed.select(F.col("symbol").alias("coin"), "loc", "d", "high", "low", "close"), ["coin", "loc"], "left")
+    key = ["candidate", "coin", "entry_d", "entry_price", "horizon", "sign"]
+    last = F.max_by(F.struct("d", "close"), "loc")
+    whole = met.groupBy(*key).agg(F.count("close").alias("n"), last.alias("last"), F.max("high").alias("top"), F.min("low").alias("bottom"))
+    done, moved = F.col("n") == F.col("horizon"), lambda x: F.col("sign") * (F.try_divide(x, F.col("entry_price")) - 1)
+    best, worst = (F.when((F.col("sign") > 0) == F.lit(good), F.col("top")).otherwise(F.col("bottom")) for good in (True, False))
+    told = lambda x: F.when(done, x)
+    return whole.select("candidate", "coin", "entry_d", F.when(done, "closed").otherwise("open").alias("status"), told(F.col("last.d")).alias("close_d"), told(moved(F.col("last.close"))).alias("forward_return"), told(moved(best)).alias("mfe"), told(F.abs(moved(worst))).alias("mae"))
+
+
+def one_open_per_key(days: DataFrame, key: str | list[str], lasts: int) -> DataFrame:
+    """key, opened: the days that open a test, each `lasts` days or more after the one before it; a task has one key's distinct days."""
+    keys = [key] if isinstance(key, str) else key
+
+    def of_key(p: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(p["d"].to_numpy().astype("datetime64[D]"))
+        picked = []
+        k = 0
+        while k < len(at):
+            picked.append(k)
+            k = int(np.searchsorted(at, at[k] + np.timedelta64(lasts, "D")))
+        return pd.DataFrame({**{c: [p[c].iloc[0]] * len(picked) for c in keys}, "opened": at[picked].astype(object)})
+
+    kinds = dict(days.dtypes)
+    return days.select(*keys, "d").distinct().groupBy(*keys).applyInPandas(of_key, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", opened date")
+
+
+def ledger(exits: DataFrame, seen: DataFrame, now: Column, keep_days: int = 365) -> tuple[DataFrame, DataFrame]:
+    """Exits (coin, exit_d) that the ledger lacks, and the ledger with them and without what is older than it keeps."""
+    new = exits.select("coin", "exit_d").distinct().join(seen, ["coin", "exit_d"], "left_anti")
+    return new, seen.unionByName(new).where(F.date_diff(now, F.col("exit_d")) <= keep_days)
+
+
+def promoted(parked: DataFrame, testable: DataFrame, day: Column, modulus: int = 7) -> DataFrame:
+    """The oldest parked proposal (label, proposed_at) that is due today and testable, at most one; ties by label."""
+    ready = rota_due(parked, "label", day, modulus).join(testable.where("testable").select("label"), "label", "left_semi")
+    return ready.orderBy("proposed_at", "label").limit(1)
+
+
+def horizon_changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """candidate, was, horizon of those whose horizon is new or another one."""
+    both = now.select("candidate", "horizon").join(before.select("candidate", F.col("horizon").alias("was")), "candidate", "left")
+    return both.where(F.col("horizon").isNotNull() & ~F.col("horizon").eqNullSafe(F.col("was"))).select("candidate", "was", "horizon")
+
+
+def effective_count(live: Column, prior: Column, static: Column) -> Column:
+    """What confirms a candidate: tests since it was written down; a static one has only its live tests."""
+    return F.when(static, live).otherwise(live + F.coalesce(prior, F.lit(0)))
 
 
 def losing_streak(tests: DataFrame, key: str, order: list[str], least: int = 2) -> DataFrame:
@@ -57,8 +119,11 @@ def first_fired(df: DataFrame, fired: Column, since: Column, until: Column) -> D
 
 
 def first_bar_from(bars: DataFrame, days: DataFrame) -> DataFrame:
-    """symbol, day, d: each symbol's first bar on or after each of a few days."""
-    return bars.join(F.broadcast(days.select(F.col("d").alias("day"))), F.col("d") >= F.col("day")).groupBy("symbol", "day").agg(F.min("d").alias("d"), F.min_by("open", "d").alias("open"))
+    """symbol, day, d, open: each symbol's first bar on or after each day, null after the last; one sort a symbol, no range join."""
+    marks = bars.select("symbol").distinct().join(days.select(F.col("d").alias("day")).distinct(), F.lit(True))
+    both = bars.select("symbol", "d", F.struct("d", "open").alias("bar"), F.lit(None).cast("date").alias("day")).unionByName(marks.select("symbol", F.col("day").alias("d"), F.lit(None).cast("struct<d:date,open:double>").alias("bar"), "day"))
+    later = Window.partitionBy("symbol").orderBy("d").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    return both.withColumn("first", F.first("bar", ignorenulls=True).over(later)).where("day IS NOT NULL").select("symbol", "day", "first.d", "first.open")
 
 
 def covered_by_release(bars: DataFrame, releases: DataFrame, days: int) -> DataFrame:

@@ -58,12 +58,110 @@ def replied_codes(replies: DataFrame, codes: DataFrame) -> DataFrame:
     return each.join(codes, "code", "left").select("reply_id", "code", "candidate")
 
 
+CACHE_WRITE, CACHE_READ = 1.25, 0.10  # of the list price of input
+
+
 def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """calls with `price`: that of the longest prefix of the model's name; prices are a few rows."""
-    prefixes = prices.select(F.struct(F.length("prefix").alias("n"), "price").alias("p"), "prefix")
-    named = calls.select("model").distinct()
-    best = named.join(F.broadcast(prefixes), F.startswith("model", "prefix")).groupBy("model").agg(F.max("p")["price"].alias("price"))
-    return calls.join(best, "model", "left")
+    """calls with the columns of prices but `prefix`: those of the longest prefix of the model's name, null where none fits."""
+    priced = [c for c in prices.columns if c != "prefix"]
+    prefixes = prices.select(F.struct(F.length("prefix").alias("n"), *priced).alias("p"), "prefix")
+    best = calls.select("model").distinct().join(prefixes, F.startswith("model", "prefix")).groupBy("model").agg(F.max("p").alias("p"))
+    return calls.join(best.select("model", *[F.col(f"p.{c}").alias(c) for c in priced]), "model", "left")
+
+
+def usage(calls: DataFrame) -> DataFrame:
+    """label (null: all), calls, cost, per_call, cache_ratio of priced calls (input, output, cache_write, cache_read; price_in, price_out a million).
+
+    A model without a price counts tokens and costs nothing.
+    """
+    million = lambda n, p: F.col(n) / 1e6 * F.coalesce(p, F.lit(0.0))
+    cost = million("input", F.col("price_in")) + million("cache_write", F.col("price_in") * CACHE_WRITE) + million("cache_read", F.col("price_in") * CACHE_READ) + million("output", F.col("price_out"))
+    n = F.count(F.lit(1))
+    read = F.sum("cache_read")
+    return calls.withColumn("__cost", cost).rollup("label").agg(n.alias("calls"), F.sum("__cost").alias("cost"), (F.sum("__cost") / n).alias("per_call"), F.try_divide(read, read + F.sum("cache_write")).alias("cache_ratio"))
+
+
+def cooccurrence(hits: DataFrame) -> DataFrame:
+    """a, b, both, only_a, only_b for each pair of labels that share a firing."""
+    n = hits.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    x, y = (hits.select(F.col("label").alias(name), "symbol", "d") for name in "ab")
+    both = x.join(y, ["symbol", "d"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    of = lambda name: n.select(F.col("label").alias(name), F.col("n").alias(f"n_{name}"))
+    return both.join(of("a"), "a").join(of("b"), "b").select("a", "b", "both", (F.col("n_a") - F.col("both")).alias("only_a"), (F.col("n_b") - F.col("both")).alias("only_b"))
+
+
+def digest(tests: DataFrame, since: Column) -> DataFrame:
+    """One row: opened, resolved and open tests; this period's and all time's positive share, mean and excursions' ratio."""
+    closed = F.col("status") == "closed"
+    recent = closed & (F.col("close_d") >= since)
+    share = lambda c: F.avg(F.when(c, (F.col("forward_return") > 0).cast("double")))
+    mean = lambda c, x: F.avg(F.when(c, x))
+    return tests.agg(
+        F.count_if(F.col("entry_d") >= since).alias("opened"), F.count_if(recent).alias("resolved"), F.count_if(F.col("status") == "open").alias("still_open"),
+        share(recent).alias("positive"), mean(recent, F.col("forward_return")).alias("mean"), F.try_divide(mean(recent, F.col("mfe")), mean(recent, F.abs("mae"))).alias("ratio"),
+        F.count_if(closed).alias("resolved_ever"), share(closed).alias("positive_ever"), mean(closed, F.col("forward_return")).alias("mean_ever"),
+    )
+
+
+def confirmation_rows(tests: DataFrame, known: DataFrame, rows: int = 8) -> DataFrame:
+    """candidate, confirmed, needed, powered, trend, status: the candidates of the most confirming tests, dropped ones left out.
+
+    known: candidate, prior, static, dropped, status, sd.  Of equal counts the later name comes first.
+    """
+    from tessera.operators.live import effective_count
+    from tessera.operators.walkforward import required_n
+
+    own = tests.where("status = 'closed'").groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("forward_return") > 0).cast("double")).alias("trend"))
+    met = own.join(known, "candidate").where(~F.coalesce("dropped", F.lit(False)))
+    counted = met.withColumns({"confirmed": effective_count(F.col("n"), F.col("prior"), F.col("static")), "needed": required_n(F.col("sd"))})
+    return counted.orderBy(F.col("confirmed").desc(), F.col("candidate").desc()).limit(rows).select("candidate", "confirmed", "needed", F.coalesce(F.col("confirmed") >= F.col("needed"), F.lit(False)).alias("powered"), "trend", "status")
+
+
+def top_with_note(df: DataFrame, *order: Column, rows: int = 15) -> DataFrame:
+    """The first rows in the order, with `place`, `left_out` (how many more there are)."""
+    w = Window.orderBy(*order)
+    return df.withColumns({"place": F.row_number().over(w), "left_out": F.greatest(F.lit(0), F.count(F.lit(1)).over(Window.partitionBy()) - rows)}).where(F.col("place") <= rows)
+
+
+SECTIONS = {"accepted": 1, "watch": 2, "insufficient_data": 3, "error": 4, "rejected": 5, "dropped": 6}
+
+
+def status_report(battery: DataFrame) -> DataFrame:
+    """section, place, n, names, never: candidates by status, dropped ones apart; those without an event are only counted."""
+    section = F.when(F.coalesce("dropped", F.lit(False)), "dropped").otherwise(F.col("status"))
+    place = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])
+    rows = battery.withColumn("section", section).groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("candidate")))).alias("names"), F.count_if(F.coalesce("n", F.lit(0)) == 0).alias("never"))
+    return rows.withColumn("place", place[F.col("section")])
+
+
+def details(row: dict, words: str | None = None) -> str:
+    """What a person wants to know of one candidate, a line a fact; `row` has the columns of a battery."""
+    shown = lambda x, form: "n/a" if x is None or x != x else format(x, form)
+    lines = [
+        f"{row['candidate']}: {row['status']}", f"fires when {words}" if words else None, f"why not accepted: {row['reason']}" if row.get("reason") else None,
+        f"trades: {row.get('n') or 0}, sortino {shown(row.get('sortino'), '.2f')}, won {shown(row.get('win_rate'), '.0%')}",
+        f"pattern: excess {shown(row.get('excess'), '+.2%')}, p {shown(row.get('p'), '.3f')}, excursions {shown(row.get('ratio'), '.2f')}",
+        f"largest share of a symbol {shown(row.get('by_symbol_share'), '.0%')}, of a year {shown(row.get('by_year_share'), '.0%')}", f"held for {row['horizon']} days" if row.get("horizon") else None, f"power needs {shown(row.get('required_n'), '.0f')} events",
+    ]
+    return "\n".join(x for x in lines if x)
+
+
+def prune_digest(coded: DataFrame) -> DataFrame:
+    """section (drop, then keep), code, line of each candidate that is asked about; coded: candidate, code, advice, advice_reason."""
+    return coded.select(F.when(F.col("advice") == "drop", 1).otherwise(2).alias("place"), F.col("advice").alias("section"), "code", F.concat_ws(": ", F.concat_ws(" ", "code", F.col("candidate").cast("string")), "advice_reason").alias("line"))
+
+
+def yearly_prune(history: DataFrame, advice: DataFrame, now: Column, last_year: int | None) -> DataFrame:
+    """Candidates to drop in the first look of a calendar year: due ones whose advice is to; none in a year that was looked at."""
+    due = prune_due(history, now).select("candidate").join(advice.where("advice = 'drop'").select("candidate"), "candidate", "left_semi")
+    return due.where(F.lit(last_year is None) | (F.year(now) > F.lit(last_year or 0)))
+
+
+def described_triggers(tests: DataFrame, static: DataFrame, dynamic: DataFrame) -> DataFrame:
+    """tests with `words`: of the static family that the candidate's name starts with, else of its specification, else that there is none."""
+    family = F.regexp_extract("candidate", "^([a-z]+[0-9]+)_", 1)
+    met = tests.withColumn("__family", family).join(static.select(F.col("family").alias("__family"), F.col("words").alias("__s")), "__family", "left").join(dynamic.select("candidate", F.col("words").alias("__d")), "candidate", "left")
+    return met.withColumn("words", F.coalesce("__s", "__d", F.lit("no definition found"))).drop("__family", "__s", "__d")
 
 
 def retention(messages: DataFrame, now: Column, hours: int = 48) -> DataFrame:
@@ -87,15 +185,16 @@ def number_text(value: Column, signed: bool = False) -> Column:
     return F.concat(sign, text.otherwise(F.regexp_replace(F.format_number(value, 2), r"\.?0+$", "")))
 
 
-def market_return(bars: DataFrame, days: DataFrame, h: int) -> DataFrame:
-    """day, market: over symbols, the mean of the first open on or after the day to the close h bars on.
+def market_return(bars: DataFrame, days: DataFrame, h: int, direction: str = "long") -> DataFrame:
+    """day, market: over symbols, the mean, signed as the direction is, of the first open on or after the day to the close h bars on.
 
     bars meets days as a union in one sort a symbol; symbols that lack bars do not count.
     """
     w = Window.partitionBy("symbol").orderBy("d")
     ahead = bars.select("symbol", "d", "open", F.lead("close", h).over(w).alias("exit"))
-    marks = bars.select("symbol").distinct().join(F.broadcast(days.select(F.col("d").alias("day")).distinct()))
+    marks = bars.select("symbol").distinct().join(days.select(F.col("d").alias("day")).distinct(), F.lit(True))
     both = ahead.select("symbol", "d", F.struct("open", "exit").alias("bar"), F.lit(None).cast("date").alias("day")).unionByName(marks.select("symbol", F.col("day").alias("d"), F.lit(None).cast("struct<open:double,exit:double>").alias("bar"), "day"))
     later = Window.partitionBy("symbol").orderBy("d").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     entry = both.withColumn("first", F.first("bar", ignorenulls=True).over(later)).where("day is not null and first.open > 0 and first.exit is not null")
-    return entry.groupBy("day").agg(F.avg(F.col("first.exit") / F.col("first.open") - 1).alias("market"))
+    sign = 1 if direction == "long" else -1
+    return entry.groupBy("day").agg(F.avg(sign * (F.col("first.exit") / F.col("first.open") - 1)).alias("market"))

@@ -31,9 +31,19 @@ def surprises(vintage: DataFrame, n: int = 12, least: int = 6) -> DataFrame:
     return first.select("series", "period", "published", z.alias("surprise")).withColumn("n", F.row_number().over(last)).where("n = 1").select("series", "published", "surprise")
 
 
-def release_days(vintage: DataFrame, new_periods_only: bool = False) -> DataFrame:
+def release_days(vintage: DataFrame, new_periods_only: bool = False, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """series, d: distinct days of publication within the bounds; or of first prints only."""
     days = first_prints(vintage).select("series", F.col("published").alias("d")) if new_periods_only else vintage.select("series", F.col("realtime_start").alias("d"))
-    return days.distinct()
+    days = days if start is None else days.where(F.col("d") >= start)
+    return (days if end is None else days.where(F.col("d") <= end)).distinct()
+
+
+def during(vintage: DataFrame, start: Column, end: Column) -> DataFrame:
+    """series, published, period, value, delta, surprise of each first print in (start, end]; windows see the whole history."""
+    by_time = Window.partitionBy("series").orderBy("published", "period")
+    first = first_prints(vintage).withColumn("delta", F.col("value") - F.lag("value").over(by_time))
+    told = first.join(surprises(vintage), ["series", "published"], "left")
+    return told.where((F.col("published") > start) & (F.col("published") <= end)).select("series", "published", "period", "value", "delta", "surprise")
 
 
 def latest_with_prior(vintage: DataFrame, day: Column) -> DataFrame:

@@ -236,20 +236,22 @@ def static_triggers(panel: DataFrame, scale: int = 1) -> dict[str, Column]:
 def run(bars: DataFrame, specs: list[Spec], as_of: date | None = None, reps: int = 2000, sides: Sides | None = None, with_static: bool = False) -> DataFrame:
     """A row a specification, and with `with_static` one for each of the six static conditions.
 
-    Nothing after as_of is seen.  A specification without a fold has n = 0 and is insufficient.  Two of one label, or one on an
-    indicator that the panel lacks, are refused before anything runs.
+    Nothing after as_of is seen.  A specification without a fold has n = 0 and is insufficient.  One on an indicator that the registry
+    lacks gets the status `error` and keeps no other from its verdict; two of one label are refused before anything runs.
     """
-    labels = [s.label for s in specs]
-    unknown = sorted({c.indicator for s in specs for c in s.clauses} - I.INDICATORS.keys())
-    if unknown or len(set(labels)) < len(labels):
-        raise ValueError(f"unknown indicators {unknown}" if unknown else "two specifications of one label")
+    if len({s.label for s in specs}) < len(specs):
+        raise ValueError("two specifications of one label")
+    lacks = {s.label: sorted({c.indicator for c in s.clauses} - I.INDICATORS.keys()) for s in specs}
+    specs = [s for s in specs if not lacks[s.label]]
     sides = sides or Sides()
     if as_of is not None:
         bars, sides = bars.where(F.col("d") <= F.lit(as_of)), sides.until(as_of)
     panel = I.complete(bars, sides.funding, sides.days, sides.surprises, sides.series)
     if with_static:
         panel, specs = with_static_specs(panel, specs)
-    return verdicts(evidence(panel, specs), reps)
+    failed = [(label, f"unknown indicators {', '.join(names)}") for label, names in lacks.items() if names]
+    errors = bars.sparkSession.createDataFrame(failed, "candidate string, reason string").withColumn("status", F.lit("error"))
+    return verdicts(evidence(panel, specs), reps).unionByName(errors, allowMissingColumns=True) if specs else errors
 
 
 def with_static_specs(panel: DataFrame, specs: list[Spec]) -> tuple[DataFrame, list[Spec]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
@@ -40,31 +42,95 @@ def unexpired(df: DataFrame, expires: str, now: Column) -> DataFrame:
     return df.where(F.col(expires) > now)
 
 
+def discard(df: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """df without the rows of the keys."""
+    return df.join(keys.select(*names).distinct(), list(names), "left_anti")
+
+
+def due(queue: DataFrame, when: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """What has come due, and what stays queued."""
+    arrived = F.coalesce(F.col(when) <= now, F.lit(False))
+    return queue.where(arrived), queue.where(~arrived)
+
+
+def with_flags(state: DataFrame, changes: DataFrame, key: str, *flags: str) -> DataFrame:
+    """state with the flags that changes name; null there leaves a flag as it is, and keys that state lacks are added."""
+    new = changes.select(key, *[F.col(f).alias(f"__{f}") for f in flags])
+    both = state.join(new, key, "full")
+    return both.withColumns({f: F.coalesce(f"__{f}", f) for f in flags}).select(*state.columns)
+
+
+def migrated_registry(entries: DataFrame) -> DataFrame:
+    """candidate, spec, status, registered_at: the status is the last of the log, else insufficient_data; entries never tracked go."""
+    last = F.try_element_at("status_log", F.lit(-1))["status"]
+    return entries.where("first_tracked_at IS NOT NULL").select("candidate", F.struct(F.col("spec").alias("spec")).alias("spec"), F.coalesce(last, F.lit("insufficient_data")).alias("status"), iso(F.col("first_tracked_at")).alias("registered_at"))
+
+
+def migrated_history(entries: DataFrame) -> DataFrame:
+    """candidate, first_tracked_at and status_log with days as moments in UTC."""
+    log = F.transform(F.coalesce("status_log", F.array()), lambda e: F.struct(e["status"].alias("status"), iso(e["at"]).alias("at")))
+    return entries.where("first_tracked_at IS NOT NULL").select("candidate", iso(F.col("first_tracked_at")).alias("first_tracked_at"), log.alias("status_log"))
+
+
+def iso(day: Column) -> Column:
+    return F.date_format(day.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, so that plans built on it stay small and lost executors cost no more than a read."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints/tessera")
     return df.checkpoint()
 
 
 def write_json(path: str | Path, data: Any) -> None:
-    """Replace a small document at once: a reader sees the old or the new one."""
-    path = Path(path)
+    """Replace a small document at once: a reader sees the old or the new one, and one that JSON cannot hold changes nothing."""
+    text, path = json.dumps(data, allow_nan=False), Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    fd, temporary = tempfile.mkstemp(dir=path.parent, prefix=path.name, suffix=".tmp")
-    try:
-        with os.fdopen(fd, "w", encoding="utf-8") as f:
-            json.dump(data, f, allow_nan=False)
+    with tempfile.TemporaryDirectory(dir=path.parent) as folder:
+        draft = Path(folder, path.name)
+        with draft.open("w", encoding="utf-8") as f:
+            f.write(text)
             f.flush()
             os.fsync(f.fileno())
-        os.replace(temporary, path)
-    except BaseException:
-        Path(temporary).unlink(missing_ok=True)
-        raise
+        draft.replace(path)
 
 
 def read_json(path: str | Path, default: Any) -> Any:
     """The document, or default where there is none; a corrupt one raises."""
     path = Path(path)
     return json.loads(path.read_text(encoding="utf-8")) if path.exists() else default
+
+
+class Locked(RuntimeError):
+    """Another live process holds the lock."""
+
+
+@contextmanager
+def lock(path: str | Path) -> Iterator[None]:
+    """One process at a time; the lock of a process that is gone is taken over."""
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    own = f"{os.getpid()}"
+    while True:
+        try:
+            with path.open("x") as f:
+                f.write(own)
+            break
+        except FileExistsError:
+            try:
+                holder = int(path.read_text() or 0)
+            except (FileNotFoundError, ValueError):
+                holder = 0
+            if holder and holder != os.getpid() and Path(f"/proc/{holder}").exists():
+                raise Locked(f"{path} is held by process {holder}") from None
+            path.unlink(missing_ok=True)
+    try:
+        yield
+    finally:
+        if path.exists() and path.read_text() == own:
+            path.unlink()

@@ -21,16 +21,16 @@ def ledger(exits: DataFrame, keep: str = "365 days") -> DataFrame:
     return exits.withWatermark("exit_ts", keep).dropDuplicatesWithinWatermark(["symbol", "exit_ts"])
 
 
-def live_tests(signals: DataFrame, hours: int, late: str = "1 hours") -> DataFrame:
-    """Tests of (symbol, ts, value): one opens if none is open, and closes at the first row `hours` later or after."""
-    state = "opened_ms long, entry double"
+def live_tests(signals: DataFrame, hours: int, late: str = "1 hours", direction: str = "long") -> DataFrame:
+    """Tests of (symbol, ts, value), signed as the direction is: one opens if none is open, and closes at the first row `hours` later or after."""
+    state, sign = "opened_ms long, entry double", 1 if direction == "long" else -1
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
         held, out = s.getOption, []
         for row in pd.concat(list(batches)).sort_values("ts").itertuples():
             now = int(row.ts.timestamp() * 1000)
             if held is not None and now >= held[0] + hours * 3_600_000:
-                out.append((key[0], pd.Timestamp(held[0], unit="ms"), row.ts, row.value / held[1] - 1))
+                out.append((key[0], pd.Timestamp(held[0], unit="ms"), row.ts, sign * (row.value / held[1] - 1)))
                 held = None
             if held is None:
                 held = (now, float(row.value))

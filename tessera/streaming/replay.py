@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tessera.sources.state import read_json, write_json
 
 
+KEPT_ERRORS = 100
+
+
 def known_on(df: DataFrame, day: date, column: str = "d") -> DataFrame:
     """Rows up to the day, itself included; on a scan partitioned by the column, later partitions are not read."""
     return df.where(F.col(column) <= F.lit(day))
@@ -20,8 +23,8 @@ def known_on(df: DataFrame, day: date, column: str = "d") -> DataFrame:
 def advance(clock: str | Path, start: date, end: date, daily: Callable[[date], bool | None], weekly: Callable[[date], None] | None = None, days: int = 30, failures: int = 8) -> dict:
     """Run at most `days` days from where the clock stands; the clock is saved after each of them.
 
-    daily may return True to halt until somebody answers; its day is then done.  A day that raises is passed over, and so many of
-    them in a row halt too.  Status: running, halted, failing or finished.
+    daily may return True to halt until somebody answers; its day is then done.  A day that raises is passed over and noted with its
+    error under `errors` (the last KEPT_ERRORS of them), and so many of them in a row halt too.  Status: running, halted, failing or finished.
     """
     state = read_json(clock, {"next": start.isoformat(), "week": None, "failed": 0, "status": "running"})
     if state["status"] == "halted":
@@ -35,8 +38,9 @@ def advance(clock: str | Path, start: date, end: date, daily: Callable[[date], b
         try:
             asks = bool(daily(day))
             state["failed"] = 0
-        except Exception:
+        except Exception as e:  # one bad day must not end years of replay; it stays on record
             asks, state["failed"] = False, state["failed"] + 1
+            state["errors"] = [*state.get("errors", []), {"day": day.isoformat(), "error": f"{type(e).__name__}: {e}"}][-KEPT_ERRORS:]
         if weekly and (state["week"] is None or (day - date.fromisoformat(state["week"])).days >= 7):
             weekly(day)
             state["week"] = day.isoformat()
