@@ -7,13 +7,15 @@ Two texts are near copies if 9 |A and B| >= 4 (|A| + |B|), which is a similarity
    candidates like those below.  At a similarity of 0.8 fingerprints differ in about ten bits, where no index of
    64 bits can prune, so the steps below find the rest exactly.
 
-1. Order.  All sets are sorted by one order of shingles, the rare ones first.  Frequent ones are found by counters
-   in a bounded table; the order decides the cost only, since any order that all rows share gives the same pairs.
+1. Order.  All sets are sorted by one order of shingles, the rare ones first, by counts in a bounded table of hashed
+   counters; the order decides the cost only, since any order that all rows share gives the same pairs.
 2. Prefixes.  A set shares at least 0.8 of its size with a near copy, so the two share a shingle among the first
    |A| // 5 + 1 of each.  Rows meet by these; pairs whose sizes or places rule the similarity out are left.
-3. Checks.  First all that meet are paired with the least of them, then all pairs that components have not joined
-   by then.  Parity sketches drop pairs that cannot be similar; every other pair is checked on the whole sets.
-   No group is capped, and copies of a set count once.
+3. Checks.  First all that meet are paired with the least of them; then, `TURNS` times, each with one other that no
+   component joins it with, another one each time; then all pairs that are still apart, so that no link is lost.
+   The first rounds send as many pairs as rows meet, and leave few to the last.  Parity marks where rows meet drop pairs
+   before they are sent, and longer parity sketches drop more that
+   cannot be similar; every other pair is checked on the whole sets.  No group is capped, and copies of a set count once.
 4. Groups.  Components are closed over the checked pairs only.
 
 Sets are named by 64-bit digests, so equal sets are one node without a check.
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
@@ -45,7 +48,10 @@ from .substring import BASES, Words, mix
 SHINGLE = 5
 #: Odd multipliers, one for each word of a shingle.
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
-COUNTERS = 1 << 20
+COUNTER_BITS = 22
+COUNTERS = 1 << COUNTER_BITS
+BLOCKS = 64  # of counters, in which tasks' counts are summed up
+TURNS = 2
 FILTER_BITS = 1 << 24
 HELD = 1 << 20  # rows or pairs that are held before they are passed on
 BUCKET = "key long, node long, size int, place int"
@@ -75,37 +81,50 @@ def name_of(of: np.ndarray) -> int:
 
 
 def counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
+    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def frequent(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counters that stand out in some partition, and their sums; at most COUNTERS of them."""
+def rarity(df: DataFrame) -> bytes:
+    """For each counter how many shingles fell into it, as an eighth of a power of two in a byte; packed.
+
+    Tasks send their counts by blocks, which are summed up side by side; the driver sees one byte a counter.
+    """
+    width = COUNTERS // BLOCKS
 
     def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        counts, held, rows = np.zeros(COUNTERS, np.uint32), [], 0
         for batch in batches:
-            held, rows = [], 0
             for of in sets_of(batch.column("text").to_pylist()):
                 held.append(counter(of))
-                rows += len(held[-1])
+                rows += len(of)
                 if rows > HELD:
-                    counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    np.add.at(counts, np.concatenate(held), np.uint32(1))
                     held, rows = [], 0
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
-        at = np.flatnonzero(counts > 8 + 4 * counts.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["c", "n"])
+        if held:
+            np.add.at(counts, np.concatenate(held), np.uint32(1))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pack(counts[k * width : (k + 1) * width].tobytes()) for k in range(BLOCKS)], pa.binary())], names=["block", "counts"])
 
-    found = common.id_and_text(df).select("text").mapInArrow(common.lean(run), "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
-    return found["c"].to_numpy(), found["n"].to_numpy()
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+                sums[k] = sums.get(k, np.zeros(width, np.int64)) + part
+        eighths = [np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(eighths, pa.binary())], names=["block", "counts"])
+
+    sent = common.id_and_text(df).select("text").mapInArrow(common.lean(run), "block int, counts binary")
+    found = sent.repartitionById(BLOCKS, F.col("block")).mapInArrow(common.lean(add), "block int, counts binary").toArrow().to_pydict()
+    blocks = dict(zip(found["block"], found["counts"], strict=True))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(blocks.get(k, bytes(width)) for k in range(BLOCKS)))
 
 
-def prefixes(df: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(df: DataFrame, often: bytes) -> DataFrame:
     """key (a shingle of the prefix), node, size and the shingle's place in the set's order."""
 
     def run(batches):
-        weight = np.zeros(COUNTERS, np.int64)
-        weight[often[0]] = often[1]
+        weight = np.frombuffer(zstandard.ZstdDecompressor().decompress(often), np.uint8)
         held, rows = [], 0
 
         def out():
@@ -158,8 +177,14 @@ def possible(size: np.ndarray, place: np.ndarray, i, j) -> np.ndarray:
     return (9 * least >= 4 * total) & (9 * room >= 4 * total)
 
 
-def pairs_of(start: np.ndarray, label: np.ndarray | None, size: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one key: without labels, each with the first of its key; else all others whose labels differ."""
+def alike(size: np.ndarray, mark: np.ndarray, i, j) -> np.ndarray:
+    """False only where the sets are not similar: each value that one set has alone changes at most one parity of its mark."""
+    return 9 * np.bitwise_count(mark[i] ^ mark[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j]
+
+
+def pairs_of(start: np.ndarray, label: np.ndarray | None, size: np.ndarray, place: np.ndarray, mark: np.ndarray | None = None, turn: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one key: without labels, each with the first of its key; with a turn, each with one other whose label differs; else all
+    others whose labels differ."""
     rows = len(size)
     stop = np.append(start[1:], rows)
     if label is None:
@@ -168,24 +193,35 @@ def pairs_of(start: np.ndarray, label: np.ndarray | None, size: np.ndarray, plac
         yield i[ok], j[ok]
         return
     mixed = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
-    for s, e in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True):
-        for i in range(s + 1, e - 1):
+    start, stop = start[mixed], stop[mixed]
+    if turn is not None:
+        count = stop - start
+        i = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        first, n = np.repeat(start, count), np.repeat(count, count)
+        j = first + (i - first + 1 + turn * 7919 % np.maximum(n - 1, 1)) % n
+        ok = (label[i] != label[j]) & possible(size, place, i, j) & alike(size, mark, i, j)
+        yield np.minimum(i, j)[ok], np.maximum(i, j)[ok]
+        return
+    for s, e in zip(start.tolist(), stop.tolist(), strict=True):
+        for i in range(s, e - 1):
             j = np.arange(i + 1, e)
             j = j[(label[j] != label[i]) & possible(size, place, i, j)]
+            j = j[alike(size, mark, np.full(len(j), i), j)]
             if len(j):
                 yield np.full(len(j), i), j
 
 
-def candidates(met: DataFrame, parts: int, labelled: bool) -> DataFrame:
+def candidates(met: DataFrame, parts: int, labelled: bool, turn: int | None = None) -> DataFrame:
     """u > v: nodes that may be near copies, of the pairs that pairs_of gives."""
-    names = ("key", "node", "size", "place", *(["label"] if labelled else []))
+    names = ("key", "node", "size", "place", *(["label", *MARKS] if labelled else []))
 
     def run(batches):
         columns = whole(batches, names)
         if columns is None or not len(columns[0]):
             return
         order = np.lexsort((columns[1], columns[0]))
-        key, node, size, place, *label = (c[order] for c in columns)
+        key, node, size, place, *rest = (c[order] for c in columns)
+        label, mark = (rest[0], np.stack(rest[1:], axis=1).view(np.uint64)) if labelled else (None, None)
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         held, rows = [], 0
 
@@ -194,7 +230,7 @@ def candidates(met: DataFrame, parts: int, labelled: bool) -> DataFrame:
             pair = np.unique(np.stack([node[v], node[u]], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
 
-        for i, j in pairs_of(start, label[0] if labelled else None, size.astype(np.int64), place.astype(np.int64)):
+        for i, j in pairs_of(start, label, size.astype(np.int64), place.astype(np.int64), mark, turn):
             held.append((i, j))
             rows += len(i)
             if rows > HELD:
@@ -206,6 +242,14 @@ def candidates(met: DataFrame, parts: int, labelled: bool) -> DataFrame:
     return met.repartition(parts, "key").select(*names).mapInArrow(common.lean(run), "u long, v long").distinct()
 
 
+MARKS = ("m0", "m1", "m2", "m3")
+
+
+def mark_of(of: np.ndarray) -> np.ndarray:
+    """The parity of the set's values in each of 256 places, as four signed numbers."""
+    return np.packbits((np.bincount((of & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def sketch(of: np.ndarray) -> bytes:
     """The parity of the set's values in each of at least 2 |A| places, a power of two."""
     bits = 1 << max(6, (2 * len(of) - 1).bit_length() if len(of) else 0)
@@ -231,16 +275,17 @@ def fingerprint(of: np.ndarray) -> int:
 
 
 def described(df: DataFrame) -> DataFrame:
-    """node, least (the smallest doc_id, LAST_ID if none has one), size, fp and sketch of each distinct set."""
+    """node, least (the smallest doc_id, LAST_ID if none has one), size, fp, marks and sketch of each distinct set."""
 
     def run(batches):
         for batch in batches:
             sets = list(sets_of(batch.column("text").to_pylist()))
             columns = [pa.array([name_of(x) for x in sets], pa.int64()), batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([fingerprint(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "size", "fp", "sketch"])
+            marks = np.array([mark_of(x) for x in sets], np.int64).reshape(-1, len(MARKS))
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(marks[:, k])) for k in range(len(MARKS)))], names=["node", "doc_id", "size", "fp", "sketch", *MARKS])
 
-    rows = common.id_and_text(df).mapInArrow(common.lean(run), "node long, doc_id long, size int, fp long, sketch binary")
-    return rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(simhash.LAST_ID))).alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", "sketch")))
+    rows = common.id_and_text(df).mapInArrow(common.lean(run), "node long, doc_id long, size int, fp long, sketch binary, " + ", ".join(f"{m} long" for m in MARKS))
+    return rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(simhash.LAST_ID))).alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", "sketch", *MARKS)))
 
 
 def linked(nodes: DataFrame, parts: int) -> DataFrame:
@@ -298,11 +343,13 @@ def checked(df: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def groups(df: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root of every set that has a near copy."""
     parts = common.partitions_for(df, 16 << 20)
-    met = common.scratch_table(meetings(prefixes(df, frequent(df)), parts), "meetings")
+    met = common.scratch_table(meetings(prefixes(df, rarity(df)), parts), "meetings")
     links = simhash.components(checked(df, nodes, linked(nodes, parts).unionByName(candidates(met, parts, False)).distinct()))
-    labels = met.join(links.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = checked(df, nodes, candidates(labels, parts, True))
-    return simhash.components(links.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
+    for turn in (*range(TURNS), None):
+        labels = met.join(links.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")).join(nodes.select("node", *MARKS), "node")
+        more = checked(df, nodes, candidates(labels, parts, True, turn))
+        links = simhash.components(links.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    return links
 
 
 def with_node(df: DataFrame) -> DataFrame:
