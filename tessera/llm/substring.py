@@ -14,8 +14,9 @@ beside it, and no window that holds its context can repeat, so later levels work
 1. Documents are packed into chunks of about `chunk_bytes`, written once.
 2. A round names the words, which chunks send as 96-bit digests.  What of a chunk lies in windows all of whose words
    have names is written as its live part, a tenth of the words or so; `LEVELS` more rounds name its runs and pairs.
-3. A window that holds no unnamed symbol is led by one of its interior symbols, of the highest level that has
-   any, the one that comes first in a random order of names; so equal windows have equal leaders.
+3. A window that holds no unnamed symbol of any level, and so may repeat, is led by one of its interior symbols: of the
+   highest of the first `LEADING` levels that has any the one that comes first in a random order of names; so equal
+   windows have equal leaders.
    Neighbouring windows under one leader go together as one row of word names to the range of the leader.
 4. There windows under equal leaders are compared name by name, and each gets back whether a smaller doc_id
    has it.  The words of removed windows are marked, and chunks hash the rest.
@@ -51,8 +52,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
+LEADING = 2  # levels, words included, of whose symbols one leads a window; longer ones leave little choice, so fewer neighbours would share a leader
 LEVELS = 3  # of runs and pairs; the contexts of a fourth are longer than a window, so none of its symbols would be interior
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20  # of input for one range of names
 LONG_WORD = 32  # bytes; longer words are hashed one by one
 BROADCAST_BYTES = 64 << 20  # of answers; more are joined by a shuffle
@@ -293,7 +295,7 @@ class Groups:
     def __init__(self, parse: Parse):
         self.word = parse.word
         begin = parse.windows()
-        leader, at = leaders(parse.levels, begin)
+        leader, at = leaders(parse.levels[:LEADING], begin)
         head = np.flatnonzero(np.concatenate([[True], (begin[1:] != begin[:-1] + 1) | (at[1:] != at[:-1])]))[: len(begin)]
         self.begin, self.leader = begin[head], leader[head]
         self.size = np.diff(np.append(head, len(begin)))

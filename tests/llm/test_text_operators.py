@@ -100,7 +100,7 @@ def test_rounds_give_equal_windows_equal_symbols_and_leaders():
         first = [int(words.slot[words.first[d]]) + s for d, s in enumerate(starts)]
         begin = parse.windows()
         assert set(first) <= set(begin.tolist())
-        names, _ = substring.leaders(parse.levels, begin)
+        names, _ = substring.leaders(parse.levels[: substring.LEADING], begin)
         assert len({int(names[begin.tolist().index(f)]) for f in first}) == 1
         for level in parse.levels:
             inside = [level.name[(level.low >= f) & (level.high < f + 13) & (level.name > 0)].tolist() for f in first]
