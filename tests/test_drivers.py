@@ -73,6 +73,7 @@ def test_replay_stops_after_failures(tmp_path):
 
     state = replay.advance(tmp_path / "c.json", date(2020, 1, 1), date(2020, 3, 10), broken)
     assert state["status"] == "failing" and state["next"] == "2020-01-09"
+    assert [e["day"] for e in state["errors"]] == [f"2020-01-0{k}" for k in range(1, 9)] and state["errors"][0]["error"] == "ValueError: "
 
 
 @pytest.mark.parametrize(("day", "n"), [(date(2020, 1, 1), 1), (date(2020, 1, 3), 3), (date(2019, 1, 1), 0)])

@@ -85,21 +85,40 @@ def test_bootstrap_tells_a_planted_edge_from_noise(spark):
     rng = np.random.default_rng(1)
     pool = rng.normal(0, 0.03, 900)
     observed = spark.createDataFrame([("edge", float(x) + 0.02, 9) for x in pool[:200]] + [("noise", float(x), 9) for x in pool[200:400]], "candidate string, value double, block int")
-    base = spark.createDataFrame([(c, 0, k, float(x)) for c in ("edge", "noise") for k, x in enumerate(pool)], "candidate string, chunk int, place int, base double")
+    base = spark.createDataFrame([(c, 0, pool.tolist()) for c in ("edge", "noise")], "candidate string, chunk int, base array<double>")
     got = {r.candidate: r for r in walkforward.bootstrap_p(observed, base, 500).collect()}
     assert got["edge"].significant and not got["noise"].significant
     assert (walkforward.block_bootstrap_means([pool], 50, 9, 20) == walkforward.block_bootstrap_means([pool], 50, 9, 20)).all()
 
 
+def test_blocks_are_contiguous_and_chunks_drawn_by_length():
+    """With one block to a replicate its mean tells where it lies; short chunks give whole chunks."""
+    chunks = [np.arange(100.0), np.arange(1000.0, 1004.0)]
+    means = walkforward.block_bootstrap_means(chunks, 10, 10, 4000)
+    long = means[means < 100]
+    assert set((long * 2 % 2).tolist()) == {1.0} and long.min() == 4.5 and long.max() == 94.5  # ten in a row from 0..99
+    share = sum(len(c) for c in chunks[1:]) / 104
+    assert abs((means > 90.0001).mean() - (long > 90.0001).sum() / 4000 - share) < 0.02
+    assert math.isclose(walkforward.block_bootstrap_means(chunks, 100_000, 3, 3).mean(), np.concatenate(chunks).mean(), rel_tol=0.1)
+    plain = [np.mean([x for x in chunks[0]][s : s + 10]) for s in range(91)]
+    assert set(np.round(long, 9)) <= set(np.round(plain, 9))
+
+
 def test_specifications_round_trip_and_are_checked():
-    spec = G.Spec("x", (G.Clause("volume_zscore_30d", ">=", 1.0, 3), G.Clause("surprise", "<", 0.0)), coins=("A",), outcome="market_relative", prior_weight=9.0)
+    spec = G.Spec("x", (G.Clause("volume_zscore_30d", ">=", 1.0, 3), G.Clause("cpi_surprise", "<", 0.0)), coins=("A",), outcome="market_relative", prior_weight=9.0)
     assert G.Spec.from_json(spec.to_json()) == spec and spec.prior_weight == 4.0
-    assert [c.indicator for c in spec.without_events().clauses] == ["volume_zscore_30d"] and G.Spec("y", (G.Clause("surprise", "<", 0.0),)).without_events() is None
+    assert [c.indicator for c in spec.without_events().clauses] == ["volume_zscore_30d"] and G.Spec("y", (G.Clause("cpi_surprise", "<", 0.0),)).without_events() is None
     assert [G.Clause.from_dict({"indicator": "a", "op": "<", "threshold": "1.5", "within_days": w}).within_days for w in (None, 2.0, "3")] == [0, 2, 3]
     for bad in (lambda: G.Clause("a", "<", 1.0, 500), lambda: G.Spec("x", ()), lambda: G.Spec("x", spec.clauses, coins=()), lambda: G.Spec("x", spec.clauses, prior_weight=0)):
         with pytest.raises(ValueError):
             bad()
-    assert isinstance(G.from_proposal({"label": "p", "clauses": [{"indicator": "nothing", "op": "<", "threshold": 1}]}), str)
+    proposal = lambda *names, label="p": G.from_proposal({"label": label, "clauses": [{"indicator": n, "op": "<", "threshold": 1} for n in names]})
+    for refused, why in ((("nothing",), "unknown"), (("is_macro_day",), "cannot be proposed"), (("rsi_14d",), "published event"), (("rsi_14d", "cpi_surprise", "rate_surprise"), "3 clauses"), ((), "needs a clause")):
+        assert why in proposal(*refused)
+    for names in (("cpi_surprise",), ("rsi_14d", "rate_surprise"), ("atr_pct_14d", "jobless_claims_surprise"), ("funding_zscore_30d", "cpi_surprise")):
+        assert isinstance(proposal(*names), G.Spec)
+    assert "macro event" in G.from_proposal({"label": "after the CPI", "clauses": [{"indicator": "rsi_14d", "op": "<", "threshold": 1}]}, news=False)
+    assert "relative strength in 14 days below 30" in G.Spec("r", (G.Clause("rsi_14d", "<", 30.0, 3),)).in_words() and "last 3 days" in G.Spec("r", (G.Clause("rsi_14d", "<", 30.0, 3),)).in_words()
     assert len(G.proposals({"action": "propose", "specs": [1, 2, 3]})) == 2 and G.proposals({"action": "wait", "spec": 1}) == []
     assert G.normalise_coin(" btc", frozenset({"BTCUSDT"})) == "BTCUSDT" and G.normalise_coin("x", frozenset()) is None
     assert G.loosened(G.Clause("volume_zscore_30d", ">=", 2.0), 0.25).threshold == 1.5
@@ -170,3 +189,149 @@ def test_snapshot_has_every_indicator(spark):
     rows = entry.queries()["ind_snapshot_unpivot"](spark, "/root/testdata/sf0.001").collect()
     assert {r.indicator for r in rows} == set(I.INDICATORS)
     assert len(rows) == len(I.INDICATORS) * len({r.symbol for r in rows})
+
+
+def test_not_a_number_holds_no_clause_and_passes_no_gate(spark):
+    df = spark.createDataFrame([("A", dt.date(2024, 1, k + 1), x) for k, x in enumerate((1.0, float("nan"), None, -1.0))], "symbol string, d date, x double")
+    hit = df.orderBy("d").select(G.Clause("x", ">", 0.0).column().alias("a"), G.Clause("x", "<", 0.0).column().alias("b")).collect()
+    assert [(r.a, r.b) for r in hit] == [(True, False), (False, False), (False, False), (False, True)]
+    gates = lambda **k: [F.lit(k.get(n, v)) for n, v in dict(n=30, sortino=1.0, ok=True, by_symbol=False, by_year=False, significant=True, excess=0.1, ratio=2.0).items()]
+    told = lambda **k: spark.range(1).select(walkforward.classify(*gates(**k)).alias("s")).first().s
+    nan = float("nan")
+    assert [told(), told(ratio=nan), told(sortino=nan), told(excess=nan), told(sortino=math.inf)] == ["accepted", "watch", "rejected", "rejected", "accepted"]
+
+
+def test_trades_in_both_directions(spark):
+    """Entry 100, target 5 %, stop 3 %: mirrored for a short; the stop counts first; later horizons have levels of their own."""
+    bars = lambda *x: [{"high": h, "low": l} for h, l in x]  # noqa: E731, E741
+    quiet = [(101.0, 99.0)] * 4
+    cases = [(bars(*quiet, (106.0, 99.0), *quiet), "win", "loss"), (bars(*quiet, (101.0, 96.0), *quiet), "loss", "timeout"), (bars((106.0, 96.0)), "loss", "loss"), (bars((101.0, 94.0)), "loss", "win"), (bars((104.0, 99.0)), "timeout", "loss"), (bars(*quiet), "timeout", "timeout")]
+    df = spark.createDataFrame([(k, p) for k, (p, _, _) in enumerate(cases)], "k int, path array<struct<high:double,low:double>>")
+    levels = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(0.05).alias("mfe"), F.lit(0.03).alias("mae")) for h in (1, 7)])
+    for sign, place in ((1, 1), (-1, 2)):
+        got = {r.k: r.r for r in df.select("k", E.trade(F.col("path"), F.lit(100.0), F.lit(sign), levels, F.lit(1.0), F.lit(1.0)).alias("r")).collect()}
+        assert [got[k].outcome for k in range(len(cases))] == [c[place] for c in cases], sign
+        assert math.isclose(got[2].net, -0.03 - 0.002) and math.isclose(got[5].net, -0.002)
+    one = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(m).alias("mfe"), F.lit(0.5).alias("mae")) for h, m in ((1, 0.05), (3, 0.5))])
+    later = spark.range(1).select(E.trade(F.array(*[F.struct(F.lit(h).alias("high"), F.lit(99.0).alias("low")) for h in (101.0, 110.0, 101.0, 101.0)]), F.lit(100.0), F.lit(1), one, F.lit(1.0), F.lit(1.0)).alias("r")).first().r
+    assert later.outcome == "timeout"  # 110 passes the first horizon's target on a bar of the second
+
+
+def test_a_first_setting_without_a_ratio_sticks(spark):
+    rows = [("a", 0.6, 0.6, 0.0), ("a", 0.6, 0.8, 0.01), ("a", 0.6, 0.8, -0.005), ("b", 0.6, 0.6, -0.01), ("b", 1.0, 0.6, 0.02), ("b", 1.0, 0.6, -0.01), ("b", 1.0, 0.8, 0.02), ("b", 1.0, 0.8, -0.01)]
+    got = {r.f: (r.tp, r.sl) for r in E.chosen_setting(spark.createDataFrame(rows, "f string, tp double, sl double, net_return double"), ["f"]).collect()}
+    assert got == {"a": (0.6, 0.6), "b": (1.0, 0.6)}
+
+
+def test_study_uses_outcome_weight_direction_and_scope(spark):
+    """Against plain Python over the same events: out-of-sample values, baselines of both kinds, relative outcomes, errors apart."""
+    from tessera.plans import study
+    from tessera.sources import panels
+
+    sf = "/root/testdata/sf0.01"
+    bars = panels.bars_1d(spark, sf)
+    volume = G.Clause("volume_zscore_30d", ">=", 1.0)
+    specs = [G.Spec("raw", (volume,)), G.Spec("rel", (volume,), outcome="market_relative"), G.Spec("short", (volume,), "short"), G.Spec("one", (volume,), coins=("A",), prior_weight=4.0), G.Spec("bad", (G.Clause("nothing", ">", 0.0),)), G.Spec("never", (G.Clause("close_return_1d", ">", 1e9),))]
+    rows = {r.candidate: r.asDict() for r in study.run(bars, specs, reps=200).collect()}
+    assert rows["bad"]["status"] == "error" and "nothing" in rows["bad"]["reason"]
+    assert rows["never"]["status"] == "insufficient_data" and rows["never"]["n"] == 0
+    assert rows["raw"]["n"] == rows["raw"]["n_outcomes"] == rows["rel"]["n"] > 50
+    assert not math.isclose(rows["raw"]["mean"], rows["rel"]["mean"], rel_tol=1e-3)
+    assert math.isclose(rows["rel"]["baseline_mean"], 0.0, abs_tol=0.5 * abs(rows["raw"]["baseline_mean"]))
+    assert rows["short"]["mean"] < 0 < rows["raw"]["mean"] and rows["one"]["by_symbol"] is False and rows["one"]["weight"] == 4.0
+    panel = I.complete(bars)
+    e = study.evidence(panel, specs[:1])
+    chosen = {r.fold: r.h for r in e.chosen.collect()}
+    close = {}
+    for r in bars.orderBy("symbol", "d").collect():
+        close.setdefault(r.symbol, []).append(r.close)
+    for r in e.outcomes.collect():
+        h = chosen[r.period]
+        assert math.isclose(r.value, close[r.symbol][r.entry_loc + h] / close[r.symbol][r.entry_loc] - 1, rel_tol=1e-9)
+    text = walkforward.significance_text({**rows["raw"]})
+    assert "p = " in text and "ordinary returns" in text and walkforward.significance_text({"p": None}).startswith("The pattern could not")
+    from tessera.operators import registry as R
+
+    assert "fires when volume" in R.details(rows["raw"], "volume is high") and "n/a" in R.details(rows["never"])
+
+
+def test_redundant_proposals_are_told(spark):
+    from tessera.plans import admission
+    from tessera.sources import panels
+
+    panel = I.with_indicators(panels.bars_1d(spark, "/root/testdata/sf0.01"))
+    of = lambda label, t, op=">=": {"label": label, "direction": "long", "clauses": [{"indicator": "volume_zscore_30d", "op": op, "threshold": t}]}
+    specs = [G.Spec.from_json(__import__("json").dumps(of(*x))) for x in (("a", 1.0), ("b", 1.05), ("c", 2.2), ("d", -1.0, "<"), ("e", -1.0, "<="))]
+    kept, dropped = G.distinct_proposals(panel, specs)
+    days = {}
+    for r in G.occurrences(panel, specs).collect():
+        days.setdefault(r.label, set()).add((r.symbol, r.d))
+    want, repeats = [], {}
+    for s in specs:
+        mine = days.get(s.label, set())
+        clash = next((k for k in want if mine | days.get(k, set()) and len(mine & days.get(k, set())) / len(mine | days.get(k, set())) > 0.6), None)
+        repeats |= {s.label: clash} if clash else {}
+        want += [] if clash else [s.label]
+    assert [s.label for s in kept] == want and dropped == repeats and repeats
+    got = admission.admit(panel, [of("a", 1.0), of("b", 1.05), of("rare", 3.4), of("never", 90.0), {"label": "none", "clauses": []}], news=False)
+    assert [s.label for s in got.testable][0] == "a" and got.repeats == {"b": "a"} and [s.label for s in got.parked] == ["never"] and "none" in got.refused
+    parked = admission.park(spark.createDataFrame([], "label string, spec string, proposed_at date"), got.parked, dt.date(2020, 1, 1))
+    assert admission.park(parked, got.parked, dt.date(2021, 1, 1)).count() == 1
+    registry = spark.createDataFrame([("x", specs[0].to_json())], "candidate string, spec string")
+    assert {r.candidate for r in admission.valid_registry(registry, spark.createDataFrame([("y", "{}"), ("z", specs[1].to_json())], "candidate string, spec string")).collect()} == {"x", "z"}
+    assert admission.registered(panel.where("symbol = 'A'"), specs[0], dt.date(1996, 1, 1), 7)["prior_confirmations"] > 0
+
+
+def test_exact_rank_test_and_tail(spark):
+    import itertools
+
+    from tessera.operators import stats
+
+    for n1, n2 in ((3, 4), (5, 2)):
+        us = [sum(sum(1 for y in range(n1 + n2) if y not in of and y < x) for x in of) for of in itertools.combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            assert math.isclose(stats.exact_mann_whitney(u, n1, n2), sum(x >= u for x in us) / len(us))
+    z = spark.createDataFrame([(x,) for x in (-3.0, -0.5, 0.0, 1.0, 2.5)], "z double").select("z", stats.normal_tail(F.col("z")).alias("p")).collect()
+    assert all(abs(r.p - 0.5 * math.erfc(r.z / math.sqrt(2))) < 2e-7 for r in z)
+    sim = {r.quality: r for r in stats.fdr_simulation(spark, [0.0, 0.9], 300).collect()}
+    assert sim[0.9].found > sim[0.0].found and sim[0.0].fdr < 0.08
+
+
+def test_files_locks_and_cadence(spark, tmp_path):
+    import os
+
+    from tessera.sources import files
+    from tessera.streaming import cadence
+
+    (tmp_path / "f.csv").write_text("timestamp,rate\n2020-01-01 00:00:00,1\n2020-01-01 08:00:00,3\n2020-01-02 00:00:00,5\n")
+    assert [(r.symbol, r.d.day, r.rate) for r in files.daily_means(spark, str(tmp_path / "f.csv"), "A").orderBy("d").collect()] == [("A", 1, 2.0), ("A", 2, 5.0)]
+    assert files.daily_means(spark, str(tmp_path / "none.csv"), "A") is None
+    (tmp_path / "v.csv").write_text("date,realtime_start,CPI\n2020-01-01,2020-02-14,7.5\n2020-01-01,2020-03-14,.\n")
+    assert [tuple(r)[0::3] for r in files.vintages(spark, {"cpi": str(tmp_path / "v.csv"), "x": str(tmp_path / "none.csv")}).orderBy("realtime_start").collect()] == [("cpi", 7.5), ("cpi", None)]
+    assert files.release_dates(spark, str(tmp_path / "v.csv"), "2020-02-20") == (dt.date(2020, 3, 14),) and files.release_dates(spark, "/none.csv") == ()
+    files.write_csv(spark.createDataFrame([("a", float("nan")), ("b", 1.5)], "k string, x double"), str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "out"), header=True).collect())) == [("a", None), ("b", "1.5")]
+    report = {(r.symbol, r.kind): (r.rows, r.error) for r in files.fan_out(spark, {("A", "1d"): lambda: 3, ("A", "1h"): lambda: 0, ("B", "1d"): lambda: 1 // 0}).collect()}
+    assert report[("A", "1h")] == (0, None) and report[("B", "1d")][0] is None and "ZeroDivision" in report[("B", "1d")][1]
+    with state.lock(tmp_path / "lock"):
+        assert (tmp_path / "lock").read_text() == str(os.getpid())
+    assert not (tmp_path / "lock").exists()
+    (tmp_path / "lock").write_text("1")  # a live process that is not this one
+    with pytest.raises(state.Locked), state.lock(tmp_path / "lock"):
+        pass
+    (tmp_path / "lock").write_text("999999999")  # one that is gone
+    with state.lock(tmp_path / "lock"):
+        pass
+    seen: list[str] = []
+    jobs = {"h": ("hourly", lambda: seen.append("h")), "w": ("weekly", lambda: 1 // 0), "m": ("monthly", lambda: seen.append("m"))}
+    at = lambda day, hour: dt.datetime(2020, 1, day, hour)
+    first = cadence.run_due(tmp_path / "c.json", jobs, at(31, 0))
+    assert first["h"] is None and "ZeroDivision" in first["w"]
+    again = cadence.run_due(tmp_path / "c.json", jobs, at(31, 0) + dt.timedelta(minutes=30))
+    assert list(again) == ["w"] and set(cadence.run_due(tmp_path / "c.json", jobs, at(31, 0) + dt.timedelta(hours=25))) == {"h", "w", "m"} and seen == ["h", "m", "h", "m"]
+    steps = {"a": lambda: seen.append("a"), "b": lambda: seen.append("b") if "fixed" in seen else 1 // 0, "c": lambda: seen.append("c")}
+    with pytest.raises(ZeroDivisionError):
+        cadence.run_steps(tmp_path / "s.json", steps)
+    seen.append("fixed")
+    cadence.run_steps(tmp_path / "s.json", steps)
+    assert seen[-4:] == ["a", "fixed", "b", "c"]
