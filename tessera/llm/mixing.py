@@ -77,7 +77,9 @@ def plan(df: DataFrame, **limits) -> DataFrame:
 def emit(df: DataFrame, **limits) -> DataFrame:
     """Each row of df as often as the mix takes it, with all its columns; a row without words is taken by the same draw."""
     sizes = common.cut(df.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size")))
-    of = targets(sizes, **limits).select(F.col("no_source").alias("__no_source"), F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    source = F.col("source").cast("string")
-    mixed = df.join(of, (source.isNull() == F.col("__no_source")) & (F.coalesce(source, F.lit("")) == F.col("__source")))
-    return mixed.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies(F.col("__rate"), F.col("doc_id"))))).select(*df.columns)
+    of = targets(sizes, **limits).select("no_source", F.col("source").alias("of_source"), "rate")
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # any names may clash
+    doc_id, source = (F.col(f"c{df.columns.index(n)}") for n in ("doc_id", "source"))
+    source = source.cast("string")
+    mixed = plain.join(of, (source.isNull() == F.col("no_source")) & (F.coalesce(source, F.lit("")) == F.col("of_source")))
+    return mixed.select(*plain.columns, F.explode(F.array_repeat(F.lit(1), copies(F.col("rate"), doc_id)))).select(*plain.columns).toDF(*df.columns)

@@ -352,27 +352,30 @@ def groups(df: DataFrame, nodes: DataFrame) -> DataFrame:
     return links
 
 
-def with_node(df: DataFrame) -> DataFrame:
-    """df with the digest of each row's set as __node."""
+def with_node(df: DataFrame, text: str) -> DataFrame:
+    """df, whose columns are named by place, with the digest of each row's set as node."""
+    at = df.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            nodes = [name_of(of) for of in sets_of(batch.column("__text").to_pylist())]
-            rest = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(nodes, pa.int64())], names=[*rest, "__node"])
+            nodes = [name_of(of) for of in sets_of(batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, "node"])
 
-    return df.withColumn("__text", F.col("text").cast("string")).mapInArrow(common.lean(run), StructType(df.schema.fields[:]).add("__node", LongType()))
+    return df.mapInArrow(common.lean(run), StructType(df.schema.fields[:]).add("node", LongType()))
 
 
 def keep_first(df: DataFrame) -> DataFrame:
     """One row of each group, that of its smallest doc_id and then of its least set's digest, with all columns; rows without an id stay.
 
-    Rows are told apart by id and set, so an id that stands on unlike texts keeps each of them that is the first of its group.
+    Rows are told apart by id and set, so an id that stands on unlike texts keeps each of them that is the first of its group.  Columns
+    go by place, so any names may clash.
     """
     last = F.lit(simhash.LAST_ID)
     nodes = common.cut(described(df))
     rooted = nodes.join(groups(df, nodes), "node", "left").select("least", "node", F.coalesce("root", "node").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("x")).where(F.col("x.least") < last).select(F.col("x.least").alias("__kept_id"), F.col("x.node").alias("__kept_node"))
-    same = (F.col("doc_id").cast("long") == F.col("__kept_id")) & (F.col("__node") == F.col("__kept_node"))
-    named = with_node(df.where(F.col("doc_id").isNotNull())).join(keep, same).dropDuplicates(["__kept_id", "__kept_node"]).drop("__kept_id", "__kept_node", "__node")
-    return named.unionByName(df.where(F.col("doc_id").isNull()))
+    keep = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("x")).where(F.col("x.least") < last).select(F.col("x.least").alias("kept_id"), F.col("x.node").alias("kept_node"))
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    doc_id, text = (f"c{df.columns.index(n)}" for n in ("doc_id", "text"))
+    same = (F.col(doc_id).cast("long") == F.col("kept_id")) & (F.col("node") == F.col("kept_node"))
+    named = with_node(plain.where(F.col(doc_id).isNotNull()), text).join(keep, same).dropDuplicates(["kept_id", "kept_node"]).select(*plain.columns)
+    return named.unionByName(plain.where(F.col(doc_id).isNull())).toDF(*df.columns)

@@ -259,13 +259,3 @@ def near_duplicates(df: DataFrame, shingle: int = 3, hot: int = 4096) -> DataFra
 def hex_code(column: str) -> Column:
     """A signed code as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
-
-
-def keep_first(df: DataFrame) -> DataFrame:
-    """One row of each group, that of its smallest doc_id, with all columns; rows without an id stay.
-
-    Repeated rows of that id count as copies: one of them stays.
-    """
-    keep = near_duplicates(df).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = df.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id").cast("long") == F.col("__kept_id")).dropDuplicates(["__kept_id"]).drop("__kept_id")
-    return named.unionByName(df.where(F.col("doc_id").isNull()))

@@ -421,13 +421,22 @@ def read_files(spark, folder: str) -> DataFrame:
     return spark.read.schema(FILES).parquet(folder)
 
 
+STRETCH = 1024  # ranges whose files are numbered together
+
+
+def offsets(files: DataFrame) -> DataFrame:
+    """place, seq, before: the ids in all files before.  Files are summed up by stretches of ranges, then stretches by one row each."""
+    counts = files.select("place", "seq", "tokens", F.expr(f"place div {STRETCH}").alias("stretch"))
+    upto = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = counts.groupBy("stretch").agg(F.sum("tokens").alias("tokens")).select("stretch", upto(Window.orderBy("stretch")).alias("start"))
+    return counts.withColumn("inner", upto(Window.partitionBy("stretch").orderBy("place", "seq"))).join(whole, "stretch").select("place", "seq", (F.col("start") + F.col("inner")).alias("before"))
+
+
 def decode_files(files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document in the files.
 
-    The counts of the files before come from their columns alone; a row a file meets in one window.
+    The counts of the files before come from their columns alone.
     """
-    before = Window.orderBy("place", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    offset = files.select("place", "seq", "tokens").select("place", "seq", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before"))
 
     def run(batches):
         for batch in batches:
@@ -440,4 +449,4 @@ def decode_files(files: DataFrame) -> DataFrame:
                 doc_ids = pa.array([None if i == common.NO_ID else i for i in f.doc_ids.tolist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts + batch.column("before")[k].as_py()), pa.array(f.counts.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(F.broadcast(offset), ["place", "seq"]).select("bytes", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(offsets(files), ["place", "seq"]).select("bytes", "before").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -106,9 +106,6 @@ def test_near_duplicates_on_sample_and_awkward(spark):
         want = Counter((i, simhash.signed(c), rows[k][0]) for (i, _), c, k in zip(rows, codes, groups(codes), strict=True))
         assert Counter(map(tuple, simhash.near_duplicates(frame).collect())) == want
     assert simhash.near_duplicates(empty(spark)).collect() == []
-    kept = simhash.keep_first(awkward(spark))
-    assert kept.schema.names == awkward(spark).columns
-    assert Counter(r.doc_id for r in kept.collect())[5] == 1
 
 
 # -- sharding --------------------------------------------------------------------------------------
@@ -344,6 +341,90 @@ def test_oracle(spark, name):
     assert Counter(map(tuple, got.select(columns).collect())) == want
 
 
+def test_registered_queries_against_brute_force(spark):
+    """The rows that the queries return, column by column, from plain code."""
+    from tests.llm.test_text_operators import plain_spans
+
+    sf = "/root/testdata/sf0.001"
+    _, pdf = sample(spark)
+    texts = dict(zip(pdf.doc_id, pdf.text, strict=True))
+    ids = sorted(texts)
+    rows = lambda name: {r.doc_id: r for r in queries.QUERIES[name](spark, sf).collect()}
+    sha = lambda t: sha256(t.encode()).hexdigest()
+    line = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+    found = rows("op1_pii_skip_chain")
+    for i in ids:
+        base = plain_spans(texts[i])
+        assert found[i].base_sha256 == sha(line(base)) and [found[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")]
+        assert set(filter(None, line(base).split(","))) <= set(filter(None, found[i].spans.split(",")))
+
+    codes = [plain_fingerprint(texts[i]) for i in ids]
+    first = groups(codes)
+    found = rows("op2_simhash_gray_index")
+    least: dict[int, int] = {}
+    for k, i in enumerate(ids):
+        least[first[k]] = min(least.get(first[k], i), i)
+    assert all(found[i].fingerprint == f"{codes[k]:016x}" and found[i].component_id == least[first[k]] for k, i in enumerate(ids))
+
+    word, byte = (Tokenizer.from_file(public_tokenizers.path(n)) for n in (queries.WORD_BPE, queries.BYTE_BPE))
+    found, files, start = rows("op4_bpe_pair_index"), rows("op7_rans_token_files"), 0
+    for i in ids:
+        own = word.encode(texts[i], add_special_tokens=False).ids
+        assert (found[i].n_tokens, found[i].ids_sha256, found[i].decoded_sha256) == (len(own), sha(" ".join(map(str, own))), sha(word.decode(own, skip_special_tokens=False)))
+        stored = [*byte.encode(texts[i], add_special_tokens=False).ids, 0]
+        assert (files[i].start, files[i].n_tokens, files[i].ids_crc32) == (start, len(stored), zlib.crc32(np.array(stored, "<u4").tobytes()))
+        start += len(stored)
+
+    import unicodedata
+
+    fold = lambda t: xxhash.xxh3_128_hexdigest(" ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split()).encode())
+    found = rows("op5_canonical_digest")
+    of_print: dict[str, int] = {}
+    for i in ids:
+        of_print.setdefault(fold(texts[i]), i)
+    for k, i in enumerate(ids):
+        t, n = texts[i], texts[ids[(k + 1) % len(ids)]]
+        q = len(t) // 4
+        changed = t[: len(t) - q] + n[:q]
+        assert (found[i].n_chars, found[i].edited_sha256, found[i].fingerprint, found[i].edited_fingerprint) == (len(t), sha(changed), fold(t), fold(changed))
+        assert (found[i].near_edited, found[i].near_next, found[i].same_as) == (float(fold(t) == fold(changed)), float(fold(t) == fold(n)), of_print[fold(t)])
+
+    found = rows("op9_matroska_media")
+    for i in ids:
+        payload = matroska.padded(texts[i].encode())
+        assert (found[i].n_bytes, found[i].payload_bytes, found[i].payload_sha256, found[i].tail_crc32) == (len(texts[i].encode()), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert len(payload) % 64 == 0 and len(payload) > 0 and payload.startswith(texts[i].encode())
+    found = rows("op8_langid_centroids")
+    assert set(found) == set(ids) and all(0 <= r.score <= 1 for r in found.values())
+
+
+def test_offsets_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "STRETCH", 2)
+    files = spark.createDataFrame([(p, s, 10 * p + s + 1) for p in range(7) for s in range(p % 3 + 1)], "place int, seq int, tokens long")
+    got, total = {(r.place, r.seq): r.before for r in tokenfile.offsets(files).collect()}, 0
+    for r in files.orderBy("place", "seq").collect():
+        assert got[r.place, r.seq] == total
+        total += r.tokens
+
+
+@pytest.mark.parametrize("kind", ["empty", "awkward"])
+def test_pipeline_on_odd_tables(spark, kind):
+    """No rows; or nulls, repeats, long texts and columns whose names clash with those that stages make."""
+    import corpus_pipeline
+
+    docs = (empty if kind == "empty" else awkward)(spark)
+    clash = docs.withColumns({"__node": docs["doc_id"], "size": docs["doc_id"], "root": docs["source"]}) if kind == "awkward" else docs
+    columns, seen = clash.columns, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        clash = stage(spark, clash, "")
+        assert clash.columns == columns
+        seen.append(clash.count())
+    last = corpus_pipeline.STAGES[-1][1](spark, clash, "")
+    assert last.count() == seen[-1] and set(last.columns) == {"doc_id", "n_tokens", "ids", "decoded"}
+    assert seen[0] == 0 if kind == "empty" else seen[2] == seen[1] <= seen[0] and seen[1] > 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
