@@ -10,7 +10,9 @@ Two texts are near copies if 9 |A and B| >= 4 (|A| + |B|), which is a similarity
 1. Order.  All sets are sorted by one order of shingles, the rare ones first, by counts in a bounded table of hashed
    counters; the order decides the cost only, since any order that all rows share gives the same pairs.
 2. Prefixes.  A set shares at least 0.8 of its size with a near copy, so the two share a shingle among the first
-   |A| // 5 + 1 of each.  Rows meet by these; pairs whose sizes or places rule the similarity out are left.
+   |A| // 5 + 1 of each.  Rows meet by these.  What two sets share lies from their first shared shingle on, so a pair is
+   left where it meets too late for that shingle: if similar it meets at an earlier one.  With equal sizes that is past
+   a ninth of the set, so a passage that unlike texts share is seldom sent.
 3. Checks.  First all that meet are paired with the least of them; then, `TURNS` times, each with one other that no
    component joins it with, another one each time; then all pairs that are still apart, so that no link is lost.
    The first rounds send as many pairs as rows meet, and leave few to the last.  Parity marks where rows meet drop pairs
@@ -170,11 +172,12 @@ def meetings(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def possible(size: np.ndarray, place: np.ndarray, i, j) -> np.ndarray:
-    """Whether the sizes, and the places of the shared shingle, leave room for the similarity."""
-    least = np.minimum(size[i], size[j])
-    room = np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j])
-    total = size[i] + size[j]
-    return (9 * least >= 4 * total) & (9 * room >= 4 * total)
+    """Whether i and j may be similar if this is the first shingle in the order that they share: what they share then lies from here on.
+
+    At a later shared shingle the answer may be False for a similar pair, which its first one gives.
+    """
+    rest = np.minimum(size[i] - place[i], size[j] - place[j])
+    return 9 * rest >= 4 * (size[i] + size[j])
 
 
 def alike(size: np.ndarray, mark: np.ndarray, i, j) -> np.ndarray:

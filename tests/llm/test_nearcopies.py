@@ -86,3 +86,26 @@ def test_sketches_drop_no_similar_pair():
         y = np.unique(np.concatenate([x[int(rng.integers(0, len(x) // 5 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, len(x) // 5 + 1)), dtype=np.uint64)]))
         if 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y)):
             assert nearcopies.close(nearcopies.sketch(x), nearcopies.sketch(y), len(x) + len(y))
+
+
+def test_first_shared_shingles_give_all_similar_pairs_and_late_ones_none():
+    rng = np.random.default_rng(5)
+    similar = 0
+    for _ in range(600):
+        x = rng.permutation(np.unique(rng.integers(0, 10**6, int(rng.integers(1, 300)))))
+        y = np.concatenate([x[int(rng.integers(0, len(x) // 4 + 1)) :], rng.integers(10**6, 2 * 10**6, int(rng.integers(0, len(x) // 4 + 1)))])
+        x, y = np.sort(x), np.unique(y)
+        if len(y) and rng.random() < 0.5:  # what only the second set has comes first in the order
+            x, y = np.sort(-x), np.unique(-y)
+        both = np.intersect1d(x, y)
+        if not len(both) or 9 * len(both) < 4 * (len(x) + len(y)):
+            continue
+        similar += 1
+        size, place = np.array([len(x), len(y)]), np.array([np.searchsorted(x, both[0]), np.searchsorted(y, both[0])])
+        assert nearcopies.possible(size, place, 0, 1)
+        assert (place <= size // 5).all()
+    assert similar > 200
+    rows = 40  # unlike sets of one size that share a shingle past a ninth of it, as a common passage makes them
+    size, place, label, mark = np.full(rows, 900), np.full(rows, 101), np.arange(rows), np.zeros((rows, 4), np.uint64)
+    assert list(nearcopies.pairs_of(np.array([0]), label, size, place, mark)) == []
+    assert sum(len(i) for i, _ in nearcopies.pairs_of(np.array([0]), label, size, place - 1, mark)) == rows * (rows - 1) // 2
