@@ -17,12 +17,13 @@ Defined results
     repeated rows    equal rows out
     empty table      empty result
     extra columns    ignored
-Memory in a worker: the texts of one Arrow batch, twice about `KNOWN` remembered cuts, as many pieces, and an index over
+Memory in a worker: the texts of one Arrow batch, twice about `KNOWN` remembered cuts, as many pieces (shared with them), and an index over
 `INDEXED` pieces at a time.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -255,10 +256,18 @@ class WordCodec:
 
     def pieces(self, cut: bytes) -> list[bytes | int]:
         """Pieces of one cut as bytes, and the ids of special tokens between them."""
+        if cut.isalpha():
+            return [cut.lower()]
+        if cut[:-1].isalpha() and b"!" <= cut[-1:] <= b"~":
+            return [cut[:-1].lower(), cut[-1:]]
         if PLAIN.fullmatch(cut) and b"<|" not in cut:
             return ASCII_PIECE.findall(cut.lower())
         text = cut.decode("utf-8", "replace")
         if LATIN.fullmatch(text) and "<|" not in text:
+            if text.isalpha():
+                return [text.lower().encode()]
+            if text[:-1].isalpha():
+                return [text[:-1].lower().encode(), text[-1:].encode()]
             return [p.encode() for p in LATIN_PIECE.findall(text.lower())]
         out: list[bytes | int] = []
         for part in self.at_special.split(text):
@@ -269,7 +278,7 @@ class WordCodec:
         return out
 
     def encode_cuts(self, cuts: list[bytes]) -> list[list[int]]:
-        split = [[c.lower()] if c.isalpha() else self.pieces(c) for c in cuts]
+        split = list(map(self.pieces, cuts))
         ids = self.seen
         new = [p for p in {p for s in split for p in s} - ids.keys() if p.__class__ is bytes]
         ids.update(zip(new, self.bpe.encode(new), strict=True))
@@ -281,22 +290,25 @@ class WordCodec:
 
 
 class Remembered:
-    """What a worker keeps of the cuts it has seen: whatever `render` makes of their ids.
+    """What a worker keeps of the cuts it has seen: what `render` makes of their pieces' ids, put together by `join`.
 
-    Two generations of cuts: one that is full becomes the old one, and what is asked for again moves up.
+    A cut of one piece shares what is kept for the piece, and so do the cuts that differ in case or in what is beside it.
+    Two generations of cuts and of pieces: one that is full becomes the old one, and what is asked for again moves up.
     """
 
-    def __init__(self, codec: WordCodec, render: Callable[[list[int]], tuple], limit: int = KNOWN):
-        self.codec, self.render, self.limit = codec, render, limit
+    def __init__(self, codec: WordCodec, render: Callable[[list[int]], tuple], join: Callable[[list[tuple]], tuple], limit: int = KNOWN):
+        self.codec, self.render, self.join, self.limit = codec, render, join, limit
         self.young: dict[bytes, tuple] = {}
         self.old: dict[bytes, tuple] = {}
+        self.pieces: dict[bytes | int, tuple] = {}
+        self.old_pieces: dict[bytes | int, tuple] = {}
 
     def of(self, texts: list[str | None]) -> Iterable[list[tuple]]:
         cut = [(t or "").encode("utf-8", "replace").split() for t in texts]
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
-        if len(self.codec.seen) > self.limit:
-            self.codec.seen.clear()
+        if len(self.pieces) > self.limit:
+            self.pieces, self.old_pieces = {}, self.pieces
         new = []
         for c in set().union(*cut) - self.young.keys():
             seen = self.old.get(c)
@@ -304,13 +316,30 @@ class Remembered:
                 new.append(c)
             else:
                 self.young[c] = seen
-        for i in range(0, len(new), INDEXED):
-            some = new[i : i + INDEXED]
-            self.young.update(zip(some, map(self.render, self.codec.encode_cuts(some)), strict=True))
+        gc.disable()  # nothing made here is cyclic, and each collection would walk all that is remembered
+        try:
+            for i in range(0, len(new), INDEXED):
+                self.learn(new[i : i + INDEXED])
+        finally:
+            gc.enable()
         get = self.young.__getitem__
         for words in cut:
             yield list(map(get, words))
 
+    def learn(self, cuts: list[bytes]) -> None:
+        split = list(map(self.codec.pieces, cuts))
+        known, old, new = self.pieces, self.old_pieces, []
+        for p in set().union(*split) - known.keys():
+            if p in old:
+                known[p] = old[p]
+            elif p.__class__ is bytes:
+                new.append(p)
+            else:
+                known[p] = self.render([p])
+        known.update(zip(new, map(self.render, self.codec.bpe.encode(new)), strict=True))
+        join = self.join
+        self.young.update(zip(cuts, [known[s[0]] if len(s) == 1 else join([known[p] for p in s]) for s in split], strict=True))
+
 
 _codecs: dict[str, WordCodec] = {}
 _memories: dict[str, Remembered] = {}
@@ -324,12 +353,23 @@ def codec_at(path: str) -> WordCodec:
     return _codecs[path]
 
 
+def spaced(parts: list[tuple]) -> tuple:
+    """Counts of tokens, and two byte strings of each token joined by a space, of parts that may have no token."""
+    if len(parts) == 2 and parts[0][0] and parts[1][0]:
+        (m, a, b), (n, x, y) = parts
+        return m + n, b"%b %b" % (a, x), b"%b %b" % (b, y)
+    counts, ids, strings = zip(*parts, strict=True) if parts else ((), (), ())
+    if 0 in counts:
+        return spaced([p for p in parts if p[0]])
+    return sum(counts), b" ".join(ids), b" ".join(strings)
+
+
 def memory_at(path: str) -> Remembered:
     """One memory a worker process and file, of what digests are made of."""
     if path not in _memories:
         codec = codec_at(path)
         decimal, string = ([f(i) for i in range(len(codec.strings))] for f in (lambda i: b"%d" % i, lambda i: codec.strings[i].encode()))
-        _memories[path] = Remembered(codec, lambda ids: (len(ids), b" ".join([decimal[i] for i in ids]), b" ".join([string[i] for i in ids])))
+        _memories[path] = Remembered(codec, lambda ids: (len(ids), b" ".join([decimal[i] for i in ids]), b" ".join([string[i] for i in ids])), spaced)
     return _memories[path]
 
 
@@ -351,7 +391,11 @@ def encode(df: DataFrame, path: str) -> DataFrame:
     def run(batches):
         codec = WordCodec(path)  # ids and strings are larger than digests, so nothing outlives the partition
         common.give_back()  # what parsing the file took
-        memory = Remembered(codec, lambda ids: (len(ids), np.array(ids, np.int32).tobytes(), codec.decode(ids)), ENCODE_KNOWN)
+
+        def join(parts):
+            return sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), " ".join([p[2] for p in parts if p[0]])
+
+        memory = Remembered(codec, lambda ids: (len(ids), np.array(ids, np.int32).tobytes(), codec.decode(ids)), join, ENCODE_KNOWN)
         for batch in batches:
             lengths = pc.binary_length(batch.column("text")).to_pylist()
             for a, b in runs(lengths, 1_500_000):
@@ -379,10 +423,10 @@ def digests(df: DataFrame, path: str) -> DataFrame:
             for a, b in runs(lengths, 4_000_000):
                 counts, of_ids, of_text = [], [], []
                 for words in memory.of(batch.column("text").slice(a, b - a).to_pylist()):
-                    words = [w for w in words if w[0]]
-                    counts.append(sum([w[0] for w in words]))
-                    of_ids.append(sha256(b" ".join([w[1] for w in words])).hexdigest())
-                    of_text.append(sha256(b" ".join([w[2] for w in words])).hexdigest())
+                    n, ids, string = spaced(words)
+                    counts.append(n)
+                    of_ids.append(sha256(ids).hexdigest())
+                    of_text.append(sha256(string).hexdigest())
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return common.id_and_text(df).mapInArrow(common.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

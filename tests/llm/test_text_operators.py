@@ -148,6 +148,26 @@ def test_bpe_odd_cuts_and_low_ranks():
         assert tiny.encode([p]) == [tiny.encode_one(p)]
 
 
+def test_bpe_shares_pieces_between_cuts_and_generations(monkeypatch):
+    """Cuts that differ in case or in a mark at their end encode a piece once, also after what is remembered has turned over."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, codec = Tokenizer.from_file(path), bpe.WordCodec(path)
+    encoded, encode = [], codec.bpe.encode
+    monkeypatch.setattr(codec.bpe, "encode", lambda pieces: encoded.extend(pieces) or encode(pieces))
+    render = lambda ids: (len(ids), b" ".join([b"%d" % i for i in ids]), b" ".join([codec.strings[i].encode() for i in ids]))
+    memory = bpe.Remembered(codec, render, bpe.spaced, limit=2)
+    texts = ["Zyxwvut zyxwvut, ZYXWVUT. zyxwvut!", "GRÜßtest grüßtest, grüßtest zyxwvut:", "zyxwvut; grüßtest: a\x7f a\x01 x1 1x é. é\x7f", "a<|endoftext|>a, <|endoftext|>", "", None, "Zyxwvut' it's 's, x's. ×, Ÿ× İ, ſ. aſ.", "zyxwvut- GRÜSSTEST"]
+    for k, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        for words in memory.of([t]):
+            n, decimal, strings = bpe.spaced(words)
+            assert (n, decimal, strings) == (len(ids), " ".join(map(str, ids)).encode(), library.decode(ids, skip_special_tokens=False).encode()), t
+        if k == 2:
+            assert encoded.count(b"zyxwvut") == 1 and encoded.count("grüßtest".encode()) == 1
+    no, a, b = (0, b"", b""), (1, b"7", b"x"), (2, b"8 9", b"y z")
+    assert [bpe.spaced(x) for x in ([], [no], [no, a], [a, no, b], [a, b])] == [no, no, a, (3, b"7 8 9", b"x y z"), (3, b"7 8 9", b"x y z")]
+
+
 # -- digests ---------------------------------------------------------------------------------------
 
 
