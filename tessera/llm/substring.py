@@ -13,7 +13,7 @@ beside it, and no window that holds its context can repeat, so later levels work
 
 1. Documents are packed into chunks of about `chunk_bytes`, written once.
 2. A round names the words, which chunks send as 96-bit digests.  What of a chunk lies in windows all of whose words
-   have names is written as its live part, a tenth of the words or so; `LEVELS` more rounds name its runs and pairs.
+   have names is written as its live part, a tenth of the words or so, closed up for what follows; `LEVELS` more rounds name its runs and pairs.
 3. A window that holds no unnamed symbol of any level, and so may repeat, is led by one of its interior symbols: of the
    highest of the first `LEADING` levels that has any the one that comes first in a random order of names; so equal
    windows have equal leaders.
@@ -154,6 +154,16 @@ def parted(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return np.arange(len(owner)) + 2 * (owner + 1), owner, len(owner) + 2 * len(counts) + 2
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending distinct values, and each value's place among them; only the distinct ones are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    found = coded.dictionary.to_numpy()
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], place[coded.indices.to_numpy()]
+
+
 class Level:
     """A level of the parse: names (0: none), first slots, and the slots from `low` to `high` that each symbol's form depends on."""
 
@@ -179,7 +189,8 @@ class Level:
         head = np.flatnonzero(np.concatenate([[True], ~same]))
         length = np.diff(np.append(head, n))
         name = self.name[head]
-        key = np.where(length > 1, mix(name + length.astype(U) * U(0x8EBC6AF09C88C6E3)), name)
+        key, run = name.copy(), np.flatnonzero(length > 1)
+        key[run] = mix(name[run] + length[run].astype(U) * U(0x8EBC6AF09C88C6E3))
         low, high = self.low[np.maximum(head - 1, 0)], self.high[np.minimum(head + length, n - 1)]
         n = len(head)
         known = name != 0
@@ -192,9 +203,10 @@ class Level:
         after, before = np.minimum(at + 1, n - 1), np.maximum(at - 1, 0)
         paired = opens[at]
         asked = known[at] & (paired | (length[at] > 1))
-        pair_key = mix(key[at] * U(3) + mix(key[after] + U(level)))
+        of, pair = key[at[asked]], paired[asked]
+        of[pair] = mix(of[pair] * U(3) + mix(key[after[asked][pair]] + U(level)))
         # a single left symbol is known by its successor, a single right one by its predecessor
-        return Step(name[at], self.at[head[at]], np.where(left[at], low[at], low[before]), np.where(left[at], high[after], high[at]), asked, np.where(paired, pair_key, key[at])[asked])
+        return Step(name[at], self.at[head[at]], np.where(left[at], low[at], low[before]), np.where(left[at], high[after], high[at]), asked, of)
 
 
 class Step(Level):
@@ -231,14 +243,19 @@ WORD_ENTRY = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The ascending table of a chunk's distinct words, and each word's place in it."""
-    both = np.empty(len(words.slot), WORD_ENTRY)
-    for name, base in zip("ab", BASES, strict=True):
-        both[name] = words.hashes(base)[words.slot].astype(both[name].dtype)
-    order = np.lexsort((both["b"], both["a"]))
-    new = np.concatenate([[True], both[order][1:] != both[order][:-1]])[: len(order)]
-    codes = np.empty(len(order), np.int64)
+    a, b = (words.hashes(base)[words.slot].astype(WORD_ENTRY[n]) for n, base in zip("ab", BASES, strict=True))
+    names, codes = distinct(a)
+    out = np.empty(len(names), WORD_ENTRY)
+    out["a"] = names
+    out["b"][codes] = b
+    if (out["b"][codes] == b).all():
+        return out, codes
+    order = np.lexsort((b, a))  # two words share the first half
+    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(order)]
     codes[order] = np.cumsum(new) - 1
-    return both[order][new], codes
+    out = np.empty(int(new.sum()), WORD_ENTRY)
+    out["a"], out["b"] = a[order][new], b[order][new]
+    return out, codes
 
 
 def word_entries(table: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -264,10 +281,18 @@ class Parse:
         return np.flatnonzero(covered(self.windows(), len(self.word)))
 
     def take(self, level: Level, low: np.ndarray, high: np.ndarray) -> None:
-        """The next level, without what lies in no window that may repeat; low and high: of symbols that a round gave no name."""
+        """The next level; low and high: of symbols that a round gave no name."""
         self.rule_out(low, high)
-        self.levels.append(level.within(self.windows(), len(self.word)))
-        self.waits = self.levels[-1].step(len(self.levels) - 1)
+        self.levels.append(level)
+        self.next: Step | None = None
+
+    @property
+    def waits(self) -> Step:
+        """The step after the last level, which first loses what lies in no window that may repeat; made when it is asked for."""
+        if self.next is None:
+            self.levels[-1] = self.levels[-1].within(self.windows(), len(self.word))
+            self.next = self.levels[-1].step(len(self.levels) - 1)
+        return self.next
 
     def rule_out(self, low: np.ndarray, high: np.ndarray) -> None:
         inside = high - low < WINDOW
@@ -426,7 +451,7 @@ def answer(flags: np.ndarray) -> bytes:
 
 
 CHUNK = "chunk long, ids binary, sizes binary, packed binary"
-LIVE = "chunk long, slots long, ids binary, counts binary, live binary, names binary"
+LIVE = "chunk long, ids binary, counts binary, live binary, names binary"
 SENT = "place int, chunk long, entries binary"
 REPLY = "chunk long, place int, bits binary"
 
@@ -625,14 +650,28 @@ def live_row(row: dict) -> pa.RecordBatch:
     parse = Parse(name, documents_of_slots(ids, words.count))
     live = parse.live()
     made = row["ids"], pack(words.count.astype(np.uint32).tobytes()), pack(np.diff(live, prepend=0).astype(np.uint32).tobytes()), pack(name[live].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([words.slots], pa.int64()), *(pa.array([x], pa.binary()) for x in made)], names=["chunk", "slots", "ids", "counts", "live", "names"])
+    return pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), *(pa.array([x], pa.binary()) for x in made)], names=["chunk", "ids", "counts", "live", "names"])
+
+
+def close_up(live: np.ndarray) -> np.ndarray:
+    """New slots for ascending live ones: one slot without a name stands for each stretch between them, and one at either end."""
+    return np.arange(len(live)) + np.cumsum(np.diff(live, prepend=-2) > 1)
+
+
+def live_slots(row: dict) -> np.ndarray:
+    return np.cumsum(unpacked(row["live"], np.uint32), dtype=np.int64)
 
 
 def parsed(row: dict, rounds: int) -> Parse:
-    """The parse of a live row after so many rounds of runs and pairs; each round's entries are made again from the names of those before it."""
-    word = np.zeros(row["slots"], U)
-    word[np.cumsum(unpacked(row["live"], np.uint32), dtype=np.int64)] = unpacked(row["names"], U)
-    parse = Parse(word, documents_of_slots(unpacked(row["ids"], np.int64), unpacked(row["counts"], np.uint32).astype(np.int64)))
+    """The parse of a live row, closed up, after so many rounds of runs and pairs; each round's entries are made again from the names of those before it."""
+    live = live_slots(row)
+    at = close_up(live)
+    slots = int(at[-1]) + 2 if len(at) else 1
+    word, doc = np.zeros(slots, U), np.zeros(slots, np.int64)
+    word[at] = unpacked(row["names"], U)
+    ends = np.cumsum(unpacked(row["counts"], np.uint32).astype(np.int64) + 2)  # of the slots of each document and the marks before it
+    doc[at] = np.repeat(unpacked(row["ids"], np.int64), np.diff(np.searchsorted(live, ends), prepend=0))
+    parse = Parse(word, doc)
     answers = answers_of(row) if rounds else {}
     for k in range(1, rounds + 1):
         parse.add(names_of(answers.get(k, []), k, len(parse.waits.keys)))
@@ -676,7 +715,9 @@ def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: boo
             groups = Groups(parse)
             begin = groups.removed(gathered(answers_of(row).get(LEVELS + 1, []), int(groups.size[groups.first].sum())))
             slot, _, slots = parted(unpacked(row["counts"], np.uint32).astype(np.int64))
-            bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(covered(begin, slots)[slot]).tobytes())
+            gone, live = np.zeros(slots, bool), live_slots(row)
+            gone[live] = covered(begin, len(parse.word))[close_up(live)]
+            bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(gone[slot]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([bits], pa.binary())], names=["chunk", "bits"])
 
     def finish(batches):

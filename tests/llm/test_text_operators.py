@@ -107,6 +107,40 @@ def test_rounds_give_equal_windows_equal_symbols_and_leaders():
             assert all(x == inside[0] for x in inside)
 
 
+def test_parse_holds_the_live_part_alone_and_steps_when_asked(monkeypatch):
+    """Of a chunk's words only those in windows that may repeat take slots, and no step is made that nothing asks for."""
+    steps, step = [], substring.Level.step
+    monkeypatch.setattr(substring.Level, "step", lambda self, level: steps.append(level) or step(self, level))
+    shared = b" ".join(b"s%d" % k for k in range(15))
+    for texts, live in (
+        ([b" ".join(b"%d_%d" % (d, k) for k in range(400)) + b" " + shared + b" " + b" ".join(b"%d-%d" % (d, k) for k in range(300)) for d in range(3)], [(d, d + 7) for d in range(3)]),
+        ([shared, b"", shared], [(0, 5), (2, 6)]),
+        ([b"a b c", b""], []),
+    ):
+        ids = np.array([7, 5, 6][: len(texts)]) if live and live[0] == (0, 5) else np.arange(7, 7 + len(texts))
+        pack = substring.zstandard.ZstdCompressor().compress
+        row = {"chunk": 1, "ids": pack(ids.astype(np.int64).tobytes()), "sizes": pack(np.array(list(map(len, texts)), np.int64).tobytes()), "packed": pack(b"".join(texts))}
+        words = substring.Words(texts)
+        table, codes = substring.distinct_words(words)
+        named = substring.judge_words([substring.pack_words(substring.word_entries(table, codes, ids[words.owner]))])[0]
+        kept = substring.live_row(row | {"answers": [{"round": 0, "place": 0, "bits": named}]}).to_pylist()[0]
+        parse = substring.parsed(kept, 0)
+        assert steps == []
+        assert len(parse.word) == 1 + 16 * len(live) if live else len(parse.word) == 1
+        assert [len(x) for x in np.split(parse.word[1:], 16 * np.arange(1, len(live)))] == [16] * len(live) or not live
+        assert (parse.word == 0).sum() == len(live) + 1
+        assert parse.doc[parse.windows()].tolist() == [int(ids[d]) for d, _ in live for _ in range(3)]
+
+
+def test_words_that_share_half_a_digest_are_told_apart(monkeypatch):
+    hashes = substring.Words.hashes
+    monkeypatch.setattr(substring.Words, "hashes", lambda self, base: hashes(self, base) & np.uint64(7) if base == substring.BASES[0] else hashes(self, base))
+    words = substring.Words([b" ".join(b"%d" % (k % 40) for k in range(100)), b"3 3 5"])
+    table, codes = substring.distinct_words(words)
+    assert len(table) == 40 and (np.diff(table["a"].astype(np.int64)) >= 0).all()
+    assert len(set(codes[:40].tolist())) == 40 and codes[40:80].tolist() == codes[:40].tolist() and codes[100:].tolist() == codes[[3, 3, 5]].tolist()
+
+
 def test_windows_are_compared_by_words(monkeypatch):
     """With a digest that says nothing, words alone still tell windows apart."""
     monkeypatch.setattr(substring, "mix", lambda x: np.zeros_like(x))
