@@ -173,14 +173,15 @@ class Level:
     def within(self, windows: np.ndarray, slots: int) -> Level:
         """Without the names of symbols that lie in none of the windows; of stretches without names the ends stay."""
         upto = np.concatenate([[0], np.cumsum(np.bincount(windows, minlength=slots))])
-        held = (self.high - self.low < WINDOW) & (upto[self.low + 1] > upto[np.maximum(self.high - WINDOW + 1, 0)])
+        held = (self.high - self.low < WINDOW) & (upto.take(self.low + 1) > upto.take(np.maximum(self.high - WINDOW + 1, 0)))
         name = np.where(held, self.name, U(0))
         known = name != 0
         keep = known.copy()
         keep[1:] |= known[:-1]
         keep[:-1] |= known[1:]
         keep[0] = True  # a level is never empty
-        return Level(*(x[keep] for x in (name, self.at, self.low, self.high)))
+        keep = np.flatnonzero(keep)
+        return Level(*(x.take(keep) for x in (name, self.at, self.low, self.high)))
 
     def step(self, level: int) -> Step:
         """Runs, then pairs, with a key for each that needs a name."""
@@ -188,10 +189,10 @@ class Level:
         same = (self.name[1:] == self.name[:-1]) & (self.name[1:] != 0)
         head = np.flatnonzero(np.concatenate([[True], ~same]))
         length = np.diff(np.append(head, n))
-        name = self.name[head]
+        name = self.name.take(head)
         key, run = name.copy(), np.flatnonzero(length > 1)
         key[run] = mix(name[run] + length[run].astype(U) * U(0x8EBC6AF09C88C6E3))
-        low, high = self.low[np.maximum(head - 1, 0)], self.high[np.minimum(head + length, n - 1)]
+        low, high = self.low.take(np.maximum(head - 1, 0)), self.high.take(np.minimum(head + length, n - 1))
         n = len(head)
         known = name != 0
         left = (mix(key ^ U(0x589965CC75374CC3 + level)) & U(1)).astype(bool)
@@ -201,12 +202,12 @@ class Level:
         closes[1:] = opens[:-1]
         at = np.flatnonzero(~closes)
         after, before = np.minimum(at + 1, n - 1), np.maximum(at - 1, 0)
-        paired = opens[at]
-        asked = known[at] & (paired | (length[at] > 1))
-        of, pair = key[at[asked]], paired[asked]
-        of[pair] = mix(of[pair] * U(3) + mix(key[after[asked][pair]] + U(level)))
+        paired, left = opens.take(at), left.take(at)
+        asked = known.take(at) & (paired | (length.take(at) > 1))
+        of, pair = key.take(at[asked]), paired[asked]
+        of[pair] = mix(of[pair] * U(3) + mix(key.take(after[asked][pair]) + U(level)))
         # a single left symbol is known by its successor, a single right one by its predecessor
-        return Step(name[at], self.at[head[at]], np.where(left[at], low[at], low[before]), np.where(left[at], high[after], high[at]), asked, of)
+        return Step(name.take(at), self.at.take(head.take(at)), low.take(np.where(left, at, before)), high.take(np.where(left, after, at)), asked, of)
 
 
 class Step(Level):
