@@ -250,14 +250,25 @@ def cut_lists(texts: list[str]) -> pa.LargeListArray:
     return pa.concat_arrays([split, found]).take(pa.array(place))
 
 
+def ids_array(data: np.ndarray, counts: np.ndarray) -> pa.LargeBinaryArray:
+    """The bytes of so many ids each."""
+    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64) * data.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def raw_cut(cut: str) -> str:
+    return cut[1:] if cut[0] == FIRST else cut if cut[0] == "\n" else " " + cut
+
+
 class ByteCodec:
     """The library's byte-level encoder, with the ids of cuts that a worker has seen kept.
 
-    Two generations of cuts: one that is full becomes the old one, and what is asked for again moves up.  Python meets each different
-    cut of a call once; the words of the texts are told apart, and their ids strung together, in Arrow arrays.
+    The cuts and their ids are Arrow arrays, and one hash table a call tells apart both the kept cuts and those of the texts, so Python
+    meets no cut by itself.  When they grow past KNOWN, the half that was met last stays.
     """
 
-    KNOWN = 600_000
+    KNOWN = 1_500_000
+    JOINED = 1_000  # cuts in a text that the library gets
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -265,49 +276,75 @@ class ByteCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()]
-        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: a character of its name stands for one
+        for name, i in vocabulary.items():
+            self.width[i] = len(name)
+        self.line_end = self.library(["\n"])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.cuts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.met, self.call = np.zeros(0, np.int32), 0
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def library_at_once(self, cuts: list[str]) -> list[bytes]:
-        """The ids of many short cuts by one call: a special token between two cuts parts them like the ends of a text."""
-        mark, mark_id = self.special[0]
-        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(cuts)], add_special_tokens=False)[0].ids, self.dtype)
-        at = np.flatnonzero(ids == mark_id)
-        if len(at) != len(cuts) - 1:
-            return self.library(cuts)
-        data, wide = ids.tobytes(), self.dtype.itemsize
-        at = (at * wide).tolist()
-        return [data[s:e] for s, e in zip([0, *(x + wide for x in at)], [*at, len(data)], strict=True)]
-
-    def of_cuts(self, cuts: list[str]) -> list[bytes]:
+    def of_joined(self, cuts: pa.LargeStringArray, sizes: np.ndarray, first: np.ndarray) -> pa.LargeBinaryArray:
+        """The ids of different cuts that hold a word, by few calls: no piece crosses the ends of cuts, and bytes tell which ids are whose.
+
+        A line end goes before a cut that has no blank before it, and its id is dropped.
+        """
+        at = np.append(np.arange(0, len(cuts), self.JOINED), len(cuts))
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), cuts)
+        texts = [(" " + t).replace(" \n", "\n").replace(" " + FIRST, "\n") for t in pc.binary_join(lists, pa.scalar(" ", pa.large_string())).to_pylist()]
+        if not any(s in t for t in texts for s in self.special):
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            ends, upto = np.cumsum(self.width[ids]), np.cumsum(sizes)
+            last = np.searchsorted(ends, upto)
+            if len(ids) and ends[-1] == upto[-1] and (ends[last] == upto).all():
+                begin = np.concatenate([[0], last[:-1] + 1])
+                drop = begin[first]
+                if ids[drop].tobytes() == self.line_end * len(drop):
+                    return ids_array(np.delete(ids, drop), last + 1 - begin - first)
+        return pa.array(self.library([raw_cut(c) for c in cuts.to_pylist()]), pa.large_binary())
+
+    def of_cuts(self, cuts: pa.LargeStringArray) -> pa.LargeBinaryArray:
         """The ids of different cuts."""
-        if len(self.young) > self.KNOWN:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        found = list(map(young.get, cuts))
-        absent = [i for i, x in enumerate(found) if x is None]
-        new = []
-        for i in absent:
-            found[i] = old.get(cuts[i])
-            if found[i] is None:
-                new.append(i)
-        for k in range(0, len(new), 20_000):
-            some = [cuts[i] for i in new[k : k + 20_000]]
-            made = (self.library_at_once if self.special else self.library)([c[1:] if c[0] == FIRST else c if c[0] == "\n" else " " + c for c in some])
-            for i, ids in zip(new[k : k + 20_000], made, strict=True):
-                found[i] = ids
-        young.update((cuts[i], found[i]) for i in absent)
-        return found
+        if not len(cuts):
+            return pa.array([], pa.large_binary())
+        offset = np.frombuffer(cuts.buffers()[1], np.int64, len(cuts) + 1, 8 * cuts.offset)
+        data = np.frombuffer(cuts.buffers()[2], np.uint8)
+        head, sizes = data[offset[:-1]], np.diff(offset)
+        first = head == ord(FIRST)
+        space = first.copy()
+        space[first] = np.isin(data[offset[:-1][first] + 1], np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+        sizes = sizes + (~first & (head != ord("\n")))
+        if not space.any():
+            return self.of_joined(cuts, sizes, first)
+        parts = [pa.array(self.library([raw_cut(c) for c in cuts.filter(pa.array(space)).to_pylist()]), pa.large_binary())]
+        if not space.all():
+            parts.append(self.of_joined(cuts.filter(pa.array(~space)), sizes[~space], first[~space]))
+        place = np.empty(len(cuts), np.int64)
+        place[np.concatenate([np.flatnonzero(space), np.flatnonzero(~space)])] = np.arange(len(cuts))
+        return pa.concat_arrays(parts).take(pa.array(place))
 
     def of_plain(self, texts: list[str]) -> list[bytes]:
         lists = cut_lists(texts)
-        flat = lists.flatten().dictionary_encode()
-        ids = pa.array(self.of_cuts(flat.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(flat.indices)
+        flat = lists.flatten()
+        if not len(flat):
+            return [b""] * len(texts)
+        met = pa.chunked_array([self.cuts, flat] if len(self.cuts) else [flat]).dictionary_encode().chunks[-1]
+        self.ids = pa.concat_arrays([self.ids, self.of_cuts(met.dictionary.slice(len(self.cuts)))])
+        ids, self.cuts, at = self.ids.take(met.indices), met.dictionary, met.indices.to_numpy()
+        self.call += 1
+        self.met = np.concatenate([self.met, np.zeros(len(self.cuts) - len(self.met), np.int32)])
+        self.met[at] = self.call
+        if len(self.cuts) > self.KNOWN:
+            stay = np.sort(np.argsort(-self.met, kind="stable")[: self.KNOWN // 2])
+            self.cuts, self.ids, self.met = self.cuts.take(pa.array(stay)), self.ids.take(pa.array(stay)), self.met[stay]
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
         first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         data, at = memoryview(ids.buffers()[2] or b""), ends[first].tolist()
@@ -319,7 +356,7 @@ class ByteCodec:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian words of the width of `dtype`."""
-        plain = [not ODD.search(t) and not any([s in t for s, _ in self.special]) for t in texts]
+        plain = [not ODD.search(t) and not any([s in t for s in self.special]) for t in texts]
         cut = iter(self.of_plain([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
         whole = iter(self.library([t for t, p in zip(texts, plain, strict=True) if not p]))
         return [next(cut if p else whole) for p in plain]

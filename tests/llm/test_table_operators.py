@@ -231,6 +231,40 @@ def test_byte_codec_equals_the_library():
     assert got == [e.ids for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+class Spy:
+    """A tokenizer that tells what it was asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_byte_codec_asks_the_library_once_a_cut_and_without_marks(monkeypatch):
+    monkeypatch.setattr(tokenfile.ByteCodec, "JOINED", 7, raising=False)
+    codec, rng = tokenfile.ByteCodec(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    codec.tokenizer = spy = Spy(codec.tokenizer)
+    words = ["".join(rng.choice("abcéß1,.'") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(9)) for _ in range(4)) for _ in range(100)]
+    texts += ["", " a", "a  b", "\ta\n\nb ", "  ", "\n", "a" * 3000]
+    want = [np.array(e.ids, "<u4").tobytes() for e in spy.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert codec.encode(texts) == want
+    cuts = set(re.findall(r"[ \n]?[^\s]+", "\n".join(texts))) | {t.split()[0] for t in texts if t.split()}
+    assert not any("<|" in t for t in spy.asked) and sum(map(len, spy.asked)) < sum(len(c) + 1 for c in cuts) + 50
+    spy.asked.clear()
+    assert codec.encode(texts[::-1]) == want[::-1] and not spy.asked
+
+
+def test_byte_codec_that_forgets_equals_the_library(monkeypatch):
+    monkeypatch.setattr(tokenfile.ByteCodec, "KNOWN", 60)
+    codec, rng = tokenfile.ByteCodec(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
+    for _ in range(60):
+        texts = ["".join(rng.choice(["ab", "c", "é", "1", "'s", "!", " ", " ", "\n", "  ", "\t"]) for _ in range(rng.randrange(40))) for _ in range(6)]
+        assert codec.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 # -- Matroska --------------------------------------------------------------------------------------
 
 
