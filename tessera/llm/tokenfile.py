@@ -22,7 +22,7 @@ Defined results
     repeated rows   one after the other, in the order of their ids' bytes
     no document     an empty table of files, an empty result
     extra columns   ignored
-Memory in a worker: the ids of one file (`FILE_TOKENS` at most, and the longest document).
+Memory in a worker: the ids of one file (`FILE_TOKENS` at most, and the longest document); while encoding, the kept cuts.
 """
 
 from __future__ import annotations
@@ -256,6 +256,26 @@ def ids_array(data: np.ndarray, counts: np.ndarray) -> pa.LargeBinaryArray:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+MIX = U(0x9E3779B97F4A7C15)
+BYTES_OF = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # the first k bytes of a word
+
+
+def marks(cuts: pa.LargeStringArray) -> np.ndarray:
+    """A hash of each cut's length and first 64 bytes; those who use it compare the cuts too."""
+    offset = np.frombuffer(cuts.buffers()[1], np.int64, len(cuts) + 1, 8 * cuts.offset)
+    data = np.append(np.frombuffer(cuts.buffers()[2], np.uint8)[offset[0] : offset[-1]], np.zeros(8, np.uint8))
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    start, size = offset[:-1] - offset[0], np.diff(offset)
+    out = size.astype(U) * MIX
+    for k in range(0, 64, 8):
+        long = np.flatnonzero(size > k)
+        if not len(long):
+            break
+        h = (out[long] ^ (words[start[long] + k] & BYTES_OF[np.minimum(size[long] - k, 8)])) * MIX
+        out[long] = h ^ h >> U(29)
+    return out
+
+
 def raw_cut(cut: str) -> str:
     return cut[1:] if cut[0] == FIRST else cut if cut[0] == "\n" else " " + cut
 
@@ -263,8 +283,8 @@ def raw_cut(cut: str) -> str:
 class ByteCodec:
     """The library's byte-level encoder, with the ids of cuts that a worker has seen kept.
 
-    The cuts and their ids are Arrow arrays, and one hash table a call tells apart both the kept cuts and those of the texts, so Python
-    meets no cut by itself.  When they grow past KNOWN, the half that was met last stays.
+    The cuts and their ids are Arrow arrays, found by a sorted array of marks, so Python meets no cut by itself.  When they grow past
+    KNOWN, the half that was met last stays.
     """
 
     KNOWN = 1_500_000
@@ -287,6 +307,7 @@ class ByteCodec:
 
     def forget(self) -> None:
         self.cuts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.marks, self.place = np.zeros(0, U), np.zeros(0, np.int64)  # in ascending order, and where in cuts each stands
         self.met, self.call = np.zeros(0, np.int32), 0
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -331,20 +352,47 @@ class ByteCodec:
         place[np.concatenate([np.flatnonzero(space), np.flatnonzero(~space)])] = np.arange(len(cuts))
         return pa.concat_arrays(parts).take(pa.array(place))
 
+    def places_of(self, cuts: pa.LargeStringArray) -> np.ndarray:
+        """Where different cuts stand among the kept ones; new ones are added."""
+        mark = marks(cuts)
+        order = np.argsort(mark)
+        at = np.minimum(np.searchsorted(self.marks, mark[order]), max(0, len(self.marks) - 1))
+        there = np.flatnonzero(self.marks[at] == mark[order]) if len(self.marks) else np.zeros(0, np.int64)
+        found, rows = self.place[at[there]], order[there]
+        same = pc.equal(self.cuts.take(pa.array(found)), cuts.take(pa.array(rows))).to_numpy(zero_copy_only=False)
+        place = np.full(len(cuts), -1, np.int64)
+        place[rows[same]] = found[same]
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self.cuts) + np.arange(len(new))
+            some = cuts.take(pa.array(new))
+            self.ids, self.cuts = pa.concat_arrays([self.ids, self.of_cuts(some)]), pa.concat_arrays([self.cuts, some])
+            self.met = np.append(self.met, np.zeros(len(new), np.int32))
+            order = new[np.argsort(mark[new])]
+            at = np.searchsorted(self.marks, mark[order])
+            self.marks, self.place = np.insert(self.marks, at, mark[order]), np.insert(self.place, at, place[order])
+        self.call += 1
+        self.met[place] = self.call
+        return place
+
+    def shrink(self, count: int) -> None:
+        """Keep so many cuts, those met last."""
+        stay = np.sort(np.argsort(-self.met, kind="stable")[:count])
+        self.cuts, self.ids, self.met = self.cuts.take(pa.array(stay)), self.ids.take(pa.array(stay)), self.met[stay]
+        self.marks = marks(self.cuts)
+        self.place = np.argsort(self.marks)
+        self.marks = self.marks[self.place]
+
     def of_plain(self, texts: list[str]) -> list[bytes]:
         lists = cut_lists(texts)
         flat = lists.flatten()
         if not len(flat):
             return [b""] * len(texts)
-        met = pa.chunked_array([self.cuts, flat] if len(self.cuts) else [flat]).dictionary_encode().chunks[-1]
-        self.ids = pa.concat_arrays([self.ids, self.of_cuts(met.dictionary.slice(len(self.cuts)))])
-        ids, self.cuts, at = self.ids.take(met.indices), met.dictionary, met.indices.to_numpy()
-        self.call += 1
-        self.met = np.concatenate([self.met, np.zeros(len(self.cuts) - len(self.met), np.int32)])
-        self.met[at] = self.call
+        flat = flat.dictionary_encode()
+        place = pa.array(self.places_of(flat.dictionary))
+        ids = self.ids.take(place).take(flat.indices)
         if len(self.cuts) > self.KNOWN:
-            stay = np.sort(np.argsort(-self.met, kind="stable")[: self.KNOWN // 2])
-            self.cuts, self.ids, self.met = self.cuts.take(pa.array(stay)), self.ids.take(pa.array(stay)), self.met[stay]
+            self.shrink(self.KNOWN // 2)
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
         first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         data, at = memoryview(ids.buffers()[2] or b""), ends[first].tolist()

@@ -14,6 +14,7 @@ from hashlib import md5, sha256
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -265,6 +266,21 @@ def test_byte_codec_that_forgets_equals_the_library(monkeypatch):
         assert codec.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_byte_codec_tells_cuts_of_equal_marks_apart(monkeypatch):
+    words = ["x" * 70 + c + "y" * 9 for c in "abcdefgh"] + ["b", "é", "a" * 8, "a" * 9, "1,"]
+    rng = random.Random(7)
+    for equal in (False, True):
+        if equal:
+            monkeypatch.setattr(tokenfile, "marks", lambda cuts: np.zeros(len(cuts), np.uint64))
+        codec = tokenfile.ByteCodec(public_tokenizers.path("byte_bpe_50k.json"))
+        for _ in range(5):
+            texts = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(8)]
+            assert codec.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(set(tokenfile.marks(pa.array(words[8:], pa.large_string())).tolist())) == 1
+    monkeypatch.undo()
+    assert len(set(tokenfile.marks(pa.array(words[7:], pa.large_string())).tolist())) == 6
+
+
 # -- Matroska --------------------------------------------------------------------------------------
 
 
