@@ -284,10 +284,11 @@ class ByteCodec:
     """The library's byte-level encoder, with the ids of cuts that a worker has seen kept.
 
     The cuts and their ids are Arrow arrays, found by a sorted array of marks, so Python meets no cut by itself.  When they grow past
-    KNOWN, the half that was met last stays.
+    KNOWN or KNOWN_BYTES, the half that was met last stays.
     """
 
     KNOWN = 1_500_000
+    KNOWN_BYTES = 128 << 20  # so many cuts of prose take 50 MB with their ids; long ones may take more
     JOINED = 1_000  # cuts in a text that the library gets
 
     def __init__(self, path: str):
@@ -377,6 +378,8 @@ class ByteCodec:
 
     def shrink(self, count: int) -> None:
         """Keep so many cuts, those met last."""
+        if not count:
+            return self.forget()
         stay = np.sort(np.argsort(-self.met, kind="stable")[:count])
         self.cuts, self.ids, self.met = self.cuts.take(pa.array(stay)), self.ids.take(pa.array(stay)), self.met[stay]
         self.marks = marks(self.cuts)
@@ -391,8 +394,8 @@ class ByteCodec:
         flat = flat.dictionary_encode()
         place = pa.array(self.places_of(flat.dictionary))
         ids = self.ids.take(place).take(flat.indices)
-        if len(self.cuts) > self.KNOWN:
-            self.shrink(self.KNOWN // 2)
+        while len(self.cuts) > self.KNOWN or len(self.cuts) and self.cuts.nbytes + self.ids.nbytes > self.KNOWN_BYTES:
+            self.shrink(min(self.KNOWN, len(self.cuts)) // 2)
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
         first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         data, at = memoryview(ids.buffers()[2] or b""), ends[first].tolist()

@@ -266,6 +266,15 @@ def test_byte_codec_that_forgets_equals_the_library(monkeypatch):
         assert codec.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_byte_codec_keeps_few_bytes_of_long_cuts(monkeypatch):
+    monkeypatch.setattr(tokenfile.ByteCodec, "KNOWN_BYTES", 20_000, raising=False)
+    codec, rng = tokenfile.ByteCodec(public_tokenizers.path("byte_bpe_50k.json")), random.Random(8)
+    for size in (*[900] * 20, 30_000, 10):
+        texts = [" ".join("".join(rng.choice("abcdE1+/") for _ in range(size)) for _ in range(3)) for _ in range(2)]
+        assert codec.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert codec.cuts.nbytes + codec.ids.nbytes <= 20_000
+
+
 def test_byte_codec_tells_cuts_of_equal_marks_apart(monkeypatch):
     words = ["x" * 70 + c + "y" * 9 for c in "abcdefgh"] + ["b", "é", "a" * 8, "a" * 9, "1,"]
     rng = random.Random(7)
