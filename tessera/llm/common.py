@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """These session settings, for the actions within."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def brief_shuffles(spark: SparkSession):
+    """For actions that run once: their shuffle files go as they end, not when the driver happens to collect its garbage."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
+def dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """A checkpoint of the rows dealt by key.  Joined by it with rows that `repartition(parts, key)` deals, these stay where they are."""
+    with settings(df.sparkSession, {"spark.sql.adaptive.enabled": "false"}):  # of an adaptive plan Spark does not keep how rows are dealt
+        return cut(df.repartition(parts, key))
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers outlive their tasks, and what they keep counts against the executor."""
     pa.default_memory_pool().release_unused()

@@ -11,7 +11,8 @@ back.  So equal substrings get equal symbols except near their ends; each symbol
 words that decides it (its context).  What no two documents share gets no name.  It ends every symbol
 beside it, and no window that holds its context can repeat, so later levels work on what is left.
 
-1. Documents are packed into chunks of about `chunk_bytes`, written once.
+1. Documents are packed into chunks of about `chunk_bytes`, dealt by chunk and written once.  Answers go to where their chunk
+   lies, by a shuffle of their own; nothing is broadcast and no chunk moves again.
 2. A round names the words, which chunks send as 96-bit digests.  What of a chunk lies in windows all of whose words
    have names is written as its live part, a tenth of the words or so, closed up for what follows; `LEVELS` more rounds name its runs and pairs.
 3. A window that holds no unnamed symbol of any level, and so may repeat, is led by one of its interior symbols: of the
@@ -57,7 +58,6 @@ LEVELS = 3  # of runs and pairs; the contexts of a fourth are longer than a wind
 CHUNK_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20  # of input for one range of names
 LONG_WORD = 32  # bytes; longer words are hashed one by one
-BROADCAST_BYTES = 64 << 20  # of answers; more are joined by a shuffle
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -682,7 +682,6 @@ def parsed(row: dict, rounds: int) -> Parse:
 def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (and kept, the words left) of every row."""
     parts = common.partitions_for(df, RANGE_BYTES)
-    packed = common.scratch_table(chunks(df, chunk_bytes), "chunks")
 
     def send_words(batches):
         for row in rows_of(batches):
@@ -738,19 +737,21 @@ def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: boo
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     def joined(table: DataFrame, few: DataFrame) -> DataFrame:
-        """The table with what few has of each chunk, which is broadcast as long as it is few bytes."""
-        size = sum((F.octet_length(c) for c, kind in few.dtypes if kind == "binary"), F.lit(64))
-        total = few.agg(F.sum(size)).first()[0] or 0
-        own = few.groupBy("chunk").agg(F.collect_list(F.struct("round", "place", "bits")).alias("answers")) if "round" in few.columns else few
-        return table.join(F.broadcast(own) if total <= BROADCAST_BYTES else own, "chunk", "left")
-
-    answers = judged(packed.mapInArrow(common.lean(send_words), SENT), parts, judge_words).withColumn("round", F.lit(0))
-    live = common.scratch_table(joined(packed, answers).mapInArrow(common.lean(keep_live), LIVE), "live")
-    answers = None
-    for k in range(LEVELS):
-        made = judged((live if answers is None else joined(live, answers)).mapInArrow(common.lean(send_symbols(k)), SENT), parts, judge_symbols).withColumn("round", F.lit(k + 1))
-        answers = made if answers is None else answers.unionByName(made)
-    made = judged(joined(live, answers).mapInArrow(common.lean(send_windows), SENT), parts, judge_windows).withColumn("round", F.lit(LEVELS + 1))
-    marks = common.cut(joined(live, answers.unionByName(made)).mapInArrow(common.lean(mark), "chunk long, bits binary"))
+        """The table with what few has of each chunk; only few moves."""
+        own = few.repartition(parts, "chunk")
+        if "round" in few.columns:
+            own = own.groupBy("chunk").agg(F.collect_list(F.struct("round", "place", "bits")).alias("answers"))
+        return table.join(own.hint("shuffle_hash"), "chunk", "left")
+
+    with common.brief_shuffles(df.sparkSession):
+        packed = common.dealt(chunks(df, chunk_bytes), parts, "chunk")
+        answers = judged(packed.mapInArrow(common.lean(send_words), SENT), parts, judge_words).withColumn("round", F.lit(0))
+        live = common.dealt(joined(packed, answers).mapInArrow(common.lean(keep_live), LIVE), parts, "chunk")
+        answers = None
+        for k in range(LEVELS):
+            made = judged((live if answers is None else joined(live, answers)).mapInArrow(common.lean(send_symbols(k)), SENT), parts, judge_symbols).withColumn("round", F.lit(k + 1))
+            answers = made if answers is None else answers.unionByName(made)
+        made = judged(joined(live, answers).mapInArrow(common.lean(send_windows), SENT), parts, judge_windows).withColumn("round", F.lit(LEVELS + 1))
+        marks = common.cut(joined(live, answers.unionByName(made)).mapInArrow(common.lean(mark), "chunk long, bits binary"))
     done = joined(packed, marks).mapInArrow(common.lean(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if with_text else done.drop("kept")

@@ -15,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql.classic.dataframe import DataFrame
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, digest, langid, pii, substring
@@ -77,6 +78,21 @@ def test_substring_on_sample_and_awkward(spark):
     assert substring.remove_repeats(empty(spark)).collect() == []
 
 
+def test_answers_go_to_chunks_without_broadcast_or_another_move_of_chunks(spark, monkeypatch):
+    """The driver's memory bounds what is broadcast, whatever few bytes that is; and each move of chunks takes the input's size on disk."""
+    joins, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, *a, **b: joins.append(join(self, *a, **b)) or joins[-1])
+    rows, before = random_documents(4), spark.conf.get("spark.sql.adaptive.enabled")
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_bytes=500)
+    plans = [j._jdf.queryExecution().executedPlan().toString() for j in joins]
+    assert len(plans) == substring.LEVELS + 3  # live parts, every level but the first, windows, marks, results
+    for plan in plans:
+        assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
+        assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(chunk") == 1  # of the answers
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, got.collect())) == removed(rows)
+
+
 def test_rounds_give_equal_windows_equal_symbols_and_leaders():
     """Rounds in one place: what several documents share gets names, and windows of equal words get one leader."""
     rng = np.random.default_rng(0)
