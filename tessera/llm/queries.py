@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, digest, langid, matroska, mixing, pii, sharding, simhash, substring, tokenfile
+from . import blockjoin, bpe, centroids, common, digest, langid, matroska, mixing, pii, sharding, simhash, substring, tokenfile, vectors, whitening
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 SHARDS = 24
@@ -109,6 +109,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = vectors.embeddings(spark, sf_dir)
+    white = whitening.whiten(table, whitening.fit(table))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = vectors.embeddings(spark, sf_dir)
+    return centroids.assign(table, *centroids.fit(table))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = vectors.embeddings(spark, sf_dir)
+    return blockjoin.search(table, table.where(F.col("vec_id") % blockjoin.EVERY == 0))
+
+
 OP3_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -155,6 +171,39 @@ SELECT s.doc_id, s.size, r.source_size, r.target,
 FROM s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
 """
 
+
+
+def op12_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS) -> str:
+    """One step a round: each vector's nearest centroid, then the floors of the means."""
+    number = "CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT vec_id, [{number} for v in embedding] AS x FROM embeddings WHERE len(embedding) = 64 AND len([v for v in embedding if v IS NULL OR NOT isfinite(v)]) = 0)",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS k, x AS c FROM (SELECT x, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h FROM kept ORDER BY h LIMIT {k}))",
+    ]
+    far = "list_sum([(t[1] - t[2]) * (t[1] - t[2]) for t in list_zip(x, c)])"
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, CAST(arg_min(k, d * {k} + k) AS INTEGER) AS k, min(d) AS d FROM (SELECT vec_id, x, k, CAST({far} AS BIGINT) AS d FROM kept, c{r}) GROUP BY vec_id)")
+        if r < rounds:
+            sums = f"SELECT k, p, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(range(1, 65)) AS p, unnest(x) AS v FROM a{r}) GROUP BY k, p"
+            steps.append(f"m{r} AS MATERIALIZED (SELECT k, list(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END ORDER BY p) AS c FROM ({sums}) GROUP BY k)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m ON m.k = o.k)")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, a.k AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k"""
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(c AS DOUBLE) for c in embedding] AS x FROM embeddings WHERE len(embedding) > 0 AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0
+), n AS (
+  SELECT vec_id, x, sqrt(list_sum([c * c for c in x])) AS size FROM v WHERE len([c for c in x if c <> 0]) > 0
+), pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([t[1] * t[2] for t in list_zip(q.x, c.x)]) / (q.size * c.size) AS score
+  FROM n q JOIN n c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x)
+)
+SELECT query_id, CAST(row_number() OVER near AS INTEGER) AS rank, vec_id, score FROM pair WINDOW near AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER near <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_skip_chain": op1,
     "op2_simhash_gray_index": op2,
@@ -166,6 +215,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid_centroids": op8,
     "op9_matroska_media": op9,
     "op10_mix_repetition_rates": op10,
+    "op11_whiten_welford_qr": op11,
+    "op12_centroids_gemm": op12,
+    "op13_block_matrix_neighbours": op13,
 }
 #: op6: text_crc32 has no SQL function there, so its SQL is used by the tests only.
-ORACLE_SQL: dict[str, str] = {"op3_substring_recompression": OP3_SQL, "op10_mix_repetition_rates": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_substring_recompression": OP3_SQL, "op10_mix_repetition_rates": OP10_SQL, "op12_centroids_gemm": op12_sql(), "op13_block_matrix_neighbours": OP13_SQL}
