@@ -44,16 +44,18 @@ RUN = 256
 
 
 class Moments:
-    """Count, exact sums, mean and centred products of vectors."""
+    """Count, exact sums, mean and centred products of vectors; the mean is kept as a distance from an origin of whole numbers."""
 
-    def __init__(self, length: int) -> None:
-        self.n, self.total = 0, [0] * length
+    def __init__(self, origin: np.ndarray) -> None:
+        length = len(origin)
+        self.n, self.total, self.origin = 0, [0] * length, origin
         self.mean, self.spread = np.zeros(length), np.zeros((length, length))
 
     def add(self, rows: np.ndarray) -> None:
         """Welford's step for one vector after the other."""
         away, product = np.empty_like(self.mean), np.empty_like(self.spread)
-        for row in rows.astype(np.float64):
+        safe = rows.dtype.kind == "f" or max(np.abs(rows).max(initial=0), np.abs(self.origin).max(initial=0)) < 2**62
+        for row in (rows - self.origin if safe else rows.astype(np.float64) - self.origin).astype(np.float64):
             self.n += 1
             np.subtract(row, self.mean, out=away)
             np.multiply.outer(away * ((self.n - 1) / self.n), away, out=product)
@@ -71,7 +73,7 @@ class Moments:
         """The moments of both parts together."""
         n = self.n + other.n
         if n:
-            apart = other.mean - self.mean
+            apart = other.mean - self.mean + np.array([b - a for a, b in zip(self.origin.tolist(), other.origin.tolist())], np.float64)
             self.spread += other.spread + np.multiply.outer(apart, apart) * (self.n * other.n / n)
             self.mean += apart * (other.n / n)
         self.n, self.total = n, [a + b for a, b in zip(self.total, other.total)]
@@ -84,20 +86,20 @@ class Moments:
 class Runs:
     """Moments of a stream: runs of RUN vectors, merged with their like as bits carry in a counter."""
 
-    def __init__(self, length: int) -> None:
-        self.length, self.done, self.open = length, [], Moments(length)
+    def __init__(self, origin: np.ndarray) -> None:
+        self.done, self.open = [], Moments(origin)
 
-    def add(self, rows: np.ndarray, whole: np.ndarray | None = None) -> None:
+    def add(self, rows: np.ndarray) -> None:
         k = 0
         while k < len(rows):
             take = min(RUN - self.open.n, len(rows) - k)
             self.open.add(rows[k : k + take])
-            if whole is not None:
-                self.open.sum_up(whole[k : k + take])
+            if rows.dtype.kind == "i":
+                self.open.sum_up(rows[k : k + take])
             k += take
             if self.open.n == RUN:
                 self.done.append(self.open)
-                self.open = Moments(self.length)
+                self.open = Moments(self.open.origin)
                 while len(self.done) > 1 and self.done[-2].n <= self.done[-1].n:
                     self.done[-2:] = [self.done[-2].merge(self.done[-1])]
 
@@ -226,7 +228,9 @@ def moments(fit_list: DataFrame, axes: dict[int, Axes] | None = None, components
             for _, x in vectors.unpack(batch.column(0)):
                 length = x.shape[1]
                 rows = x if axes is None else axes[length].whitened(axes[length].away(x), components)
-                runs.setdefault(length, Runs(rows.shape[1])).add(rows, x if axes is None else None)
+                if length not in runs:  # the first vector is the origin: what is summed is then of the size of the spread
+                    runs[length] = Runs(x[0].copy() if axes is None else np.zeros(rows.shape[1]))
+                runs[length].add(rows)
         if runs:
             yield pa.record_batch([pa.array([pickle.dumps({k: r.all() for k, r in runs.items()})], pa.binary())], ["state"])
 
