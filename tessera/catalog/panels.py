@@ -96,6 +96,7 @@ ORACLE = {
     "ind_surprise": S.recursive(f"SELECT symbol, d, {S.r('cpi_surprise', 'rate_surprise', 'jobless_claims_surprise')} FROM whole", *S.ALL),
     "ind_complete": S.recursive(f"SELECT symbol, d, {S.r('rsi_14d', 'atr_pct_14d', 'funding_zscore_30d')}, is_macro_day FROM whole", *S.ALL),
     "ind_wilder_rsi_atr": S.recursive("SELECT symbol, d, round(rsi_14d, 6) AS rsi, round(atr_pct_14d, 6) AS atr_pct FROM wilder", S.BARS, S.WILDER),
+    "ind_macd_cross": S.recursive(f"SELECT symbol, d, side <> coalesce(lag(side) OVER ({S.W}), 0) AS crossed FROM macd", S.BARS, S.MACD),
     "ind_snapshot_unpivot": S.recursive("SELECT symbol, indicator, round(value, 6) AS value FROM (SELECT symbol, " + ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in I.INDICATORS) + " FROM whole QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) = 1) UNPIVOT INCLUDE NULLS (value FOR indicator IN (" + ", ".join(I.INDICATORS) + "))", *S.ALL),
     "ind_readings": S.recursive("SELECT symbol, indicator, round(value, 6) AS value FROM (SELECT symbol, " + ", ".join(f"CAST(arg_max({n}, d) FILTER ({n} IS NOT NULL) AS DOUBLE) AS {n}" for n in I.INDICATORS) + " FROM whole GROUP BY 1) UNPIVOT INCLUDE NULLS (value FOR indicator IN (" + ", ".join(I.INDICATORS) + "))", *S.ALL),
     "ind_leadup_tail": S.recursive(f"SELECT symbol, d, {S.r(*LEADUP)} FROM whole QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d DESC) <= 7", *S.ALL),

@@ -152,7 +152,6 @@ def latest_tests(s, d):
 
 
 QUERIES = {
-    "stat_fdr_simulation": lambda s, d: stats.fdr_simulation(s, [0.0, 0.3, 0.7], 400).select("quality", "trials", *(F.round(c, 6).alias(c) for c in ("found", "fdr"))),
     "evt_market_return_short": lambda s, d: R.market_return(panels.bars_1d(s, d), panels.literal_days(s), 7, "short").select("day", F.round("market", 6).alias("market")),
     "wf_without_nan": lambda s, d: walkforward.without_nan(battery(s, d).select("candidate", F.when(F.col("candidate") % 3 == 0, float("nan")).otherwise(F.col("ratio")).alias("ratio"))).select("candidate", F.round("ratio", 6).alias("ratio")),
     "stm_required_n": required,

@@ -42,24 +42,47 @@ SURPRISE = VINTAGE + """,
 delta AS (SELECT *, value - lag(value) OVER (PARTITION BY series ORDER BY published, period) AS delta FROM first_print),
 moved AS (SELECT *, avg(delta) OVER b AS m, stddev_samp(delta) OVER b AS sd, count(delta) OVER b AS k, greatest(quantile_cont(abs(delta), 0.5) OVER (PARTITION BY series) * 0.01, 1e-12) AS floor FROM delta WINDOW b AS (PARTITION BY series ORDER BY published, period ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
 surprise AS (SELECT series, published, arg_max(CASE WHEN k >= 6 AND sd > floor THEN (delta - m) / sd END, period) AS surprise FROM (SELECT * FROM moved) GROUP BY 1, 2)"""
-IND = f"""base AS (SELECT *, row_number() OVER ({W}) - 1 AS loc, count(*) OVER (PARTITION BY symbol) AS n_rows, close / lag(close) OVER ({W}) - 1 AS ret, (high - low) / nullif(close, 0) AS range_pct, abs(close - lag(close) OVER ({W})) AS chg FROM bars),
-vol AS (SELECT *, CASE WHEN {roll('count(ret)', 20)} >= 10 THEN {roll('stddev_samp(ret)', 20)} END AS vol_20, CASE WHEN {roll('count(ret)', 5)} >= 5 THEN {roll('stddev_samp(ret)', 5)} END AS vol_5 FROM base),
-ind AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS close_return_1d, close / lag(close, 5) OVER ({W}) - 1 AS close_return_5d, range_pct AS daily_range_pct,
- {z('range_pct', 30, 15)} AS range_zscore_30d, -({z('vol_20', 180, 60)}) AS vol_compression_zscore, {z('vol_5', 252, 63)} AS shock_zscore, {z('volume', 30, 15)} AS volume_zscore_30d,
- {full(f"least(abs(close - lag(close, 20) OVER ({W})) / nullif({roll('sum(chg)', 20)}, 0), 1.0)", 'chg', 20)} AS efficiency_ratio_20d,
- {full(f"(close - {roll('min(low)', 20)}) / nullif({roll('max(high)', 20)} - {roll('min(low)', 20)}, 0)", 'close', 20)} AS donchian_pct_20d,
- {full(f"(close - ({roll('avg(close)', 20)} - 2 * {roll('stddev_samp(close)', 20)})) / nullif(4 * {roll('stddev_samp(close)', 20)}, 0)", 'close', 20)} AS bollinger_pctb_20d,
- {full(f"100 * (close - {roll('min(low)', 14)}) / nullif({roll('max(high)', 14)} - {roll('min(low)', 14)}, 0)", 'close', 14)} AS stochastic_k_14d FROM vol)"""
+
+
+def indicators(k: int = 1, of: str = "bars", p: str = "") -> str:
+    """The indicators that bars give, at k bars a day: tables base, vol and ind, their names after p."""
+    lag = lambda n: f"lag(close, {n}) OVER ({W})"
+    low, high = roll("min(low)", 20 * k), roll("max(high)", 20 * k)
+    low14, high14 = roll("min(low)", 14 * k), roll("max(high)", 14 * k)
+    mean, sd = roll("avg(close)", 20 * k), roll("stddev_samp(close)", 20 * k)
+    moved = f"least(abs(close - {lag(20 * k)}) / nullif({roll('sum(chg)', 20 * k)}, 0), 1.0)"
+    return f"""{p}base AS (SELECT *, row_number() OVER ({W}) - 1 AS loc, count(*) OVER (PARTITION BY symbol) AS n_rows, close / lag(close) OVER ({W}) - 1 AS ret, (high - low) / nullif(close, 0) AS range_pct, abs(close - lag(close) OVER ({W})) AS chg FROM {of}),
+{p}vol AS (SELECT *, CASE WHEN {roll('count(ret)', 20)} >= 10 THEN {roll('stddev_samp(ret)', 20)} END AS vol_20, CASE WHEN {roll('count(ret)', 5)} >= 5 THEN {roll('stddev_samp(ret)', 5)} END AS vol_5 FROM {p}base),
+{p}ind AS (SELECT *, close / {lag(k)} - 1 AS close_return_1d, close / {lag(5 * k)} - 1 AS close_return_5d, range_pct AS daily_range_pct,
+ {z('range_pct', 30 * k, 15 * k)} AS range_zscore_30d, -({z('vol_20', 180, 60)}) AS vol_compression_zscore, {z('vol_5', 252, 63)} AS shock_zscore, {z('volume', 30 * k, 15 * k)} AS volume_zscore_30d,
+ {full(moved, 'chg', 20 * k)} AS efficiency_ratio_20d,
+ {full(f"(close - {low}) / nullif({high} - {low}, 0)", 'close', 20 * k)} AS donchian_pct_20d,
+ {full(f"(close - ({mean} - 2 * {sd})) / nullif(4 * {sd}, 0)", 'close', 20 * k)} AS bollinger_pctb_20d,
+ {full(f"100 * (close - {low14}) / nullif({high14} - {low14}, 0)", 'close', 14 * k)} AS stochastic_k_14d FROM {p}vol)"""
+
+
+IND = indicators()
 EV = "ev AS (SELECT symbol, d AS trigger_d, loc + 1 AS entry_loc, entry_price, regime, year(d) AS period, " + ", ".join(f"best_{h} / entry_price - 1 AS mfe_{h}, worst_{h} / entry_price - 1 AS mae_{h}, fwd_{h}" for h in HORIZONS) + f" FROM (SELECT *, lead(open) OVER ({W}) AS entry_price, CASE WHEN shock_zscore >= 2 THEN 'shock' ELSE 'normal' END AS regime, " + ", ".join(f"{ahead('max(high)', 2, 1 + h)} AS best_{h}, {ahead('min(low)', 2, 1 + h)} AS worst_{h}, lead(close, {1 + h}) OVER ({W}) / lead(close, 1) OVER ({W}) - 1 AS fwd_{h}" for h in HORIZONS) + " FROM ind) WHERE coalesce(volume_zscore_30d >= 1.0, false) AND loc + 22 < n_rows AND entry_price > 0)"
 LONG = "long_ev AS (" + " UNION ALL ".join(f"SELECT symbol, trigger_d, entry_loc, entry_price, period, {h} AS h, mfe_{h} AS mfe, mae_{h} AS mae, fwd_{h} AS fwd FROM ev" for h in HORIZONS) + ")"
 FOLDS = "years AS (SELECT period, count(*) AS n_test FROM ev GROUP BY 1), folds AS (SELECT period AS fold, n_train, n_test FROM (SELECT *, row_number() OVER (ORDER BY period) AS k, coalesce(sum(n_test) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_train FROM years) WHERE k > 3 AND n_train >= 20)"
 FORWARD = "forward_of AS (" + " UNION ALL ".join(f"SELECT symbol, loc, {h} AS h, lead(close, {h}) OVER ({W}) / close - 1 AS base FROM ind" for h in HORIZONS) + ")"
 TESTS = "tests AS (SELECT row_number() OVER (ORDER BY trigger_d, symbol) AS id, 'c' || CAST(entry_loc % 5 AS VARCHAR) AS candidate, symbol AS coin, trigger_d AS entry_d, CASE WHEN entry_loc % 11 = 0 THEN 'open' ELSE 'closed' END AS status, fwd_7 AS forward_return, mfe_7 AS mfe, abs(mae_7) AS mae, (entry_loc % 7) * 0.01 - 0.02 AS baseline_return FROM ev)"
-WILDER = f"""seq AS (SELECT *, row_number() OVER ({W}) AS n, close - lag(close) OVER ({W}) AS delta, lag(close) OVER ({W}) AS pc FROM bars),
-tr AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr FROM seq),
-walk AS (SELECT symbol, d, n, close, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS l, tr AS t FROM tr WHERE n = 1
- UNION ALL SELECT x.symbol, x.d, x.n, x.close, CASE WHEN w.g IS NULL THEN greatest(x.delta, 0) ELSE w.g * 13 / 14 + greatest(x.delta, 0) / 14 END, CASE WHEN w.l IS NULL THEN greatest(-x.delta, 0) ELSE w.l * 13 / 14 + greatest(-x.delta, 0) / 14 END, w.t * 13 / 14 + x.tr / 14 FROM walk w JOIN tr x ON x.symbol = w.symbol AND x.n = w.n + 1),
-wilder AS (SELECT symbol, d, CASE WHEN n > 14 THEN 100 * g / nullif(g + l, 0) END AS rsi_14d, CASE WHEN n >= 14 THEN t / close END AS atr_pct_14d FROM walk)"""
+
+
+def wilder(of: str = "bars", p: str = "") -> str:
+    """Relative strength and true range of 14 rows, row after row."""
+    return f"""{p}seq AS (SELECT *, row_number() OVER ({W}) AS n, close - lag(close) OVER ({W}) AS delta, lag(close) OVER ({W}) AS pc FROM {of}),
+{p}tr AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr FROM {p}seq),
+{p}walk14 AS (SELECT symbol, d, n, close, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS l, tr AS t FROM {p}tr WHERE n = 1
+ UNION ALL SELECT x.symbol, x.d, x.n, x.close, CASE WHEN w.g IS NULL THEN greatest(x.delta, 0) ELSE w.g * 13 / 14 + greatest(x.delta, 0) / 14 END, CASE WHEN w.l IS NULL THEN greatest(-x.delta, 0) ELSE w.l * 13 / 14 + greatest(-x.delta, 0) / 14 END, w.t * 13 / 14 + x.tr / 14 FROM {p}walk14 w JOIN {p}tr x ON x.symbol = w.symbol AND x.n = w.n + 1),
+{p}wilder AS (SELECT symbol, d, CASE WHEN n > 14 THEN 100 * g / nullif(g + l, 0) END AS rsi_14d, CASE WHEN n >= 14 THEN t / close END AS atr_pct_14d FROM {p}walk14)"""
+
+
+WILDER = wilder()
+#: The histogram of 12, 26 and 9 rows and its sign, row after row.
+MACD = f"""macd AS (SELECT symbol, d, n, close AS fast, close AS slow, 0.0::DOUBLE AS signal, 0 AS side FROM (SELECT symbol, d, close, row_number() OVER ({W}) AS n FROM bars) WHERE n = 1
+ UNION ALL SELECT symbol, d, n, fast, slow, signal, CAST(sign(fast - slow - signal) AS INTEGER) FROM (SELECT symbol, d, n, fast, slow, s * 8 / 10 + (fast - slow) * 2 / 10 AS signal FROM (
+  SELECT x.symbol, x.d, x.n, m.fast * 11 / 13 + x.close * 2 / 13 AS fast, m.slow * 25 / 27 + x.close * 2 / 27 AS slow, m.signal AS s FROM macd m JOIN (SELECT symbol, d, close, row_number() OVER ({W}) AS n FROM bars) x ON x.symbol = m.symbol AND x.n = m.n + 1)))"""
 FUNDING_Z = FUNDING + f""", rated AS (SELECT b.symbol, b.d, last_value(rate IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate FROM bars b LEFT JOIN funding f ON b.symbol = f.symbol AND b.d = f.d), fz AS (SELECT symbol, d, {z('rate', 30, 15)} AS funding_zscore_30d FROM rated)"""
 #: All indicators of the registry; comes after BARS, SURPRISE, IND, WILDER and FUNDING_Z.
 COMPLETE = """published AS (SELECT published AS d, max(surprise) FILTER (series = '1-URGENT') AS cpi_surprise, max(surprise) FILTER (series = '2-HIGH') AS rate_surprise, max(surprise) FILTER (series = '3-MEDIUM') AS jobless_claims_surprise FROM surprise GROUP BY 1),

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.catalog import sql as S
-from tessera.functions import text
-from tessera.functions.series import HORIZONS, by_day, carried, rounded
+from tessera.catalog.hourly import days_of_hours, hours
+from tessera.functions import slices, text
+from tessera.functions.series import HORIZONS, by_day, rounded
 from tessera.operators import events as E
 from tessera.operators import indicators as I  # noqa: E741
 from tessera.operators import stats, walkforward
 from tessera.operators import vintage as V
+from tessera.operators.bitmaps import jaccard
 from tessera.plans import study
 from tessera.plans import grammar as G
-from tessera.plans.grammar import Clause, Spec, agreement, enumerate_specs, loosened, occurrences
+from tessera.plans.grammar import Clause, Spec, enumerate_specs, loosened, occurrences
 from tessera.sources import panels
 
 VOLUME = Clause("volume_zscore_30d", ">=", 1.0)
@@ -52,7 +54,9 @@ def sides_of(s, d):
 
 
 def static_triggers(s, d):
-    return complete(s, d).select("symbol", "d", *[c.alias(name) for name, c in study.static_triggers(complete(s, d)).items()])
+    sides = sides_of(s, d)
+    df = I.complete(panels.bars_1d(s, d), sides.funding, sides.days, static=True)
+    return df.select("symbol", "d", *((F.col(name) == 1).alias(name) for name in I.STATIC))
 
 
 def relaxed(s, d):
@@ -65,20 +69,15 @@ def ev_simulated(s, d, direction="long"):
     return E.simulate(ev, E.anchors(ev), [], direction=direction)
 
 
-def trained_levels(ev, of):
-    """Anchors of each fold's training years."""
-    train = ev.join(of, F.col("period") < F.col("fold"))
-    return train, E.anchors(train, "fold")
-
-
 def grid(s, d, whole=False):
+    """Of each fold's training events under all settings: the best setting, or all."""
     ev = events(s, d)
-    of = walkforward.folds(ev)
-    train, levels = trained_levels(ev, of)
-    traded = E.simulate(train, levels, ["fold"], E.settings())
-    if whole:
-        return E.report(traded, "fold", "tp", "sl")
-    return E.chosen_setting(traded, ["fold"]).join(E.report(traded, "fold", "tp", "sl").select("fold", "tp", "sl", "win_rate"), ["fold", "tp", "sl"]).select("fold", "tp", "sl", "n", *rounded("sortino", "win_rate"))
+    levels = F.array_sort(F.collect_list(F.struct("h", F.col("mfe_anchor").alias("mfe"), F.col("mae_anchor").alias("mae"))))
+    per = walkforward.training(E.long_form(ev), walkforward.folds(ev)).groupBy("fold").agg(levels.alias("levels")).agg(F.collect_list(F.struct("fold", "levels")).alias("folds"))
+    met = ev.select("period", "entry_price", "path", F.lit(1).alias("sign")).join(per, F.lit(True))
+    results = E.grid_results(met, F.col("folds"), [], E.MULTIPLES, E.MULTIPLES)
+    rows = results.withColumn("sortino", E.grid_ratio()) if whole else E.best_setting(results, ["fold"])
+    return rows.withColumn("win_rate", F.try_divide("wins", F.col("wins") + F.col("losses"))).select("fold", "tp", "sl", "n", *rounded("sortino", "win_rate"))
 
 
 def one_evidence(s, d, spec):
@@ -106,21 +105,26 @@ def relax_until(s, d):
     return s.createDataFrame([(label, None if x is None else x[1], None if x is None else x[0].clauses[0].threshold) for label, x in found.items()], "label string, step double, threshold double")
 
 
+#: 672 conditions, as many as a sweep of the grammar has.
+SWEEP_VOLUME, SWEEP_PLACE = [round(-1.5 + 0.17 * k, 2) for k in range(24)], [round(0.02 + 0.035 * k, 3) for k in range(28)]
+
+
+def sweep_pairs(s, d):
+    specs = [Spec(f"{v}/{u}", (Clause("volume_zscore_30d", ">=", v), Clause("donchian_pct_20d", "<", u))) for v in SWEEP_VOLUME for u in SWEEP_PLACE]
+    return jaccard(occurrences(panel(s, d), specs)).select("a", "b", "both", F.round("jaccard", 6).alias("jaccard"))
+
+
 def redundancy(s, d):
     specs = [Spec("a", (VOLUME,)), Spec("b", (Clause("volume_zscore_30d", ">=", 1.1),)), Spec("c", (Clause("volume_zscore_30d", ">=", 2.2),)), Spec("d", (Clause("volume_zscore_30d", "<", -1.0),)), Spec("e", (Clause("volume_zscore_30d", "<=", -1.05),))]
     kept, dropped = G.distinct_proposals(panel(s, d), specs)
     return s.createDataFrame([(x.label, None) for x in kept] + list(dropped.items()), "label string, repeats string")
 
 
-def days_of_hours(s, d):
-    return panels.bars_1h(s, d).withColumn("d", F.to_date("ts")).groupBy("symbol", "d").agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").cast("double").alias("volume"))
-
-
 HOURLY = [Spec("native", (Clause("daily_range_pct", ">=", 1.0, 1),)), Spec("hours", (Clause("close_return_1d", ">", 0.0, 1),)), Spec("mixed", (Clause("daily_range_pct", ">=", 1.0), Clause("close_return_1d", "<", 0.0)))]
 
 
 def hourly_native(s, d):
-    return G.occurrences_hourly(panels.bars_1h(s, d), I.with_indicators(days_of_hours(s, d), ["daily_range_pct"]), HOURLY)
+    return G.occurrences_hourly(I.complete(hours(s, d), scale=24), I.with_indicators(days_of_hours(s, d), ["daily_range_pct"]), HOURLY)
 
 
 def described(s, d):
@@ -152,7 +156,7 @@ def incremental(s, d):
 def unconditional(s, d):
     df, ev = panel(s, d), events(s, d)
     of = walkforward.folds(ev)
-    return walkforward.baseline(walkforward.forward_by_loc(df, (3,)), walkforward.spans(ev, of, test=True)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("base"), 6).alias("mean"))
+    return walkforward.baseline(walkforward.forward_by_loc(df, (3,)), walkforward.spans(ev, of, test=True)).select("fold", F.col("base_n").alias("n"), F.round(F.col("base_sum") / F.col("base_n"), 6).alias("mean"))
 
 
 def bootstrap_lcg(s, d):
@@ -204,6 +208,8 @@ RELATIVE = "long_rel AS (SELECT l.* REPLACE (l.fwd - coalesce(k.basket, 0) AS fw
 #: Greedy episodes of (key, symbol, d): each opens so many days after the last one that did.
 WALK = "walk AS (SELECT key, symbol, min(d) AS d FROM days GROUP BY 1, 2 UNION ALL SELECT w.key, w.symbol, (SELECT min(x.d) FROM days x WHERE x.key = w.key AND x.symbol = w.symbol AND x.d >= w.d + {0}) AS d FROM walk w WHERE (SELECT min(x.d) FROM days x WHERE x.key = w.key AND x.symbol = w.symbol AND x.d >= w.d + {0}) IS NOT NULL)"
 LABELS = ", ".join(f"('{x.label}')" for x in SPECS)
+REDUNDANT = " UNION ALL ".join(f"SELECT '{k}' AS label, symbol, d FROM ind WHERE volume_zscore_30d {c}" for k, c in (("a", ">= 1.0"), ("b", ">= 1.1"), ("c", ">= 2.2"), ("d", "< -1.0"), ("e", "<= -1.05")))
+SWEEP = ", ".join(f"('{v}/{u}', {v}, {u})" for v in SWEEP_VOLUME for u in SWEEP_PLACE)
 RELAXED = ", ".join(f"('t{t:g}', {x}, {round(t - t * x, 4)}, {round(0.2 - 0.2 * x, 4)})" for t in (0.2, 0.8, 1.4, 2.0, 9.0) for x in (0.0, 0.1, 0.25, 0.5))
 CLAUSES = ", ".join(f"('{x.label}', '{x.direction}', {k}, '{c.indicator}', '{c.op}', {c.threshold}, {c.within_days})" for x in [*SPECS, NEWS_VOLUME] for k, c in enumerate(x.clauses))
 HOUR = "PARTITION BY symbol ORDER BY ts"
@@ -224,18 +230,19 @@ QUERIES = {
     "cnd_testable": lambda s, d: G.testability(panel(s, d), SPECS).select("label", "n", "episodes", "testable", "reason"),
     "cnd_relax_until_testable": relax_until,
     "cnd_redundancy": redundancy,
-    "cnd_jaccard_all": lambda s, d: agreement(occurrences(panel(s, d), SPECS), all_pairs=True).select("a", "b", "both", F.round("jaccard", 6).alias("jaccard")),
+    "cnd_jaccard_all": lambda s, d: jaccard(occurrences(panel(s, d), SPECS), all_pairs=True).select("a", "b", "both", F.round("jaccard", 6).alias("jaccard")),
     "cnd_control": lambda s, d: occurrences(complete(s, d), [Spec("whole", NEWS_VOLUME.clauses), Spec("state", NEWS_VOLUME.without_events().clauses)]),
     "cnd_hourly_native": hourly_native,
     "cnd_described": described,
-    "cnd_jaccard": lambda s, d: agreement(occurrences(panel(s, d), SPECS)).select("a", "b", F.round("jaccard", 6).alias("jaccard")),
+    "cnd_sweep_jaccard": sweep_pairs,
+    "cnd_jaccard": lambda s, d: jaccard(occurrences(panel(s, d), SPECS)).select("a", "b", F.round("jaccard", 6).alias("jaccard")),
     "cnd_relax_counts": relaxed,
     "cnd_grammar_enumerate": lambda s, d: s.createDataFrame([(x.label, len(x.clauses), x.direction) for x in enumerate_specs([Clause("volume_zscore_30d", ">=", float(t)) for t in (1, 2, 3)], [Clause("donchian_pct_20d", "<", 0.3), Clause("donchian_pct_20d", ">", 0.7)], [0, 3, 7])], "label string, n_clauses int, direction string").groupBy("direction", "n_clauses").agg(F.count(F.lit(1)).alias("n")),
     "cnd_spec_roundtrip": lambda s, d: s.createDataFrame([(Spec.from_json(x.to_json()).label, Spec.from_json(x.to_json()).describe()) for x in SPECS], "label string, text string"),
     "jn_pit_latest_revision": lambda s, d: V.as_of(panels.macro_vintage(s, d), F.lit("1998-06-30").cast("date")).select("series", "period", "value"),
     "jn_semi_calendar": lambda s, d: panels.bars_1d(s, d).join(panels.calendar(s, d), "d", "left_semi").select("symbol", "d", "close"),
     "jn_asof_next_bar": lambda s, d: panels.bars_1d(s, d).select("symbol", "d", F.lead("d").over(by_day()).alias("next_d"), F.lead("open").over(by_day()).alias("next_open")),
-    "jn_ffill_daily_to_hourly": lambda s, d: carried(panels.bars_1h(s, d).groupBy("symbol", F.date_add(F.to_date("ts"), 1).cast("timestamp").alias("t")).agg(F.max("close").alias("known")), panels.bars_1h(s, d).select("symbol", F.col("ts").alias("t")), "known").select("symbol", F.col("t").alias("ts"), "known"),
+    "jn_ffill_daily_to_hourly": lambda s, d: slices.carried(panels.bars_1h(s, d).groupBy("symbol", F.date_add(F.to_date("ts"), 1).cast("timestamp").alias("t")).agg(F.max("close").alias("known")), panels.bars_1h(s, d).select("symbol", F.col("ts").alias("t")), "known").select("symbol", F.col("t").alias("ts"), "known"),
     "evt_build_events": lambda s, d: events(s, d).select("symbol", "trigger_d", F.col("entry_loc").cast("long").alias("entry_loc"), "entry_price", "regime", *rounded(*EVENT_COLUMNS)),
     "evt_regime_split": lambda s, d: events(s, d).groupBy("symbol").agg(F.count_if(F.col("regime") == "normal").alias("n_normal"), F.count_if(F.col("regime") == "shock").alias("n_shock")),
     "evt_basket": lambda s, d: E.basket(panels.bars_1d(s, d), 7).select("d", F.round("basket", 6).alias("basket")),
@@ -312,6 +319,8 @@ ORACLE = {
     "cnd_hourly_native": S.sql(f"SELECT label, symbol, ts FROM (SELECT 'native' AS label, symbol, ts FROM h WHERE wide_1 UNION ALL SELECT 'hours', symbol, ts FROM h WHERE up_1 UNION ALL SELECT 'mixed', symbol, ts FROM h WHERE wide AND down)", S.HOURS, "dd AS (SELECT symbol, CAST(ts AS DATE) AS d, coalesce((max(high) - min(low)) / arg_max(close, ts) >= 1.0, false) AS wide FROM hours GROUP BY 1, 2), judged AS (SELECT *, bool_or(wide) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS wide_1 FROM dd)", f"r AS (SELECT symbol, ts, close / lag(close, 24) OVER ({HOUR}) - 1 AS ret FROM hours), q AS (SELECT symbol, ts, coalesce(ret < 0, false) AS down, bool_or(coalesce(ret > 0, false)) OVER ({HOUR} ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS up_1 FROM r), h AS (SELECT q.*, j.wide, j.wide_1 FROM q ASOF JOIN judged j ON j.symbol = q.symbol AND q.ts >= j.d)"),
     "cnd_control": S.recursive(f"SELECT 'state' AS label, symbol, d FROM whole WHERE volume_zscore_30d >= 1 UNION ALL SELECT 'whole', symbol, d FROM (SELECT *, {S.roll('bool_or(coalesce(cpi_surprise >= -0.5, false))', 15)} AS recent FROM whole) WHERE recent AND volume_zscore_30d >= 1", *S.ALL),
     "cnd_jaccard_all": S.sql("SELECT x.label AS a, y.label AS b, CAST(coalesce(both_n, 0) AS BIGINT) AS both, round(coalesce(both_n, 0) / (x.n + y.n - coalesce(both_n, 0)), 6) AS jaccard FROM (SELECT label, count(*) AS n FROM hits GROUP BY 1) x JOIN (SELECT label, count(*) AS n FROM hits GROUP BY 1) y ON x.label < y.label LEFT JOIN (SELECT p.label AS a, q.label AS b, count(*) AS both_n FROM hits p JOIN hits q USING (symbol, d) WHERE p.label < q.label GROUP BY 1, 2) m ON m.a = x.label AND m.b = y.label", S.BARS, S.IND, HITS),
+    "cnd_redundancy": S.recursive("SELECT label, repeats FROM walk WHERE k > 0", S.BARS, S.IND, f"hits AS ({REDUNDANT}), n AS (SELECT label, count(*) AS n FROM hits GROUP BY 1), same AS (SELECT a, b FROM (SELECT p.label AS a, q.label AS b, count(*) AS met FROM hits p JOIN hits q USING (symbol, d) WHERE p.label <> q.label GROUP BY 1, 2) JOIN n x ON x.label = a JOIN n y ON y.label = b WHERE met / (x.n + y.n - met) > 0.6), near AS (SELECT k, label, (SELECT coalesce(list(b), []) FROM same WHERE a = label) AS near FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd'), (5, 'e')) t(k, label)), walk AS (SELECT 0 AS k, CAST([] AS VARCHAR[]) AS kept, CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS repeats UNION ALL SELECT k, CASE WHEN clash IS NULL THEN list_append(kept, label) ELSE kept END, label, clash FROM (SELECT x.k, w.kept, x.label, list_filter(w.kept, lambda v: list_contains(x.near, v))[1] AS clash FROM walk w JOIN near x ON x.k = w.k + 1))"),
+    "cnd_sweep_jaccard": S.sql("SELECT a, b, met AS both, round(met / (x.n + y.n - met), 6) AS jaccard FROM (SELECT p.label AS a, q.label AS b, count(*) AS met FROM hits p JOIN hits q USING (symbol, d) WHERE p.label < q.label GROUP BY 1, 2) JOIN n x ON x.label = a JOIN n y ON y.label = b", S.BARS, S.IND, f"grid AS (SELECT label, v, u FROM (VALUES {SWEEP}) t(label, v, u)), hits AS (SELECT label, symbol, d FROM ind JOIN grid ON volume_zscore_30d >= v AND donchian_pct_20d < u), n AS (SELECT label, count(*) AS n FROM hits GROUP BY 1)"),
     "cnd_relax_until_testable": S.recursive("SELECT t.label, CAST(min(t.x) FILTER (good) AS DOUBLE) AS step, CAST(arg_min(t.v, t.x) FILTER (good) AS DOUBLE) AS threshold FROM (SELECT *, (SELECT count(*) FROM found f WHERE f.key = label || '/' || CAST(x AS VARCHAR)) >= 120 AND (SELECT count(*) FROM walk w WHERE w.key = label || '/' || CAST(x AS VARCHAR)) >= 40 AS good FROM tried) t GROUP BY 1", S.BARS, S.IND, f"tried AS (SELECT * FROM (VALUES {RELAXED}) t(label, x, v, r)), found AS (SELECT label || '/' || CAST(x AS VARCHAR) AS key, symbol, d FROM ind JOIN tried ON volume_zscore_30d >= v AND range_zscore_30d >= r), days AS (SELECT DISTINCT key, symbol, d FROM found)", WALK.format(21)),
     "cnd_testable": S.recursive(f"SELECT label, n, episodes, reason IS NULL AS testable, reason FROM (SELECT *, CASE WHEN n < 120 THEN 'occurred ' || CAST(n AS VARCHAR) || ' times of 120 needed' WHEN episodes < 40 THEN 'occurred on only ' || CAST(episodes AS VARCHAR) || ' separate occasions of 40 needed' END AS reason FROM (SELECT label, (SELECT count(*) FROM hits h WHERE h.label = l.label) AS n, (SELECT count(*) FROM walk w WHERE w.key = l.label) AS episodes FROM (VALUES {LABELS}) l(label)))", S.BARS, S.IND, HITS, "days AS (SELECT DISTINCT label AS key, symbol, d FROM hits)", WALK.format(21)),
     "flagship_event_study": S.sql("SELECT symbol, period, count(*) AS n, round(avg(fwd_3), 6) AS mean_fwd_3, round(avg(mfe_7), 6) AS mean_mfe_7, round(avg(mae_7), 6) AS mean_mae_7 FROM ev GROUP BY 1, 2", S.REGION_BARS, S.SURPRISE, S.IND, S.EV.replace(" FROM ind) WHERE", f", {S.roll('bool_or(coalesce(sp <= -0.3, false))', 8)} AS recent FROM (SELECT ind.*, s.surprise AS sp FROM ind LEFT JOIN (SELECT published, surprise FROM surprise WHERE series = '1-URGENT') s ON ind.d = s.published)) WHERE recent AND")),

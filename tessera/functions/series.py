@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 HORIZONS = (1, 3, 7, 14, 21)
 
 
+#: What parts the rows of a window: the symbol, and in a panel that is cut by time its slice.
+_PARTS: ContextVar[tuple[str, ...]] = ContextVar("parts", default=("symbol",))
+
+
+@contextmanager
+def windows_by(*parts: str) -> Iterator[None]:
+    """Windows made within part their rows by these columns."""
+    before = _PARTS.set(parts)
+    try:
+        yield
+    finally:
+        _PARTS.reset(before)
+
+
 def by_day() -> WindowSpec:
     """A symbol's rows in order of day; made when asked for, as it needs a session."""
-    return Window.partitionBy("symbol").orderBy("d")
+    return Window.partitionBy(*_PARTS.get()).orderBy("d")
 
 
 def roll(n: int):
@@ -62,15 +80,6 @@ def usable(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x)
 
 
-def carried(known: DataFrame, onto: DataFrame, *values: str) -> DataFrame:
-    """onto (symbol, t, ...) with the values of the last row of known (symbol, t) at or before t: one sort a symbol, no range join."""
-    last = Window.partitionBy("symbol").orderBy("t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    left = known.select("symbol", "t", F.lit(0).alias("__side"), F.struct(*values).alias("__known"))
-    right = onto.withColumn("__side", F.lit(1))
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("__known", F.last("__known", ignorenulls=True).over(last))
-    return both.where("__side = 1").select(*onto.columns, "__known.*")
-
-
 def rounded(*names: str, to: int = 6) -> list[Column]:
     return [F.round(n, to).alias(n) for n in names]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.series import HORIZONS, ahead, by_day, forward, is_true, usable
+from tessera.operators.spacing import spaced
 
 FEE = 0.002
 MULTIPLES = (0.6, 0.8, 1.0, 1.2, 1.5)
@@ -60,29 +61,99 @@ def barrier_prices(price: Column, sign: Column, favourable: Column, adverse: Col
     return price * (1 + sign * favourable), price * (1 - sign * adverse)
 
 
+def per_bar(levels: Column, name: str) -> Column:
+    """The level of each bar after an entry: that of the first horizon that its distance does not pass.  levels: ascending array of (h, mfe, mae)."""
+    before = lambda k: F.when(k > 0, F.get(levels, k - 1)["h"]).otherwise(0)
+    return F.flatten(F.transform(levels, lambda x, k: F.array_repeat(x[name], (x["h"] - before(k)).cast("int"))))
+
+
+def first_passages(path: Column, price: Column, sign: Column, bounds: Column, multiples: tuple[float, ...] | list[Column], target: bool) -> Column:
+    """For each multiple the first bar, from 1, that reaches the target (or the stop) at bound times multiple; 0 if none does.
+
+    bounds: of each bar (`per_bar`); the bars past them reach nothing.
+    """
+    side = sign if target else -sign
+    bars = F.slice(path, 1, F.size(bounds))
+    met = F.slice(bounds, 1, F.size(bars))
+
+    def first(m: Column) -> Column:
+        level = lambda bound: price * (1 + side * (bound * m))
+        reached = lambda bar, bound: F.when(side > 0, bar["high"] >= level(bound)).otherwise(bar["low"] <= level(bound))
+        return F.array_position(F.zip_with(bars, met, reached), F.lit(True))
+
+    return F.array(*[first(F.lit(m) if isinstance(m, float) else m) for m in multiples])
+
+
+def timed_out(path: Column, price: Column, sign: Column) -> Column:
+    """The net return of a trade that ends at the middle of its last bar's range."""
+    last = F.element_at(path, -1)
+    return sign * ((last["high"] + last["low"]) / 2 / price - 1) - FEE
+
+
+def ended(up: Column, down: Column, tp: Column, sl: Column, gain: Column, loss: Column, middle: Column) -> tuple[Column, Column]:
+    """Outcome and net return of a trade whose target is first reached on bar `up` and its stop on bar `down` (0: never); a bar's stop counts before its target."""
+    stopped, won = (down > 0) & ((up == 0) | (down <= up)), up > 0
+    outcome = F.when(stopped, "loss").when(won, "win").otherwise("timeout")
+    return outcome, F.when(stopped, -(loss * sl) - FEE).when(won, gain * tp - FEE).otherwise(middle)
+
+
 def trade(path: Column, price: Column, sign: Column, levels: Column, tp: Column, sl: Column) -> Column:
     """(outcome, net) of a trade under one setting.
 
-    levels: ascending array of (h, mfe, mae); the levels of a bar are those of the first horizon that its distance from the entry does
-    not pass.  A bar's stop counts before its target; without a hit the trade ends at the bar past the longest horizon, or the
-    last one, at the middle of its range.  The path is at hand as an array, so no bars are joined.
+    Without a hit by the longest horizon the trade ends at the bar past it, or the last one, at the middle of its range.
+    The path is at hand as an array, so no bars are joined.
     """
-    last = F.element_at(path, -1)
-    n = F.element_at(levels, -1)["h"]
+    ups, downs = per_bar(levels, "mfe"), per_bar(levels, "mae")
+    up, down = (first_passages(path, price, sign, b, [m], target)[0] for b, m, target in ((ups, tp, True), (downs, sl, False)))
+    at = lambda bounds, k: F.get(bounds, k.cast("int") - 1)
+    outcome, net = ended(up, down, tp, sl, at(ups, up), at(downs, down), timed_out(path, price, sign))
+    return F.struct(outcome.alias("outcome"), net.alias("net"))
 
-    def step(state: Column, bar: Column) -> Column:
-        o = state["o"] + 1
-        level = F.element_at(F.filter(levels, lambda x: x["h"] >= o), 1)
-        up, down = level["mfe"] * tp, level["mae"] * sl
-        target, stop = barrier_prices(price, sign, up, down)
-        reached = lambda level_price, side: F.when(sign * side > 0, bar["high"] >= level_price).otherwise(bar["low"] <= level_price)
-        result = F.when(reached(stop, F.lit(-1)), F.struct(F.lit("loss").alias("outcome"), (-down - FEE).alias("net"))).when(reached(target, F.lit(1)), F.struct(F.lit("win").alias("outcome"), (up - FEE).alias("net")))
-        return F.struct(o.alias("o"), F.coalesce(state["hit"], result).alias("hit"))
 
-    start = F.struct(F.lit(0).alias("o"), F.lit(None).cast("struct<outcome:string,net:double>").alias("hit"))
-    hit = F.aggregate(F.slice(path, 1, n), start, step, lambda s: s["hit"])
-    middle = sign * ((last["high"] + last["low"]) / 2 / price - 1) - FEE
-    return F.coalesce(hit, F.struct(F.lit("timeout").alias("outcome"), middle.alias("net")))
+def grid_results(events: DataFrame, folds: Column, by: list[str], tps: tuple[float, ...], sls: tuple[float, ...]) -> DataFrame:
+    """by, fold, tp, sl, n, wins, losses, total, worst: the results of all settings on the events before each fold (total of the net returns
+    and of the squares of negative ones).
+
+    events: by, period, entry_price, path, sign; folds: an array of (fold, levels).  One row leaves an event for each later fold: the first bars on
+    which each multiple of its levels is reached, from which all settings follow, so neither event nor path is copied a setting.
+    """
+    path, price, sign = (F.col(c) for c in ("path", "entry_price", "sign"))
+
+    def passed(f: Column) -> Column:
+        ups, downs = per_bar(f["levels"], "mfe"), per_bar(f["levels"], "mae")
+        up, down = first_passages(path, price, sign, ups, tps, True), first_passages(path, price, sign, downs, sls, False)
+        at = lambda hits, bounds: F.transform(hits, lambda k: F.get(bounds, k.cast("int") - 1))
+        gains, losses = at(up, ups), at(down, downs)
+        return F.struct(f["fold"].alias("fold"), up.alias("up"), down.alias("down"), gains.alias("gain"), losses.alias("loss"))
+
+    later = F.transform(F.filter(folds, lambda f: f["fold"] > F.col("period")), passed)
+    rows = events.select(*by, timed_out(path, price, sign).alias("middle"), F.explode(later).alias("x")).select(*by, "middle", "x.*")
+    sums, out = [F.count(F.lit(1)).alias("n")], []
+    for i, tp in enumerate(tps):
+        for j, sl in enumerate(sls):
+            outcome, net = ended(F.col("up")[i], F.col("down")[j], F.lit(tp), F.lit(sl), F.col("gain")[i], F.col("loss")[j], F.col("middle"))
+            name = f"{i}_{j}"
+            sums += [F.count_if(outcome == "win").alias(f"w{name}"), F.count_if(outcome == "loss").alias(f"l{name}"), F.sum(net).alias(f"t{name}"), F.sum(F.pow(F.least(net, F.lit(0.0)), 2)).alias(f"q{name}")]
+            out.append(F.struct(F.lit(tp).alias("tp"), F.lit(sl).alias("sl"), F.col(f"w{name}").alias("wins"), F.col(f"l{name}").alias("losses"), F.col(f"t{name}").alias("total"), F.col(f"q{name}").alias("worst"), F.lit(len(out)).alias("place")))
+    summed = rows.groupBy(*by, "fold").agg(*sums)
+    return summed.select(*by, "fold", "n", F.explode(F.array(*out)).alias("x")).select(*by, "fold", "n", "x.*")
+
+
+def grid_ratio() -> Column:
+    """Of the sums of `grid_results`, what `sortino` is of the rows."""
+    mean, down = F.col("total") / F.col("n"), F.sqrt(F.col("worst") / F.col("n"))
+    return F.when(down > 0, mean / down * F.sqrt(F.lit(252.0))).when(mean > 0, F.lit(float("inf")))
+
+
+def best_setting(results: DataFrame, by: list[str]) -> DataFrame:
+    """by, tp, sl, n, sortino (and wins, losses): of `grid_results` the setting of the greatest ratio, the first of equals.
+
+    If the very first setting has no ratio it stays, as no ratio can be said to be greater than none.
+    """
+    scored = results.withColumn("sortino", grid_ratio())
+    scored = scored.withColumn("stuck", F.max(F.when(F.col("place") == 0, F.col("sortino").isNull())).over(Window.partitionBy(*by)))
+    first = Window.partitionBy(*by).orderBy(F.when(F.col("stuck"), F.col("place")), F.round("sortino", 9).desc_nulls_last(), "place")
+    return scored.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).select(*by, "tp", "sl", "n", "sortino", "wins", "losses")
 
 
 def settings(tps: tuple[float, ...] = MULTIPLES, sls: tuple[float, ...] = MULTIPLES) -> Column:
@@ -102,19 +173,6 @@ def simulate(events: DataFrame, levels: DataFrame, by: list[str], grid: Column |
     return made.select(*by, *keep, "symbol", "trigger_d", "g.tp", "g.sl", F.col("r.outcome").alias("outcome"), F.col("r.net").alias("net_return"))
 
 
-def chosen_setting(results: DataFrame, by: list[str], grid: Column | None = None) -> DataFrame:
-    """by, tp, sl, n, sortino: the setting of the greatest ratio on `results`, the first of equals.
-
-    If the very first setting has no ratio it stays, as no ratio can be said to be greater than none.
-    """
-    order = F.transform(grid if grid is not None else settings(), lambda g, i: F.struct(g["tp"].alias("tp"), g["sl"].alias("sl"), i.alias("place")))
-    scored = results.groupBy(*by, "tp", "sl").agg(F.count(F.lit(1)).alias("n"), sortino(F.col("net_return")).alias("sortino"))
-    placed = scored.withColumn("place", F.filter(order, lambda g: (g["tp"] == F.col("tp")) & (g["sl"] == F.col("sl")))[0]["place"])
-    placed = placed.withColumn("stuck", F.max(F.when(F.col("place") == 0, F.col("sortino").isNull())).over(Window.partitionBy(*by)))
-    first = Window.partitionBy(*by).orderBy(F.when(F.col("stuck"), F.col("place")), F.round("sortino", 9).desc_nulls_last(), "place")
-    return placed.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).select(*by, "tp", "sl", "n", "sortino")
-
-
 def sortino(r: Column) -> Column:
     """Mean over downside deviation, a year's worth; +inf without a loss, null without a gain too."""
     mean, down = F.avg(r), F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2)))
@@ -137,20 +195,9 @@ def basket(bars: DataFrame, h: int) -> DataFrame:
     return placed.join(later, ["symbol", "k"]).groupBy("d").agg(F.avg(F.try_divide(F.col("later"), F.col("close")) - 1).alias("basket"))
 
 
-def greedy_count(days: str, apart: Column) -> Column:
-    """How many of ascending days open an episode: the first, and each that lies `apart` days after the last one that did."""
-    return F.aggregate(
-        days,
-        F.struct(F.lit(0).alias("n"), F.lit(None).cast("date").alias("last")),
-        lambda s, d: F.when(s["last"].isNull() | (F.date_diff(d, s["last"]) >= apart), F.struct((s["n"] + 1).alias("n"), d.alias("last"))).otherwise(s),
-        lambda s: s["n"],
-    )
-
-
 def greedy_episodes(days: DataFrame, apart: int, *by: str) -> DataFrame:
-    """symbol (and by), n_episodes; a row of days holds one symbol's distinct days."""
-    sorted_days = days.groupBy("symbol", *by).agg(F.array_sort(F.collect_set("d")).alias("days"))
-    return sorted_days.select("symbol", *by, greedy_count("days", F.lit(apart)).alias("n_episodes"))
+    """symbol (and by), n_episodes: the days that open an episode, the first and each that lies `apart` days after the last one that did."""
+    return spaced(days, ["symbol", *by], apart).groupBy("symbol", *by).agg(F.count(F.lit(1)).alias("n_episodes"))
 
 
 def market_adjusted(value: Column, basket: Column, sign: Column | int = 1) -> Column:

@@ -11,18 +11,24 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import slices
 from tessera.functions.series import by_day, ahead, change, filled, past, roll, with_least, zscore
+from tessera.sources.state import cut
+
+#: Rows back, at one a day, that the longest chain of frames of an indicator reaches: 252 over deviations of 20 over changes, and some to spare.
+REACH = 280
 
 
 def with_inputs(bars: DataFrame) -> DataFrame:
-    """loc, n_rows, ret, range_pct, chg, then the deviations of ret that some indicators standardise."""
-    n_rows = F.count(F.lit(1)).over(by_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = bars.withColumns({"loc": F.row_number().over(by_day()) - 1, "n_rows": n_rows, "ret": change("close", 1), "range_pct": F.try_divide(F.col("high") - F.col("low"), F.col("close")), "chg": F.abs(F.col("close") - F.lag("close").over(by_day()))})
+    """loc, n_rows (unless the bars are located), ret, range_pct, chg, then the deviations of ret that some indicators standardise."""
+    if "loc" not in bars.columns:
+        n_rows = F.count(F.lit(1)).over(by_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        bars = bars.withColumns({"loc": F.row_number().over(by_day()) - 1, "n_rows": n_rows})
+    df = bars.withColumns({"ret": change("close", 1), "range_pct": F.try_divide(F.col("high") - F.col("low"), F.col("close")), "chg": F.abs(F.col("close") - F.lag("close").over(by_day()))})
     ret = F.col("ret")
     return df.withColumns({"vol_20": with_least(F.stddev_samp(ret).over(roll(20)), ret, roll(20), 10), "vol_5": with_least(F.stddev_samp(ret).over(roll(5)), ret, roll(5), 5)})
 
@@ -73,9 +79,9 @@ INDICATORS: dict[str, Indicator] = {
     "shock_zscore": Indicator(lambda k: zscore(F.col("vol_5"), 252, 63), "score of a shock", 0.0, daily_native=True, proposable=False, event=True),
     "volume_zscore_30d": Indicator(lambda k: zscore(F.col("volume"), 30 * k, 15 * k), "score of the volume in 30 days", 0.0),
     "efficiency_ratio_20d": Indicator(lambda k: efficiency(20 * k), "efficiency of the trend in 20 days", daily_native=True),
-    "donchian_pct_20d": Indicator(lambda k: donchian(), "place in the channel of 20 days", 0.5),
-    "bollinger_pctb_20d": Indicator(lambda k: bollinger(), "place between the bands of 20 days", 0.5),
-    "stochastic_k_14d": Indicator(lambda k: stochastic(), "place in the range of 14 days"),
+    "donchian_pct_20d": Indicator(lambda k: donchian(20 * k), "place in the channel of 20 days", 0.5),
+    "bollinger_pctb_20d": Indicator(lambda k: bollinger(20 * k), "place between the bands of 20 days", 0.5),
+    "stochastic_k_14d": Indicator(lambda k: stochastic(14 * k), "place in the range of 14 days"),
     "funding_zscore_30d": Indicator(None, "score of the funding rate in 30 days", 0.0),
     "rsi_14d": Indicator(None, "relative strength in 14 days", 50.0, daily_native=True),
     "atr_pct_14d": Indicator(None, "average true range of 14 days over the price", daily_native=True),
@@ -105,14 +111,26 @@ def with_indicators(bars: DataFrame, names: list[str] | None = None, scale: int
     return with_inputs(bars).withColumns({n: INDICATORS[n].build(scale) for n in (from_bars() if names is None else names)})
 
 
+def with_rate(bars: DataFrame, funding: DataFrame) -> DataFrame:
+    """The side series of days (rate) on the bars of its very times, null on others: for bars of hours, on the first hour of a day."""
+    known = funding.select("symbol", F.col("d").cast(bars.schema["d"].dataType).alias("d"), "rate")
+    return bars.join(known, ["symbol", "d"], "left")
+
+
+def funding_score(scale: int = 1) -> Column:
+    """Of a rate that is carried forward."""
+    return zscore(F.col("rate"), 30 * scale, 15 * scale)
+
+
 def with_funding(bars: DataFrame, funding: DataFrame, scale: int = 1) -> DataFrame:
     """The side series carried forward to each bar, and its score; null where there is none."""
-    joined = bars.join(funding, ["symbol", "d"], "left").withColumn("rate", filled("rate"))
-    return joined.withColumn("funding_zscore_30d", zscore(F.col("rate"), 30 * scale, 15 * scale))
+    return with_rate(bars, funding).withColumn("rate", filled("rate")).withColumn("funding_zscore_30d", funding_score(scale))
 
 
 def with_macro_day(bars: DataFrame, days: DataFrame) -> DataFrame:
-    return bars.join(days.select("d").distinct().withColumn("is_macro_day", F.lit(1)), "d", "left").fillna(0, ["is_macro_day"])
+    """Whether a bar lies on a day of a release."""
+    known = days.select(F.col("d").alias("__day")).distinct().withColumn("is_macro_day", F.lit(1))
+    return bars.withColumn("__day", F.to_date("d")).join(known, "__day", "left").fillna(0, ["is_macro_day"]).drop("__day")
 
 
 def with_surprises(bars: DataFrame, surprises: DataFrame, series: dict[str, str]) -> DataFrame:
@@ -121,47 +139,102 @@ def with_surprises(bars: DataFrame, surprises: DataFrame, series: dict[str, str]
     return bars.join(wide, "d", "left")
 
 
-def complete(bars: DataFrame, funding: DataFrame | None = None, days: DataFrame | None = None, surprises: DataFrame | None = None, series: dict[str, str] | None = None) -> DataFrame:
-    """All indicators of the registry.  Those of a side table that is not given are null, and 0 for the macro day."""
+#: The six static conditions and the direction of each.
+STATIC = {"c1_long": "long", "c1_short": "short", "c2_long": "long", "c2_short": "short", "c6_long": "long", "c6_short": "short"}
+
+
+def static_triggers(scale: int = 1) -> dict[str, Column]:
+    """Six conditions over a complete panel of `scale` bars a day: extreme funding (both ways), a wide bar on a release day against its own
+    direction, and an efficient trend on rising volume (both ways).  All windows are counted in days, on bars of hours too."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    frame = roll(20 * scale)
+    over_mean = lambda x, times: sure(F.when(F.count(x).over(frame) >= 10 * scale, x > times * F.avg(x).over(frame)))
+    z, moved = F.col("funding_zscore_30d"), INDICATORS["close_return_5d"].build(scale)
+    wide = over_mean(F.col("range_pct"), 1.5) & (F.col("is_macro_day") == 1)
+    strong = sure(INDICATORS["efficiency_ratio_20d"].build(scale) > 0.4) & over_mean(F.col("volume"), 1.8)
+    return {
+        "c1_long": sure((z < -2.0) & ~F.isnan(z)), "c1_short": sure((z > 2.0) & ~F.isnan(z)),
+        "c2_long": wide & sure(F.col("close") < F.col("open")), "c2_short": wide & sure(F.col("close") > F.col("open")),
+        "c6_long": strong & sure(moved > 0), "c6_short": strong & sure(moved < 0),
+    }
+
+
+def complete(
+    bars: DataFrame, funding: DataFrame | None = None, days: DataFrame | None = None, surprises: DataFrame | None = None,
+    series: dict[str, str] | None = None, scale: int = 1, daily: DataFrame | None = None, static: bool = False, rows: int = slices.ROWS,
+) -> DataFrame:
+    """All indicators of the registry.  Those of a side table that is not given are null, and 0 for the macro day.
+
+    scale: bars a day, 24 for bars of hours (d is their time then).  Such bars take the indicators that are daily by nature from `daily`, a
+    complete panel of days: a day's value holds from its first hour on.  static: also the static conditions, as columns of 0 and 1.
+    rows: of a slice of a symbol's history; the frames of all indicators run within slices, so a symbol is worked on by as
+    many tasks as it has slices.
+    """
     missing = F.lit(None).cast("double")
-    df = with_indicators(bars)
-    strength = wilder(bars).select("symbol", "d", F.nanvl("rsi", missing).alias("rsi_14d"), F.nanvl("atr_pct", missing).alias("atr_pct_14d"))
-    df = df.join(strength, ["symbol", "d"], "left")
-    df = with_funding(df, funding) if funding is not None else df.withColumn("funding_zscore_30d", missing)
-    df = with_macro_day(df, days) if days is not None else df.withColumn("is_macro_day", F.lit(0))
-    df = with_surprises(df, surprises, series) if surprises is not None and series else df
+    placed = slices.located(bars, rows)
+    if funding is not None:
+        placed = slices.filled(with_rate(placed, funding), "rate", rows=rows)
+    placed = with_macro_day(placed, days) if days is not None else placed.withColumn("is_macro_day", F.lit(0))
+    placed = cut(placed)
+    own = [n for n, i in INDICATORS.items() if i.build and (scale == 1 or not i.daily_native)]
+
+    def framed(df: DataFrame) -> DataFrame:
+        df = with_indicators(df, own, scale).withColumn("funding_zscore_30d", funding_score(scale) if funding is not None else missing)
+        return df.withColumns({n: c.cast("int") for n, c in static_triggers(scale).items()}) if static else df
+
+    df = slices.over_slices(placed, framed, REACH * scale, 0, rows)
+    if scale == 1:
+        strength = strengths(placed, rows=rows).select("symbol", "d", F.col("rsi").alias("rsi_14d"), F.col("atr_pct").alias("atr_pct_14d"))
+        df = df.join(strength, ["symbol", "d"], "left")
+        df = with_surprises(df, surprises, series) if surprises is not None and series else df
+    elif daily is not None:
+        native = [n for n in INDICATORS if n in named("daily_native") and n in daily.columns]
+        known = daily.select("symbol", F.col("d").cast("timestamp").alias("t"), *native)
+        df = slices.carried(known, df.withColumn("t", F.col("d").cast("timestamp")), *native, rows=rows).drop("t")
     return df.withColumns({n: missing for n in INDICATORS if n not in df.columns})
 
 
-# -- recursive indicators: a symbol's history is one group -----------------------------------------
+# -- recursive indicators: exponential means as a scan of maps ----------------------------------------
+
+
+def strengths(placed: DataFrame, n: int = 14, rows: int = slices.ROWS) -> DataFrame:
+    """symbol, d, rsi, atr_pct of located bars, with exponential means of weight 1/n: null before n values, and without a move.
+
+    The true range of a bar is what it spans with the close before it.
+    """
 
+    def moves(df: DataFrame) -> DataFrame:
+        before = F.lag("close").over(by_day())
+        moved, spans = F.col("close") - before, F.greatest("high", before) - F.least("low", before)
+        return df.withColumns({"up": F.greatest(moved, F.lit(0.0)), "down": F.greatest(-moved, F.lit(0.0)), "span": spans}).withColumns({c: F.when(moved.isNotNull(), F.col(c)) for c in ("up", "down")})
 
-def wilder(bars: DataFrame, n: int = 14) -> DataFrame:
-    """symbol, d, rsi, atr_pct with exponential means of weight 1/n, in one pass a symbol."""
+    bars = slices.over_slices(placed.select("symbol", "d", "high", "low", "close", "loc", "n_rows"), moves, 1, 0, rows)
+    means = {c: slices.mean_step(F.col(c), 1.0 / n) for c in ("up", "down", "span")}
+    counts = {f"n_{c}": slices.count_step(F.col(c)) for c in ("up", "span")}
+    known = slices.scanned(bars, means | counts)
+    rsi = F.when(F.col("n_up") >= n, 100 * F.try_divide(F.col("up"), F.col("up") + F.col("down")))
+    return known.select("symbol", "d", rsi.alias("rsi"), F.when(F.col("n_span") >= n, F.try_divide("span", "close")).alias("atr_pct"))
 
-    def of_symbol(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("d", ignore_index=True)
-        delta = p["close"].diff()
-        mean = lambda x: x.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-        gain, loss = mean(delta.clip(lower=0)), mean(-delta.clip(upper=0))
-        before = p["close"].shift()
-        true_range = pd.concat([p["high"] - p["low"], (p["high"] - before).abs(), (p["low"] - before).abs()], axis=1).max(axis=1)
-        rsi = 100 * gain / (gain + loss)
-        return pd.DataFrame({"symbol": p["symbol"], "d": p["d"], "rsi": rsi, "atr_pct": mean(true_range) / p["close"]})
 
-    return bars.select("symbol", "d", "high", "low", "close").groupBy("symbol").applyInPandas(of_symbol, "symbol string, d date, rsi double, atr_pct double")
+def wilder(bars: DataFrame, n: int = 14, rows: int = slices.ROWS) -> DataFrame:
+    """symbol, d, rsi, atr_pct."""
+    return strengths(cut(slices.located(bars, rows)), n, rows)
 
 
-def macd_cross(bars: DataFrame) -> DataFrame:
-    """symbol, d, crossed: the sign of the 12/26/9 histogram changed at this bar."""
+def macd_cross(bars: DataFrame, rows: int = slices.ROWS) -> DataFrame:
+    """symbol, d, crossed: the sign (up, down or none) of the 12/26/9 histogram is another one than at the bar before; no bar before counts as
+    no sign, as the first histogram of a symbol has none."""
+    weight = lambda span: 2.0 / (span + 1)
+    close = F.col("close")
+    lines = slices.scanned(cut(slices.located(bars.select("symbol", "d", "close"), rows)), {"fast": slices.mean_step(close, weight(12)), "slow": slices.mean_step(close, weight(26))})
+    line = F.col("fast") - F.col("slow")
+    signals = cut(slices.scanned(lines.withColumn("line", line), {"signal": slices.mean_step(F.col("line"), weight(9))}))
+    side = F.signum(F.col("line") - F.col("signal"))
 
-    def of_symbol(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("d", ignore_index=True)
-        line = p["close"].ewm(span=12, adjust=False).mean() - p["close"].ewm(span=26, adjust=False).mean()
-        up = (line - line.ewm(span=9, adjust=False).mean()) > 0
-        return pd.DataFrame({"symbol": p["symbol"], "d": p["d"], "crossed": up != up.shift(fill_value=up.iloc[0])})
+    def crossed(df: DataFrame) -> DataFrame:
+        return df.withColumn("side", side).withColumn("crossed", F.col("side") != F.coalesce(F.lag("side").over(by_day()), F.lit(0.0)))
 
-    return bars.select("symbol", "d", "close").groupBy("symbol").applyInPandas(of_symbol, "symbol string, d date, crossed boolean")
+    return slices.over_slices(signals, crossed, 1, 0, rows).select("symbol", "d", "crossed")
 
 
 # -- experiments ------------------------------------------------------------------------------------

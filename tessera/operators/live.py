@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.spacing import spaced
+
 
 def fired_within(df: DataFrame, fired: Column, rows: int) -> Column:
     """Whether it fired in the last so many rows of the symbol, this one included."""
@@ -41,20 +41,8 @@ def resolve(open_tests: DataFrame, bars: DataFrame, today: Column) -> DataFrame:
 
 
 def one_open_per_key(days: DataFrame, key: str | list[str], lasts: int) -> DataFrame:
-    """key, opened: the days that open a test, each `lasts` days or more after the one before it; a task has one key's distinct days."""
-    keys = [key] if isinstance(key, str) else key
-
-    def of_key(p: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(p["d"].to_numpy().astype("datetime64[D]"))
-        picked = []
-        k = 0
-        while k < len(at):
-            picked.append(k)
-            k = int(np.searchsorted(at, at[k] + np.timedelta64(lasts, "D")))
-        return pd.DataFrame({**{c: [p[c].iloc[0]] * len(picked) for c in keys}, "opened": at[picked].astype(object)})
-
-    kinds = dict(days.dtypes)
-    return days.select(*keys, "d").distinct().groupBy(*keys).applyInPandas(of_key, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", opened date")
+    """key, opened: the days that open a test, each `lasts` days or more after the one before it."""
+    return spaced(days, [key] if isinstance(key, str) else key, lasts).withColumnRenamed("d", "opened")
 
 
 def ledger(exits: DataFrame, seen: DataFrame, now: Column, keep_days: int = 365) -> tuple[DataFrame, DataFrame]:

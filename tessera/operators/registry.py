@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.bitmaps import pairs
+
 
 def appended(log: Column, entry: Column, keep: int = 104) -> Column:
     """The log with one entry more; the oldest fall out beyond the limit."""
@@ -83,11 +85,7 @@ def usage(calls: DataFrame) -> DataFrame:
 
 def cooccurrence(hits: DataFrame) -> DataFrame:
     """a, b, both, only_a, only_b for each pair of labels that share a firing."""
-    n = hits.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    x, y = (hits.select(F.col("label").alias(name), "symbol", "d") for name in "ab")
-    both = x.join(y, ["symbol", "d"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    of = lambda name: n.select(F.col("label").alias(name), F.col("n").alias(f"n_{name}"))
-    return both.join(of("a"), "a").join(of("b"), "b").select("a", "b", "both", (F.col("n_a") - F.col("both")).alias("only_a"), (F.col("n_b") - F.col("both")).alias("only_b"))
+    return pairs(hits).select("a", "b", "both", (F.col("n_a") - F.col("both")).alias("only_a"), (F.col("n_b") - F.col("both")).alias("only_b"))
 
 
 def digest(tests: DataFrame, since: Column) -> DataFrame:

@@ -31,22 +31,52 @@ def forward_by_loc(df: DataFrame, horizons) -> DataFrame:
     return df.select("symbol", "loc", F.explode(rows).alias("x")).select("symbol", "loc", "x.h", "x.base").where("base IS NOT NULL")
 
 
+def before_fold(yearly: DataFrame, of: DataFrame, by: list[str], upto: dict[str, Column]) -> DataFrame:
+    """by, fold and what `upto` says of all earlier years (running aggregates in order of period).  yearly: by, period and its figures; of: fold."""
+    earlier = Window.partitionBy(*by).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    every = yearly.select(*by).distinct().join(of.select(F.col("fold").alias("period")), F.lit(True)).join(yearly, [*by, "period"], "left")
+    known = yearly.join(every.select(*by, "period"), [*by, "period"], "left_anti").unionByName(every, allowMissingColumns=True)
+    rows = known.select(*by, "period", *[c.over(earlier).alias(n) for n, c in upto.items()])
+    return rows.join(of.select(F.col("fold").alias("period")), "period").withColumnRenamed("period", "fold")
+
+
 def spans(events: DataFrame, of: DataFrame, test: bool) -> DataFrame:
     """fold, symbol and the range of rows from the first to the last entry of its train or test events."""
-    joined = events.join(of, F.col("period") == F.col("fold") if test else F.col("period") < F.col("fold"))
-    return joined.groupBy("fold", "symbol").agg(F.min("entry_loc").alias("lo"), F.max("entry_loc").alias("hi"))
+    yearly = events.groupBy("symbol", "period").agg(F.min("entry_loc").alias("lo"), F.max("entry_loc").alias("hi"))
+    if test:
+        return yearly.join(of.select(F.col("fold").alias("period")), "period").select(F.col("period").alias("fold"), "symbol", "lo", "hi")
+    return before_fold(yearly, of, ["symbol"], {"lo": F.min("lo"), "hi": F.max("hi")}).where("lo IS NOT NULL").select("fold", "symbol", "lo", "hi")
 
 
 def baseline(forward: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows of `forward` inside each fold's range; folds are the years of a panel, a bounded set."""
-    return forward.join(ranges, "symbol").where(F.col("loc").between(F.col("lo"), F.col("hi")))
+    """fold, h, base_n, base_sum: the changes of the rows inside each fold's ranges, as differences of sums up to their ends.
+
+    forward: symbol, loc, h, base; ranges: fold, symbol, lo, hi, of rows that may be missing in forward.
+    """
+    sums = forward.select("symbol", "h", "loc", F.col("base").alias("v"), F.lit(None).cast("int").alias("fold"), F.lit(0).alias("side"))
+    ends = ranges.join(forward.select("h").distinct(), F.lit(True))
+    at = lambda c, side: ends.select("symbol", "h", c.cast(forward.schema["loc"].dataType).alias("loc"), F.lit(None).cast("double").alias("v"), F.col("fold").cast("int").alias("fold"), F.lit(side).alias("side"))
+    both = sums.unionByName(at(F.col("lo") - 1, -1)).unionByName(at(F.col("hi"), 1))
+    order = Window.partitionBy("symbol", "h").orderBy("loc", F.abs("side")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = both.withColumns({"n": F.count("v").over(order), "s": F.coalesce(F.sum("v").over(order), F.lit(0.0))}).where("side <> 0")
+    signed = lambda c: F.sum(F.col("side") * F.col(c))
+    return upto.groupBy("fold", "h").agg(signed("n").alias("base_n"), signed("s").alias("base_sum")).where("base_n > 0")
+
+
+def training(long_events: DataFrame, of: DataFrame) -> DataFrame:
+    """fold, h and of the events of earlier years n, mean, sd, mfe_anchor, mae_anchor."""
+    x = F.col("fwd")
+    yearly = long_events.groupBy("h", "period").agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.sum("mfe").alias("f"), F.sum(F.abs("mae")).alias("a"), F.count("mfe").alias("c"))
+    known = before_fold(yearly, of, ["h"], {c: F.sum(c) for c in ("n", "s", "q", "f", "a", "c")})
+    n, s = F.col("n"), F.col("s")
+    spread = F.sqrt(F.greatest(F.lit(0.0), (F.col("q") - s * s / n) / (n - 1)))
+    return known.where("c > 0").select("fold", "h", "n", F.try_divide(s, n).alias("mean"), F.when(n > 1, spread).alias("sd"), (F.col("f") / F.col("c")).alias("mfe_anchor"), (F.col("a") / F.col("c")).alias("mae_anchor"))
 
 
 def select_horizon(long_events: DataFrame, of: DataFrame, train_baseline: DataFrame) -> DataFrame:
     """fold, h: the greatest (mean - baseline mean) over deviation on the train events; ties go to the least h."""
-    train = long_events.join(of, F.col("period") < F.col("fold")).groupBy("fold", "h").agg(F.avg("fwd").alias("m"), F.stddev_samp("fwd").alias("sd"))
-    base = train_baseline.groupBy("fold", "h").agg(F.avg("base").alias("b"))
-    score = train.join(base, ["fold", "h"]).withColumn("score", F.try_divide(F.col("m") - F.col("b"), F.col("sd")))
+    base = train_baseline.select("fold", "h", (F.col("base_sum") / F.col("base_n")).alias("b"))
+    score = training(long_events, of).join(base, ["fold", "h"]).withColumn("score", F.try_divide(F.col("mean") - F.col("b"), F.col("sd")))
     best = Window.partitionBy("fold").orderBy(F.col("score").desc_nulls_last(), "h")
     return score.withColumn("n", F.row_number().over(best)).where("n = 1").select("fold", "h", "score")
 

@@ -16,10 +16,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.series import HORIZONS, by_day, carried, is_true, usable
+from tessera.functions import slices
+from tessera.functions.series import HORIZONS, by_day, is_true, usable
 from tessera.functions.text import WORDS
-from tessera.operators.events import greedy_count
-from tessera.operators.indicators import INDICATORS, named, with_indicators
+from tessera.operators.bitmaps import jaccard
+from tessera.operators.indicators import INDICATORS, named
+from tessera.operators.spacing import spaced
+from tessera.sources.state import cut
 
 MAX_WITHIN, MAX_CLAUSES, MAX_PROPOSALS, MAX_OVERLAP = 14, 2, 2, 0.6
 MIN_OCCURRENCES, MIN_EPISODES = 120, 40
@@ -170,42 +173,27 @@ def occurrences(panel: DataFrame, specs: list[Spec]) -> DataFrame:
     return fired.select("symbol", "d", F.explode(F.filter(rows, lambda r: r["hit"])).alias("r")).select("r.label", "symbol", "d")
 
 
-def occurrences_hourly(hourly: DataFrame, daily: DataFrame, specs: list[Spec]) -> DataFrame:
+def occurrences_hourly(hourly: DataFrame, daily: DataFrame, specs: list[Spec], rows: int = slices.ROWS) -> DataFrame:
     """label, symbol, ts of every hour on which a specification fires.
 
-    hourly: symbol, ts and bars; daily: a complete panel of days.  A clause on an indicator that is daily by nature is judged on the
-    daily panel, its reach included, and carried to the hours from that day on; the others are judged on hours, 24 to a day.
+    hourly, daily: complete panels of hours (24 to a day) and of days.  A clause on an indicator that is daily by nature is judged on
+    the daily panel, its reach included, and holds from the day's first hour on; the others are judged on hours.
     """
     clauses = list(dict.fromkeys(c for s in specs for c in s.clauses))
     native = [c for c in clauses if c.indicator in named("daily_native")]
     names = {c: f"__c{k}" for k, c in enumerate(clauses)}
-    own = sorted({c.indicator for c in clauses} - {c.indicator for c in native})
-    panel = with_indicators(hourly.withColumnRenamed("ts", "d"), [n for n in own if INDICATORS[n].build], 24)
-    if "is_macro_day" in own or "funding_zscore_30d" in own:
-        side = daily.select("symbol", F.col("d").cast("timestamp").alias("t"), *(n for n in ("is_macro_day", "funding_zscore_30d") if n in own))
-        panel = carried(side, panel.withColumn("t", F.col("d")), *(c for c in side.columns if c not in ("symbol", "t"))).drop("t")
-    panel = panel.withColumns({names[c]: c.column(24) for c in clauses if c not in native})
+    own = {names[c]: c.column(24) for c in clauses if c not in native and not c.within_days}
+    reach = max((c.within_days for c in clauses if c not in native), default=0)
+    panel = hourly.withColumns(own)
+    if reach:
+        later = lambda df: df.withColumns({names[c]: c.column(24) for c in clauses if c not in native and c.within_days})
+        panel = slices.over_slices(panel, later, reach * 24, 0, rows)
     if native:
         judged = daily.withColumns({names[c]: c.column() for c in native}).withColumn("t", F.col("d").cast("timestamp"))
-        panel = carried(judged, panel.withColumn("t", F.col("d")), *(names[c] for c in native))
+        panel = slices.carried(judged, panel.withColumn("t", F.col("d").cast("timestamp")), *(names[c] for c in native), rows=rows)
     fired = lambda s: reduce(lambda a, b: a & b, (is_true(F.col(names[c])) for c in s.clauses)) & (F.col("symbol").isin(*s.coins) if s.coins else F.lit(True))
-    rows = F.array(*[F.when(fired(s), F.lit(s.label)) for s in specs])
-    return panel.select("symbol", F.col("d").alias("ts"), F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("label")).select("label", "symbol", "ts")
-
-
-def agreement(hits: DataFrame, all_pairs: bool = False) -> DataFrame:
-    """a, b, jaccard of each pair of labels that share a firing: from their counts and one join on (symbol, d).
-
-    all_pairs: also those that share none, at 0.
-    """
-    n = hits.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    both = hits.alias("x").join(hits.alias("y"), ["symbol", "d"]).where("x.label < y.label").groupBy(F.col("x.label").alias("a"), F.col("y.label").alias("b")).agg(F.count(F.lit(1)).alias("both"))
-    left, right = n.select(F.col("label").alias("a"), F.col("n").alias("na")), n.select(F.col("label").alias("b"), F.col("n").alias("nb"))
-    if all_pairs:  # a row for each pair of labels, which are few
-        joined = left.join(right, F.col("a") < F.col("b")).join(both, ["a", "b"], "left").fillna(0, ["both"])
-    else:
-        joined = both.join(left, "a").join(right, "b")
-    return joined.select("a", "b", "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+    hits = F.array(*[F.when(fired(s), F.lit(s.label)) for s in specs])
+    return panel.select("symbol", F.col("d").alias("ts"), F.explode(F.filter(hits, lambda r: r.isNotNull())).alias("label")).select("label", "symbol", "ts")
 
 
 def testability(panel: DataFrame, specs: list[Spec]) -> DataFrame:
@@ -214,9 +202,10 @@ def testability(panel: DataFrame, specs: list[Spec]) -> DataFrame:
     An episode starts as many days after the one before it as the longest horizon has.
     """
     known = panel.sparkSession.createDataFrame([(s.label, max(s.horizons)) for s in specs], "label string, apart int")
-    by_symbol = occurrences(panel, specs).groupBy("label", "symbol").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("d")).alias("days")).join(known, "label")
-    counted = by_symbol.withColumn("episodes", greedy_count("days", F.col("apart"))).groupBy("label").agg(F.sum("n").alias("n"), F.sum("episodes").alias("episodes"))
-    rows = known.select("label").join(counted, "label", "left").fillna(0)
+    hits = cut(occurrences(panel, specs).join(known, "label"))
+    counted = hits.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    opened = spaced(hits, ["label", "symbol"], F.col("apart")).groupBy("label").agg(F.count(F.lit(1)).alias("episodes"))
+    rows = known.select("label").join(counted, "label", "left").join(opened, "label", "left").fillna(0)
     rare = F.concat(F.lit("occurred "), F.col("n").cast("string"), F.lit(f" times of {MIN_OCCURRENCES} needed"))
     near = F.concat(F.lit("occurred on only "), F.col("episodes").cast("string"), F.lit(f" separate occasions of {MIN_EPISODES} needed"))
     reason = F.when(F.col("n") < MIN_OCCURRENCES, rare).when(F.col("episodes") < MIN_EPISODES, near)
@@ -236,7 +225,7 @@ def relax_until_testable(panel: DataFrame, specs: list[Spec]) -> dict[str, tuple
 
 def distinct_proposals(panel: DataFrame, specs: list[Spec]) -> tuple[list[Spec], dict[str, str]]:
     """The first of those that fire on the same days, and for each that is dropped the label it repeats; one job for all pairs."""
-    same = {(r.a, r.b) for r in agreement(occurrences(panel, specs)).where(F.col("jaccard") > MAX_OVERLAP).collect()}
+    same = {(r.a, r.b) for r in jaccard(occurrences(panel, specs)).where(F.col("jaccard") > MAX_OVERLAP).collect()}
     kept: list[Spec] = []
     dropped: dict[str, str] = {}
     for s in specs:

@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import slices
 from tessera.functions.series import ahead, by_day
 from tessera.operators import events as E
 from tessera.operators import indicators as I  # noqa: E741
 from tessera.operators import walkforward as W
-from tessera.plans.grammar import Spec
+from tessera.plans.grammar import Clause, Spec
 from tessera.sources.state import cut
 
 
@@ -38,18 +39,29 @@ class Sides:
         return Sides(known(self.funding, "d"), known(self.days, "d"), known(self.surprises, "published"), self.series)
 
 
-def measured(panel: DataFrame, horizons: list[int], relative: bool) -> DataFrame:
-    """The panel with what a trade that a row triggers would meet: price, path, and for each horizon the greatest and least price,
+def measured(panel: DataFrame, horizons: list[int], relative: bool, rows: int = slices.ROWS) -> DataFrame:
+    """The panel with what a trade that a row triggers would meet: price, and for each horizon the greatest and least price,
     the change of the close from each row (`base`) and, if asked for, that change less the basket's (`apart`)."""
-    columns = {"price": F.lead("open", 1).over(by_day()), "path": E.path_frame(max(horizons)), "regime": E.regime(), "period": F.year("d")}
-    for h in horizons:
-        columns |= {f"top_{h}": F.max("high").over(ahead(2, 1 + h)), f"bottom_{h}": F.min("low").over(ahead(2, 1 + h)), f"base_{h}": F.try_divide(F.lead("close", h).over(by_day()), F.col("close")) - 1}
-    df = panel.withColumns(columns)
-    for h in horizons:
-        if relative:
-            df = df.join(E.basket(panel, h).withColumnRenamed("basket", f"basket_{h}"), "d", "left")
-        df = df.withColumn(f"apart_{h}", E.market_adjusted(F.col(f"base_{h}"), F.col(f"basket_{h}")) if relative else F.col(f"base_{h}"))
-    return df.withColumns({f"{k}_from_{h}": F.lead(f"{k}_{h}", 1).over(by_day()) for h in horizons for k in ("base", "apart")})
+
+    def ahead_of(df: DataFrame) -> DataFrame:
+        columns = {"price": F.lead("open", 1).over(by_day()), "regime": E.regime(), "period": F.year("d")}
+        for h in horizons:
+            columns |= {f"top_{h}": F.max("high").over(ahead(2, 1 + h)), f"bottom_{h}": F.min("low").over(ahead(2, 1 + h)), f"base_{h}": F.try_divide(F.lead("close", h).over(by_day()), F.col("close")) - 1}
+        df = df.withColumns(columns)
+        for h in horizons:
+            if relative:
+                df = df.join(E.basket(panel, h).withColumnRenamed("basket", f"basket_{h}"), "d", "left")
+            df = df.withColumn(f"apart_{h}", E.market_adjusted(F.col(f"base_{h}"), F.col(f"basket_{h}")) if relative else F.col(f"base_{h}"))
+        return df.withColumns({f"{k}_from_{h}": F.lead(f"{k}_{h}", 1).over(by_day()) for h in horizons for k in ("base", "apart")})
+
+    return slices.over_slices(panel, ahead_of, 0, max(horizons) + 2, rows)
+
+
+def paths(panel: DataFrame, fired: DataFrame, most: int, rows: int = slices.ROWS) -> DataFrame:
+    """symbol, entry_loc, path of each row of the panel that fires for any candidate, once."""
+    bars = panel.select("symbol", "d", "loc", "n_rows", "high", "low")
+    met = slices.over_slices(bars, lambda df: df.withColumn("path", E.path_frame(most)), 0, most + 2, rows).select("symbol", (F.col("loc") + 1).alias("entry_loc"), "path")
+    return met.join(fired.select("symbol", "entry_loc").distinct(), ["symbol", "entry_loc"], "left_semi")
 
 
 def candidates(spark, specs: list[Spec]) -> DataFrame:
@@ -67,25 +79,29 @@ def control(spec: Spec) -> Spec | None:
     return rest if rest is not None and len(rest.clauses) < len(spec.clauses) else None
 
 
-def firings(df: DataFrame, specs: list[Spec], of: DataFrame, horizons: list[int]) -> DataFrame:
+def firings(df: DataFrame, specs: list[Spec], of: DataFrame, horizons: list[int], rows: int = slices.ROWS) -> DataFrame:
     """A row for each candidate and row of the panel that fires, treated or as its control.
 
     Bars in a shock give no event, unless the specification asks for shocks; nor do those whose longest horizon is not complete.
     """
-    flags = {f"__t{k}": s.column() for k, s in enumerate(specs)}
-    flags |= {f"__c{k}": c.column() for k, s in enumerate(specs) if (c := control(s)) is not None}
-    df = df.withColumns(flags)
-    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__t{k}").alias("treated"), (F.col(f"__c{k}") if f"__c{k}" in flags else F.lit(False)).alias("state")) for k in range(len(specs))])
+    controls = {k: c for k, s in enumerate(specs) if (c := control(s)) is not None}
+
+    def flagged(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"__t{k}": s.column() for k, s in enumerate(specs)} | {f"__c{k}": c.column() for k, c in controls.items()})
+
+    reach = max(c.within_days for s in specs for c in s.clauses)
+    df = slices.over_slices(df, flagged, reach, 0, rows) if reach else flagged(df)
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__t{k}").alias("treated"), (F.col(f"__c{k}") if k in controls else F.lit(False)).alias("state")) for k in range(len(specs))])
     out = lambda h: F.struct(F.lit(h).alias("h"), F.col(f"top_{h}").alias("top"), F.col(f"bottom_{h}").alias("bottom"), F.col(f"base_from_{h}").alias("base"), F.col(f"apart_from_{h}").alias("apart"))
-    fired = df.select("symbol", "d", "loc", "n_rows", "price", "path", "regime", "period", F.array(*map(out, horizons)).alias("outs"), F.explode(F.filter(each, lambda x: x["treated"] | x["state"])).alias("x"))
-    rows = fired.select("*", "x.*").drop("x").join(of, "k")
-    rows = rows.where(((F.col("regime") == "normal") | F.col("shocks")) & (F.col("loc") + 1 + F.col("most") < F.col("n_rows")) & (F.col("price") > 0))
+    fired = df.select("symbol", "d", "loc", "n_rows", "price", "regime", "period", F.array(*map(out, horizons)).alias("outs"), F.explode(F.filter(each, lambda x: x["treated"] | x["state"])).alias("x"))
+    met = fired.select("*", "x.*").drop("x").join(of, "k")
+    met = met.where(((F.col("regime") == "normal") | F.col("shocks")) & (F.col("loc") + 1 + F.col("most") < F.col("n_rows")) & (F.col("price") > 0))
     sign, price = F.col("sign"), F.col("price")
     best = lambda x, good: F.when((sign > 0) == F.lit(good), x["top"]).otherwise(x["bottom"])
     moved = lambda x, good: sign * (F.try_divide(best(x, good), price) - 1)
     value = lambda x: sign * F.when(F.col("relative"), x["apart"]).otherwise(x["base"])
     told = F.transform(F.filter("outs", lambda x: F.array_contains("horizons", x["h"])), lambda x: F.struct(x["h"].alias("h"), moved(x, True).alias("mfe"), moved(x, False).alias("mae"), value(x).alias("value")))
-    return rows.select("k", "treated", "state", "symbol", F.col("d").alias("trigger_d"), (F.col("loc") + 1).alias("entry_loc"), "period", F.col("price").alias("entry_price"), "path", "sign", told.alias("outs"))
+    return met.select("k", "treated", "state", "symbol", F.col("d").alias("trigger_d"), (F.col("loc") + 1).alias("entry_loc"), "period", F.col("price").alias("entry_price"), "sign", told.alias("outs"))
 
 
 def trained(long: DataFrame, folds: DataFrame) -> DataFrame:
@@ -99,11 +115,15 @@ def trained(long: DataFrame, folds: DataFrame) -> DataFrame:
     return rows.select("k", F.col("period").alias("fold"), "h", "n", (F.col("s") / n).alias("mean"), F.when(n > 1, spread).alias("sd"), (F.col("f") / n).alias("mfe_anchor"), (F.col("a") / n).alias("mae_anchor"))
 
 
-def running(df: DataFrame, horizons: list[int]) -> DataFrame:
+def running(df: DataFrame, horizons: list[int], rows: int = slices.ROWS) -> DataFrame:
     """symbol, loc, h, and up to each row the count and sum of the usable changes, raw and apart from the basket."""
-    rows = df.select("symbol", "loc", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"base_{h}").alias("base"), F.col(f"apart_{h}").alias("apart")) for h in horizons])).alias("x")).select("symbol", "loc", "x.*")
-    w = Window.partitionBy("symbol", "h").orderBy("loc").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("symbol", "h", "loc", F.count("base").over(w).alias("c"), F.coalesce(F.sum("base").over(w), F.lit(0.0)).alias("base"), F.coalesce(F.sum("apart").over(w), F.lit(0.0)).alias("apart"))
+    sums = {}
+    for h in horizons:
+        usable = F.col(f"base_{h}").isNotNull()
+        sums |= {f"c_{h}": usable.cast("long"), f"s_{h}": F.when(usable, F.col(f"base_{h}")), f"a_{h}": F.when(usable, F.col(f"apart_{h}"))}
+    known = slices.summed(df.select("symbol", "loc", *[f"{k}_{h}" for h in horizons for k in ("base", "apart")]), sums, rows)
+    each = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"c_{h}").alias("c"), F.col(f"s_{h}").cast("double").alias("base"), F.col(f"a_{h}").cast("double").alias("apart")) for h in horizons])
+    return known.select("symbol", "loc", F.explode(each).alias("x")).select("symbol", "x.h", "loc", "x.c", "x.base", "x.apart")
 
 
 def trained_baseline(spans: DataFrame, folds: DataFrame, of: DataFrame, sums: DataFrame) -> DataFrame:
@@ -144,18 +164,21 @@ def incremental_pool(fired: DataFrame, chosen: DataFrame, of: DataFrame) -> Data
     return met.groupBy("k", "fold").agg(ordered.alias("base")).select("k", F.col("fold").cast("string").alias("chunk"), "base")
 
 
-def barrier_trades(treated: DataFrame, train: DataFrame, folds: DataFrame) -> tuple[DataFrame, DataFrame]:
+def barrier_trades(treated: DataFrame, path_of: DataFrame, train: DataFrame, folds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Out-of-sample trades (k, symbol, period, trigger_d, outcome, net_return) and the settings behind them (k, fold, tp, sl, n, sortino).
 
-    Anchors come from the training years; each fold takes the setting that served them best, and trades its own year with it.
+    Anchors come from the training years; each fold takes the setting that served them best, and trades its own year with it.  An event
+    meets all later folds of its candidate as one array, and its path once.
     """
-    levels = train.groupBy("k", "fold").agg(F.array_sort(F.collect_list(F.struct("h", F.col("mfe_anchor").alias("mfe"), F.col("mae_anchor").alias("mae")))).alias("levels"))
-    met = treated.select("k", "symbol", "period", "trigger_d", "entry_price", "path", "sign").join(levels.join(folds.select("k", "fold"), ["k", "fold"]), "k").where(F.col("period") <= F.col("fold"))
-    result = lambda df: df.withColumn("r", E.trade(F.col("path"), F.col("entry_price"), F.col("sign"), F.col("levels"), F.col("tp"), F.col("sl")))
-    past = met.where(F.col("period") < F.col("fold")).select("*", F.explode(E.settings()).alias("g")).select("*", "g.tp", "g.sl")
-    settings = cut(E.chosen_setting(result(past).select("k", "fold", "tp", "sl", F.col("r.net").alias("net_return")), ["k", "fold"]))
-    own = met.where(F.col("period") == F.col("fold")).join(settings.select("k", "fold", "tp", "sl"), ["k", "fold"])
-    return result(own).select("k", "symbol", "period", "trigger_d", F.col("r.outcome").alias("outcome"), F.col("r.net").alias("net_return")), settings
+    anchors = F.array_sort(F.collect_list(F.struct("h", F.col("mfe_anchor").alias("mfe"), F.col("mae_anchor").alias("mae"))))
+    levels = cut(train.groupBy("k", "fold").agg(anchors.alias("levels")).join(folds.select("k", "fold"), ["k", "fold"]))
+    per = levels.groupBy("k").agg(F.collect_list(F.struct("fold", "levels")).alias("folds"))
+    met = treated.select("k", "symbol", "period", "trigger_d", "entry_loc", "entry_price", "sign").join(path_of, ["symbol", "entry_loc"])
+    results = E.grid_results(met.join(per, "k"), F.col("folds"), ["k"], E.MULTIPLES, E.MULTIPLES)
+    settings = cut(E.best_setting(results, ["k", "fold"]).select("k", "fold", "tp", "sl", "n", "sortino"))
+    chosen = levels.join(settings.select("k", "fold", "tp", "sl"), ["k", "fold"]).withColumnRenamed("fold", "period")
+    own = met.join(chosen, ["k", "period"]).withColumn("r", E.trade(F.col("path"), F.col("entry_price"), F.col("sign"), F.col("levels"), F.col("tp"), F.col("sl")))
+    return own.select("k", "symbol", "period", "trigger_d", F.col("r.outcome").alias("outcome"), F.col("r.net").alias("net_return")), settings
 
 
 @dataclass(frozen=True)
@@ -187,7 +210,8 @@ def evidence(panel: DataFrame, specs: list[Spec]) -> Evidence:
     chosen = cut(chosen_horizon(train, trained_baseline(spans, folds, of, running(df, horizons))))
     outcomes = long.withColumnRenamed("period", "fold").join(chosen.select("k", "fold", "h"), ["k", "fold", "h"]).withColumnRenamed("fold", "period").where("value IS NOT NULL")
     pool = unconditional_pool(spans, chosen, of, df, horizons).unionByName(incremental_pool(fired, chosen, of))
-    return Evidence(of, fired, folds, train, chosen, cut(outcomes), pool, *barrier_trades(treated, train, folds))
+    path_of = cut(paths(df, treated, max(horizons)))
+    return Evidence(of, fired, folds, train, chosen, cut(outcomes), pool, *barrier_trades(treated, path_of, train, folds))
 
 
 def verdicts(e: Evidence, reps: int = 2000) -> DataFrame:
@@ -213,26 +237,6 @@ def verdicts(e: Evidence, reps: int = 2000) -> DataFrame:
     return rows.drop("k", "ok", "sign", "horizons", "most", "shocks", "relative", "one_symbol", "contrast", "by_symbol_traded", "by_year_traded", "by_symbol_traded_share", "by_year_traded_share", "by_symbol_traded_dominant", "by_year_traded_dominant")
 
 
-def static_specs() -> list[str]:
-    """The columns of `static_triggers`, each a candidate of its own."""
-    return ["c1_long", "c1_short", "c2_long", "c2_short", "c6_long", "c6_short"]
-
-
-def static_triggers(panel: DataFrame, scale: int = 1) -> dict[str, Column]:
-    """Six conditions over a complete panel: extreme funding (both ways), a wide bar on a release day against its own direction,
-    and an efficient trend on rising volume (both ways)."""
-    w = by_day().rowsBetween(-(20 * scale - 1), 0)
-    least = lambda x, limit: F.when(F.count(x).over(w) >= 10 * scale, x > limit * F.avg(x).over(w))
-    sure = lambda c: F.coalesce(c, F.lit(False))
-    z, wide = F.col("funding_zscore_30d"), sure(least(F.col("range_pct"), 1.5)) & (F.col("is_macro_day") == 1)
-    strong = sure(F.col("efficiency_ratio_20d") > 0.4) & sure(least(F.col("volume"), 1.8))
-    return {
-        "c1_long": sure((z < -2.0) & ~F.isnan(z)), "c1_short": sure((z > 2.0) & ~F.isnan(z)),
-        "c2_long": wide & sure(F.col("close") < F.col("open")), "c2_short": wide & sure(F.col("close") > F.col("open")),
-        "c6_long": strong & sure(F.col("close_return_5d") > 0), "c6_short": strong & sure(F.col("close_return_5d") < 0),
-    }
-
-
 def run(bars: DataFrame, specs: list[Spec], as_of: date | None = None, reps: int = 2000, sides: Sides | None = None, with_static: bool = False) -> DataFrame:
     """A row a specification, and with `with_static` one for each of the six static conditions.
 
@@ -246,21 +250,16 @@ def run(bars: DataFrame, specs: list[Spec], as_of: date | None = None, reps: int
     sides = sides or Sides()
     if as_of is not None:
         bars, sides = bars.where(F.col("d") <= F.lit(as_of)), sides.until(as_of)
-    panel = I.complete(bars, sides.funding, sides.days, sides.surprises, sides.series)
-    if with_static:
-        panel, specs = with_static_specs(panel, specs)
+    panel = I.complete(bars, sides.funding, sides.days, sides.surprises, sides.series, static=with_static)
+    specs = [*static_specs(), *specs] if with_static else specs
     failed = [(label, f"unknown indicators {', '.join(names)}") for label, names in lacks.items() if names]
     errors = bars.sparkSession.createDataFrame(failed, "candidate string, reason string").withColumn("status", F.lit("error"))
     return verdicts(evidence(panel, specs), reps).unionByName(errors, allowMissingColumns=True) if specs else errors
 
 
-def with_static_specs(panel: DataFrame, specs: list[Spec]) -> tuple[DataFrame, list[Spec]]:
-    """The panel with the static conditions as columns, and their specifications before the others."""
-    from tessera.plans.grammar import Clause
-
-    flags = static_triggers(panel)
-    made = [Spec(name, (Clause(name, ">=", 1.0),), "long" if name.endswith("long") else "short") for name in flags]
-    return panel.withColumns({name: c.cast("int") for name, c in flags.items()}), [*made, *specs]
+def static_specs() -> list[Spec]:
+    """The static conditions as specifications over their columns in a complete panel."""
+    return [Spec(name, (Clause(name, ">=", 1.0),), direction) for name, direction in I.STATIC.items()]
 
 
 def shutdown(battery: DataFrame, dropped: DataFrame) -> bool:

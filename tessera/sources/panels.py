@@ -40,6 +40,18 @@ def bars_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ohlc(events, ["symbol", "hour"], "value", ["ts", "event_id"], F.count(F.lit(1))).withColumnRenamed("hour", "ts")
 
 
+def funding_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A side series of days for the symbols of the hourly bars: the mean value of the day."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.to_date("ts").alias("d"), "value")
+    return events.groupBy("symbol", "d").agg(F.avg("value").alias("rate"))
+
+
+def error_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which more than a fifth of the events are errors."""
+    by_day = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("d")).agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count(F.lit(1)).alias("n"))
+    return by_day.where(5 * F.col("errors") > F.col("n")).select("d")
+
+
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A side series with gaps: the daily mean, on every third day of the month."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("d"), "l_discount")

@@ -219,7 +219,10 @@ def test_trades_in_both_directions(spark):
 
 def test_a_first_setting_without_a_ratio_sticks(spark):
     rows = [("a", 0.6, 0.6, 0.0), ("a", 0.6, 0.8, 0.01), ("a", 0.6, 0.8, -0.005), ("b", 0.6, 0.6, -0.01), ("b", 1.0, 0.6, 0.02), ("b", 1.0, 0.6, -0.01), ("b", 1.0, 0.8, 0.02), ("b", 1.0, 0.8, -0.01)]
-    got = {r.f: (r.tp, r.sl) for r in E.chosen_setting(spark.createDataFrame(rows, "f string, tp double, sl double, net_return double"), ["f"]).collect()}
+    place = {x: n for n, x in enumerate((0.6, 0.8, 1.0))}
+    sums = [(f, tp, sl, len(v), sum(v), sum(min(x, 0.0) ** 2 for x in v), 5 * place[tp] + place[sl]) for (f, tp, sl), v in {k: [x for *q, x in rows if tuple(q) == k] for k in {tuple(r[:3]) for r in rows}}.items()]
+    results = spark.createDataFrame(sums, "f string, tp double, sl double, n long, total double, worst double, place int").withColumns({"wins": F.lit(0), "losses": F.lit(0)})
+    got = {r.f: (r.tp, r.sl) for r in E.best_setting(results, ["f"]).collect()}
     assert got == {"a": (0.6, 0.6), "b": (1.0, 0.6)}
 
 
@@ -293,8 +296,6 @@ def test_exact_rank_test_and_tail(spark):
             assert math.isclose(stats.exact_mann_whitney(u, n1, n2), sum(x >= u for x in us) / len(us))
     z = spark.createDataFrame([(x,) for x in (-3.0, -0.5, 0.0, 1.0, 2.5)], "z double").select("z", stats.normal_tail(F.col("z")).alias("p")).collect()
     assert all(abs(r.p - 0.5 * math.erfc(r.z / math.sqrt(2))) < 2e-7 for r in z)
-    sim = {r.quality: r for r in stats.fdr_simulation(spark, [0.0, 0.9], 300).collect()}
-    assert sim[0.9].found > sim[0.0].found and sim[0.0].fdr < 0.08
 
 
 def test_files_locks_and_cadence(spark, tmp_path):
