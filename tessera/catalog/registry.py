@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from tessera.catalog import sql as S
@@ -151,6 +153,16 @@ def latest_tests(s, d):
     return tests(s, d).groupBy("candidate").agg(F.count_if(closed).alias("closed"), F.count_if(~closed).alias("open"), F.max(F.when(closed, F.struct("entry_d", "coin"))).alias("last")).select("candidate", "closed", "open", F.col("last.entry_d").alias("last_d"), F.col("last.coin").alias("last_coin"))
 
 
+#: A year of Mondays, as of each of which the battery is judged.
+WEEKS = [date(1999, 1, 4) + timedelta(weeks=k) for k in range(52)]
+
+
+def weekly(s, d):
+    """The verdicts of a year's weekly replay, all days in one plan."""
+    found = study.run(panels.bars_1d(s, d), SPECS, WEEKS, sides=sides_of(s, d), with_static=True)
+    return found.select("as_of", "candidate", "n", "mean", "baseline_mean", "p", "sortino", "ratio", "status", "fdr_significant")
+
+
 QUERIES = {
     "evt_market_return_short": lambda s, d: R.market_return(panels.bars_1d(s, d), panels.literal_days(s), 7, "short").select("day", F.round("market", 6).alias("market")),
     "wf_without_nan": lambda s, d: walkforward.without_nan(battery(s, d).select("candidate", F.when(F.col("candidate") % 3 == 0, float("nan")).otherwise(F.col("ratio")).alias("ratio"))).select("candidate", F.round("ratio", 6).alias("ratio")),
@@ -165,6 +177,7 @@ QUERIES = {
     "agg_status_report": status_report,
     "wf_advice_reason": lambda s, d: advised(s, d).select("candidate", "advice", "advice_reason"),
     "agg_usage_cost": usage,
+    "wf_battery_weekly": weekly,
     "wf_battery": lambda s, d: study.run(panels.bars_1d(s, d), SPECS, sides=sides_of(s, d), with_static=True).select("candidate", "n", "mean", "baseline_mean", "p", "p_two_sided", "sortino", "ratio", "status", "reason", "advice", "fdr_significant"),
     "stm_status_latest": lambda s, d: R.latest_status(history(s, d)).withColumnRenamed("at", "updated"),
     "stm_status_append": bounded_log,

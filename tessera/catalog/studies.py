@@ -73,9 +73,8 @@ def grid(s, d, whole=False):
     """Of each fold's training events under all settings: the best setting, or all."""
     ev = events(s, d)
     levels = F.array_sort(F.collect_list(F.struct("h", F.col("mfe_anchor").alias("mfe"), F.col("mae_anchor").alias("mae"))))
-    per = walkforward.training(E.long_form(ev), walkforward.folds(ev)).groupBy("fold").agg(levels.alias("levels")).agg(F.collect_list(F.struct("fold", "levels")).alias("folds"))
-    met = ev.select("period", "entry_price", "path", F.lit(1).alias("sign")).join(per, F.lit(True))
-    results = E.grid_results(met, F.col("folds"), [], E.MULTIPLES, E.MULTIPLES)
+    per = walkforward.training(E.long_form(ev), walkforward.folds(ev)).groupBy("fold").agg(levels.alias("levels"))
+    results = E.grid_results(ev.withColumn("sign", F.lit(1)), per, [], ["symbol", "entry_loc"])
     rows = results.withColumn("sortino", E.grid_ratio()) if whole else E.best_setting(results, ["fold"])
     return rows.withColumn("win_rate", F.try_divide("wins", F.col("wins") + F.col("losses"))).select("fold", "tp", "sl", "n", *rounded("sortino", "win_rate"))
 

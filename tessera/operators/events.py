@@ -110,32 +110,45 @@ def trade(path: Column, price: Column, sign: Column, levels: Column, tp: Column,
     return F.struct(outcome.alias("outcome"), net.alias("net"))
 
 
-def grid_results(events: DataFrame, folds: Column, by: list[str], tps: tuple[float, ...], sls: tuple[float, ...]) -> DataFrame:
-    """by, fold, tp, sl, n, wins, losses, total, worst: the results of all settings on the events before each fold (total of the net returns
-    and of the squares of negative ones).
+def first_bars(events: DataFrame, levels: DataFrame, by: list[str], event: list[str], tps: tuple[float, ...], sls: tuple[float, ...]) -> DataFrame:
+    """by, event, fold, middle, and of each multiple the first bar, from 1, that reaches the target (up_i) or the stop (down_j), null if none does.
 
-    events: by, period, entry_price, path, sign; folds: an array of (fold, levels).  One row leaves an event for each later fold: the first bars on
-    which each multiple of its levels is reached, from which all settings follow, so neither event nor path is copied a setting.
+    A row a bar meets the levels of its distance in each later fold, and the least bar of an event and fold is found before anything is shuffled.
     """
     path, price, sign = (F.col(c) for c in ("path", "entry_price", "sign"))
+    of_bar = levels.select(*by, "fold", F.posexplode(F.arrays_zip(per_bar(F.col("levels"), "mfe").alias("gain"), per_bar(F.col("levels"), "mae").alias("loss"))).alias("o", "x")).select(*by, "fold", (F.col("o") + 1).alias("o"), "x.gain", "x.loss")
+    bars = events.select(*by, *event, "period", "entry_price", "sign", timed_out(path, price, sign).alias("middle"), F.posexplode("path").alias("o", "bar"))
+    rows = bars.select(*by, *event, "period", "entry_price", "sign", "middle", (F.col("o") + 1).alias("o"), "bar.high", "bar.low").join(of_bar, [*by, "o"]).where("period < fold")
 
-    def passed(f: Column) -> Column:
-        ups, downs = per_bar(f["levels"], "mfe"), per_bar(f["levels"], "mae")
-        up, down = first_passages(path, price, sign, ups, tps, True), first_passages(path, price, sign, downs, sls, False)
-        at = lambda hits, bounds: F.transform(hits, lambda k: F.get(bounds, k.cast("int") - 1))
-        gains, losses = at(up, ups), at(down, downs)
-        return F.struct(f["fold"].alias("fold"), up.alias("up"), down.alias("down"), gains.alias("gain"), losses.alias("loss"))
+    def first(bound: str, m: float, side: Column) -> Column:
+        level = price * (1 + side * (F.col(bound) * m))
+        return F.min(F.when(F.when(side > 0, F.col("high") >= level).otherwise(F.col("low") <= level), F.col("o")))
 
-    later = F.transform(F.filter(folds, lambda f: f["fold"] > F.col("period")), passed)
-    rows = events.select(*by, timed_out(path, price, sign).alias("middle"), F.explode(later).alias("x")).select(*by, "middle", "x.*")
+    ups = [first("gain", m, sign).alias(f"up_{i}") for i, m in enumerate(tps)]
+    downs = [first("loss", m, -sign).alias(f"down_{j}") for j, m in enumerate(sls)]
+    return rows.groupBy(*by, *event, "fold").agg(F.max("middle").alias("middle"), *ups, *downs)
+
+
+def grid_results(events: DataFrame, levels: DataFrame, by: list[str], event: list[str], tps: tuple[float, ...] = MULTIPLES, sls: tuple[float, ...] = MULTIPLES) -> DataFrame:
+    """by, fold, tp, sl, n, wins, losses, total, worst, place: the results of all settings on the events before each fold (total of the net
+    returns and of the squares of negative ones).
+
+    events: by, event (its key), period, entry_price, path, sign; levels: by, fold, levels.  All settings follow from the first bars on which each
+    multiple of a level is reached, so neither an event nor its path is copied a setting.
+    """
+    found = first_bars(events, levels, by, event, tps, sls)
+    arrays = levels.select(*by, "fold", per_bar(F.col("levels"), "mfe").alias("gains"), per_bar(F.col("levels"), "mae").alias("falls"))
+    met = found.join(arrays, [*by, "fold"])
+    at = lambda bounds, k: F.get(bounds, F.col(k).cast("int") - 1)
+    met = met.select(*by, "fold", "middle", *[F.coalesce(f"up_{i}", F.lit(0)).alias(f"up_{i}") for i in range(len(tps))], *[F.coalesce(f"down_{j}", F.lit(0)).alias(f"down_{j}") for j in range(len(sls))], *[at("gains", f"up_{i}").alias(f"gain_{i}") for i in range(len(tps))], *[at("falls", f"down_{j}").alias(f"loss_{j}") for j in range(len(sls))])
     sums, out = [F.count(F.lit(1)).alias("n")], []
     for i, tp in enumerate(tps):
         for j, sl in enumerate(sls):
-            outcome, net = ended(F.col("up")[i], F.col("down")[j], F.lit(tp), F.lit(sl), F.col("gain")[i], F.col("loss")[j], F.col("middle"))
+            outcome, net = ended(F.col(f"up_{i}"), F.col(f"down_{j}"), F.lit(tp), F.lit(sl), F.col(f"gain_{i}"), F.col(f"loss_{j}"), F.col("middle"))
             name = f"{i}_{j}"
-            sums += [F.count_if(outcome == "win").alias(f"w{name}"), F.count_if(outcome == "loss").alias(f"l{name}"), F.sum(net).alias(f"t{name}"), F.sum(F.pow(F.least(net, F.lit(0.0)), 2)).alias(f"q{name}")]
+            sums += [F.count_if(outcome == "win").alias(f"w{name}"), F.count_if(outcome == "loss").alias(f"l{name}"), F.sum(net).alias(f"t{name}"), F.sum(F.least(net, F.lit(0.0)) * F.least(net, F.lit(0.0))).alias(f"q{name}")]
             out.append(F.struct(F.lit(tp).alias("tp"), F.lit(sl).alias("sl"), F.col(f"w{name}").alias("wins"), F.col(f"l{name}").alias("losses"), F.col(f"t{name}").alias("total"), F.col(f"q{name}").alias("worst"), F.lit(len(out)).alias("place")))
-    summed = rows.groupBy(*by, "fold").agg(*sums)
+    summed = met.groupBy(*by, "fold").agg(*sums)
     return summed.select(*by, "fold", "n", F.explode(F.array(*out)).alias("x")).select(*by, "fold", "n", "x.*")
 
 

@@ -145,13 +145,13 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", weight: str | None = None, b
     return joined.withColumn("survives", F.coalesce(F.col("__usable") & (F.col("__p") <= F.col("__cut")), F.lit(False))).drop("__usable", "__p", "__cut")
 
 
-def demote(battery: DataFrame, weight: str | None = None) -> DataFrame:
-    """Accepted candidates of the family (a p-value, and over 20 events or an unknown count) that do not survive become rejected.
+def demote(battery: DataFrame, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Accepted candidates of their family (a p-value, and over 20 events or an unknown count) that do not survive become rejected.
 
-    weight: a column of prior weights, given before any outcome was seen.
+    weight: a column of prior weights, given before any outcome was seen.  by: what parts the families, if there is more than one.
     """
     member = F.col("p").isNotNull() & F.coalesce(F.col("n") > MIN_REPORT, F.lit(True))
-    tested = benjamini_hochberg(battery.withColumn("__p_in", F.when(member, F.col("p"))), "__p_in", weight)
+    tested = benjamini_hochberg(battery.withColumn("__p_in", F.when(member, F.col("p"))), "__p_in", weight, by)
     demoted = member & (F.col("status") == "accepted") & ~F.col("survives")
     return tested.withColumns({"fdr_significant": F.when(member, F.col("survives")), "fdr_demoted": demoted, "status": F.when(demoted, "rejected").otherwise(F.col("status"))}).drop("__p_in", "survives")
 

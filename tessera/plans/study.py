@@ -64,13 +64,14 @@ def paths(panel: DataFrame, fired: DataFrame, most: int, rows: int = slices.ROWS
     return met.join(fired.select("symbol", "entry_loc").distinct(), ["symbol", "entry_loc"], "left_semi")
 
 
-def candidates(spark, specs: list[Spec]) -> DataFrame:
-    """A row a specification, with what the later steps need of it."""
+def candidates(spark, specs: list[Spec], days: list[date] | None = None) -> DataFrame:
+    """A row a specification, or one for each of the days as of which it is judged, with what the later steps need of it."""
     rows = [
-        (k, s.label, 1 if s.direction == "long" else -1, sorted(s.horizons), max(s.horizons), s.uses("shock_zscore"), s.outcome == "market_relative", float(s.prior_weight), s.coins is not None and len(s.coins) == 1, control(s) is not None)
+        (a * len(specs) + k, day, s.label, 1 if s.direction == "long" else -1, sorted(s.horizons), max(s.horizons), s.uses("shock_zscore"), s.outcome == "market_relative", float(s.prior_weight), s.coins is not None and len(s.coins) == 1, control(s) is not None)
+        for a, day in enumerate(days or [None])
         for k, s in enumerate(specs)
     ]
-    return spark.createDataFrame(rows, "k int, candidate string, sign int, horizons array<int>, most int, shocks boolean, relative boolean, weight double, one_symbol boolean, contrast boolean")
+    return spark.createDataFrame(rows, "k int, as_of date, candidate string, sign int, horizons array<int>, most int, shocks boolean, relative boolean, weight double, one_symbol boolean, contrast boolean")
 
 
 def control(spec: Spec) -> Spec | None:
@@ -79,10 +80,17 @@ def control(spec: Spec) -> Spec | None:
     return rest if rest is not None and len(rest.clauses) < len(spec.clauses) else None
 
 
-def firings(df: DataFrame, specs: list[Spec], of: DataFrame, horizons: list[int], rows: int = slices.ROWS) -> DataFrame:
-    """A row for each candidate and row of the panel that fires, treated or as its control.
+def seen(panel: DataFrame, days: list[date]) -> DataFrame:
+    """symbol, a, n_rows: how many rows of each symbol are known on each day, a being its place."""
+    known = F.array(*[F.count_if(F.col("d") <= F.lit(day)) for day in days])
+    return panel.groupBy("symbol").agg(known.alias("n")).select("symbol", F.posexplode("n").alias("a", "n_rows"))
 
-    Bars in a shock give no event, unless the specification asks for shocks; nor do those whose longest horizon is not complete.
+
+def firings(df: DataFrame, specs: list[Spec], of: DataFrame, horizons: list[int], days: list[date] | None = None, rows: int = slices.ROWS) -> DataFrame:
+    """A row for each candidate and row of the panel that fires, treated or as its control; n_rows is what is known of its symbol.
+
+    Bars in a shock give no event, unless the specification asks for shocks; nor do those whose longest horizon is not complete.  With days, a
+    firing gives a row for each day on which its horizon is complete: what fires looks back only, so only that depends on the day.
     """
     controls = {k: c for k, s in enumerate(specs) if (c := control(s)) is not None}
 
@@ -94,14 +102,16 @@ def firings(df: DataFrame, specs: list[Spec], of: DataFrame, horizons: list[int]
     each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"__t{k}").alias("treated"), (F.col(f"__c{k}") if k in controls else F.lit(False)).alias("state")) for k in range(len(specs))])
     out = lambda h: F.struct(F.lit(h).alias("h"), F.col(f"top_{h}").alias("top"), F.col(f"bottom_{h}").alias("bottom"), F.col(f"base_from_{h}").alias("base"), F.col(f"apart_from_{h}").alias("apart"))
     fired = df.select("symbol", "d", "loc", "n_rows", "price", "regime", "period", F.array(*map(out, horizons)).alias("outs"), F.explode(F.filter(each, lambda x: x["treated"] | x["state"])).alias("x"))
-    met = fired.select("*", "x.*").drop("x").join(of, "k")
-    met = met.where(((F.col("regime") == "normal") | F.col("shocks")) & (F.col("loc") + 1 + F.col("most") < F.col("n_rows")) & (F.col("price") > 0))
+    met = fired.select("*", "x.*").drop("x")
+    if days:
+        met = met.drop("n_rows").join(seen(df, days), "symbol").withColumn("k", (F.col("a") * len(specs) + F.col("k")).cast("int"))
+    met = met.join(of, "k").where(((F.col("regime") == "normal") | F.col("shocks")) & (F.col("loc") + 1 + F.col("most") < F.col("n_rows")) & (F.col("price") > 0))
     sign, price = F.col("sign"), F.col("price")
     best = lambda x, good: F.when((sign > 0) == F.lit(good), x["top"]).otherwise(x["bottom"])
     moved = lambda x, good: sign * (F.try_divide(best(x, good), price) - 1)
     value = lambda x: sign * F.when(F.col("relative"), x["apart"]).otherwise(x["base"])
     told = F.transform(F.filter("outs", lambda x: F.array_contains("horizons", x["h"])), lambda x: F.struct(x["h"].alias("h"), moved(x, True).alias("mfe"), moved(x, False).alias("mae"), value(x).alias("value")))
-    return met.select("k", "treated", "state", "symbol", F.col("d").alias("trigger_d"), (F.col("loc") + 1).alias("entry_loc"), "period", F.col("price").alias("entry_price"), "sign", told.alias("outs"))
+    return met.select("k", "treated", "state", "symbol", F.col("d").alias("trigger_d"), (F.col("loc") + 1).alias("entry_loc"), "n_rows", "period", F.col("price").alias("entry_price"), "sign", told.alias("outs"))
 
 
 def trained(long: DataFrame, folds: DataFrame) -> DataFrame:
@@ -167,14 +177,14 @@ def incremental_pool(fired: DataFrame, chosen: DataFrame, of: DataFrame) -> Data
 def barrier_trades(treated: DataFrame, path_of: DataFrame, train: DataFrame, folds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Out-of-sample trades (k, symbol, period, trigger_d, outcome, net_return) and the settings behind them (k, fold, tp, sl, n, sortino).
 
-    Anchors come from the training years; each fold takes the setting that served them best, and trades its own year with it.  An event
-    meets all later folds of its candidate as one array, and its path once.
+    Anchors come from the training years; each fold takes the setting that served them best, and trades its own year with it.
     """
     anchors = F.array_sort(F.collect_list(F.struct("h", F.col("mfe_anchor").alias("mfe"), F.col("mae_anchor").alias("mae"))))
     levels = cut(train.groupBy("k", "fold").agg(anchors.alias("levels")).join(folds.select("k", "fold"), ["k", "fold"]))
-    per = levels.groupBy("k").agg(F.collect_list(F.struct("fold", "levels")).alias("folds"))
-    met = treated.select("k", "symbol", "period", "trigger_d", "entry_loc", "entry_price", "sign").join(path_of, ["symbol", "entry_loc"])
-    results = E.grid_results(met.join(per, "k"), F.col("folds"), ["k"], E.MULTIPLES, E.MULTIPLES)
+    known = F.slice("path", F.lit(1), F.greatest(F.lit(0), F.col("n_rows") - F.col("entry_loc") - 1).cast("int"))
+    met = treated.select("k", "symbol", "period", "trigger_d", "entry_loc", "n_rows", "entry_price", "sign").join(path_of, ["symbol", "entry_loc"]).withColumn("path", known)
+    spread = int(treated.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: Spark would put them into few tasks
+    results = E.grid_results(met.repartition(spread, "k", "symbol", "entry_loc"), levels, ["k"], ["symbol", "entry_loc"])
     settings = cut(E.best_setting(results, ["k", "fold"]).select("k", "fold", "tp", "sl", "n", "sortino"))
     chosen = levels.join(settings.select("k", "fold", "tp", "sl"), ["k", "fold"]).withColumnRenamed("fold", "period")
     own = met.join(chosen, ["k", "period"]).withColumn("r", E.trade(F.col("path"), F.col("entry_price"), F.col("sign"), F.col("levels"), F.col("tp"), F.col("sl")))
@@ -196,12 +206,12 @@ class Evidence:
     settings: DataFrame
 
 
-def evidence(panel: DataFrame, specs: list[Spec]) -> Evidence:
-    """panel: `indicators.complete` of the bars."""
+def evidence(panel: DataFrame, specs: list[Spec], days: list[date] | None = None) -> Evidence:
+    """panel: `indicators.complete` of the bars.  days: each specification is a candidate of its own as of each of them."""
     horizons = sorted({h for s in specs for h in s.horizons})
     df = cut(measured(panel, horizons, any(s.outcome == "market_relative" for s in specs)))
-    of = candidates(panel.sparkSession, specs)
-    fired = cut(firings(df, specs, of, horizons))
+    of = candidates(panel.sparkSession, specs, days)
+    fired = cut(firings(df, specs, of, horizons, days))
     treated = fired.where("treated")
     long = treated.select("k", "symbol", "period", "trigger_d", "entry_loc", F.explode("outs").alias("x")).select("k", "symbol", "period", "trigger_d", "entry_loc", "x.*")
     folds = cut(W.folds(treated, "k"))
@@ -214,8 +224,11 @@ def evidence(panel: DataFrame, specs: list[Spec]) -> Evidence:
     return Evidence(of, fired, folds, train, chosen, cut(outcomes), pool, *barrier_trades(treated, path_of, train, folds))
 
 
-def verdicts(e: Evidence, reps: int = 2000) -> DataFrame:
-    """A row a candidate: the barrier trades' report, the pattern's test against its baseline, the verdict and the family's correction."""
+def verdicts(e: Evidence, reps: int = 2000, dated: bool = False) -> DataFrame:
+    """A row a candidate: the barrier trades' report, the pattern's test against its baseline, the verdict and the family's correction.
+
+    dated: the candidates are those of several days, and those of one day are a family.
+    """
     block = e.chosen.groupBy("k").agg(F.max_by("h", "fold").alias("horizon"), F.array_sort(F.collect_set("h")).alias("horizons_used"))
     tested = W.bootstrap_p(e.outcomes.join(block, "k").select(F.col("k").alias("candidate"), "value", (F.col("horizon") * W.BLOCK_HORIZONS).alias("block")), e.pool.withColumnRenamed("k", "candidate"), reps).withColumn("k", F.col("candidate").cast("int")).drop("candidate")
     tested = tested.withColumnRenamed("n", "n_outcomes")
@@ -233,28 +246,33 @@ def verdicts(e: Evidence, reps: int = 2000) -> DataFrame:
     gates = [F.col(c) for c in ("n", "sortino", "ok", "by_symbol", "by_year", "significant", "excess", "ratio")]
     advice = [F.col(c) for c in ("n", "status", "significant", "oos_sd")]
     rows = rows.withColumns({"status": W.classify(*gates), "reason": W.explain(*gates), "required_n": W.required_n(F.col("oos_sd"))})
-    rows = W.demote(rows, "weight").withColumns({"advice": W.keep_or_drop(*advice), "advice_reason": W.advice_reason(*advice, *(F.col(c) for c in ("excess", "by_symbol_share", "by_year_share", "ratio")))})
-    return rows.drop("k", "ok", "sign", "horizons", "most", "shocks", "relative", "one_symbol", "contrast", "by_symbol_traded", "by_year_traded", "by_symbol_traded_share", "by_year_traded_share", "by_symbol_traded_dominant", "by_year_traded_dominant")
+    rows = W.demote(rows, "weight", ["as_of"] if dated else None).withColumns({"advice": W.keep_or_drop(*advice), "advice_reason": W.advice_reason(*advice, *(F.col(c) for c in ("excess", "by_symbol_share", "by_year_share", "ratio")))})
+    return rows.drop(*([] if dated else ["as_of"]), "k", "ok", "sign", "horizons", "most", "shocks", "relative", "one_symbol", "contrast", "by_symbol_traded", "by_year_traded", "by_symbol_traded_share", "by_year_traded_share", "by_symbol_traded_dominant", "by_year_traded_dominant")
 
 
-def run(bars: DataFrame, specs: list[Spec], as_of: date | None = None, reps: int = 2000, sides: Sides | None = None, with_static: bool = False) -> DataFrame:
+def run(bars: DataFrame, specs: list[Spec], as_of: date | list[date] | None = None, reps: int = 2000, sides: Sides | None = None, with_static: bool = False) -> DataFrame:
     """A row a specification, and with `with_static` one for each of the six static conditions.
 
-    Nothing after as_of is seen.  A specification without a fold has n = 0 and is insufficient.  One on an indicator that the registry
+    Nothing after as_of is seen.  With several days it is a row for each of them too (column as_of), what a run for that day alone gives: the panel
+    and its firings are made once.  A specification without a fold has n = 0 and is insufficient.  One on an indicator that the registry
     lacks gets the status `error` and keeps no other from its verdict; two of one label are refused before anything runs.
     """
     if len({s.label for s in specs}) < len(specs):
         raise ValueError("two specifications of one label")
+    days = sorted(set(as_of)) if isinstance(as_of, list) else None
+    last = max(days) if days else None if isinstance(as_of, list) else as_of
     lacks = {s.label: sorted({c.indicator for c in s.clauses} - I.INDICATORS.keys()) for s in specs}
     specs = [s for s in specs if not lacks[s.label]]
     sides = sides or Sides()
-    if as_of is not None:
-        bars, sides = bars.where(F.col("d") <= F.lit(as_of)), sides.until(as_of)
+    if last is not None:
+        bars, sides = bars.where(F.col("d") <= F.lit(last)), sides.until(last)
     panel = I.complete(bars, sides.funding, sides.days, sides.surprises, sides.series, static=with_static)
     specs = [*static_specs(), *specs] if with_static else specs
     failed = [(label, f"unknown indicators {', '.join(names)}") for label, names in lacks.items() if names]
     errors = bars.sparkSession.createDataFrame(failed, "candidate string, reason string").withColumn("status", F.lit("error"))
-    return verdicts(evidence(panel, specs), reps).unionByName(errors, allowMissingColumns=True) if specs else errors
+    if days:
+        errors = errors.withColumn("as_of", F.explode(F.array(*map(F.lit, days))))
+    return verdicts(evidence(panel, specs, days), reps, bool(days)).unionByName(errors, allowMissingColumns=True) if specs else errors
 
 
 def static_specs() -> list[Spec]:
