@@ -1,13 +1,9 @@
-"""Structured Streaming forms: windowed counts with late data, ledgers without repeats, open and close of tests."""
+"""Structured Streaming forms: windowed counts with late data, and ledgers without repeats."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def hourly_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -19,22 +15,3 @@ def hourly_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
 def ledger(exits: DataFrame, keep: str = "365 days") -> DataFrame:
     """Each (symbol, exit_ts) once, remembered for the time given."""
     return exits.withWatermark("exit_ts", keep).dropDuplicatesWithinWatermark(["symbol", "exit_ts"])
-
-
-def live_tests(signals: DataFrame, hours: int, late: str = "1 hours", direction: str = "long") -> DataFrame:
-    """Tests of (symbol, ts, value), signed as the direction is: one opens if none is open, and closes at the first row `hours` later or after."""
-    state, sign = "opened_ms long, entry double", 1 if direction == "long" else -1
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        held, out = s.getOption, []
-        for row in pd.concat(list(batches)).sort_values("ts").itertuples():
-            now = int(row.ts.timestamp() * 1000)
-            if held is not None and now >= held[0] + hours * 3_600_000:
-                out.append((key[0], pd.Timestamp(held[0], unit="ms"), row.ts, sign * (row.value / held[1] - 1)))
-                held = None
-            if held is None:
-                held = (now, float(row.value))
-        s.update(held)
-        yield pd.DataFrame(out, columns=["symbol", "opened", "closed", "forward_return"])
-
-    return signals.withWatermark("ts", late).groupBy("symbol").applyInPandasWithState(step, "symbol string, opened timestamp, closed timestamp, forward_return double", state, "append", GroupStateTimeout.NoTimeout)

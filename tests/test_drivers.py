@@ -28,32 +28,59 @@ def test_described(spark):
     assert df.select(text.described(F.col("c"), F.col("d"))).first()[0] == "long when rsi 14d below 30.00 within 3 days and shock zscore at least 1.50"
 
 
-def pages(symbol: str, since: int, limit: int) -> list[tuple]:
-    if symbol == "BAD" and since >= 10:
-        raise OSError("no answer")
-    return [(symbol, t, t / 2) for t in range(0, 70 if symbol == "A" else 40, 2) if t >= since][:limit]
+def turns(reader, start, end):
+    """What the tasks of a batch read, by symbol."""
+    return {p.symbol: [r[1] for r in reader.read(p)] for p in reader.partitions({"until": start}, {"until": end})}
 
 
-def test_paged_reader_keeps_cursors():
-    reader = PagedReader(pages, ["A", "BAD"], 0, 10, 100)
-    rows, end = reader.read(reader.initialOffset())
-    rows = list(rows)
-    assert end == {"A": 69, "BAD": 19} and len(rows) == 35 + 10
-    assert [r for r in reader.readBetweenOffsets({"A": 0, "BAD": 19}, {"A": 31, "BAD": 19})] == [("A", t, t / 2) for t in range(0, 31, 2)]
-    assert list(reader.read(end)[0]) == []
+def test_paged_reader_keeps_cursors(tmp_path):
+    """B fails on its second page and keeps the first, C on its first; both go on where they stand, once they can."""
+    broken = {"B": 9, "C": 0}
+
+    def fetch(symbol, since, limit):
+        if since >= broken.get(symbol, 10**9):
+            raise OSError
+        return [(symbol, t, t / 2) for t in range(0, 100, 2) if t >= since][:limit]
+
+    reader = PagedReader(fetch, ["A", "B", "C"], str(tmp_path / "log"), 0, 5, 100, lambda: 61)
+    assert reader.initialOffset() == {"until": 0} and reader.latestOffset() == {"until": 61}
+    first = turns(reader, 0, 61)
+    assert first == {"A": list(range(0, 61, 2)), "B": list(range(0, 10, 2)), "C": []}
+    assert turns(reader, 0, 61) == first  # the same batch again, after a restart
+    broken.clear()
+    assert turns(reader, 0, 61) == first  # though now it could read more
+    assert turns(reader, 61, 80) == {"A": list(range(62, 80, 2)), "B": list(range(10, 80, 2)), "C": list(range(0, 80, 2))}
+    broken["A"] = 0
+    with pytest.raises(OSError):  # a noted batch that cannot be read whole must not pass
+        turns(reader, 61, 80)
+
+
+def test_paged_turns_are_bounded(tmp_path):
+    fetch = lambda s, since, limit: [(s, t) for t in range(since, 1000)][:limit]
+    reader = PagedReader(fetch, ["A"], str(tmp_path), 0, 10, 3, lambda: 0)
+    assert turns(reader, 0, 500)["A"] == list(range(30)) and turns(reader, 500, 600)["A"] == list(range(30, 60))
 
 
 def test_paged_source_streams(spark, tmp_path):
+    """Each symbol is read by a task of its own; a restart goes on from the checkpoint."""
+    import os
+
+    clock = tmp_path / "now"
+
     def rows(symbol, since, limit):
-        return [(symbol, t, t / 2) for t in range(0, 50, 2) if t >= since][:limit]
-
-    spark.dataSource.register(paged_source("paged_bars", "symbol string, ts long, close double", rows, ["A", "B"], 0, 7))
-    q = spark.readStream.format("paged_bars").load().writeStream.format("memory").queryName("paged_bars_seen").option("checkpointLocation", str(tmp_path)).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert spark.table("paged_bars_seen").groupBy("symbol").count().orderBy("symbol").collect() == [("A", 25), ("B", 25)]
+        return [(symbol, t, float(os.getpid())) for t in range(0, 50, 2) if t >= since][:limit]
+
+    def run(now: int) -> None:
+        clock.write_text(str(now))
+        stream = spark.readStream.format("paged_bars").load().select("symbol", "ts", "close")
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+
+    spark.dataSource.register(paged_source("paged_bars", "symbol string, ts long, close double", rows, ["A", "B", "C"], str(tmp_path / "log"), 0, 7, clock=lambda: int(clock.read_text())))
+    run(21)
+    run(99)
+    seen = spark.read.parquet(str(tmp_path / "out"))
+    assert [tuple(r) for r in seen.groupBy("symbol").count().orderBy("symbol").collect()] == [(s, 25) for s in "ABC"]
+    assert seen.select("symbol", "ts").distinct().count() == 75 and all(int(r.close) != os.getpid() for r in seen.select("close").distinct().collect())
 
 
 def test_replay_resumes_halts_and_finishes(tmp_path):
