@@ -277,6 +277,7 @@ QUERIES = {
     "wf_fdr_demotion": lambda s, d: walkforward.demote(battery(s, d)).groupBy("status", "fdr_demoted").agg(F.count(F.lit(1)).alias("n")),
     "wf_required_n": lambda s, d: battery(s, d).select("candidate", F.round(walkforward.required_n(F.col("ratio") / 10), 4).alias("n")),
     "wf_prune_codes": lambda s, d: walkforward.prune_codes(battery(s, d)).select("candidate", "code"),
+    "stat_mann_whitney_small": lambda s, d: stats.mann_whitney(panels.table(s, d, "orders"), "o_totalprice", F.col("o_orderstatus") == "F", ["o_custkey"]).select("o_custkey", "n1", "n2", F.round("u", 2).alias("u"), F.round("p", 6).alias("p")),
     "stat_mann_whitney": lambda s, d: stats.mann_whitney(I.with_inputs(panels.bars_1d(s, d)).where("ret IS NOT NULL"), "ret", F.dayofweek("d") == 2, ["symbol"]).select("symbol", "n1", "n2", F.round("u", 2).alias("u"), F.round("z", 6).alias("z"), F.round("p", 6).alias("p")),
     "stat_fisher_exact": lambda s, d: s.range(1, 9).select("id", F.round(stats.fisher_one_sided(F.col("id"), F.lit(5), F.lit(3), F.col("id") + 4), 6).alias("p")),
     "stat_signed_rank": lambda s, d: stats.signed_rank(events(s, d).withColumn("x", F.round(F.col("fwd_7") - F.col("fwd_3"), 4)), "x", ["symbol"]).select("symbol", "n", F.round("w_plus", 2).alias("w_plus"), F.round("w_minus", 2).alias("w_minus"), F.round("z", 6).alias("z"), F.round("p", 6).alias("p")),
@@ -361,6 +362,14 @@ ORACLE = {
     "wf_fdr_demotion": S.sql("SELECT CASE WHEN dem THEN 'rejected' ELSE status END AS status, dem AS fdr_demoted, count(*) AS n FROM (SELECT status, p IS NOT NULL AND n > 20 AND status = 'accepted' AND NOT coalesce(p <= (SELECT cut FROM cut), false) AS dem FROM verdict) GROUP BY 1, 2", S.BATTERY, VERDICT, FAMILY.format("AND n > 20")),
     "wf_required_n": S.sql("SELECT candidate, round(CASE WHEN ratio > 0 THEN 6.0 * pow((1.645 + 0.84) * (ratio / 10) / 0.05, 2) END, 4) AS n FROM battery", S.BATTERY),
     "wf_prune_codes": S.sql("SELECT candidate, CAST(year(first_tracked) AS VARCHAR) || '-' || lpad(CAST(row_number() OVER (PARTITION BY year(first_tracked) ORDER BY first_tracked, candidate) AS VARCHAR), 4, '0') AS code FROM battery", S.BATTERY),
+    "stat_mann_whitney_small": f"""WITH RECURSIVE x AS (SELECT o_custkey, o_totalprice AS v, o_orderstatus = 'F' AS t, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_custkey, o_totalprice) - 1) / 2.0 AS rk FROM orders),
+tied AS (SELECT o_custkey, sum(pow(k, 3) - k) AS ties FROM (SELECT o_custkey, v, CAST(count(*) AS DOUBLE) AS k FROM x GROUP BY 1, 2) GROUP BY 1),
+sums AS (SELECT o_custkey, count(*) FILTER (t) AS n1, count(*) FILTER (NOT t) AS n2, sum(rk) FILTER (t) - count(*) FILTER (t) * (count(*) FILTER (t) + 1) / 2.0 AS u FROM x GROUP BY 1),
+told AS (SELECT *, least(n1, n2) AS a, greatest(n1, n2) AS b, least(n1, n2) <= 8 AND ties = 0 AS few, (u - n1 * n2 / 2.0 - 0.5) / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / nullif((n1 + n2) * (n1 + n2 - 1.0), 0))), 0) AS z FROM sums JOIN tied USING (o_custkey)),
+dist AS (SELECT a, b, CAST(0 AS BIGINT) AS i, list_transform(range(0, a * b + 1), lambda k: CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS c FROM (SELECT DISTINCT a, b FROM told WHERE few AND a > 0)
+ UNION ALL SELECT a, b, i + 1, list_transform(range(1, a * b + 2), lambda k: list_sum(list_transform(range(0, (k - 1) // (i + 1) + 1), lambda j: t[k - (i + 1) * j]))) FROM (SELECT *, list_transform(range(1, a * b + 2), lambda k: c[k] - CASE WHEN k > b + i + 1 THEN c[k - b - i - 1] ELSE 0 END) AS t FROM dist WHERE i < a)),
+tail AS (SELECT a, b, c FROM dist WHERE i = a)
+SELECT o_custkey, n1, n2, round(u, 2) AS u, round(CASE WHEN a = 0 THEN NULL WHEN few THEN list_sum(c[CAST(u AS BIGINT) + 1 :]) / list_sum(c) ELSE {tail_sql('z')} END, 6) AS p FROM told LEFT JOIN tail USING (a, b)""",
     "stat_mann_whitney": S.sql(f"SELECT symbol, n1, n2, u, round(z, 6) AS z, round({tail_sql('z')}, 6) AS p FROM (SELECT symbol, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 2) AS u, (u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM (SELECT symbol, n1, n2, ties, r - n1 * (n1 + 1) / 2.0 AS u FROM (SELECT symbol, sum(rk) FILTER (t) AS r, CAST(count(*) FILTER (t) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT t) AS DOUBLE) AS n2 FROM x GROUP BY 1) JOIN (SELECT symbol, sum(pow(k, 3) - k) AS ties FROM (SELECT symbol, ret, CAST(count(*) AS DOUBLE) AS k FROM x GROUP BY 1, 2) GROUP BY 1) USING (symbol)))", S.BARS, S.IND, "x AS (SELECT symbol, ret, dayofweek(d) = 1 AS t, rank() OVER (PARTITION BY symbol ORDER BY ret) + (count(*) OVER (PARTITION BY symbol, ret) - 1) / 2.0 AS rk FROM base WHERE ret IS NOT NULL)"),
     "stat_signed_rank": S.sql(f"SELECT symbol, n, round(wp, 2) AS w_plus, round(wm, 2) AS w_minus, round(z, 6) AS z, round(least(1.0, 2 * {tail_sql('abs(z)')}), 6) AS p FROM (SELECT *, (wp - n * (n + 1) / 4.0) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM (SELECT symbol, count(*) AS n, coalesce(sum(rk) FILTER (x > 0), 0) AS wp, coalesce(sum(rk) FILTER (x < 0), 0) AS wm FROM ranked GROUP BY 1) JOIN (SELECT symbol, sum(pow(k, 3) - k) AS ties FROM (SELECT symbol, abs(x) AS a, CAST(count(*) AS DOUBLE) AS k FROM ranked GROUP BY 1, 2) GROUP BY 1) USING (symbol))", *BASE, "ranked AS (SELECT symbol, x, rank() OVER (PARTITION BY symbol ORDER BY abs(x)) + (count(*) OVER (PARTITION BY symbol, abs(x)) - 1) / 2.0 AS rk FROM (SELECT symbol, round(fwd_7 - fwd_3, 4) AS x FROM ev) WHERE x <> 0)"),
     "stat_fisher_exact": "SELECT id, round(sum(exp(lgamma(id + 6) - lgamma(k + 1) - lgamma(id + 6 - k) + lgamma(id + 8) - lgamma(id + 4 - k) - lgamma(4 + k + 1) + lgamma(id + 4) + lgamma(id + 9 + 1) - lgamma(id + id + 13))), 6) AS p FROM (SELECT id, unnest(range(id, least(id + 5, id + 3) + 1)) AS k FROM range(1, 9) t(id)) GROUP BY 1",

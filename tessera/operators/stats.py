@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -17,22 +21,35 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+#: A group with a side of at most so many values and no ties gets the exact tail.
+EXACT_SIDE = 8
+
+
+@lru_cache(maxsize=64)
+def orders_tail(small: int, large: int) -> np.ndarray:
+    """For u from 0 to small * large the share of all orders of two samples, without ties, whose U is at least u.
+
+    How many orders have which U are the coefficients of the product of (1 - q^(large + i)) / (1 - q^i) over i up to small: each factor takes away a
+    shifted copy and sums up along strides.  Counts are whole numbers, exact below 2^53 and to about 1e-12 of all beyond.
+    """
+    counts = np.zeros(small * large + 1)
+    counts[0] = 1.0
+    for i in range(1, small + 1):
+        counts[large + i :] -= counts[: max(0, len(counts) - large - i)].copy()
+        for start in range(i):
+            counts[start::i] = np.cumsum(counts[start::i])
+    return counts[::-1].cumsum()[::-1] / counts.sum()
+
+
 def exact_mann_whitney(u: float, n1: int, n2: int) -> float:
-    """Probability of a U at least so great by chance, without ties: from the counts of all orders."""
-    counts = {(0, 0): np.ones(1)}
+    """Probability of a U at least so great by chance, without ties."""
+    return float(orders_tail(min(n1, n2), max(n1, n2))[int(np.ceil(u))])
 
-    def of(a: int, b: int) -> np.ndarray:
-        if a < 0 or b < 0:
-            return np.zeros(0)
-        if (a, b) not in counts:
-            out = np.zeros(a * b + 1)
-            for part, shift in ((of(a - 1, b), b), (of(a, b - 1), 0)):
-                out[shift : shift + len(part)] += part
-            counts[a, b] = out
-        return counts[a, b]
 
-    ways = of(n1, n2)
-    return float(ways[int(np.ceil(u)) :].sum() / ways.sum())
+def exact_tails(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """The exact probabilities of groups, a lookup for each in the table of its sizes."""
+    sizes = zip(np.minimum(n1, n2).astype(int), np.maximum(n1, n2).astype(int))
+    return pd.Series([float(orders_tail(small, large)[int(np.ceil(v))]) for v, (small, large) in zip(u, sizes)], dtype=float)
 
 
 def average_ranks(df: DataFrame, x: str, by: list[str]) -> DataFrame:
@@ -43,14 +60,21 @@ def average_ranks(df: DataFrame, x: str, by: list[str]) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, x: str, treated: Column, by: list[str]) -> DataFrame:
-    """U of the treated, its normal score with tie and continuity correction, and the one-sided p."""
+    """U of the treated, its normal score with tie and continuity correction, and the one-sided p.
+
+    p is exact where a side has at most EXACT_SIDE values and none are tied, else that of the score; null where a side is empty.
+    """
     ranked = average_ranks(df.withColumn("__t", treated), x, by)
     ties = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
     sums = ranked.groupBy(*by).agg(F.sum(F.when(F.col("__t"), F.col("rank"))).alias("r"), F.count_if("__t").alias("n1"), F.count_if(~F.col("__t")).alias("n2")).join(ties, by)
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n, u = n1 + n2, F.col("r") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    return sums.select(*by, "n1", "n2", u.alias("u"), F.try_divide(u - n1 * n2 / 2 - 0.5, sd).alias("z")).withColumn("p", normal_tail(F.col("z")))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
+    scored = sums.select(*by, "n1", "n2", "ties", u.alias("u"), F.try_divide(u - n1 * n2 / 2 - 0.5, sd).alias("z"))
+    both, few = F.least("n1", "n2") > 0, (F.least("n1", "n2") <= EXACT_SIDE) & (F.col("ties") == 0)
+    tail = F.pandas_udf(exact_tails, DoubleType())
+    scored = scored.withColumn("__exact", tail(*[F.when(both & few, F.col(c)).otherwise(F.lit(1)).cast("double") for c in ("u", "n1", "n2")]))
+    return scored.withColumn("p", F.when(both & few, F.col("__exact")).when(both, normal_tail(F.col("z")))).drop("ties", "__exact")
 
 
 def log_choose(n: Column, k: Column) -> Column:
