@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,6 +11,7 @@ from tessera.catalog import sql as S
 from tessera.functions.series import by_day, ahead, is_true, past, roll, rounded, symbol_pair, with_least
 from tessera.operators import indicators as I  # noqa: E741
 from tessera.sources import panels, state
+from tessera.sources.tables import StateTable
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -38,7 +41,8 @@ LEADUP = ["close_return_1d", "shock_zscore", "rsi_14d", "volume_zscore_30d", "fu
 def synthetic(spark, d):
     """The synthetic indicators over the change of the three days ahead."""
     df = panels.bars_1d(spark, d).withColumn("f", F.lead("close", 3).over(by_day()) / F.col("close") - 1)
-    return df.select("symbol", "d", I.planted("f", 0.2).alias("planted"), I.at_random(0.05).alias("random"), I.on_days(list(panels.LITERAL_DAYS)).alias("news"), I.planted_apart("f", "A", 0.3, 0.1).alias("apart"), F.round(I.sentiment("f", 0.4), 6).alias("sentiment"))
+    df = I.with_planted_apart(df, "apart", "f", "A", 0.3, 0.1)
+    return df.select("symbol", "d", I.planted("f", 0.2).alias("planted"), I.at_random(0.05).alias("random"), I.on_days(list(panels.LITERAL_DAYS)).alias("news"), "apart", F.round(I.sentiment("f", 0.4), 6).alias("sentiment"))
 
 
 def tight(spark, d):
@@ -54,6 +58,15 @@ def scaled_move(spark, d):
     return df.select("symbol", "d", *rounded("scaled", "eff"), (is_true(F.col("scaled") >= 1) & is_true(F.col("eff") >= 0.5)).alias("trend"))
 
 
+def bucketed_upsert(s, d):
+    """Customers' greatest orders in place of their balances, in a table by bucket and in two batches; a repeated batch changes nothing."""
+    new = panels.table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    table = StateTable(s, f"{state.shared_folder(s)}/customers-{uuid.uuid4().hex}", "c_custkey long, c_acctbal double", ["c_custkey"], 32)
+    for epoch, batch in enumerate((panels.table(s, d, "customer").select("c_custkey", "c_acctbal"), new, new)):
+        table.apply(batch, epoch=min(epoch, 1))
+    return table.read()
+
+
 SERIES_TABLE = "SELECT symbol, d, round({0}, 6) AS value FROM ind"
 QUERIES = {
     "src_daily_scan": lambda s, d: panels.bars_1d(s, d).select("symbol", "d", *OHLCV),
@@ -68,6 +81,7 @@ QUERIES = {
     "src_news_projection": lambda s, d: panels.table(s, d, "events").select("event_id", F.upper("event_type").alias("headline"), F.substring("props", 1, 500).alias("summary"), F.coalesce(F.get_json_object("props", "$.source"), F.lit("unknown")).alias("source"), F.get_json_object("props", "$.k").cast("bigint").alias("k")),
     "snk_dedup_keep_last": lambda s, d: state.keep_last(panels.table(s, d, "orders"), ["o_custkey"], F.col("o_orderdate"), F.col("o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice"),
     "snk_upsert": lambda s, d: state.upsert(panels.table(s, d, "customer").select("c_custkey", "c_acctbal"), panels.table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal")), ["c_custkey"]),
+    "snk_bucketed_upsert": bucketed_upsert,
     "snk_insert_missing": lambda s, d: state.insert_missing(panels.table(s, d, "orders").select("o_custkey").distinct(), panels.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"]),
     "snk_append_ordinal": lambda s, d: state.append_numbered(panels.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), panels.table(s, d, "region").select(F.col("r_name").alias("name")).withColumn("id", F.lit(None).cast("long")), F.col("name")).select("id", "name"),
     "snk_symbol_map": lambda s, d: panels.table(s, d, "nation").select("n_name", symbol_pair(F.concat("n_name", F.lit("USDT"))).alias("pair")),
@@ -92,6 +106,7 @@ QUERIES = {
 }
 QUERIES |= {f"ind_{n}": one(n) for n in I.from_bars()}
 
+UPSERTED = "WITH n AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal FROM orders GROUP BY 1) SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT c_custkey, c_acctbal FROM n"
 ORACLE = {
     "ind_surprise": S.recursive(f"SELECT symbol, d, {S.r('cpi_surprise', 'rate_surprise', 'jobless_claims_surprise')} FROM whole", *S.ALL),
     "ind_complete": S.recursive(f"SELECT symbol, d, {S.r('rsi_14d', 'atr_pct_14d', 'funding_zscore_30d')}, is_macro_day FROM whole", *S.ALL),
@@ -114,7 +129,8 @@ ORACLE = {
     "src_last_closed_trade": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1",
     "src_news_projection": "SELECT event_id, upper(event_type) AS headline, substr(props, 1, 500) AS summary, coalesce(json_extract_string(props, '$.source'), 'unknown') AS source, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "snk_dedup_keep_last": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
-    "snk_upsert": "WITH n AS (SELECT o_custkey AS c_custkey, max(o_totalprice) AS c_acctbal FROM orders GROUP BY 1) SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT c_custkey, c_acctbal FROM n",
+    "snk_upsert": UPSERTED,
+    "snk_bucketed_upsert": UPSERTED,
     "snk_insert_missing": "SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer",
     "snk_append_ordinal": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_name), r_name FROM region",
     "snk_symbol_map": "SELECT n_name, n_name || '/USDT' AS pair FROM nation",

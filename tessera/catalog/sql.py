@@ -32,8 +32,8 @@ def full(x: str, of: str, n: int) -> str:
 BARS = f"bars AS (SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS d, {OHLC.format(p='l_extendedprice', o=LINE)}, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"
 REGION_BARS = f"bars AS (SELECT r_name AS symbol, CAST(l_shipdate AS DATE) AS d, {OHLC.format(p='l_extendedprice', o=LINE)}, sum(l_quantity) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)"
 HOURS = f"hours AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, {OHLC.format(p='value', o='ts, event_id')}, count(*) AS volume FROM (SELECT event_type, ts, event_id, value FROM events) GROUP BY event_type, date_trunc('hour', ts))"
-FUNDING = "funding AS (SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS d, avg(l_discount) AS rate FROM lineitem WHERE day(l_shipdate) % 3 = 0 GROUP BY 1, 2)"
-VINTAGE = """orders_of AS (SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, day(o_orderdate) AS dd, o_totalprice FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
+FUNDING = "funding AS (SELECT l_returnflag AS symbol, CAST(CAST(date_trunc('week', l_shipdate) AS DATE) + 7 AS DATE) AS d, avg(l_discount) AS rate FROM lineitem GROUP BY 1, 2)"
+VINTAGE = """orders_of AS (SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, day(o_orderdate) AS dd, o_totalprice FROM orders),
 vintage AS (SELECT series, period, CAST(last_day(period) + INTERVAL 14 DAY AS DATE) AS realtime_start, round(avg(o_totalprice), 4) AS value FROM orders_of WHERE dd <= 20 GROUP BY 1, 2 UNION ALL SELECT series, period, CAST(last_day(period) + INTERVAL 45 DAY AS DATE), round(avg(o_totalprice), 4) FROM orders_of GROUP BY 1, 2),
 first_print AS (SELECT series, period, arg_min(value, realtime_start) AS value, min(realtime_start) AS published FROM vintage GROUP BY 1, 2)"""
 CALENDAR = VINTAGE + """,

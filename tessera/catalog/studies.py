@@ -83,6 +83,12 @@ def one_evidence(s, d, spec):
     return study.evidence(complete(s, d), [spec])
 
 
+def trigger_counts(s, d):
+    """Of one specification the firings in and out of ordinary times, and its anchors over all events."""
+    found = study.evidence(complete(s, d), [SPECS[0]])
+    return found.counts.join(found.anchors, "k").select(F.lit("volume").alias("candidate"), "n_raw_triggers", "n_shock_excluded", "h", *rounded("mfe", "mae"))
+
+
 NEWS_VOLUME = Spec("news_volume", (Clause("cpi_surprise", ">=", -0.5, 14), VOLUME))
 
 
@@ -261,6 +267,7 @@ QUERIES = {
     "wf_oos_ratio": lambda s, d: one_evidence(s, d, ALL_REGIMES).outcomes.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg("mfe") / F.avg(F.abs("mae")), 6).alias("ratio")),
     "wf_incremental_pool": lambda s, d: one_evidence(s, d, NEWS_VOLUME).pool.select("chunk", F.size("base").cast("long").alias("n"), F.round(F.aggregate("base", F.lit(0.0), lambda a, x: a + x) / F.size("base"), 6).alias("mean")),
     "wf_relative_outcomes": lambda s, d: one_evidence(s, d, dataclasses.replace(ALL_REGIMES, outcome="market_relative")).outcomes.select("symbol", "trigger_d", "h", F.round("value", 6).alias("value")),
+    "wf_trigger_counts": trigger_counts,
     "wf_folds": lambda s, d: walkforward.folds(events(s, d)),
     "wf_barrier_grid": grid,
     "wf_horizon_select": lambda s, d: chosen(s, d)[2].select("fold", "h", F.round("score", 6).alias("score")),
@@ -288,7 +295,7 @@ def flagship(s, d):
     """A volume score of one or more with a low surprise in the seven days before: events by symbol and year."""
     df = I.with_indicators(panels.bars_by_region(s, d), ["volume_zscore_30d", "shock_zscore"])
     first = V.surprises(panels.macro_vintage(s, d)).where("series = '1-URGENT'").select(F.col("published").alias("d"), "surprise")
-    df = df.join(F.broadcast(first), "d", "left")
+    df = df.join(first, "d", "left")
     ev = E.build_events(df, Spec("flagship", (VOLUME, Clause("surprise", "<=", -0.3, 7))).column())
     return ev.groupBy("symbol", "period").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fwd_3"), 6).alias("mean_fwd_3"), F.round(F.avg("mfe_7"), 6).alias("mean_mfe_7"), F.round(F.avg("mae_7"), 6).alias("mean_mae_7"))
 
@@ -309,6 +316,7 @@ ORACLE = {
     "wf_incremental_pool": S.sql("SELECT CAST(fold AS VARCHAR) AS chunk, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT b.fold, CASE b.h " + " ".join(f"WHEN {h} THEN fwd_{h}" for h in HORIZONS) + " END AS v FROM evx x JOIN best b ON b.fold = x.period WHERE regime = 'normal' AND NOT recent) WHERE v IS NOT NULL GROUP BY 1", S.BARS, S.SURPRISE, S.IND, EV_NEWS, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
     "wf_oos_ratio": S.sql("SELECT CAST(period AS INTEGER) AS period, count(*) AS n, round(avg(fwd), 6) AS mean, round(avg(mfe) / avg(abs(mae)), 6) AS ratio FROM long_ev JOIN best USING (h) WHERE fold = period GROUP BY 1", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
     "wf_params_log": S.sql("SELECT CAST(fold AS INTEGER) AS fold, tp, sl, n, round(sortino, 5) AS sortino FROM pick", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, MET, GRID, TEST_YEAR),
+    "wf_trigger_counts": S.sql("SELECT 'volume' AS candidate, (SELECT count(*) FROM ev WHERE regime = 'normal') AS n_raw_triggers, (SELECT count(*) FROM ev WHERE regime = 'shock') AS n_shock_excluded, CAST(h AS INTEGER) AS h, round(avg(l.mfe), 6) AS mfe, round(avg(abs(l.mae)), 6) AS mae FROM long_ev l JOIN (SELECT symbol, trigger_d, regime FROM ev) e USING (symbol, trigger_d) WHERE regime = 'normal' GROUP BY 4", *BASE, S.LONG),
     "wf_oos_trades": S.sql("SELECT w.symbol, CAST(w.fold AS INTEGER) AS period, w.trigger_d, coalesce(f.outcome, 'timeout') AS outcome, round(coalesce(f.net, e.net), 6) AS net_return FROM own w JOIN ends e USING (symbol, trigger_d) LEFT JOIN own_first f USING (symbol, trigger_d)", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, MET, GRID, TEST_YEAR),
     "wf_barrier_grid_all": S.sql(f"SELECT CAST(fold AS INTEGER) AS fold, tp, sl, n, round(sortino, 6) AS sortino, round(win_rate, 6) AS win_rate FROM (SELECT fold, tp, sl, {REPORT} FROM traded GROUP BY 1, 2, 3)", *BASE, S.LONG, S.FOLDS, MET, GRID),
     "evt_barrier_exit": S.sql(f"SELECT symbol, d, CASE WHEN low <= price * (1 - 0.4::DOUBLE) THEN 'stop' WHEN high >= price * (1 + 0.5::DOUBLE) THEN 'target' WHEN d - entry >= 5 THEN 'time' END AS why FROM (SELECT *, lag(d, 4) OVER ({S.W}) AS entry, lag(close, 4) OVER ({S.W}) AS price FROM bars) WHERE entry IS NOT NULL", S.BARS),

@@ -309,11 +309,12 @@ def on_days(days: list[str]) -> Column:
     return F.col("d").cast("string").isin(*days).cast("double")
 
 
-def planted_apart(forward: str, symbol: str, top: float, rate: float = 0.02, seed: str = "apart") -> Column:
-    """Planted on one symbol's returns apart from the mean of all on the day; never fires on others."""
-    apart = F.col(forward) - F.avg(forward).over(Window.partitionBy("d"))
-    limit = F.percentile(F.when(F.col("symbol") == symbol, apart), F.lit(1.0 - top)).over(Window.partitionBy())
-    return F.coalesce((F.col("symbol") == symbol) & (apart >= limit) & (uniform(seed, "symbol", "d") < rate / top), F.lit(False)).cast("double")
+def with_planted_apart(df: DataFrame, name: str, forward: str, symbol: str, top: float, rate: float = 0.02, seed: str = "apart") -> DataFrame:
+    """df with an indicator planted on one symbol's returns apart from the mean of all on the day; it never fires on others.  The limit is one row."""
+    apart = df.withColumn("__apart", F.col(forward) - F.avg(forward).over(Window.partitionBy("d")))
+    limit = apart.where(F.col("symbol") == symbol).agg(F.percentile("__apart", F.lit(1.0 - top)).alias("__limit"))
+    fires = (F.col("symbol") == symbol) & (F.col("__apart") >= F.col("__limit")) & (uniform(seed, "symbol", "d") < rate / top)
+    return apart.join(limit, F.lit(True)).withColumn(name, F.coalesce(fires, F.lit(False)).cast("double")).drop("__apart", "__limit")
 
 
 def sentiment(forward: str, rho: float, seed: str = "sentiment") -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import slices
 from tessera.operators.bitmaps import pairs
 
 
@@ -168,12 +169,29 @@ def retention(messages: DataFrame, now: Column, hours: int = 48) -> DataFrame:
 
 
 def recent_releases(vintage: DataFrame, since: Column, until: Column) -> DataFrame:
-    """series, published, period, value, prior: for each day of a release in the range, the two latest periods as known on it."""
-    days = vintage.where(F.col("realtime_start").between(since, until)).select("series", F.col("realtime_start").alias("published")).distinct()
-    known = days.join(vintage, "series").where(F.col("realtime_start") <= F.col("published"))
-    values = known.groupBy("series", "published", "period").agg(F.max_by("value", "realtime_start").alias("value"))
-    w = Window.partitionBy("series", "published").orderBy(F.col("period").desc())
-    return values.select("*", F.lead("value").over(w).alias("prior"), F.row_number().over(w).alias("__n")).where("__n = 1").drop("__n")
+    """series, published, period, value, prior: for each day of a release in the range, the two latest periods as known on it.
+
+    The greatest period so far is a running maximum, and so is the second one: of the lesser of each period and the greatest before it.  A release
+    day takes both from the last first print up to it, and each period's value from the revision that held on the day.
+    """
+    first = vintage.groupBy("series", "period").agg(F.min("realtime_start").alias("known"))
+    w = Window.partitionBy("series").orderBy("known", "period")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = first.withColumns({"latest": F.max("period").over(upto), "__other": F.when(F.max("period").over(before).isNotNull(), F.least("period", F.max("period").over(before)))}).withColumn("second", F.max("__other").over(upto))
+    at = lambda c: F.col(c).cast("timestamp").alias("t")
+    known = ranked.groupBy(F.col("series").alias("symbol"), at("known")).agg(F.max("latest").alias("latest"), F.max("second").alias("second"))
+    days = vintage.where(F.col("realtime_start").between(since, until)).select(F.col("series").alias("symbol"), F.col("realtime_start").alias("published"), at("realtime_start")).distinct()
+    asked = slices.carried(known, days, "latest", "second").withColumnRenamed("symbol", "series").drop("t")
+    ends = F.lead("realtime_start").over(Window.partitionBy("series", "period").orderBy("realtime_start"))
+    held = vintage.select("series", "period", "value", F.col("realtime_start").alias("starts"), ends.alias("ends"))
+
+    def with_value(df: DataFrame, period: str, name: str) -> DataFrame:
+        of = held.select("series", F.col("period").alias(period), F.col("value").alias(name), "starts", "ends")
+        holds = (F.col("starts") <= F.col("published")) & (F.col("ends").isNull() | (F.col("ends") > F.col("published")))
+        met = df.join(of, ["series", period]).where(holds).select("series", "published", name)
+        return df.join(met, ["series", "published"], "left")
+
+    return with_value(with_value(asked, "latest", "value"), "second", "prior").select("series", "published", F.col("latest").alias("period"), "value", "prior")
 
 
 def number_text(value: Column, signed: bool = False) -> Column:

@@ -70,18 +70,22 @@ def park(parked: DataFrame, specs: list[Spec], on: date) -> DataFrame:
     return state.insert_missing(parked, new, ["label"])
 
 
-def valid_registry(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """registry (candidate, spec) with new entries in place of old ones; specifications that are no longer valid are skipped."""
+DOCUMENT = "label string, direction string, outcome string, prior_weight double, clauses array<struct<indicator:string,op:string,threshold:double,within_days:double>>"
+
 
-    def valid(text: str) -> bool:
-        try:
-            Spec.from_json(text)
-        except (KeyError, TypeError, ValueError):
-            return False
-        return True
+def is_valid(text: Column) -> Column:
+    """Whether a document is a specification, by the rules that `Spec` and `Clause` hold; numbers are numbers, not texts."""
+    d = F.from_json(text, DOCUMENT)
+    within = lambda c: F.coalesce(c["within_days"], F.lit(0.0))
+    good = lambda c: c["indicator"].isNotNull() & c["op"].isin(*G.OPERATORS) & c["threshold"].isNotNull() & (within(c) >= 0) & (F.floor(within(c)) <= G.MAX_WITHIN)
+    whole = d["label"].isNotNull() & (F.size(d["clauses"]) > 0) & F.forall(d["clauses"], lambda c: F.coalesce(good(c), F.lit(False)))
+    rest = F.coalesce(d["direction"], F.lit("long")).isin("long", "short") & F.coalesce(d["outcome"], F.lit("raw")).isin("raw", "market_relative") & (F.coalesce(d["prior_weight"], F.lit(1.0)) > 0)
+    return F.coalesce(whole & rest, F.lit(False))
 
-    is_valid = F.udf(valid, "boolean")  # registry documents are a few rows
-    return state.upsert(registry, new, ["candidate"]).where(is_valid("spec"))
+
+def valid_registry(registry: DataFrame, new: DataFrame) -> DataFrame:
+    """registry (candidate, spec) with new entries in place of old ones; specifications that are no longer valid are skipped."""
+    return state.upsert(registry, new, ["candidate"]).where(is_valid(F.col("spec")))
 
 
 def registered(panel: DataFrame, spec: Spec, proposed_at: date, horizon: int) -> dict[str, Any]:

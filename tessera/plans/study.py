@@ -89,7 +89,7 @@ def seen(panel: DataFrame, days: list[date]) -> DataFrame:
 def firings(df: DataFrame, specs: list[Spec], of: DataFrame, horizons: list[int], days: list[date] | None = None, rows: int = slices.ROWS) -> DataFrame:
     """A row for each candidate and row of the panel that fires, treated or as its control; n_rows is what is known of its symbol.
 
-    Bars in a shock give no event, unless the specification asks for shocks; nor do those whose longest horizon is not complete.  With days, a
+    Bars in a shock are marked as excluded, unless the specification asks for shocks; those whose longest horizon is not complete are none.  With days, a
     firing gives a row for each day on which its horizon is complete: what fires looks back only, so only that depends on the day.
     """
     controls = {k: c for k, s in enumerate(specs) if (c := control(s)) is not None}
@@ -105,13 +105,14 @@ def firings(df: DataFrame, specs: list[Spec], of: DataFrame, horizons: list[int]
     met = fired.select("*", "x.*").drop("x")
     if days:
         met = met.drop("n_rows").join(seen(df, days), "symbol").withColumn("k", (F.col("a") * len(specs) + F.col("k")).cast("int"))
-    met = met.join(of, "k").where(((F.col("regime") == "normal") | F.col("shocks")) & (F.col("loc") + 1 + F.col("most") < F.col("n_rows")) & (F.col("price") > 0))
+    met = met.join(of, "k").where((F.col("loc") + 1 + F.col("most") < F.col("n_rows")) & (F.col("price") > 0))
+    met = met.withColumn("excluded", (F.col("regime") != "normal") & ~F.col("shocks"))
     sign, price = F.col("sign"), F.col("price")
     best = lambda x, good: F.when((sign > 0) == F.lit(good), x["top"]).otherwise(x["bottom"])
     moved = lambda x, good: sign * (F.try_divide(best(x, good), price) - 1)
     value = lambda x: sign * F.when(F.col("relative"), x["apart"]).otherwise(x["base"])
     told = F.transform(F.filter("outs", lambda x: F.array_contains("horizons", x["h"])), lambda x: F.struct(x["h"].alias("h"), moved(x, True).alias("mfe"), moved(x, False).alias("mae"), value(x).alias("value")))
-    return met.select("k", "treated", "state", "symbol", F.col("d").alias("trigger_d"), (F.col("loc") + 1).alias("entry_loc"), "n_rows", "period", F.col("price").alias("entry_price"), "sign", told.alias("outs"))
+    return met.select("k", "treated", "state", "excluded", "symbol", F.col("d").alias("trigger_d"), (F.col("loc") + 1).alias("entry_loc"), "n_rows", "period", F.col("price").alias("entry_price"), "sign", told.alias("outs"))
 
 
 def trained(long: DataFrame, folds: DataFrame) -> DataFrame:
@@ -202,6 +203,8 @@ class Evidence:
     chosen: DataFrame
     outcomes: DataFrame
     pool: DataFrame
+    counts: DataFrame
+    anchors: DataFrame
     trades: DataFrame
     settings: DataFrame
 
@@ -211,9 +214,12 @@ def evidence(panel: DataFrame, specs: list[Spec], days: list[date] | None = None
     horizons = sorted({h for s in specs for h in s.horizons})
     df = cut(measured(panel, horizons, any(s.outcome == "market_relative" for s in specs)))
     of = candidates(panel.sparkSession, specs, days)
-    fired = cut(firings(df, specs, of, horizons, days))
+    every = cut(firings(df, specs, of, horizons, days))
+    counts = every.where("treated").groupBy("k").agg(F.count_if(~F.col("excluded")).alias("n_raw_triggers"), F.count_if("excluded").alias("n_shock_excluded"))
+    fired = every.where(~F.col("excluded")).drop("excluded")
     treated = fired.where("treated")
     long = treated.select("k", "symbol", "period", "trigger_d", "entry_loc", F.explode("outs").alias("x")).select("k", "symbol", "period", "trigger_d", "entry_loc", "x.*")
+    anchors = long.groupBy("k", "h").agg(F.avg("mfe").alias("mfe"), F.avg(F.abs("mae")).alias("mae"))
     folds = cut(W.folds(treated, "k"))
     train = cut(trained(long, folds))
     spans = treated.groupBy("k", "symbol", "period").agg(F.min("entry_loc").alias("lo"), F.max("entry_loc").alias("hi"))
@@ -221,13 +227,15 @@ def evidence(panel: DataFrame, specs: list[Spec], days: list[date] | None = None
     outcomes = long.withColumnRenamed("period", "fold").join(chosen.select("k", "fold", "h"), ["k", "fold", "h"]).withColumnRenamed("fold", "period").where("value IS NOT NULL")
     pool = unconditional_pool(spans, chosen, of, df, horizons).unionByName(incremental_pool(fired, chosen, of))
     path_of = cut(paths(df, treated, max(horizons)))
-    return Evidence(of, fired, folds, train, chosen, cut(outcomes), pool, *barrier_trades(treated, path_of, train, folds))
+    return Evidence(of, fired, folds, train, chosen, cut(outcomes), pool, counts, anchors, *barrier_trades(treated, path_of, train, folds))
 
 
 def verdicts(e: Evidence, reps: int = 2000, dated: bool = False) -> DataFrame:
     """A row a candidate: the barrier trades' report, the pattern's test against its baseline, the verdict and the family's correction.
 
-    dated: the candidates are those of several days, and those of one day are a family.
+    dated: the candidates are those of several days, and those of one day are a family.  n_raw_triggers and n_shock_excluded count firings whose
+    horizons are complete, in and out of ordinary times.  Accepted candidates also get what a live signal needs: live_anchors (of each horizon the
+    mean excursions of all events) and the multiples that the last fold chose.
     """
     block = e.chosen.groupBy("k").agg(F.max_by("h", "fold").alias("horizon"), F.array_sort(F.collect_set("h")).alias("horizons_used"))
     tested = W.bootstrap_p(e.outcomes.join(block, "k").select(F.col("k").alias("candidate"), "value", (F.col("horizon") * W.BLOCK_HORIZONS).alias("block")), e.pool.withColumnRenamed("k", "candidate"), reps).withColumn("k", F.col("candidate").cast("int")).drop("candidate")
@@ -236,7 +244,9 @@ def verdicts(e: Evidence, reps: int = 2000, dated: bool = False) -> DataFrame:
     spread = e.outcomes.groupBy("k").agg(F.stddev_samp("value").alias("oos_sd"), E.sortino(F.col("value")).alias("path_sortino"))
     reported = E.report(e.trades, "k")
     share = lambda df, group, value, name: W.concentration(df, ["k"], group, value).select("k", F.col("max_share").alias(f"{name}_share"), F.col("dominant").cast("string").alias(f"{name}_dominant"), F.col("concentrated").alias(name))
-    parts = [reported, tested, ratios, spread, block]
+    live = e.anchors.groupBy("k").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("h", F.struct("mfe", "mae"))))).alias("live_anchors"))
+    last = e.settings.groupBy("k").agg(F.max_by("tp", "fold").alias("live_tp"), F.max_by("sl", "fold").alias("live_sl"))
+    parts = [reported, tested, ratios, spread, block, e.counts, live, last]
     for group, name in (("symbol", "by_symbol"), ("period", "by_year")):
         parts += [share(e.outcomes, group, "value", name), share(e.trades, group, "net_return", f"{name}_traded")]
     rows = reduce(lambda a, b: a.join(b, "k", "left"), parts, e.of)
@@ -247,6 +257,8 @@ def verdicts(e: Evidence, reps: int = 2000, dated: bool = False) -> DataFrame:
     advice = [F.col(c) for c in ("n", "status", "significant", "oos_sd")]
     rows = rows.withColumns({"status": W.classify(*gates), "reason": W.explain(*gates), "required_n": W.required_n(F.col("oos_sd"))})
     rows = W.demote(rows, "weight", ["as_of"] if dated else None).withColumns({"advice": W.keep_or_drop(*advice), "advice_reason": W.advice_reason(*advice, *(F.col(c) for c in ("excess", "by_symbol_share", "by_year_share", "ratio")))})
+    accepted = F.col("status") == "accepted"
+    rows = rows.withColumns({c: F.when(accepted, F.col(c)) for c in ("live_anchors", "live_tp", "live_sl")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_raw_triggers", "n_shock_excluded")})
     return rows.drop(*([] if dated else ["as_of"]), "k", "ok", "sign", "horizons", "most", "shocks", "relative", "one_symbol", "contrast", "by_symbol_traded", "by_year_traded", "by_symbol_traded_share", "by_year_traded_share", "by_symbol_traded_dominant", "by_year_traded_dominant")
 
 
@@ -275,6 +287,12 @@ def run(bars: DataFrame, specs: list[Spec], as_of: date | list[date] | None = No
     return verdicts(evidence(panel, specs, days), reps, bool(days)).unionByName(errors, allowMissingColumns=True) if specs else errors
 
 
+def live_state(battery: DataFrame) -> DataFrame:
+    """candidate, h, mfe, mae, tp, sl: what the accepted candidates of a battery trade by; those that the family's correction demoted are not among them."""
+    rows = battery.where("status = 'accepted' AND live_tp IS NOT NULL")
+    return rows.select("candidate", F.explode("live_anchors").alias("h", "x"), "live_tp", "live_sl").select("candidate", "h", "x.mfe", "x.mae", F.col("live_tp").alias("tp"), F.col("live_sl").alias("sl"))
+
+
 def static_specs() -> list[Spec]:
     """The static conditions as specifications over their columns in a complete panel."""
     return [Spec(name, (Clause(name, ">=", 1.0),), direction) for name, direction in I.STATIC.items()]

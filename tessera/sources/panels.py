@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SERIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,14 +50,14 @@ def error_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A side series with gaps: the daily mean, on every third day of the month."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("d"), "l_discount")
-    return lines.where(F.dayofmonth("d") % 3 == 0).groupBy("symbol", "d").agg(F.avg("l_discount").alias("rate"))
+    """A side series with gaps: the mean of each week, known on the Monday after it."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.date_add(F.trunc(F.to_date("l_shipdate"), "week"), 7).alias("d"), "l_discount")
+    return lines.groupBy("symbol", "d").agg(F.avg("l_discount").alias("rate"))
 
 
 def macro_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two vintages a month and series: a first print of the first 20 days, and a revision of all."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin(*SERIES)).select(F.col("o_orderpriority").alias("series"), F.trunc(F.to_date("o_orderdate"), "month").alias("period"), F.dayofmonth("o_orderdate").alias("day"), "o_totalprice")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("series"), F.trunc(F.to_date("o_orderdate"), "month").alias("period"), F.dayofmonth("o_orderdate").alias("day"), "o_totalprice")
     by_month = lambda df, days: df.groupBy("series", "period").agg(F.round(F.avg("o_totalprice"), 4).alias("value")).select("series", "period", F.date_add(F.last_day("period"), days).alias("realtime_start"), "value")
     return by_month(orders.where("day <= 20"), 14).unionByName(by_month(orders, 45))
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import socket
 import tempfile
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,14 +78,20 @@ def iso(day: Column) -> Column:
     return F.date_format(day.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that plans built on it stay small and lost executors cost no more than a read."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or "/tmp/checkpoints/tessera")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, so that plans built on it stay small and lost executors cost no more than a read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -111,26 +119,32 @@ class Locked(RuntimeError):
 
 
 @contextmanager
-def lock(path: str | Path) -> Iterator[None]:
-    """One process at a time; the lock of a process that is gone is taken over."""
+def lock(path: str | Path, lease: float = 6 * 3600.0) -> Iterator[None]:
+    """One process at a time, on whichever machine: the file names the holder's host, process and the end of its lease.
+
+    A lock is taken over when its lease has ended, or before that if its process is of this host and gone; a holder elsewhere cannot be looked at.
+    """
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    own = f"{os.getpid()}"
+    own = {"host": socket.gethostname(), "pid": os.getpid(), "until": time.time() + lease}
     while True:
         try:
             with path.open("x") as f:
-                f.write(own)
+                json.dump(own, f)
             break
         except FileExistsError:
             try:
-                holder = int(path.read_text() or 0)
-            except (FileNotFoundError, ValueError):
-                holder = 0
-            if holder and holder != os.getpid() and Path(f"/proc/{holder}").exists():
-                raise Locked(f"{path} is held by process {holder}") from None
+                held = json.loads(path.read_text())
+                here = held["host"] == own["host"]
+                gone = here and (held["pid"] == own["pid"] or not Path(f"/proc/{held['pid']}").exists())
+                ended = gone or held["until"] < time.time()
+            except (FileNotFoundError, ValueError, KeyError, TypeError):
+                held, ended = {}, True
+            if not ended:
+                raise Locked(f"{path} is held by process {held['pid']} of {held['host']}") from None
             path.unlink(missing_ok=True)
     try:
         yield
     finally:
-        if path.exists() and path.read_text() == own:
+        if path.exists() and path.read_text() == json.dumps(own):
             path.unlink()

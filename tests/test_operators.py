@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import math
 
 import numpy as np
@@ -279,6 +280,11 @@ def test_redundant_proposals_are_told(spark):
     assert admission.park(parked, got.parked, dt.date(2021, 1, 1)).count() == 1
     registry = spark.createDataFrame([("x", specs[0].to_json())], "candidate string, spec string")
     assert {r.candidate for r in admission.valid_registry(registry, spark.createDataFrame([("y", "{}"), ("z", specs[1].to_json())], "candidate string, spec string")).collect()} == {"x", "z"}
+    base = json.loads(specs[0].to_json())
+    clause = base["clauses"][0]
+    tries = [base, {**base, "clauses": []}, {**base, "direction": "up"}, {**base, "outcome": "none"}, {**base, "prior_weight": 0}, {**base, "coins": ["A"]}] + [{**base, "clauses": [clause, {**clause, **x}]} for x in ({"op": "=="}, {"within_days": 15}, {"within_days": -1}, {"within_days": 14}, {"threshold": None}, {"indicator": None})]
+    told = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(tries)] + [(99, None), (98, "no json")], "k int, spec string").select("k", admission.is_valid(F.col("spec")).alias("ok")).collect()
+    assert {r.k for r in told if r.ok} == {0, 5, 9}
     assert admission.registered(panel.where("symbol = 'A'"), specs[0], dt.date(1996, 1, 1), 7)["prior_confirmations"] > 0
 
 
@@ -311,13 +317,23 @@ def test_files_locks_and_cadence(spark, tmp_path):
     assert sorted(map(tuple, spark.read.csv(str(tmp_path / "out"), header=True).collect())) == [("a", None), ("b", "1.5")]
     report = {(r.symbol, r.kind): (r.rows, r.error) for r in files.fan_out(spark, {("A", "1d"): lambda: 3, ("A", "1h"): lambda: 0, ("B", "1d"): lambda: 1 // 0}).collect()}
     assert report[("A", "1h")] == (0, None) and report[("B", "1d")][0] is None and "ZeroDivision" in report[("B", "1d")][1]
+    import json
+    import socket
+    import time
+
+    held = lambda host, pid, seconds: (tmp_path / "lock").write_text(json.dumps({"host": host, "pid": pid, "until": time.time() + seconds}))
     with state.lock(tmp_path / "lock"):
-        assert (tmp_path / "lock").read_text() == str(os.getpid())
+        assert json.loads((tmp_path / "lock").read_text())["pid"] == os.getpid()
     assert not (tmp_path / "lock").exists()
-    (tmp_path / "lock").write_text("1")  # a live process that is not this one
-    with pytest.raises(state.Locked), state.lock(tmp_path / "lock"):
-        pass
-    (tmp_path / "lock").write_text("999999999")  # one that is gone
+    for host, pid in ((socket.gethostname(), 1), ("elsewhere", 999999999)):  # a live process here; one elsewhere, of which only the lease is known
+        held(host, pid, 60)
+        with pytest.raises(state.Locked), state.lock(tmp_path / "lock"):
+            pass
+    for host, pid, seconds in ((socket.gethostname(), 999999999, 60), ("elsewhere", 7, -1)):  # one that is gone; a lease that has ended
+        held(host, pid, seconds)
+        with state.lock(tmp_path / "lock"):
+            pass
+    (tmp_path / "lock").write_text("torn")
     with state.lock(tmp_path / "lock"):
         pass
     seen: list[str] = []
