@@ -20,7 +20,8 @@ beside it, and no window that holds its context can repeat, so later levels work
    windows have equal leaders.
    Neighbouring windows under one leader go together as one row of word names to the range of the leader.
 4. There windows under equal leaders are compared name by name, and each gets back whether a smaller doc_id
-   has it.  The words of removed windows are marked, and chunks hash the rest.
+   has it.  What marking needs of the groups goes along with one of the chunk's rows and comes back with its answer, so the parse is not made again.  The
+   words of removed windows are marked, and chunks hash the rest.
 
 What is sent is made distinct by chunk, so a passage in a third of all documents is one entry a chunk; no
 list of its occurrences meets in one task.  There are at most as many rows as entries.
@@ -359,14 +360,28 @@ class Groups:
         size = self.size[of].astype(np.uint8)
         return len(of).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(size.tobytes() + self.least[start:stop].tobytes() + self.word[self.spread(of)].tobytes())
 
-    def removed(self, flags: np.ndarray) -> np.ndarray:
-        """First slots of the removed windows.  flags: for each window of each entry, whether a smaller id than the entry's least has it."""
-        size = self.size[self.first]
-        at = np.cumsum(size) - size
-        offset = np.arange(self.size.sum()) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        entry = np.repeat(self.entry, self.size)
-        gone = flags[at[entry] + offset] | np.repeat(self.doc > self.least[self.entry], self.size)
-        return (np.repeat(self.begin, self.size) + offset)[gone]
+    def side(self) -> bytes:
+        """What `removed_windows` needs of the groups: first slots, windows, entries, and whether the group's id is above its entry's least."""
+        begin = np.diff(self.begin, prepend=0).astype(np.uint32)
+        above = np.packbits(self.doc > self.least[self.entry])
+        parts = (begin, self.size.astype(np.uint8), self.entry.astype(np.uint32), above)
+        return len(begin).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
+
+
+def removed_windows(side: bytes, bits: list[tuple[int, bytes]]) -> np.ndarray:
+    """First slots of the removed windows of a chunk.  bits: the ranges' answers, for each window of each entry whether a smaller id than the entry's least has it."""
+    n, data = int.from_bytes(side[:4], "little"), zstandard.ZstdDecompressor().decompress(side[4:])
+    begin = np.cumsum(np.frombuffer(data, np.uint32, n), dtype=np.int64)
+    size = np.frombuffer(data, np.uint8, n, 4 * n).astype(np.int64)
+    entry = np.frombuffer(data, np.uint32, n, 5 * n).astype(np.int64)
+    above = np.unpackbits(np.frombuffer(data, np.uint8, offset=9 * n), count=n).astype(bool)
+    of_entry = np.zeros(int(entry.max(initial=-1)) + 1, np.int64)
+    of_entry[entry] = size  # groups of one entry are of one size
+    flags = gathered(bits, int(of_entry.sum()))
+    at = np.cumsum(of_entry) - of_entry
+    offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    gone = flags[np.repeat(at[entry], size) + offset] | np.repeat(above, size)
+    return (np.repeat(begin, size) + offset)[gone]
 
 
 def leaders(levels: list[Level], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -455,14 +470,15 @@ CHUNK = "chunk long, ids binary, sizes binary, packed binary"
 LIVE = "chunk long, ids binary, counts binary, live binary, names binary"
 SENT = "place int, chunk long, entries binary"
 REPLY = "chunk long, place int, bits binary"
+#: What the last round sends besides: the groups' side data, with one of a chunk's rows; ranges pass it on.
+SIDE = ", side binary"
 
 
-def reply_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "place", "bits"])
-
-
-def sent_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["place", "chunk", "entries"])
+def batch_of(rows: list[tuple], names: str) -> pa.RecordBatch:
+    """Rows under the names and types of a schema in words."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
 
 
 def chunks(df: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -499,18 +515,19 @@ def chunks(df: DataFrame, chunk_bytes: int) -> DataFrame:
 def judged(sent: DataFrame, parts: int, judge) -> DataFrame:
     """chunk, place, bits: what each range answers to each chunk; written to the checkpoint folder.
 
-    judge: from the entries of all chunks in one range to an answer for each chunk.
+    judge: from the entries of all chunks in one range to an answer for each chunk.  Further columns of sent come with the answers.
     """
+    reply = REPLY + (SIDE if "side" in sent.columns else "")
 
     def run(batches):
-        rows = [r for batch in batches for r in zip(*(batch.column(n).to_pylist() for n in ("place", "chunk", "entries")), strict=True)]
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         places: dict[int, list] = {}
-        for place, chunk, entries in rows:
-            places.setdefault(place, []).append((chunk, entries))
+        for place, chunk, entries, *rest in rows:
+            places.setdefault(place, []).append((chunk, entries, *rest))
         for place, own in places.items():
-            yield reply_batch([(chunk, place, made) for (chunk, _), made in zip(own, judge([e for _, e in own]), strict=True)])
+            yield batch_of([(chunk, place, made, *rest) for (chunk, _, *rest), made in zip(own, judge([r[1] for r in own]), strict=True)], reply)
 
-    return common.cut(sent.repartitionById(parts, F.col("place")).mapInArrow(common.lean(run), REPLY))
+    return common.cut(sent.repartitionById(parts, F.col("place")).mapInArrow(common.lean(run), reply))
 
 
 def split_flags(flags: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
@@ -689,7 +706,7 @@ def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: boo
             words = Words(texts)
             table, codes = distinct_words(words)
             entries = word_entries(table, codes, ids[words.owner])
-            yield sent_batch([(p, row["chunk"], pack_words(entries[s:e])) for p, s, e in sliced(place_of(entries["a"], parts), parts)])
+            yield batch_of([(p, row["chunk"], pack_words(entries[s:e])) for p, s, e in sliced(place_of(entries["a"], parts), parts)], SENT)
 
     def keep_live(batches):
         yield from map(live_row, rows_of(batches))
@@ -699,24 +716,25 @@ def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: boo
             for row in rows_of(batches):
                 parse = parsed(row, rounds)
                 entries = parse.waits.entries(parse.doc)
-                yield sent_batch([(p, row["chunk"], pack_symbols(entries[s:e])) for p, s, e in sliced(place_of(entries, parts), parts)])
+                yield batch_of([(p, row["chunk"], pack_symbols(entries[s:e])) for p, s, e in sliced(place_of(entries, parts), parts)], SENT)
 
         return send
 
     def send_windows(batches):
         for row in rows_of(batches):
             groups = Groups(parsed(row, LEVELS))
-            yield sent_batch([(p, row["chunk"], groups.packed(s, e)) for p, s, e in sliced(groups.places(parts), parts)])
+            sent = [(p, row["chunk"], groups.packed(s, e)) for p, s, e in sliced(groups.places(parts), parts)]
+            yield batch_of([(*r, groups.side() if k == 0 else None) for k, r in enumerate(sent)], SENT + SIDE)
 
     def mark(batches):
         """chunk and gone: a bit for each word that goes."""
         for row in rows_of(batches):
-            parse = parsed(row, LEVELS)
-            groups = Groups(parse)
-            begin = groups.removed(gathered(answers_of(row).get(LEVELS + 1, []), int(groups.size[groups.first].sum())))
             slot, _, slots = parted(unpacked(row["counts"], np.uint32).astype(np.int64))
             gone, live = np.zeros(slots, bool), live_slots(row)
-            gone[live] = covered(begin, len(parse.word))[close_up(live)]
+            if row["side"] is not None:  # else no window of the chunk may repeat
+                at = close_up(live)
+                begin = removed_windows(row["side"], answers_of(row)[LEVELS + 1])
+                gone[live] = covered(begin, int(at[-1]) + 2)[at]
             bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(gone[slot]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([bits], pa.binary())], names=["chunk", "bits"])
 
@@ -740,7 +758,8 @@ def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: boo
         """The table with what few has of each chunk; only few moves."""
         own = few.repartition(parts, "chunk")
         if "round" in few.columns:
-            own = own.groupBy("chunk").agg(F.collect_list(F.struct("round", "place", "bits")).alias("answers"))
+            side = [F.max("side").alias("side")] if "side" in few.columns else []
+            own = own.groupBy("chunk").agg(F.collect_list(F.struct("round", "place", "bits")).alias("answers"), *side)
         return table.join(own.hint("shuffle_hash"), "chunk", "left")
 
     with common.brief_shuffles(df.sparkSession):
@@ -751,7 +770,7 @@ def remove_repeats(df: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_text: boo
         for k in range(LEVELS):
             made = judged((live if answers is None else joined(live, answers)).mapInArrow(common.lean(send_symbols(k)), SENT), parts, judge_symbols).withColumn("round", F.lit(k + 1))
             answers = made if answers is None else answers.unionByName(made)
-        made = judged(joined(live, answers).mapInArrow(common.lean(send_windows), SENT), parts, judge_windows).withColumn("round", F.lit(LEVELS + 1))
-        marks = common.cut(joined(live, answers.unionByName(made)).mapInArrow(common.lean(mark), "chunk long, bits binary"))
+        made = judged(joined(live, answers).mapInArrow(common.lean(send_windows), SENT + SIDE), parts, judge_windows).withColumn("round", F.lit(LEVELS + 1))
+        marks = common.cut(joined(live.select("chunk", "counts", "live"), made).mapInArrow(common.lean(mark), "chunk long, bits binary"))
     done = joined(packed, marks).mapInArrow(common.lean(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return done if with_text else done.drop("kept")
