@@ -8,9 +8,11 @@ from tessera.catalog import sql as S
 from tessera.functions import slices
 from tessera.functions.series import ahead, by_day, roll, rounded
 from tessera.operators import indicators as I  # noqa: E741
+from tessera.operators import live
+from tessera.plans import admission
 from tessera.plans import grammar as G
 from tessera.plans.grammar import Clause, Spec
-from tessera.sources import panels
+from tessera.sources import panels, state
 
 NATIVE = [n for n in I.INDICATORS if n not in I.named("daily_native")]
 #: One condition on each indicator of hours, then reaches, both directions of one, and ones that join hours and days.
@@ -82,7 +84,38 @@ def cut_frames(s, d):
     return made.select("symbol", "d", "loc", "n_rows", "any_rise", "all_rise", *rounded("mean_20", "best_ahead", "lag_7", "lead_3", "p95", "dev_past", "last_rise", "volume_so_far"))
 
 
+def tests_opened(s, d):
+    """What putting each of the conditions to the test opens on each symbol."""
+    hits = state.cut(G.occurrences_hourly(panel_of_hours(s, d), panel_of_days(s, d), SPECS).withColumnRenamed("label", "candidate"))
+    return live.tests_opened(hits, panels.bars_1h(s, d), days_of_hours(s, d), 5, 7).withColumn("entry_price", F.round("entry_price", 6))
+
+
+def registry(s, d):
+    """Documents of specifications, good and bad, and a status for each, from the parts."""
+    k, text = F.col("p_partkey"), lambda c: c.cast("string")
+    clause = F.concat(F.lit('{"indicator": "'), F.when(k % 3 == 0, "cpi_surprise").otherwise("rsi_14d"), F.lit('", "op": "'), F.when(k % 11 == 0, "==").otherwise("<"), F.lit('", "threshold": '), text(F.col("p_size")), F.lit(', "within_days": '), text(k % 17), F.lit("}"))
+    doc = F.concat(F.lit('{"label": "'), F.col("p_name"), F.lit('", "direction": "'), F.when(k % 13 == 0, "up").otherwise("long"), F.lit('", "clauses": ['), F.when(k % 19 == 0, "").otherwise(clause), F.lit("]}"))
+    status = F.when(k % 7 == 0, "accepted").when(k % 5 == 0, "watch").otherwise("rejected")
+    return panels.table(s, d, "part").select(k.alias("candidate"), F.when(k % 23 != 0, doc).alias("spec"), status.alias("status"))
+
+
+def context_names(s, d):
+    found = admission.context_names(registry(s, d))
+    return found.select(F.size("accepted").alias("n_accepted"), F.md5(F.array_join("accepted", ",")).alias("accepted"), F.md5(F.array_join("not_accepted", ",")).alias("not_accepted"))
+
+
+def latest_news(s, d):
+    """The seven latest headlines, with the moment of publication as text."""
+    events = panels.table(s, d, "events")
+    at = F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return events.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(7).select("event_id", F.upper("event_type").alias("headline"), at.alias("published_at"))
+
+
 QUERIES = {
+    "stm_tests_opened": tests_opened,
+    "cnd_off_thesis": lambda s, d: admission.off_thesis(registry(s, d)),
+    "agg_context_names": context_names,
+    "src_news_latest": latest_news,
     "ind_hourly_all": lambda s, d: panel_of_hours(s, d).select("symbol", F.col("d").alias("ts"), *rounded(*(n for n in I.INDICATORS if not n.endswith("surprise")))),
     "cnd_hourly_all": lambda s, d: G.occurrences_hourly(panel_of_hours(s, d), panel_of_days(s, d), SPECS),
     "stm_static_hourly": static_hourly,
@@ -123,7 +156,18 @@ FRAMES = {
     "last_rise": f"last_value(CASE WHEN close > open THEN close END IGNORE NULLS) {UPTO}", "volume_so_far": f"sum(volume) {UPTO}",
 }
 
+REGISTRY = """registry AS (SELECT p_partkey AS candidate, p_partkey % 23 <> 0 AS doc, p_partkey % 19 <> 0 AS clause, p_partkey % 11 = 0 AS op, p_partkey % 17 AS within, p_partkey % 13 = 0 AS up, p_partkey % 3 = 0 AS news,
+ CASE WHEN p_partkey % 7 = 0 THEN 'accepted' WHEN p_partkey % 5 = 0 THEN 'watch' ELSE 'rejected' END AS status FROM part)"""
+OPENED = f"""hits AS ({HITS}), last AS (SELECT symbol, max(ts) AS last FROM hours GROUP BY 1),
+since AS (SELECT label, h.symbol, min(ts) AS since FROM hits h JOIN last USING (symbol) WHERE ts >= last - INTERVAL 5 DAY GROUP BY 1, 2),
+asked AS (SELECT l.label, last.symbol, since FROM (SELECT DISTINCT label FROM hits) l CROSS JOIN last LEFT JOIN since s ON s.label = l.label AND s.symbol = last.symbol),
+opened AS (SELECT label AS candidate, symbol AS coin, since IS NOT NULL AS backdated, CASE WHEN since IS NULL THEN (SELECT max(d) FROM dbars b WHERE b.symbol = a.symbol) ELSE (SELECT min(d) FROM dbars b WHERE b.symbol = a.symbol AND CAST(d AS TIMESTAMP) > since) END AS entry_d FROM asked a)"""
+
 ORACLE = {
+    "stm_tests_opened": S.recursive("SELECT candidate, coin, entry_d, round(CASE WHEN backdated THEN b.open ELSE b.close END, 6) AS entry_price, CAST(7 AS INTEGER) AS horizon, backdated FROM opened JOIN dbars b ON b.symbol = coin AND b.d = entry_d", *HOURLY, FIRED, OPENED),
+    "cnd_off_thesis": S.sql("SELECT * FROM (SELECT candidate, CASE WHEN NOT doc THEN 'no label' WHEN NOT clause THEN 'no clause' WHEN op THEN 'unknown operator' WHEN within > 14 THEN 'within_days is not in 0..14' WHEN up THEN 'unknown direction' WHEN NOT news THEN 'no clause on a published event' END AS reason FROM registry) WHERE reason IS NOT NULL", REGISTRY),
+    "agg_context_names": S.sql("SELECT CAST(count(*) FILTER (status = 'accepted') AS INTEGER) AS n_accepted, md5(string_agg(CAST(candidate AS VARCHAR), ',' ORDER BY candidate) FILTER (status = 'accepted')) AS accepted, md5(string_agg(CAST(candidate AS VARCHAR), ',' ORDER BY candidate) FILTER (status <> 'accepted')) AS not_accepted FROM registry", REGISTRY),
+    "src_news_latest": "SELECT event_id, upper(event_type) AS headline, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S+00:00') AS published_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 7",
     "ind_hourly_all": S.recursive("SELECT symbol, d AS ts, " + ", ".join(f"round({n}, 6) AS {n}" for n in I.INDICATORS if not n.endswith("surprise")) + " FROM whole", *HOURLY),
     "cnd_hourly_all": S.recursive(HITS, *HOURLY, FIRED),
     "stm_static_hourly": S.recursive("SELECT * FROM static", *HOURLY, STATIC),

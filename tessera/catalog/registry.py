@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from tessera.catalog import sql as S
+from tessera.catalog import studies
 from tessera.catalog.operations import CLOSED, day, tests
 from tessera.catalog.studies import BASE, SPECS, battery, sides_of
 from tessera.operators import registry as R
@@ -234,3 +235,5 @@ ORACLE = {
     "agg_best_epoch": "SELECT p_brand, arg_min(p_partkey, (p_retailprice, p_partkey)) AS best FROM part GROUP BY 1",
     "agg_pooled_median": S.sql(f"SELECT candidate, round(median(m), 6) AS pooled FROM (SELECT candidate, coin, avg(forward_return) AS m FROM {CLOSED} GROUP BY 1, 2) GROUP BY 1", *BASE, S.TESTS),
 }
+ORACLE["agg_prune_digest"] = f"""WITH advised AS ({ORACLE["wf_advice_reason"]}), coded AS ({studies.ORACLE["wf_prune_codes"]})
+SELECT CASE WHEN advice = 'drop' THEN 1 ELSE 2 END AS place, advice AS section, code, concat_ws(': ', concat_ws(' ', code, CAST(candidate AS VARCHAR)), advice_reason) AS line FROM advised JOIN coded USING (candidate)"""

@@ -311,12 +311,30 @@ def tail_sql(z: str) -> str:
     return f"CASE WHEN {z} >= 0 THEN {upper} ELSE 1 - {upper} END"
 
 
+
+
+def draw_sql(which: int) -> str:
+    """The number in [0, 1) of replicate r and draw j that `walkforward.uniforms` makes."""
+    whole = "18446744073709551616::UHUGEINT"
+    x = f"((r::UHUGEINT * 8589934592 + j::UHUGEINT * 2 + {which} + {walkforward.STEP}::UHUGEINT) % {whole})"
+    for shift, times in ((30, walkforward.FIRST), (27, walkforward.SECOND)):
+        x = f"((xor({x}, {x} // {2**shift}) * {times}::UHUGEINT) % {whole})"
+    return f"(CAST(xor({x}, {x} // {2**31}) // 2048 AS DOUBLE) / 9007199254740992)"
+
+
 ORACLE = {
     "wf_relative_outcomes": S.sql("SELECT symbol, trigger_d, CAST(h AS INTEGER) AS h, round(fwd, 6) AS value FROM long_rel JOIN best USING (h) WHERE fold = period", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, S.FORWARD, BASKETS, RELATIVE, SPAN.format("<").replace("forward_of f", "forward_rel f"), SCORE.replace("long_ev", "long_rel")),
     "wf_incremental_pool": S.sql("SELECT CAST(fold AS VARCHAR) AS chunk, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT b.fold, CASE b.h " + " ".join(f"WHEN {h} THEN fwd_{h}" for h in HORIZONS) + " END AS v FROM evx x JOIN best b ON b.fold = x.period WHERE regime = 'normal' AND NOT recent) WHERE v IS NOT NULL GROUP BY 1", S.BARS, S.SURPRISE, S.IND, EV_NEWS, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
     "wf_oos_ratio": S.sql("SELECT CAST(period AS INTEGER) AS period, count(*) AS n, round(avg(fwd), 6) AS mean, round(avg(mfe) / avg(abs(mae)), 6) AS ratio FROM long_ev JOIN best USING (h) WHERE fold = period GROUP BY 1", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, S.FORWARD, SPAN.format("<"), SCORE),
     "wf_params_log": S.sql("SELECT CAST(fold AS INTEGER) AS fold, tp, sl, n, round(sortino, 5) AS sortino FROM pick", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, MET, GRID, TEST_YEAR),
     "wf_trigger_counts": S.sql("SELECT 'volume' AS candidate, (SELECT count(*) FROM ev WHERE regime = 'normal') AS n_raw_triggers, (SELECT count(*) FROM ev WHERE regime = 'shock') AS n_shock_excluded, CAST(h AS INTEGER) AS h, round(avg(l.mfe), 6) AS mfe, round(avg(abs(l.mae)), 6) AS mae FROM long_ev l JOIN (SELECT symbol, trigger_d, regime FROM ev) e USING (symbol, trigger_d) WHERE regime = 'normal' GROUP BY 4", *BASE, S.LONG),
+    "wf_bootstrap_p": S.sql(f"""SELECT symbol AS candidate, n, mean, baseline_mean, baseline_n, p, p_two_sided, p < 0.1 AND mean > baseline_mean AS significant
+ FROM (SELECT symbol, n, mean, baseline_mean, baseline_n, avg(CAST(m >= mean AS DOUBLE)) AS p, avg(CAST(abs(m - baseline_mean) >= abs(mean - baseline_mean) AS DOUBLE)) AS p_two_sided FROM
+  (SELECT symbol, n, mean, baseline_mean, baseline_n, r, sum(hi.s - coalesce(lo.s, 0)) / n AS m FROM
+   (SELECT *, least(9, n - 9 * j) AS take, CAST(floor(u * (baseline_n - 8)) AS BIGINT) AS start FROM
+    (SELECT o.*, r, j, {draw_sql(1)} AS u FROM own o, range(2000) a(r), range(1000) b(j) WHERE 9 * j < n)) d
+   JOIN pool hi ON hi.sym = d.symbol AND hi.k = d.start + d.take LEFT JOIN pool lo ON lo.sym = d.symbol AND lo.k = d.start GROUP BY symbol, n, mean, baseline_mean, baseline_n, r) GROUP BY symbol, n, mean, baseline_mean, baseline_n)""",
+        *BASE, S.FORWARD, f"pool AS (SELECT symbol AS sym, row_number() OVER w AS k, sum(base) OVER w AS s, base FROM forward_of WHERE h = 3 AND base IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY loc)), own AS (SELECT symbol, n, mean, baseline_mean, baseline_n FROM (SELECT symbol, count(*) AS n, avg(fwd_3) AS mean FROM ev GROUP BY 1) JOIN (SELECT sym, avg(base) AS baseline_mean, count(*) AS baseline_n FROM pool GROUP BY 1) ON sym = symbol)"),
     "wf_oos_trades": S.sql("SELECT w.symbol, CAST(w.fold AS INTEGER) AS period, w.trigger_d, coalesce(f.outcome, 'timeout') AS outcome, round(coalesce(f.net, e.net), 6) AS net_return FROM own w JOIN ends e USING (symbol, trigger_d) LEFT JOIN own_first f USING (symbol, trigger_d)", S.BARS, S.IND, EV_ANY, S.LONG, S.FOLDS, MET, GRID, TEST_YEAR),
     "wf_barrier_grid_all": S.sql(f"SELECT CAST(fold AS INTEGER) AS fold, tp, sl, n, round(sortino, 6) AS sortino, round(win_rate, 6) AS win_rate FROM (SELECT fold, tp, sl, {REPORT} FROM traded GROUP BY 1, 2, 3)", *BASE, S.LONG, S.FOLDS, MET, GRID),
     "evt_barrier_exit": S.sql(f"SELECT symbol, d, CASE WHEN low <= price * (1 - 0.4::DOUBLE) THEN 'stop' WHEN high >= price * (1 + 0.5::DOUBLE) THEN 'target' WHEN d - entry >= 5 THEN 'time' END AS why FROM (SELECT *, lag(d, 4) OVER ({S.W}) AS entry, lag(close, 4) OVER ({S.W}) AS price FROM bars) WHERE entry IS NOT NULL", S.BARS),

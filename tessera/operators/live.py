@@ -106,6 +106,25 @@ def first_fired(df: DataFrame, fired: Column, since: Column, until: Column) -> D
     return df.withColumn("__hit", fired).where(F.col("__hit") & (F.col("ts") > since) & (F.col("ts") <= until)).groupBy("symbol").agg(F.min("ts").alias("first_ts"))
 
 
+def tests_opened(hits: DataFrame, hours: DataFrame, days: DataFrame, lookback: int, horizon: int) -> DataFrame:
+    """candidate, coin, entry_d, entry_price, horizon, backdated: the test of each pair that is put to the test now.
+
+    hits: candidate, symbol, ts of hours that fired, over the whole history; hours: symbol, ts; days: bars; every candidate of hits meets every symbol of hours.  A
+    pair that fired within `lookback` days of the symbol's last hour enters at the open of the first day after its earliest such hour, if there is
+    one yet; one that did not enters at the last day's close.
+    """
+    last = hours.groupBy("symbol").agg(F.max("ts").alias("last"))
+    recent = hits.join(last, "symbol").where(F.col("ts") >= F.col("last") - F.make_dt_interval(F.lit(lookback)))
+    first = recent.groupBy("candidate", "symbol").agg(F.min("ts").alias("since"))
+    asked = hits.select("candidate").distinct().join(last.select("symbol"), F.lit(True)).join(first, ["candidate", "symbol"], "left")
+    newest = days.groupBy("symbol").agg(F.max_by(F.struct("d", F.col("close").alias("price")), "d").alias("newest"))
+    later = F.when(F.col("d").cast("timestamp") > F.col("since"), F.struct("d", F.col("open").alias("price")))
+    met = asked.where("since IS NOT NULL").join(days.select("symbol", "d", "open"), "symbol").groupBy("candidate", "symbol").agg(F.min_by(later, F.when(later.isNotNull(), F.col("d"))).alias("bar"))
+    whole = asked.join(met, ["candidate", "symbol"], "left").join(newest, "symbol").withColumn("backdated", F.col("since").isNotNull())
+    entry = F.when(F.col("backdated"), F.col("bar")).otherwise(F.col("newest"))
+    return whole.withColumn("entry", entry).where("entry IS NOT NULL").select("candidate", F.col("symbol").alias("coin"), F.col("entry.d").alias("entry_d"), F.col("entry.price").alias("entry_price"), F.lit(horizon).alias("horizon"), "backdated")
+
+
 def first_bar_from(bars: DataFrame, days: DataFrame) -> DataFrame:
     """symbol, day, d, open: each symbol's first bar on or after each day, null after the last; one sort a symbol, no range join."""
     marks = bars.select("symbol").distinct().join(days.select(F.col("d").alias("day")).distinct(), F.lit(True))

@@ -182,8 +182,21 @@ def prune_codes(df: DataFrame) -> DataFrame:
 # -- bootstrap --------------------------------------------------------------------------------------
 
 
-def block_bootstrap_means(chunks: list[np.ndarray], n: int, block: int, reps: int = 2000, seed: int | list[int] = 0) -> np.ndarray:
-    """Means of n values drawn in contiguous blocks, `reps` times.
+#: An odd step and two odd multipliers of a 64-bit mixer; fixed values.
+STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def uniforms(replicate: np.ndarray, draw: np.ndarray, which: int) -> np.ndarray:
+    """Numbers in [0, 1), 53 bits, that the replicate, its draw and which of the draw's numbers decide: the same in any engine and any split of the work."""
+    x = (replicate.astype(np.uint64)[:, None] << np.uint64(33)) + (draw.astype(np.uint64)[None, :] << np.uint64(1)) + np.uint64(which)
+    for shift, times in ((30, FIRST), (27, SECOND)):
+        x = x + np.uint64(STEP) if shift == 30 else x
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+
+
+def block_bootstrap_means(chunks: list[np.ndarray], n: int, block: int, replicates: np.ndarray) -> np.ndarray:
+    """Means of n values drawn in contiguous blocks, one for each replicate (a number that decides its draws).
 
     A place is drawn evenly among all values, which picks its chunk by length, and then a block's start in that chunk; a block is as long
     as asked for, or as its chunk.  All draws are arrays: a block's sum is a difference of prefix sums, and the block in which a
@@ -194,17 +207,17 @@ def block_bootstrap_means(chunks: list[np.ndarray], n: int, block: int, reps: in
     first = np.cumsum(size) - size
     sums = np.concatenate([[0.0], np.cumsum(np.concatenate(chunks))])
     length = np.minimum(block, size)
-    rng = np.random.default_rng(seed)
-    total, held = np.zeros(reps), np.zeros(reps, np.int64)
+    total, held, done = np.zeros(len(replicates)), np.zeros(len(replicates), np.int64), 0
     while (held < n).any():
         short = np.flatnonzero(held < n)
         draws = max(1, min(-(-int(n - held.min()) // int(length.max())) + 1, 4_000_000 // len(short)))
-        of = np.searchsorted(first, rng.integers(0, size.sum(), (len(short), draws)), side="right") - 1
-        start = first[of] + np.floor(rng.random(of.shape) * (size[of] - length[of] + 1)).astype(np.int64)
+        j = np.arange(done, done + draws)
+        of = np.searchsorted(first, np.floor(uniforms(replicates[short], j, 0) * size.sum()), side="right") - 1
+        start = first[of] + np.floor(uniforms(replicates[short], j, 1) * (size[of] - length[of] + 1)).astype(np.int64)
         upto = held[short, None] + np.cumsum(length[of], axis=1)
         take = np.clip(n - (upto - length[of]), 0, length[of])
         total[short] += (sums[start + take] - sums[start]).sum(axis=1)
-        held[short] = upto[:, -1]
+        held[short], done = upto[:, -1], done + draws
     return total / n
 
 
@@ -220,7 +233,6 @@ def bootstrap_p(observed: DataFrame, pool: DataFrame, reps: int = 2000) -> DataF
     name = F.col("candidate").cast("string").alias("candidate")
     own = observed.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("block").alias("block"))
     joined = own.join(pool.select(name, "chunk", "base"), "candidate").withColumn("slice", F.explode(F.array(*map(F.lit, range(SLICES)))))
-    share = [len(range(k, reps, SLICES)) for k in range(SLICES)]
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         chunks = [np.asarray(c, float) for c in p.sort_values("chunk")["base"]]
@@ -229,7 +241,7 @@ def bootstrap_p(observed: DataFrame, pool: DataFrame, reps: int = 2000) -> DataF
         base = float(values.mean()) if len(values) else None
         above = beyond = drawn = None
         if len(values) >= MIN_POOL:
-            means = block_bootstrap_means(chunks, n, block, share[key[1]], [0, key[1]])
+            means = block_bootstrap_means(chunks, n, block, np.arange(key[1], reps, SLICES))
             above, beyond, drawn = int((means >= mean).sum()), int((np.abs(means - base) >= abs(mean - base)).sum()), len(means)
         return pd.DataFrame([(key[0], base, len(values), above, beyond, drawn)], columns=["candidate", "base", "size", "above", "beyond", "drawn"])
 

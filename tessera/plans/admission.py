@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.events import prospective_split
 from tessera.plans import grammar as G
-from tessera.plans.grammar import Spec
+from tessera.plans.grammar import Spec, named
 from tessera.sources import state
 
 CLAUSES = "array<struct<indicator:string,op:string,threshold:double,within_days:int>>"
@@ -73,14 +73,46 @@ def park(parked: DataFrame, specs: list[Spec], on: date) -> DataFrame:
 DOCUMENT = "label string, direction string, outcome string, prior_weight double, clauses array<struct<indicator:string,op:string,threshold:double,within_days:double>>"
 
 
-def is_valid(text: Column) -> Column:
-    """Whether a document is a specification, by the rules that `Spec` and `Clause` hold; numbers are numbers, not texts."""
+def refusal(text: Column, news: bool = False) -> Column:
+    """Why a document is not a specification, by the rules that `Spec` and `Clause` hold (numbers are numbers, not texts), or null.
+
+    news: a clause on a published event is a necessary condition too.
+    """
     d = F.from_json(text, DOCUMENT)
-    within = lambda c: F.coalesce(c["within_days"], F.lit(0.0))
-    good = lambda c: c["indicator"].isNotNull() & c["op"].isin(*G.OPERATORS) & c["threshold"].isNotNull() & (within(c) >= 0) & (F.floor(within(c)) <= G.MAX_WITHIN)
-    whole = d["label"].isNotNull() & (F.size(d["clauses"]) > 0) & F.forall(d["clauses"], lambda c: F.coalesce(good(c), F.lit(False)))
-    rest = F.coalesce(d["direction"], F.lit("long")).isin("long", "short") & F.coalesce(d["outcome"], F.lit("raw")).isin("raw", "market_relative") & (F.coalesce(d["prior_weight"], F.lit(1.0)) > 0)
-    return F.coalesce(whole & rest, F.lit(False))
+    within = lambda c: F.floor(F.coalesce(c["within_days"], F.lit(0.0)))
+    every = lambda good: F.forall(d["clauses"], lambda c: F.coalesce(good(c), F.lit(False)))
+    rules = [
+        (d["label"].isNotNull(), "no label"),
+        (F.size(d["clauses"]) > 0, "no clause"),
+        (every(lambda c: c["indicator"].isNotNull() & c["threshold"].isNotNull()), "a clause without an indicator or threshold"),
+        (every(lambda c: c["op"].isin(*G.OPERATORS)), "unknown operator"),
+        (every(lambda c: (F.coalesce(c["within_days"], F.lit(0.0)) >= 0) & (within(c) <= G.MAX_WITHIN)), f"within_days is not in 0..{G.MAX_WITHIN}"),
+        (F.coalesce(d["direction"], F.lit("long")).isin("long", "short"), "unknown direction"),
+        (F.coalesce(d["outcome"], F.lit("raw")).isin("raw", "market_relative"), "unknown outcome"),
+        (F.coalesce(d["prior_weight"], F.lit(1.0)) > 0, "a weight must be positive"),
+    ]
+    if news:
+        rules.append((F.exists(d["clauses"], lambda c: c["indicator"].isin(*sorted(named("news")))), "no clause on a published event"))
+    first = F.when(F.coalesce(~rules[0][0], F.lit(True)), rules[0][1])
+    for holds, why in rules[1:]:
+        first = first.when(F.coalesce(~holds, F.lit(True)), why)
+    return first
+
+
+def is_valid(text: Column) -> Column:
+    return refusal(text).isNull()
+
+
+def off_thesis(registry: DataFrame, news: bool = True) -> DataFrame:
+    """candidate, reason: the entries (candidate, spec) that are no longer tested, so that none vanishes without a word."""
+    return registry.select("candidate", refusal(F.col("spec"), news).alias("reason")).where("reason IS NOT NULL")
+
+
+def context_names(registry: DataFrame) -> DataFrame:
+    """One row: the accepted candidates, and those that were tested and are not, which are not to be proposed again without new evidence."""
+    names = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("candidate"))))
+    accepted = F.col("status").eqNullSafe("accepted")
+    return registry.agg(names(accepted).alias("accepted"), names(~accepted).alias("not_accepted"))
 
 
 def valid_registry(registry: DataFrame, new: DataFrame) -> DataFrame:

@@ -73,3 +73,28 @@ def test_stream_equals_batch_over_a_restart(stateful, tmp_path):
     assert {(r.candidate, r.coin, r.opened.date()) for r in told if r.status == "open"} == opened and len(opened) > 20
     assert sum(r.status == "open" for r in told) == len(opened)
     assert {(r.candidate, r.coin, r.opened.date(), r.closed.date(), round(r.forward_return, 9), round(r.mfe, 9), round(r.mae, 9)) for r in told if r.status == "closed"} == closed
+
+
+def test_questions_are_answered_or_expire(stateful, tmp_path):
+    from tessera.streaming.pending import pending
+
+    spark, rng = stateful, random.Random(3)
+    source, out, check = (str(tmp_path / n) for n in ("q", "out", "check"))
+    hour = dt.timedelta(hours=1)
+    rows, want = [], set()
+    for k in range(60):
+        asked = START + rng.randrange(200) * hour
+        rows.append(("q", f"{k}", asked, "asked"))
+        wait = rng.choice([None, 1, 5, 24, 25, 60])
+        if wait is not None:
+            rows.append(("q", f"{k}", asked + wait * hour, "answered"))
+        good = wait is not None and wait <= 24
+        want.add((f"{k}", asked, "answered" if good else "expired", asked + (wait if good else 24) * hour))
+    rows.sort(key=lambda r: r[2] + rng.uniform(0, 5) * hour)  # out of order, within the delay
+    kind = "queue string, id string, ts timestamp, kind string"
+    for part in (rows[:50], rows[50:], [("end", "end", START + 900 * hour, "answered")]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
+        stream = pending(spark.readStream.schema(kind).parquet(source), 24 * 3600, "8 hours")
+        stream.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
+    told = [(r.id, r.asked, r.outcome, r.at) for r in spark.read.parquet(out).collect()]
+    assert len(told) == 60 and set(told) == want
