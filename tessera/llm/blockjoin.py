@@ -42,7 +42,7 @@ from . import common, vectors
 K = 5
 EVERY = 50
 BLOCK = 4096
-PANEL = 1024
+PANEL = 256
 #: Bytes of the vectors of one group of queries, as they are stored, and least bytes of candidates for one more strip.
 GROUP_BYTES, STRIP_BYTES = 16 << 20, 8 << 20
 #: Strips that even a small table is dealt into.
@@ -141,15 +141,21 @@ class Group(Coded):
         digests = None
         for low in range(0, len(self.ids), PANEL):
             part = slice(low, low + PANEL)
-            near = ((self.factors(part) @ theirs) * self.scale[part, None]).astype(np.float32) * block.scale[None, :]
-            loose = self.kept[part, None] * block.lost[None, :] + (self.lost[part, None] + SLACK)
+            near = self.factors(part) @ theirs  # whole numbers
+            near *= block.scale[None, :]
+            scale, kept, lost = (x[part, None] for x in (self.scale, self.kept, self.lost))
             floor = self.heaps.score[part, -1]
             if near.shape[1] > k and (floor == -np.inf).any():
-                least = near - loose
+                least = near * scale - kept * block.lost[None, :] - (lost + SLACK)
                 mine = (own[0] >= low) & (own[0] < low + PANEL)
                 least[own[0][mine] - low, own[1][mine]] = -np.inf
                 floor = np.maximum(floor, np.partition(least, -k, axis=1)[:, -k])
-            of, at = np.nonzero(near + loose >= floor.astype(np.float32)[:, None] - SLACK)
+            # the loosest bound of the block first, one comparison an entry; then each pair's own
+            reach = (floor[:, None] - 2 * SLACK - lost - kept * block.lost.max()) / scale
+            of, at = np.nonzero(near >= reach.astype(near.dtype))
+            upper = near[of, at] * self.scale[part][of] + self.kept[part][of] * block.lost[at] + self.lost[part][of] + SLACK
+            still = upper >= floor[of] - SLACK
+            of, at = of[still], at[still]
             for p in range(0, len(of), PAIRS):
                 o, a = of[p : p + PAIRS] + low, at[p : p + PAIRS]
                 digests = vectors.digests(block.rows) if digests is None else digests
