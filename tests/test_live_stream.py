@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.catalog import hourly
 from tessera.operators import live
 from tessera.streaming import live_tests as live_stream
 
@@ -58,15 +58,25 @@ def run(spark, source: str, out: str, check: str) -> None:
     stream.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
 
 
-def test_stream_equals_batch_over_a_restart(stateful, tmp_path):
-    spark, rows = stateful, bars()
+def of_events(spark) -> list[tuple]:
+    """Days of the events table: up fires on a day that rises, down on one that falls; no coin lacks a day."""
+    days = hourly.days_of_hours(spark, "/root/testdata/sf0.01").orderBy("symbol", "d").collect()
+    assert len(days) == len({r.symbol for r in days}) * len({r.d for r in days})
+    at = lambda d: dt.datetime(d.year, d.month, d.day)
+    return [(c, r.symbol, at(r.d), r.close, r.high, r.low, (r.close > r.open) == (c == "up")) for r in days for c in HORIZONS]
+
+
+@pytest.mark.parametrize("source_of", [lambda spark: bars(), of_events], ids=["made", "events"])
+def test_stream_equals_batch_over_a_restart(stateful, tmp_path, source_of):
+    spark = stateful
+    rows = source_of(spark)
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     rng = random.Random(1)
     jitter = sorted(rows, key=lambda r: r[2] + dt.timedelta(days=rng.uniform(0, 3)))  # out of order, within the delay
     later = [("up", "Z", START + dt.timedelta(days=99), 1.0, 1.0, 1.0, False)]  # lets the watermark pass the rest
     third = len(jitter) // 3
     for part in (jitter[:third], jitter[third : 2 * third], jitter[2 * third :], later):  # each run starts anew from the checkpoint
-        pd.DataFrame(part, columns=[c.split()[0] for c in KIND.split(", ")]).pipe(lambda p: spark.createDataFrame(p, KIND)).coalesce(1).write.mode("append").parquet(source)
+        spark.createDataFrame(part, KIND).coalesce(1).write.mode("append").parquet(source)
         run(spark, source, out, check)
     told = spark.read.parquet(out).collect()
     opened, closed = opened_and_closed(spark, rows)
