@@ -9,9 +9,14 @@ A firing counts once, however often it is listed; null labels, symbols or days a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.state import cut
+
 DAYS, WORDS, TILES = 64, 64, 8
 
 
@@ -24,8 +29,9 @@ def bitmaps(hits: DataFrame) -> DataFrame:
     return placed.select("label", "symbol", "block", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.coalesce(F.col("at")[k], F.lit(0).cast("long"))).alias("words"))
 
 
-def _count(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
+def _count(word: Callable[[int], Column]) -> Column:
+    """Bits of the words, written out: lambdas over arrays would be interpreted for each pair."""
+    return reduce(lambda a, b: a + b, [F.bit_count(word(k)) for k in range(WORDS)]).cast("long")
 
 
 def _met(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
@@ -42,10 +48,10 @@ def pairs(hits: DataFrame, all_pairs: bool = False) -> DataFrame:
 
     all_pairs: also those that never do, at 0.
     """
-    maps = bitmaps(hits)
-    n = maps.groupBy("label").agg(F.sum(_count(F.col("words"))).alias("n"))
+    maps = cut(bitmaps(hits))  # read three times, and small beside the firings
+    n = maps.groupBy("label").agg(F.sum(_count(lambda k: F.get("words", F.lit(k)))).alias("n"))
     of = lambda name: maps.select(F.col("label").alias(name), "symbol", "block", F.col("words").alias(f"words_{name}"))
-    common = _count(F.zip_with("words_a", "words_b", lambda x, y: x.bitwiseAND(y)))
+    common = _count(lambda k: F.get("words_a", F.lit(k)).bitwiseAND(F.get("words_b", F.lit(k))))
     both = _met(of("a"), of("b"), "symbol", "block").groupBy("a", "b").agg(F.sum(common).alias("both")).where("both > 0")
     own = lambda name: n.select(F.col("label").alias(name), F.col("n").alias(f"n_{name}"))
     if all_pairs:
