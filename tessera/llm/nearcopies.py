@@ -374,8 +374,10 @@ def keep_first(df: DataFrame) -> DataFrame:
     go by place, so any names may clash.
     """
     last = F.lit(simhash.LAST_ID)
-    nodes = common.cut(described(df))
-    rooted = nodes.join(groups(df, nodes), "node", "left").select("least", "node", F.coalesce("root", "node").alias("root"))
+    with common.brief_shuffles(df.sparkSession):
+        nodes = common.cut(described(df))
+        links = groups(df, nodes)
+    rooted = nodes.join(links, "node", "left").select("least", "node", F.coalesce("root", "node").alias("root"))
     keep = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("x")).where(F.col("x.least") < last).select(F.col("x.least").alias("kept_id"), F.col("x.node").alias("kept_node"))
     plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
     doc_id, text = (f"c{df.columns.index(n)}" for n in ("doc_id", "text"))

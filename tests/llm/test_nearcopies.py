@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 
@@ -78,6 +79,19 @@ def test_repeated_ids_on_unlike_texts(spark):
     assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (1, b), (2, c)]
 
 
+def test_rounds_leave_no_shuffle_files(spark):
+    """A round's files go as it ends, whenever the driver collects its garbage; the plan that comes back has run nothing yet."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {name for name in re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" "))}
+    df, _ = sample(spark)
+    before = files()
+    corpus_pipeline.near_dedup(spark, df, "")
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+
+
 def test_sketches_drop_no_similar_pair():
     rng = np.random.default_rng(3)
     for _ in range(400):
