@@ -12,7 +12,8 @@
    descends from the root, adds up the differing bits of each node's own pattern and drops the whole
    group once they pass the radius.
 4. Groups.  A task emits a spanning forest of the links it found, not the links; components are closed
-   over these edges by alternating large-star and small-star rounds on checkpointed tables.
+   over these edges by alternating large-star and small-star rounds on checkpointed tables, in which no
+   task gets all edges of a node that has many.
 
 Copies share a fingerprint and are never expanded into pairs.
 
@@ -41,6 +42,9 @@ RADIUS = 2
 LAST_ID = 2**63 - 1  # stands for a missing doc_id, so that any other is smaller
 FANOUT = 8
 FRONTIER = 1_500_000  # pairs of a query and a node that are held at once
+HUB_SHARE = 500  # a hub has more than this part of the edges, so there are few
+HUB_LEAST = 100
+TASK_EDGES = 1 << 19  # edges that meet in one task, about
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -225,24 +229,95 @@ def near_links(codes: DataFrame, hot: int = 4096, parts: int | None = None) -> D
     return buckets(codes, hot).repartition(parts, "mask", "value").mapInArrow(common.lean(run), "u long, v long").distinct()
 
 
+def joined(a: np.ndarray, b: np.ndarray, moved: bool) -> pa.RecordBatch | None:
+    """u, v, moved: each node of the edges (a > b) with the least one that it reaches over them; moved if that differs from an edge, or was given."""
+    if not len(a):
+        return None
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    label = forest(len(nodes), [(i, j)])
+    moved = moved or bool((label[i] != j).any())
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]]), pa.array(np.full(len(other), moved))], names=["u", "v", "moved"])
+
+
+def held_rows(batches, names: tuple[str, ...]) -> list[np.ndarray]:
+    held = [[batch.column(n).to_numpy(zero_copy_only=False) for n in names] for batch in batches]
+    return [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * len(names)
+
+
+def deal_ends(hub: np.ndarray, least: np.ndarray):
+    """key, other, done: each edge for both ends (0), but an edge to a hub as the large-star leaves it (1, or 2 if it moved)."""
+
+    def of_hub(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(hub, x), max(0, len(hub) - 1))
+        return (hub[at] == x, least[at]) if len(hub) else (np.zeros(len(x), bool), x)
+
+    def run(batches):
+        for batch in batches:
+            u, v = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("u", "v"))
+            low, to = of_hub(v)
+            up = ~of_hub(u)[0]  # of a hub all know the least neighbour
+            key = np.concatenate([u[up], v[~low], u[low]])
+            other = np.concatenate([v[up], u[~low], to[low]])
+            done = np.zeros(len(key), np.int8)
+            done[len(key) - len(u[low]) :] = 1 + (to[low] != v[low])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(other), pa.array(done)], names=["key", "other", "done"])
+
+    return run
+
+
+def large_star(batches):
+    """Each larger neighbour of a node with the node's least neighbour."""
+    key, other, done = held_rows(batches, ("key", "other", "done"))
+    a, b, moved = key[done > 0], other[done > 0], bool((done == 2).any())
+    key, other = key[done == 0], other[done == 0]
+    if len(key):
+        nodes, at = np.unique(key, return_inverse=True)
+        least = nodes.copy()
+        np.minimum.at(least, at, other)
+        up = other > key
+        moved = moved or bool((least[at[up]] != key[up]).any())
+        a, b = np.concatenate([a, other[up]]), np.concatenate([b, least[at[up]]])
+    out = joined(a, b, moved)
+    if out:
+        yield out
+
+
+def small_star(batches):
+    u, v, moved = held_rows(batches, ("u", "v", "moved"))
+    out = joined(u, v, bool(moved.any()))
+    if out:
+        yield out
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node that each node of the edges (u > v) reaches.
+    """node, root: the least node that each node of the edges (u > v) reaches; each node once, without the roots.
 
-    Alternates large-star and small-star until the edge set stands still; then every edge leads from a
-    node to its root.  Each round is a checkpoint; the driver sees a count and a checksum.
+    Alternates large-star (each larger neighbour of a node goes to the node's least one) and small-star (the smaller neighbours
+    of a node and the node go to the least of them) until no edge moves; then every edge leads from a node to its root.  A task
+    joins all edges that it is about to send, so that a node has at most one smaller neighbour from each task.  A hub's edges are
+    not dealt to one task: the nodes with over one in HUB_SHARE of the edges are few, so the driver tells all tasks the least
+    neighbour of each.  Edges never grow in number.  Each round is a checkpoint; the driver sees the hubs and whether an edge moved.
     """
-    seen, edges = None, common.cut(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        edges = common.cut(small)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+    edges = common.cut(edges.select("u", "v"))
+    count = edges.count()
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_EDGES))
+    often = max(HUB_LEAST, count // HUB_SHARE)
+    edges = edges.withColumn("moved", F.lit(True))
+    while count:
+        end = lambda k, m: F.struct(k.cast("long").alias("k"), m.cast("long").alias("m"))
+        null, u, v = F.lit(None), F.col("u"), F.col("v")
+        ends = edges.select(F.explode(F.when(F.col("moved"), F.array(end(v, null), end(u, v), end(null, null))).otherwise(F.array(end(v, null), end(u, v)))).alias("e"))
+        found = ends.groupBy("e.k").agg(F.count(F.lit(1)).alias("n"), F.min("e.m").alias("m")).where((F.col("n") > often) | F.col("k").isNull()).select("k", F.least("k", "m").alias("m")).toArrow().to_pylist()
+        hubs = sorted((x["k"], x["m"]) for x in found if x["k"] is not None)
+        if len(hubs) == len(found):
+            break
+        hub, least = np.array(hubs, np.int64).reshape(-1, 2).T.copy()
+        dealt = edges.mapInArrow(common.lean(deal_ends(hub, least)), "key long, other long, done byte").repartition(parts, "key")
+        large = dealt.mapInArrow(common.lean(large_star), "u long, v long, moved boolean").repartition(parts, "u")
+        edges = common.cut(large.mapInArrow(common.lean(small_star), "u long, v long, moved boolean"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(df: DataFrame, shingle: int = 3, hot: int = 4096) -> DataFrame:

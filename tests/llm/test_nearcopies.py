@@ -9,7 +9,7 @@ import time
 import numpy as np
 
 import corpus_pipeline
-from tessera.llm import nearcopies
+from tessera.llm import nearcopies, simhash
 
 from .fixtures import awkward, documents, empty, sample
 
@@ -92,6 +92,59 @@ def test_rounds_leave_no_shuffle_files(spark):
     assert not left
 
 
+def plain_roots(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each node that is not the least of its component, with the least."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        above[max(a, b)] = min(a, b)
+    return sorted((x, root(x)) for x in list(above) if root(x) != x)
+
+
+def test_components_of_paths_hubs_and_random_edges(spark, monkeypatch):
+    rng = random.Random(11)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(1500)]
+    few, line = sorted(ids[:12]), sorted(ids)
+    graphs = [
+        list(zip(line, line[1:], strict=False))[:400],
+        [(rng.choice(ids), rng.choice(ids)) for _ in range(1200)],
+        [(few[k % 12], v) for k, v in enumerate(ids)] + list(zip(few, few[1:], strict=False)),  # a chain of hubs
+        [(line[-1], v) for v in line[:-1]] + list(zip(ids, ids[700:], strict=False)),  # a hub above all others
+        [],
+    ]
+    for least in (1, simhash.HUB_LEAST):
+        monkeypatch.setattr(simhash, "HUB_LEAST", least)
+        for graph in graphs:
+            edges = [(max(e), min(e)) for e in graph if e[0] != e[1]]
+            assert sorted(map(tuple, simhash.components(spark.createDataFrame(edges, "u long, v long")).collect())) == plain_roots(edges)
+
+
+def test_no_task_gets_all_edges_of_a_hub(spark, monkeypatch):
+    """Of a star's 8,000 edges, each seen by both ends, four tasks get about 4,000 rows each; by its hub one would get 8,000 more."""
+    plain = {name: getattr(simhash, name) for name in ("large_star", "small_star")}
+
+    def watched(name):
+        def run(batches):
+            batches = list(batches)
+            assert sum(b.num_rows for b in batches) < 5000
+            yield from plain[name](batches)
+
+        return run
+
+    for name in plain:
+        monkeypatch.setattr(simhash, name, watched(name))
+    rng = random.Random(13)
+    leaves = [rng.randrange(2**63) for _ in range(8000)]
+    got = simhash.components(spark.createDataFrame([(x, -1) for x in leaves], "u long, v long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, -1) for x in leaves)
+
+
 def test_sketches_drop_no_similar_pair():
     rng = np.random.default_rng(3)
     for _ in range(400):
